@@ -161,3 +161,52 @@ def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("l_suppkey") % 2 == 0, "C").otherwise("P"), F.col("l_quantity"),
         ).alias("occ"),
     )
+
+
+def raw_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unclean chain rows: text numbers, missing strikes and expiries, late fetches."""
+    li = table(spark, sf_dir, "lineitem")
+    ts = F.date_trunc("month", "l_shipdate")
+    fetched = F.when(F.col("l_orderkey") % 7 == 0, F.lit(None).cast("string")).when(
+        F.col("l_orderkey") % 11 == 0, "not a time"
+    ).otherwise(F.date_format(F.timestamp_seconds(F.unix_timestamp(ts) + F.col("l_partkey") % 600),
+                              "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    strike = F.when(F.col("l_partkey") % 101 == 0, F.lit(None).cast("string")).when(
+        F.col("l_partkey") % 103 == 0, "n/a"
+    ).otherwise(F.col("l_quantity").cast("string"))
+    return li.select(
+        F.col("l_returnflag").alias("ticker"),
+        ts.alias("ts"),
+        strike.alias("strike"),
+        F.when(F.col("l_suppkey") % 53 != 0, F.make_date(F.lit(2002), F.col("l_linenumber"), F.lit(15))).alias("expiry"),
+        fetched.alias("fetched_text"),
+        F.when(F.col("l_orderkey") % 5 == 0, "bad").otherwise(F.col("l_extendedprice").cast("string")).alias("call_gex"),
+        F.when(F.col("l_partkey") % 13 != 0, F.col("l_quantity") + 100).alias("spot_price"),
+    )
+
+
+def raw_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract rows as a vendor would send them: numbers as text, separators in symbols."""
+    li = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_suppkey") % 3 == 0, "call").when(F.col("l_suppkey") % 3 == 1, "PUT").otherwise("other")
+    return li.select(
+        F.concat(F.lower("l_returnflag"), F.lit("__"), F.col("l_partkey").cast("string"), F.lit(" "),
+                 F.col("l_linenumber").cast("string")).alias("option_symbol"),
+        F.lower("l_returnflag").alias("underlying_symbol"),
+        kind.alias("option_type"),
+        F.col("l_quantity").cast("string").alias("strike"),
+        F.date_format(F.make_date(F.lit(2002), F.col("l_linenumber"), F.lit(15)), "yyyy-MM-dd").alias("expires"),
+        F.when(F.col("l_partkey") % 17 == 0, "0").otherwise(
+            (F.col("l_partkey") % 1000 / F.lit(4.0)).cast("string")).alias("avg_price"),
+        F.when(F.col("l_partkey") % 19 == 0, "0").otherwise(
+            (F.col("l_orderkey") % 100 / F.lit(8.0)).cast("string")).alias("last_price"),
+        (F.col("l_partkey") % 90).cast("string").alias("volume"),
+        (F.col("l_partkey") % 500).cast("string").alias("open_interest"),
+        F.when(F.col("l_orderkey") % 23 != 0, (F.col("l_orderkey") % 500).cast("string")).alias("prev_oi"),
+        (F.col("l_orderkey") % 41).alias("bid_volume"),
+        (F.col("l_partkey") % 37).alias("ask_volume"),
+        (F.col("l_suppkey") % 29).alias("mid_volume"),
+        F.when(F.col("l_linenumber") == 3, 0.0).otherwise(F.col("l_tax") + F.lit(0.1)).alias("iv"),
+        F.col("l_shipdate").alias("last_tape_time"),
+        F.col("l_orderkey").alias("src_order"),
+    )

@@ -57,28 +57,29 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] =
            count_out: str | None = None) -> DataFrame:
     """Exact row numbers of whole groups, split by ordered value buckets.
 
-    ``tie_chunk`` is an optional ordered split of equal values (a prefix of the
-    first tie column) for data where one value holds most rows.
+    ``tie_chunk`` is an ordered split of equal values (a prefix of the first tie
+    column) for counts and other values of few levels, where one value may hold
+    most rows; each level is then its own bucket.
     """
     keys = list(keys)
-    bucket = order_prefix(F.col(value))
+    bucket = order_prefix(F.col(value)) if tie_chunk is None else F.col(value)
     bucket = -bucket if descending else bucket
     extra = tie_chunk if tie_chunk is not None else F.lit(0)
     src = df.withColumn("_b", bucket).withColumn("_tb", extra)
-    sizes = src.groupBy(*keys, "_b", "_tb").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = src.groupBy(*keys, "_b", "_tb").agg(F.count(F.lit(1)).alias("_size"))
     order = Window.partitionBy(*keys).orderBy("_b", "_tb")
     sizes = sizes.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        "_before", F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     if count_out:
         whole = Window.partitionBy(*keys)
-        sizes = sizes.withColumn(count_out, F.sum("_n").over(whole))
+        sizes = sizes.withColumn(count_out, F.sum("_size").over(whole))
     first = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*keys, "_b", "_tb").orderBy(first, *[col(t) for t in ties])
     return (
         src.join(sizes, [*keys, "_b", "_tb"])
         .withColumn(out, F.row_number().over(inside) + F.col("_before"))
-        .drop("_b", "_tb", "_n", "_before")
+        .drop("_b", "_tb", "_size", "_before")
     )
 
 
@@ -102,35 +103,37 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return df.join(ranks, [*keys, value])
 
 
-def ewma_scan(df: DataFrame, keys: Sequence[str], order: str, value: Column, decay: Column,
-              start: Column, out: str) -> DataFrame:
+def ewma_scan(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], decay: Column,
+              start: Column) -> DataFrame:
     """y = e^-d * y_prev + (1 - e^-d) * x along ``order``; rows with ``start`` set y = x.
 
+    ``values`` maps each output to its input x; all share the decay and restarts.
     Closed form over windows, cut into blocks of decay exponent so that no power
     overflows. Three earlier blocks are carried; what lies before them is below
     e^-90 of its size and cannot change a double.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ws = Window.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    wb = Window.partitionBy(*keys, "_seg", "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    names = list(values)
+    upto = (Window.unboundedPreceding, 0)
+    by_key = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
+    by_seg = Window.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(*upto)
+    by_blk = Window.partitionBy(*keys, "_seg", "_blk").orderBy(order).rowsBetween(*upto)
     past = Window.partitionBy(*keys, "_seg").orderBy("_blk")
-    src = (
-        df.withColumn("_start", start)
-        .withColumn("_seg", F.sum(F.col("_start").cast("int")).over(w))
-        .withColumn("_x", value.cast("double"))
-        .withColumn("_d", F.when(F.col("_start"), F.lit(0.0)).otherwise(decay))
-        .withColumn("_cum", F.sum("_d").over(ws))
-        .withColumn("_blk", F.floor(F.col("_cum") / _BLOCK))
-        .withColumn("_w", F.when(F.col("_start"), F.col("_x")).otherwise(
-            -F.expm1(-F.col("_d")) * F.col("_x")) * F.exp(F.col("_cum") - F.col("_blk") * _BLOCK))
-        .withColumn("_local", F.sum("_w").over(wb))
-    )
-    carry = F.lit(0.0)
-    for back in (1, 2, 3):
-        total = F.sum("_w").over(past.rangeBetween(-back, -back))
-        carry = carry + F.coalesce(total, F.lit(0.0)) * math.exp(-_BLOCK * back)
-    src = src.withColumn("_carry", carry)
-    return src.withColumn(
-        out, F.exp(F.col("_blk") * _BLOCK - F.col("_cum")) * (F.col("_local") + F.col("_carry"))
-    ).drop("_start", "_seg", "_x", "_d", "_cum", "_blk", "_w", "_local", "_carry")
+    src = df.withColumns({"_start": start, "_d": decay, **{f"_x{i}": values[n] for i, n in enumerate(names)}})
+    step = F.when(F.col("_start"), F.lit(0.0)).otherwise(F.col("_d"))
+    src = src.withColumns({"_seg": F.sum(F.col("_start").cast("int")).over(by_key), "_d": step})
+    src = src.withColumn("_cum", F.sum("_d").over(by_seg))
+    blk = F.floor(F.col("_cum") / _BLOCK)
+    gain = F.when(F.col("_start"), F.lit(1.0)).otherwise(-F.expm1(-F.col("_d"))) * F.exp(F.col("_cum") - blk * _BLOCK)
+    src = src.withColumns({"_blk": blk, **{f"_x{i}": F.col(f"_x{i}") * gain for i in range(len(names))}})
+
+    def carried(x):
+        out = F.sum(x).over(by_blk)
+        for back in (1, 2, 3):
+            total = F.sum(x).over(past.rangeBetween(-back, -back))
+            out = out + F.coalesce(total, F.lit(0.0)) * math.exp(-_BLOCK * back)
+        return out
+
+    fade = F.exp(F.col("_blk") * _BLOCK - F.col("_cum"))
+    src = src.withColumns({n: fade * carried(f"_x{i}") for i, n in enumerate(names)})
+    return src.drop("_start", "_seg", "_d", "_cum", "_blk", *[f"_x{i}" for i in range(len(names))])

@@ -21,7 +21,7 @@ def parse_ts(text) -> Column:
     """ISO text (Z, offset or naive = UTC) or epoch seconds to a timestamp."""
     text = F.trim(col(text).cast("string"))
     epoch = text.try_cast("double")
-    return F.when(epoch.isNotNull(), F.timestamp_micros((epoch * 1e6).cast("bigint"))).otherwise(
+    return F.when(epoch.isNotNull(), F.timestamp_micros(F.round(epoch * 1e6).cast("bigint"))).otherwise(
         F.try_to_timestamp(text)
     )
 

@@ -116,15 +116,15 @@ def features(cols: DataFrame) -> DataFrame:
     dte = F.greatest(F.datediff("expiry", F.to_date("ts")).cast("double"), F.lit(0.25))
     com = F.col("com_num") / F.col("gmag")
     dist = F.when((F.col("gmag") > 0) & (F.col("spot") > 0), F.abs(com - F.col("spot")) / F.col("spot"))
-    return (
-        cols.withColumn("log_dte", F.ln(dte))
-        .withColumn("log_gmag", F.ln(F.col("gmag") + 1))
-        .withColumn("net_col_sign_log", signed_log("net_col"))
-        .withColumn("askbid_imbalance", (F.col("ask") - F.col("bid")) / (F.col("ask") + F.col("bid") + 1))
-        .withColumn("doi_migration", signed_log("doi"))
-        .withColumn("com_dist_rel", F.coalesce(dist, F.lit(0.0)))
-        .withColumn("tod_frac", (F.hour("ts") * 60 + F.minute("ts")) / F.lit(1440.0))
-    )
+    return cols.withColumns({
+        "log_dte": F.ln(dte),
+        "log_gmag": F.ln(F.col("gmag") + 1),
+        "net_col_sign_log": signed_log("net_col"),
+        "askbid_imbalance": (F.col("ask") - F.col("bid")) / (F.col("ask") + F.col("bid") + 1),
+        "doi_migration": signed_log("doi"),
+        "com_dist_rel": F.coalesce(dist, F.lit(0.0)),
+        "tod_frac": (F.hour("ts") * 60 + F.minute("ts")) / F.lit(1440.0),
+    })
 
 
 def theta_dot(theta: Sequence[float] = THETA) -> Column:
@@ -169,7 +169,7 @@ def smoothed_weights(psi_cols: DataFrame, gap_s: float = BATCH_INTERVAL_S, lam:
     )
     flagged = joined.withColumn("fresh_start", F.coalesce(start, F.lit(True)))
     return ewma_scan(
-        flagged, ["ticker", "expiry"], "ts", F.col("psi"), F.lit(-math.log(lam)), F.col("fresh_start"), "a"
+        flagged, ["ticker", "expiry"], "ts", {"a": F.col("psi")}, F.lit(-math.log(lam)), F.col("fresh_start")
     ).drop("_last")
 
 

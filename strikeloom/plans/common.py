@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from strikeloom import adapters
 from strikeloom.functions.scalar import col
 from strikeloom.operators import grid
-from strikeloom.plans.registry import view
+from strikeloom.plans.registry import ROUND_SHIFT, view
+from strikeloom.session import materialize
 
 DAY_S = 86400.0
 
 
 def r(c, digits: int = 6) -> Column:
-    return F.round(col(c).cast("double"), digits)
+    value = col(c).cast("double")
+    return F.round(value + F.lit(ROUND_SHIFT * 10.0 ** -digits) if digits > 0 else value, digits)
 
 
 def d(c) -> Column:
@@ -53,7 +55,7 @@ DAY_GAP_S = DAY_S
 
 def valued(spark, sf, gamma: float = 0.7, p: float = 1.25) -> DataFrame:
     """Monthly cell values under smoothed weights, from one pass over the chain."""
-    cells = m_cells(spark, sf)
+    cells = materialize(m_cells(spark, sf), "cells")
     w = grid.smoothed_weights(grid.psi(grid.features(grid.columns(cells)), gamma), MONTH_GAP_S)
     return grid.cell_values(grid.shaped(cells, p), w)
 

@@ -77,21 +77,21 @@ def cell_basis(spark, sf):
 
 @query("win_1_gap_reset_ewma", """
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS expiry, CAST(st AS BIGINT) AS restart,
-       CAST(sign(round(a, 6)) AS BIGINT) AS a_sign, round(ln(abs(a) + 1), 6) AS log_a FROM weights_d""")
+       CAST(sign(trunc(a * 1000)) AS BIGINT) AS a_sign, round(ln(abs(a) + 1), 6) AS log_a FROM weights_d""")
 def gap_reset(spark, sf):
     w = grid.smoothed_weights(d_psi(spark, sf), DAY_GAP_S)
     return w.select("ticker", d("ts").alias("ts"), d("expiry").alias("expiry"),
-                    n(F.col("fresh_start").cast("int")).alias("restart"), n(F.signum(F.round("a", 6))).alias("a_sign"),
+                    n(F.col("fresh_start").cast("int")).alias("restart"), n(F.signum((F.col("a") * 1000).cast("bigint"))).alias("a_sign"),
                     r(F.ln(F.abs("a") + 1)).alias("log_a"))
 
 
 @query("win_1_fold_form", """
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS expiry,
-       CAST(sign(round(a, 6)) AS BIGINT) AS a_sign, round(ln(abs(a) + 1), 6) AS log_a FROM weights_m""")
+       CAST(sign(trunc(a * 1000)) AS BIGINT) AS a_sign, round(ln(abs(a) + 1), 6) AS log_a FROM weights_m""")
 def fold_form(spark, sf):
     return grid.fold_weights(m_psi(spark, sf), MONTH_GAP_S).select(
         "ticker", d("ts").alias("ts"), d("expiry").alias("expiry"),
-        n(F.signum(F.round("a", 6))).alias("a_sign"), r(F.ln(F.abs("a") + 1)).alias("log_a"))
+        n(F.signum((F.col("a") * 1000).cast("bigint"))).alias("a_sign"), r(F.ln(F.abs("a") + 1)).alias("log_a"))
 
 
 @query("agg_7_display_weights", """

@@ -47,8 +47,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one driver table; timestamps are read in UTC."""
+    """Read one driver table; its naive timestamps are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -62,3 +63,16 @@ def materialize(df, label: str):
     path = scratch_dir(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df, max_rows: int = 10_000):
+    """Mark ``df`` for broadcast only after counting that it is small.
+
+    The count stops one row past the limit. Beyond it the frame is returned
+    unmarked and the join shuffles both sides.
+    """
+    from pyspark.sql import functions as F
+
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
