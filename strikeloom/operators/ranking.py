@@ -201,5 +201,5 @@ def banded_rank(df: DataFrame, keys: Sequence[str], outer: str, inner: str, widt
     keys = list(keys)
     rows = ranked(df, keys, outer, ["underlying"], descending=True, out="outer_rank")
     rows = rows.withColumn("_band", F.floor((F.col("outer_rank") - 1) / width))
-    order = Window.partitionBy(*keys, "_band").orderBy(F.coalesce(F.col(inner), F.lit(-1.0)).desc(), "outer_rank")
+    order = Window.partitionBy(*keys, "_band").orderBy(F.round(F.coalesce(F.col(inner), F.lit(-1.0)), 9).desc(), "outer_rank")
     return rows.withColumn("rank", F.col("_band") * width + F.row_number().over(order)).drop("_band")

@@ -155,7 +155,7 @@ def membership(spark, sf):
 
 @query("top_7_score_variants", """
 SELECT strftime(day, '%Y-%m-%d') AS day, underlying, round(blend, 6) AS blend, prem_rank,
-  band * 5 + row_number() OVER (PARTITION BY day, band ORDER BY coalesce(unusual, -1) DESC, prem_rank) AS band_rank FROM (
+  band * 5 + row_number() OVER (PARTITION BY day, band ORDER BY round(coalesce(unusual, -1), 9) DESC, prem_rank) AS band_rank FROM (
   SELECT *, (prem_rank - 1) // 5 AS band FROM (
     SELECT p.day, p.underlying, u.unusual, 0.5 * p.pct + 0.5 * coalesce(u.unusual, 0) AS blend,
       row_number() OVER (PARTITION BY p.day ORDER BY p.pct DESC, p.underlying) AS prem_rank
@@ -230,13 +230,13 @@ def spearman(spark, sf):
 @query("fit_21_rank_validation", """
 SELECT strftime(s.day, '%Y-%m-%d') AS day, count(*) FILTER (rk <= 10 AND p.underlying IS NOT NULL) AS hits_prem,
   count(*) FILTER (rk <= 10 AND u.underlying IS NOT NULL) AS hits_unusual, count(*) FILTER (rk <= 10 AND a.underlying IS NOT NULL) AS hits_attention
-FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, underlying) AS rk FROM scores) s
+FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(score, 9) DESC, underlying) AS rk FROM scores) s
 LEFT JOIN truth_prem p USING (day, underlying) LEFT JOIN (SELECT * FROM truth_vol UNION SELECT * FROM truth_oi) u USING (day, underlying)
 LEFT JOIN attention a USING (day, underlying) GROUP BY s.day""")
 def rank_validation(spark, sf):
     flags = materialize(contracts.activity(adapters.contract_day(spark, sf)), "flags")
     vol, oi, prem = truths(spark, sf, flags)
-    ranks = materialize(ranking.ranked(ranking.composite(features(spark, sf)), ["day"], "score", ["underlying"], descending=True), "ranks")
+    ranks = materialize(ranking.ranked(ranking.composite(features(spark, sf)).withColumn("score", F.round("score", 9)), ["day"], "score", ["underlying"], descending=True), "ranks")
     unusual = vol.unionByName(oi).distinct()
     out = None
     for name, truth in (("prem", prem), ("unusual", unusual), ("attention", prem.select("day", "underlying").unionByName(unusual))):
