@@ -107,3 +107,64 @@ def matrix_documents(cells: DataFrame, value: str = "g", gatekeepers: int = 3) -
 def write_json_gz(docs: DataFrame, path: str) -> str:
     docs.write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
     return path
+
+
+def range_documents(cells: DataFrame, value: str = "g", split: float = 25.0) -> DataFrame:
+    """Range-capture documents: one frame per expiry, on two axes of different length."""
+    keys = ["ticker", "ts"]
+    per_exp = cells.groupBy(*keys, "expiry").agg(
+        F.sort_array(F.collect_list(F.struct("strike", F.col(value).alias("v")))).alias("points"))
+    docs = per_exp.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("expiry", "points"))).alias("exps"))
+    docs = docs.withColumn("all_strikes", F.array_sort(F.array_distinct(
+        F.flatten(F.transform("exps", lambda e: F.transform(e["points"], lambda p: p["strike"]))))))
+    docs = docs.withColumn("low_strikes", F.filter("all_strikes", lambda s: s <= split))
+
+    def frame(e, i):
+        axis = i % 2
+        strikes = F.when(axis == 1, F.col("all_strikes")).otherwise(F.col("low_strikes"))
+        by = F.map_from_entries(e["points"])
+        at = F.date_format(F.timestamp_seconds(F.unix_timestamp("ts") + i), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return F.struct(at.alias("asOf"), axis.cast("bigint").alias("axis"),
+                        F.transform(strikes, lambda s: F.coalesce(by[s], F.lit(0.0))).alias("values"))
+
+    start = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    axes = F.array(F.struct(F.lit(0).cast("bigint").alias("id"), F.col("low_strikes").alias("strikes")),
+                   F.struct(F.lit(1).cast("bigint").alias("id"), F.col("all_strikes").alias("strikes")))
+    symbol = F.struct(F.col("ticker").alias("symbol"), axes.alias("axes"), F.transform("exps", frame).alias("frames"))
+    return docs.select(F.struct(start.alias("from"), start.alias("to"), F.array(symbol).alias("symbols")).alias("data"))
+
+
+def node_census(strikes: DataFrame, keys: list[str]) -> DataFrame:
+    return strikes.groupBy(*keys, "node_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sample_captures(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """First, middle and last capture per key by time."""
+    heads = symbols.select(*keys, "asOf").distinct()
+    order = Window.partitionBy(*keys).orderBy("asOf")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    picks = heads.withColumns({"_r": F.row_number().over(order), "_n": n}).where(
+        (F.col("_r") == 1) | (F.col("_r") == F.floor(F.col("_n") / 2) + 1) | (F.col("_r") == F.col("_n")))
+    return symbols.join(picks.select(*keys, "asOf"), [*keys, "asOf"], "left_semi")
+
+
+def capture_kings(symbols: DataFrame) -> DataFrame:
+    """Grid king per capture: largest value by size, the smaller strike on ties."""
+    return matrix_strikes(symbols).groupBy("symbol", "asOf").agg(
+        F.max_by("strike", F.struct(F.abs("value"), -F.col("strike"))).alias("king"),
+        F.max(F.abs("value")).alias("king_abs"), F.count(F.lit(1)).alias("n_strikes"),
+        *[F.count_if(F.col("node_type") == x).alias(f"n_{x}") for x in ("king", "gatekeeper", "pika", "barney", "normal")])
+
+
+def column_kings(symbols: DataFrame) -> DataFrame:
+    """Largest cell of each column; an all-zero column has no king."""
+    cols = symbols.select("symbol", "asOf", F.explode("expirations").alias("expiry"))
+    best = matrix_cells(symbols).groupBy("symbol", "asOf", "expiry").agg(
+        F.max_by("strike", F.struct(F.abs("value"), -F.col("strike"))).alias("strike"),
+        F.max_by("value", F.struct(F.abs("value"), -F.col("strike"))).alias("value"))
+    return cols.join(best, ["symbol", "asOf", "expiry"], "left").fillna(0.0, ["value"])
+
+
+def lag_histogram(rows: DataFrame, lag_s: Column, limit: int = 3600) -> DataFrame:
+    lag = F.greatest(F.least(F.bround(lag_s, 0).cast("bigint"), F.lit(limit)), F.lit(-limit))
+    return rows.groupBy(lag.alias("lag_s")).agg(F.count(F.lit(1)).alias("n"))
