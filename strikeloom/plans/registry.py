@@ -23,19 +23,21 @@ def view(name: str, body: str) -> None:
 def with_views(text: str) -> str:
     """Prefix a SQL text with the named subqueries it uses, in order."""
     order: list[str] = []
+    open_views: set[str] = set()
 
     def visit(sql: str) -> None:
         for word in re.findall(r"(?i:from|join)\s+([a-z_][a-z_0-9]*)", sql):
-            if word in _VIEWS and word not in order:
+            if word in _VIEWS and word not in order and word not in open_views:
+                open_views.add(word)
                 visit(_VIEWS[word])
-                if word not in order:
-                    order.append(word)
+                open_views.discard(word)
+                order.append(word)
 
     visit(text)
     if not order:
         return text.strip()
     head = ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in order)
-    return f"WITH {head}\n{text.strip()}"
+    return f"WITH RECURSIVE {head}\n{text.strip()}"
 
 
 def _shift_rounding(sql: str) -> str:
