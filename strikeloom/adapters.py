@@ -53,7 +53,10 @@ def chain(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade prints from events: one row per event, contract = user."""
-    ev = table(spark, sf_dir, "events")
+    return prints_of(table(spark, sf_dir, "events"))
+
+
+def prints_of(ev: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r"(\d+)", 1).cast("bigint")
     occ = F.concat(F.lit("C"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
     return ev.select(
@@ -210,3 +213,19 @@ def raw_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("last_tape_time"),
         F.col("l_orderkey").alias("src_order"),
     )
+
+
+def snapshots(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Raw option snapshots from events, batch or streaming."""
+    p = prints(spark, sf_dir) if source is None else prints_of(source)
+    size, price = F.col("size"), F.col("price")
+    return p.select(
+        "ticker", "expiry", "strike", "ts", "seq", price.alias("spot"),
+        (size * 10 + F.col("seq") % 7).alias("call_oi"), (F.lit(1000) - size).alias("put_oi"),
+        (F.col("seq") % 1000).alias("call_volume"), size.alias("put_volume"),
+        (price / 1000).alias("call_gamma"), (price / 2000).alias("put_gamma"),
+        (F.lit(0.1) + size / 200).alias("call_iv"), (F.lit(0.2) + size / 200).alias("put_iv"),
+        (price * size).alias("call_gex"), (price * (F.lit(100) - size) / 2).alias("put_gex"),
+        (price * 0.5).alias("call_vex"), (price * 0.25).alias("put_vex"),
+        (size / 100.0).alias("call_delta"), (size / 100.0 - 1).alias("put_delta"),
+    )

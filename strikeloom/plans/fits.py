@@ -52,7 +52,7 @@ SELECT {keys}, any_value(lam) AS lam, list(e1 ORDER BY e1) AS es, list(b ORDER B
     SELECT x.*, {ridge} AS lam FROM (
       SELECT p.*, sum(CASE WHEN e1 = e2 THEN s ELSE 0 END) OVER (PARTITION BY {keys}) AS trace, count(*) OVER (PARTITION BY {keys}, e1) AS ne FROM (
         SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, p.expiry AS e1, q.expiry AS e2, p.b,
-          coalesce((SELECT sum(0) ), 0) + coalesce(z.s, 0) AS s
+          coalesce(z.s, 0) AS s
         FROM (SELECT {keys}, expiry, sum(g * y) AS b FROM ({join}) GROUP BY ALL) p JOIN (SELECT DISTINCT {keys}, expiry FROM ({join})) q ON {on}
         LEFT JOIN (SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, p.expiry AS e1, q.expiry AS e2, sum(p.g * q.g) AS s FROM ({join}) p JOIN ({join}) q ON {on} AND p.strike = q.strike GROUP BY ALL) z
         ON {on.replace('q.', 'z.')} AND z.e1 = p.expiry AND z.e2 = q.expiry) p) x) GROUP BY {keys}, e1) GROUP BY {keys}"""
@@ -224,7 +224,7 @@ def profiled(spark, sf):
     month = 30 * 86400.0
     best = None
     out = []
-    for lam in (0.9, 0.99):
+    for lam in (0.79, 0.99):
         st = state.cell_state(cells, grid.batches(cols), lam, month)
         design = state.node_design(state.state_cells(st, w, ranges), node_scores).join(nodes, [*_REC, "strike"])
         moments = materialize(fits.record_moments(design), "moments")
