@@ -310,6 +310,25 @@ def record_moments(design: DataFrame, p: int = 8, keys: Sequence[str] = RECORD)
     return moment_sums(design, keys, xs, F.col("y")).select(*keys, "gram", "rhs", F.col("yy").alias("vv"))
 
 
+_DIRECT_PARTS = 256
+
+
+def _partial_sums(rows: DataFrame, parts: int, run, size: int) -> np.ndarray:
+    """Sum the fixed-size arrays executors return, one per partition.
+
+    With many partitions the arrays are added by Spark first, so the driver never
+    holds more than a few hundred of them.
+    """
+    partial = rows.mapInPandas(run, "s array<double>")
+    if parts > _DIRECT_PARTS:
+        long = partial.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+        out = np.zeros(size)
+        for row in long.collect():
+            out[row["i"]] = row["x"]
+        return out
+    return np.sum([row["s"] for row in partial.collect()] or [np.zeros(size)], axis=0)
+
+
 class ProfiledFit:
     """Maximise the summed cos2 between record vectors and their designs.
 
@@ -317,99 +336,110 @@ class ProfiledFit:
     the driver only ever holds p x p numbers.
     """
 
-    def __init__(self, moments: DataFrame, p: int = 8):
-        self.moments, self.p = moments, p
+    def __init__(self, moments: DataFrame, p: int = 8, folds: Sequence[str] = ()):
+        """``folds`` adds one model per value of the ``fold`` column, fitted without it; the first model uses all records."""
+        self.moments = moments if "fold" in moments.columns else moments.withColumn("fold", F.lit(None).cast("string"))
+        self.p, self.models = p, [None, *folds]
+        self.rows = self.moments.select("fold", "gram", "rhs", "vv")
+        self.parts = self.rows.rdd.getNumPartitions()
+
+    def _sum(self, fn, size: int, held_out: bool = False) -> np.ndarray:
+        p, models = self.p, self.models
 
-    def _sum(self, fn, size: int) -> np.ndarray:
         def run(batches):
             acc = np.zeros(size)
-            p = self_p
             for pdf in batches:
                 if len(pdf):
-                    acc += fn(np.array([unpack(g, p) for g in pdf["gram"]]), np.stack(pdf["rhs"].to_numpy()), pdf["vv"].to_numpy())
-            yield pd.DataFrame({"i": np.arange(size), "s": acc})
+                    mask = np.array([[(f == m) if held_out else (m is None or f != m) for m in models] for f in pdf["fold"]])
+                    acc += fn(np.array([unpack(g, p) for g in pdf["gram"]]), np.stack(pdf["rhs"].to_numpy()), pdf["vv"].to_numpy(), mask)
+            yield pd.DataFrame({"s": [acc.tolist()]})
 
-        self_p = self.p
-        rows = self.moments.select("gram", "rhs", "vv").mapInPandas(run, "i bigint, s double")
-        got = rows.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
-        return np.array([r["s"] for r in got])
+        return _partial_sums(self.rows, self.parts, run, size)
 
-    def objective(self, betas: np.ndarray) -> np.ndarray:
-        def fn(g, u, vv):
-            q = np.einsum("ka,rab,kb->rk", betas, g, betas)
-            ub = u @ betas.T
-            ok = (q > 0) & (vv[:, None] > 0)
-            return np.where(ok, ub ** 2 / np.where(ok, q * vv[:, None], 1.0), 0.0).sum(axis=0)
+    def objective(self, betas: np.ndarray, held_out: bool = False) -> np.ndarray:
+        """Summed cos2 for betas of shape (models, candidates, p)."""
+        m, k, p = betas.shape
 
-        return self._sum(fn, len(betas))
+        def fn(g, u, vv, mask):
+            q = np.einsum("mka,rab,mkb->rmk", betas, g, betas, optimize=True)
+            ub = np.einsum("ra,mka->rmk", u, betas)
+            ok = (q > 0) & (vv[:, None, None] > 0) & mask[:, :, None]
+            return np.where(ok, ub ** 2 / np.where(ok, q * vv[:, None, None], 1.0), 0.0).sum(axis=0).ravel()
+
+        return self._sum(fn, m * k, held_out).reshape(m, k)
 
     def _surrogates(self, betas: np.ndarray) -> np.ndarray:
-        k, p = betas.shape
+        m, k, p = betas.shape
 
-        def fn(g, u, vv):
-            q = np.einsum("ka,rab,kb->rk", betas, g, betas)
-            w = np.where(q > 0, 1.0 / np.where(q > 0, q, 1.0), 0.0)
-            return np.einsum("rk,ra,rb->kab", w, u, u).ravel()
+        def fn(g, u, vv, mask):
+            q = np.einsum("mka,rab,mkb->rmk", betas, g, betas, optimize=True)
+            ok = (q > 0) & mask[:, :, None]
+            w = np.where(ok, 1.0 / np.where(ok, q, 1.0), 0.0)
+            return np.einsum("rmk,ra,rb->mkab", w, u, u, optimize=True).ravel()
 
-        return self._sum(fn, k * p * p).reshape(k, p, p)
+        return self._sum(fn, m * k * p * p).reshape(m, k, p, p)
 
     def _values_and_gradients(self, betas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k, p = betas.shape
-
-        def fn(g, u, vv):
-            gb = np.einsum("rab,kb->rka", g, betas)
-            q = np.einsum("rka,ka->rk", gb, betas)
-            ok = (q > 0) & (vv[:, None] > 0)
-            q, vs = np.where(ok, q, 1.0), np.where(ok, vv[:, None], 1.0)
-            ub = np.where(ok, u @ betas.T, 0.0)
+        m, k, p = betas.shape
+
+        def fn(g, u, vv, mask):
+            gb = np.einsum("rab,mkb->rmka", g, betas, optimize=True)
+            q = np.einsum("rmka,mka->rmk", gb, betas)
+            ok = (q > 0) & (vv[:, None, None] > 0) & mask[:, :, None]
+            q, vs = np.where(ok, q, 1.0), np.where(ok, vv[:, None, None], 1.0)
+            ub = np.where(ok, np.einsum("ra,mka->rmk", u, betas), 0.0)
             value = (ub ** 2 / (q * vs)).sum(axis=0)
-            grad = np.einsum("rk,ra->ka", 2 * ub / (q * vs), u) - np.einsum("rk,rka->ka", 2 * ub ** 2 / (q * q * vs), gb)
-            return np.concatenate([value, grad.ravel()])
+            grad = np.einsum("rmk,ra->mka", 2 * ub / (q * vs), u) - np.einsum("rmk,rmka->mka", 2 * ub ** 2 / (q * q * vs), gb)
+            return np.concatenate([value.ravel(), grad.ravel()])
 
-        s = self._sum(fn, k + k * p)
-        return s[:k], s[k:].reshape(k, p)
+        s = self._sum(fn, m * k * (1 + p))
+        return s[:m * k].reshape(m, k), s[m * k:].reshape(m, k, p)
 
-    def fit(self, iters: int = 20, refine: int = 50) -> tuple[np.ndarray, float]:
-        p = self.p
-        e1 = np.eye(p)[0]
+    def fit(self, iters: int = 20, refine: int = 50) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients (models, p) and objectives (models,); every step is one pass for all models."""
+        p, m = self.p, len(self.models)
         third = np.zeros(p)
         third[[0, 1, 5]] = 0.5
-        betas = np.stack([e1, np.full(p, p ** -0.5), third])
+        betas = np.tile(np.stack([np.eye(p)[0], np.full(p, p ** -0.5), third]), (m, 1, 1))
         best = self.objective(betas)
-        live = np.ones(len(betas), dtype=bool)
+        live = np.ones(best.shape, dtype=bool)
         for _ in range(iters):
             if not live.any():
                 break
             mats = self._surrogates(betas)
             cand = betas.copy()
-            for k in np.flatnonzero(live):
-                v = betas[k]
+            for i, k in zip(*np.nonzero(live)):
+                v = betas[i, k]
                 for _ in range(200):
-                    nv = mats[k] @ v
+                    nv = mats[i, k] @ v
                     norm = np.linalg.norm(nv)
                     if norm == 0:
                         break
                     v = nv / norm
-                cand[k] = v
+                cand[i, k] = v
             j = self.objective(cand)
             live &= j > best
             betas[live], best[live] = cand[live], j[live]
-        k = int(np.argmax(best))
-        beta, j = betas[k] / np.linalg.norm(betas[k]), best[k]
+        top = best.argmax(axis=1)
+        beta = betas[np.arange(m), top]
+        beta, j = beta / np.linalg.norm(beta, axis=1, keepdims=True), best[np.arange(m), top]
         etas = np.array([1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001])
-        grad = self._values_and_gradients(beta[None, :])[1][0]
+        grad = self._values_and_gradients(beta[:, None, :])[1][:, 0]
+        going = np.ones(m, dtype=bool)
         for _ in range(refine):
-            norm = np.linalg.norm(grad)
-            if norm == 0:
+            norm = np.linalg.norm(grad, axis=1, keepdims=True)
+            going &= norm[:, 0] > 0
+            if not going.any():
                 break
-            cand = beta + etas[:, None] * (grad / norm)
-            cand /= np.linalg.norm(cand, axis=1, keepdims=True)
+            cand = beta[:, None, :] + etas[None, :, None] * (grad / np.where(norm > 0, norm, 1.0))[:, None, :]
+            cand /= np.linalg.norm(cand, axis=2, keepdims=True)
             js, grads = self._values_and_gradients(cand)
-            better = np.flatnonzero(js > j)
-            if not len(better):
-                break
-            beta, j, grad = cand[better[0]], js[better[0]], grads[better[0]]
-        return beta, float(j)
+            better = js > j[:, None]
+            going &= better.any(axis=1)
+            first = better.argmax(axis=1)
+            for i in np.flatnonzero(going):
+                beta[i], j[i], grad[i] = cand[i, first[i]], js[i, first[i]], grads[i, first[i]]
+        return beta, j
 
 
 def packed_columns(rows: DataFrame, names: Sequence[str], keys: Sequence[str], target: str, fold: Column, mask: str = "g") -> DataFrame:
@@ -439,6 +469,8 @@ def alternating_fits(packed: DataFrame, means: np.ndarray, norms: np.ndarray, fo
     history: list[list[float]] = [[] for _ in models]
     live = np.ones(k, dtype=bool)
     width = p * p + p + 2
+    rows = packed.select("fold", "x", "t")
+    parts = rows.rdd.getNumPartitions()
     for _ in range(iters):
         def run(batches, thetas=thetas):
             acc = np.zeros((k, width))
@@ -456,10 +488,9 @@ def alternating_fits(packed: DataFrame, means: np.ndarray, norms: np.ndarray, fo
                     acc[:, p * p:p * p + p] += np.outer(lam, x.T @ t)
                     acc[:, -2] += np.where(use, th * th / (tt * np.where(hh > 0, hh, 1.0)), 0.0)
                     acc[:, -1] += use
-            yield pd.DataFrame({"i": np.arange(acc.size), "s": acc.ravel()})
+            yield pd.DataFrame({"s": [acc.ravel().tolist()]})
 
-        got = packed.select("fold", "x", "t").mapInPandas(run, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
-        s = np.array([r["s"] for r in got]).reshape(k, width)
+        s = _partial_sums(rows, parts, run, k * width).reshape(k, width)
         nxt = thetas.copy()
         for m in np.flatnonzero(live):
             if s[m, -1] == 0:

@@ -227,17 +227,17 @@ def profiled(spark, sf):
     for lam in (0.79, 0.99):
         st = state.cell_state(cells, grid.batches(cols), lam, month)
         design = state.node_design(state.state_cells(st, w, ranges), node_scores).join(nodes, [*_REC, "strike"])
-        moments = materialize(fits.record_moments(design), "moments")
+        moments = materialize(fits.record_moments(design).withColumn("fold", F.year("ts").cast("string")), "moments")
         beta, j = fits.ProfiledFit(moments).fit()
-        out.append((f"lambda={lam}", float(lam), j, [float(b) for b in beta]))
-        if best is None or j > best[0]:
-            best = (j, moments, lam)
-    moments = best[1].withColumn("fold", F.year("ts"))
-    for row in moments.select("fold").distinct().orderBy("fold").collect():
-        fold = row["fold"]
-        beta, _ = fits.ProfiledFit(moments.where(F.col("fold") != fold)).fit(iters=5, refine=5)
-        j = fits.ProfiledFit(moments.where(F.col("fold") == fold)).objective(np.array([beta]))[0]
-        out.append((f"held_out={fold}", float(best[2]), float(j), [float(b) for b in beta]))
+        out.append((f"lambda={lam}", float(lam), float(j[0]), [float(b) for b in beta[0]]))
+        if best is None or j[0] > best[0]:
+            best = (j[0], moments, lam)
+    folds = [row["fold"] for row in best[1].select("fold").distinct().orderBy("fold").collect()]
+    model = fits.ProfiledFit(best[1], folds=folds)
+    beta, _ = model.fit()
+    held = model.objective(beta[:, None, :], held_out=True)
+    for i, fold in enumerate(folds, start=1):
+        out.append((f"held_out={fold}", float(best[2]), float(held[i, 0]), [float(b) for b in beta[i]]))
     return spark.createDataFrame(out, "run string, lam double, objective double, beta array<double>")
 
 

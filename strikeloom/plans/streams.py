@@ -28,10 +28,10 @@ def bucket_stream(spark, sf):
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS expiry, CAST(sign(a) AS BIGINT) AS a_sign, round(ln(1 + abs(a)), 6) AS log_a FROM weights_m""")
 def weight_stream(spark, sf):
     psi = materialize(m_psi(spark, sf), "psi")
-    rows = psi.join(grid.batches(psi).select("ticker", "ts", "prev_ts"), ["ticker", "ts"]).select("ticker", "expiry", "ts", "prev_ts", "gmag", "psi")
+    rows = materialize(psi.join(grid.batches(psi).select("ticker", "ts", "prev_ts"), ["ticker", "ts"]).select("ticker", "expiry", "ts", "prev_ts", "gmag", "psi"), "weight-rows")
     path = scratch_dir(spark, "weight-input")
     jobs.write_in_order(rows, path, "ts", 4)
-    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=1 if rows.rdd.getNumPartitions() == 1 else None)
+    stream = jobs.file_stream(spark, path, rows.schema)
     out = jobs.collected(jobs.stateful(stream, ["ticker", "expiry"], jobs.WeightProcessor(MONTH_GAP_S), jobs.WEIGHT_OUTPUT), "weights")
     return out.select("ticker", d("ts").alias("ts"), d("expiry").alias("expiry"), n(F.signum("a")).alias("a_sign"), r(F.log1p(F.abs("a"))).alias("log_a"))
 

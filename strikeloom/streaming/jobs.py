@@ -79,6 +79,10 @@ def observed_total(progress, name: str, metric: str) -> int:
     return int(total)
 
 
+def _micros(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1000)
+
+
 WEIGHT_INPUT = "ticker string, expiry date, ts timestamp, prev_ts timestamp, gmag double, psi double"
 WEIGHT_OUTPUT = "ticker string, expiry date, ts timestamp, a double"
 
@@ -99,15 +103,15 @@ class WeightProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("ts")
-        ts = new["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        prev = new["prev_ts"].astype("datetime64[us]")
+        ts = [_micros(x) for x in new["ts"]]
+        prev = new["prev_ts"]
         held = self.state.get() if self.state.exists() else None
         last, a = (held[0], held[1]) if held is not None else (None, 0.0)
         kept, values = [], []
         for i, (t, p, size, psi) in enumerate(zip(ts, prev, new["gmag"], new["psi"])):
             if last is not None and t <= last:
                 continue
-            before = None if pd.isna(p) else int(p.value // 1000) if hasattr(p, "value") and p.unit == "ns" else int(pd.Timestamp(p).as_unit("us").value)
+            before = None if pd.isna(p) else _micros(p)
             go_on = last is not None and before == last and t - before <= self.gap_us and size != 0
             a = self.lam * a + (1 - self.lam) * psi if go_on else psi
             last = int(t)
@@ -145,7 +149,7 @@ class NodeProcessor(StatefulProcessor):
         out = []
         strike = float(key[1])
         for ts, batch in new.groupby("ts", sort=True):
-            at = int(pd.Timestamp(ts).as_unit("us").value)
+            at = _micros(ts)
             if at <= last:
                 continue
             last = at
@@ -188,7 +192,7 @@ class RangeProcessor(StatefulProcessor):
         last, session, hi, lo = held
         out = []
         for row in new.itertuples():
-            at, day = int(pd.Timestamp(row.ts).as_unit("us").value), int(pd.Timestamp(row.session).as_unit("us").value)
+            at, day = _micros(row.ts), _micros(row.session)
             if at <= last:
                 continue
             hi, lo = (max(hi, row.gmag), min(lo, row.gmag)) if day == session else (row.gmag, row.gmag)
