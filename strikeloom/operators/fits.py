@@ -336,21 +336,29 @@ class ProfiledFit:
     the driver only ever holds p x p numbers.
     """
 
-    def __init__(self, moments: DataFrame, p: int = 8, folds: Sequence[str] = ()):
-        """``folds`` adds one model per value of the ``fold`` column, fitted without it; the first model uses all records."""
-        self.moments = moments if "fold" in moments.columns else moments.withColumn("fold", F.lit(None).cast("string"))
-        self.p, self.models = p, [None, *folds]
-        self.rows = self.moments.select("fold", "gram", "rhs", "vv")
+    def __init__(self, moments: DataFrame, models: Sequence[tuple[str | None, str | None]] = ((None, None),), p: int = 8):
+        """A model is (run, held-out fold): it uses the records of its run outside that fold.
+
+        ``run`` and ``fold`` are text columns of ``moments``; None stands for all.
+        """
+        for name in ("run", "fold"):
+            if name not in moments.columns:
+                moments = moments.withColumn(name, F.lit(None).cast("string"))
+        self.p, self.models = p, list(models)
+        self.rows = moments.select("run", "fold", "gram", "rhs", "vv")
         self.parts = self.rows.rdd.getNumPartitions()
 
     def _sum(self, fn, size: int, held_out: bool = False) -> np.ndarray:
         p, models = self.p, self.models
 
+        def used(run, fold):
+            return [(r is None or r == run) and ((f == fold) if held_out else (f is None or f != fold)) for r, f in models]
+
         def run(batches):
             acc = np.zeros(size)
             for pdf in batches:
                 if len(pdf):
-                    mask = np.array([[(f == m) if held_out else (m is None or f != m) for m in models] for f in pdf["fold"]])
+                    mask = np.array([used(r, f) for r, f in zip(pdf["run"], pdf["fold"])])
                     acc += fn(np.array([unpack(g, p) for g in pdf["gram"]]), np.stack(pdf["rhs"].to_numpy()), pdf["vv"].to_numpy(), mask)
             yield pd.DataFrame({"s": [acc.tolist()]})
 

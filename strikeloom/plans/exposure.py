@@ -102,8 +102,8 @@ def agreement(spark, sf):
 
 @query("exp_6_presets_and_range", """
 SELECT 'front' AS preset, ticker, count(*) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY ticker, ts ORDER BY expiry) AS k FROM cells_m) WHERE k <= 3 AND abs(strike - spot) <= spot * 0.5 GROUP BY ticker
-UNION ALL SELECT 'monthly', ticker, count(*) FROM (SELECT *, CAST(ts AS DATE) + (7 + 5 - isodow(CAST(ts AS DATE))) % 7 + 14 AS third FROM (SELECT * FROM shifted)) WHERE expiry <= third AND abs(strike - spot) <= spot * 0.5 GROUP BY ticker
-UNION ALL SELECT 'friday', ticker, count(*) FROM shifted WHERE expiry <= CAST(ts AS DATE) + (7 + 5 - isodow(CAST(ts AS DATE))) % 7 AND abs(strike - spot) <= spot * 0.5 GROUP BY ticker""")
+UNION ALL SELECT 'monthly', ticker, count(*) FROM (SELECT *, CAST(ts AS DATE) + CAST((12 - isodow(CAST(ts AS DATE))) % 7 + 14 AS INTEGER) AS third FROM shifted) WHERE expiry <= third AND abs(strike - spot) <= spot * 0.5 GROUP BY ticker
+UNION ALL SELECT 'friday', ticker, count(*) FROM shifted WHERE expiry <= CAST(ts AS DATE) + CAST((12 - isodow(CAST(ts AS DATE))) % 7 AS INTEGER) AND abs(strike - spot) <= spot * 0.5 GROUP BY ticker""")
 def presets(spark, sf):
     cells = materialize(m_cells(spark, sf).select("ticker", "ts", "strike", "expiry", "spot"), "cells")
     near = cells.withColumn("expiry", F.date_add(F.to_date("ts"), F.month("expiry") * 3))

@@ -222,22 +222,22 @@ def profiled(spark, sf):
     node_scores = materialize(state.scores(state.interactions(cells, grid.batches(cols))), "scores")
     nodes = target_nodes(cells)
     month = 30 * 86400.0
-    best = None
-    out = []
-    for lam in (0.79, 0.99):
+    lams = (0.79, 0.99)
+    moments = None
+    for lam in lams:
         st = state.cell_state(cells, grid.batches(cols), lam, month)
         design = state.node_design(state.state_cells(st, w, ranges), node_scores).join(nodes, [*_REC, "strike"])
-        moments = materialize(fits.record_moments(design).withColumn("fold", F.year("ts").cast("string")), "moments")
-        beta, j = fits.ProfiledFit(moments).fit()
-        out.append((f"lambda={lam}", float(lam), float(j[0]), [float(b) for b in beta[0]]))
-        if best is None or j[0] > best[0]:
-            best = (j[0], moments, lam)
-    folds = [row["fold"] for row in best[1].select("fold").distinct().orderBy("fold").collect()]
-    model = fits.ProfiledFit(best[1], folds=folds)
-    beta, _ = model.fit()
-    held = model.objective(beta[:, None, :], held_out=True)
-    for i, fold in enumerate(folds, start=1):
-        out.append((f"held_out={fold}", float(best[2]), float(held[i, 0]), [float(b) for b in beta[i]]))
+        one = fits.record_moments(design).withColumns({"run": F.lit(str(lam)), "fold": F.year("ts").cast("string")})
+        moments = one if moments is None else moments.unionByName(one)
+    moments = materialize(moments, "moments")
+    folds = [row["fold"] for row in moments.select("fold").distinct().orderBy("fold").collect()]
+    models = [(str(lam), f) for lam in lams for f in (None, *folds)]
+    fit = fits.ProfiledFit(moments, models)
+    beta, j = fit.fit()
+    held = fit.objective(beta[:, None, :], held_out=True)[:, 0]
+    best = max((j[i], m[0]) for i, m in enumerate(models) if m[1] is None)[1]
+    out = [(f"lambda={m[0]}", float(m[0]), float(j[i]), [float(b) for b in beta[i]]) for i, m in enumerate(models) if m[1] is None]
+    out += [(f"held_out={m[1]}", float(m[0]), float(held[i]), [float(b) for b in beta[i]]) for i, m in enumerate(models) if m[1] is not None and m[0] == best]
     return spark.createDataFrame(out, "run string, lam double, objective double, beta array<double>")
 
 
@@ -284,15 +284,14 @@ def theta_fit(spark, sf):
 @query("fit_11_alternating_fit")
 def alternating(spark, sf):
     feats, means, norms, models = theta_fit(spark, sf)
-    out = None
-    for fold, (theta, history) in models.items():
-        pred = feats.withColumn("p", fits.standardized_value(_CHAIN_GROUP, theta, means, norms))
-        pred = pred if fold is None else pred.where(F.year("ts") == int(fold))
-        q = fits.quartiles(fits.feature_cos2(pred, ["p"], [*_REC, "expiry"]), [], "cos2")
-        one = q.select(F.lit(fold or "in_sample").alias("scope"), "n", F.col("median").alias("median_cos2"), F.lit(len(history)).alias("iterations"),
-                       F.array(*[F.lit(float(x)) for x in theta]).alias("theta"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = {("in_sample" if fold is None else fold): theta for fold, (theta, _) in models.items()}
+    preds = feats.select(*_REC, "expiry", "y", "g", *[fits.standardized_value(_CHAIN_GROUP, t, means, norms).alias(f"p_{k}") for k, t in names.items()])
+    long = fits.feature_cos2(preds, [f"p_{k}" for k in names], [*_REC, "expiry"]).withColumn("scope", F.substring("feature", 3, 20))
+    long = long.where((F.col("scope") == "in_sample") | (F.col("scope") == F.year("ts").cast("string")))
+    q = fits.quartiles(materialize(long, "cos2"), ["scope"], "cos2").select("scope", "n", F.col("median").alias("median_cos2"))
+    info = spark.createDataFrame([("in_sample" if f is None else f, len(h), [float(x) for x in t]) for f, (t, h) in models.items()],
+                                 "scope string, iterations int, theta array<double>")
+    return q.join(F.broadcast(info), "scope")
 
 
 _VARIANTS = [

@@ -229,7 +229,7 @@ def alert_metrics(spark, sf):
 
 
 @query("prj_18_alert_predicate", """
-SELECT r.rule_id, m.ticker, strftime(m.day, '%Y-%m-%d') AS day, m.metric, round(m.value, 4) AS value
+SELECT r.rule_id::BIGINT AS rule_id, m.ticker, strftime(m.day, '%Y-%m-%d') AS day, m.metric, round(m.value, 4) AS value
 FROM alert_metrics m JOIN alert_rules r ON m.metric = r.metric AND (r.ticker IS NULL OR r.ticker = m.ticker)
 WHERE r.enabled AND CASE r.op WHEN '>' THEN m.value > r.threshold WHEN '<=' THEN m.value <= r.threshold ELSE m.value >= r.threshold END""")
 def alert_predicate(spark, sf):

@@ -96,7 +96,7 @@ def stale_rows(spark, sf):
 
 
 @query("str_7_alert_stream", """
-SELECT r.rule_id, strftime(m.ts, '%Y-%m-%d %H:%M:%S') AS ts, m.ticker, round(m.value, 4) AS value FROM (
+SELECT r.rule_id::BIGINT AS rule_id, strftime(m.ts, '%Y-%m-%d %H:%M:%S') AS ts, m.ticker, round(m.value, 4) AS value FROM (
   SELECT ticker, ts, 'premium' AS metric, premium * 20 AS value FROM prints) m JOIN alert_rules r ON m.metric = r.metric AND (r.ticker IS NULL OR r.ticker = m.ticker)
 WHERE r.enabled AND CASE r.op WHEN '>' THEN m.value > r.threshold WHEN '<=' THEN m.value <= r.threshold ELSE m.value >= r.threshold END""")
 def alert_stream(spark, sf):
