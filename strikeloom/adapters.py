@@ -20,34 +20,27 @@ CHAIN_NUMBERS = (
 
 def chain(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
     """Option-chain rows from lineitem; ``grain`` sets the batch time."""
-    li = table(spark, sf_dir, "lineitem")
-    call = F.col("l_suppkey") % 2 == 0
-
-    def side(value):
-        value = value.cast("double")
-        return F.when(call, value).otherwise(0.0), F.when(call, F.lit(0.0)).otherwise(value)
-
-    gex = side(F.col("l_extendedprice") * F.col("l_discount"))
-    oi = side(F.col("l_partkey") % 500 + 1)
-    prev = side(F.col("l_orderkey") % 500)
-    vol = side(F.col("l_partkey") % 90 + 10)
-    ask = side(F.col("l_orderkey") % 41)
-    bid = side(F.col("l_partkey") % 37)
-    return li.select(
-        F.col("l_returnflag").alias("ticker"),
-        F.date_trunc(grain, "l_shipdate").alias("ts"),
-        F.col("l_quantity").alias("strike"),
-        F.make_date(F.lit(2002), F.col("l_linenumber"), F.lit(15)).alias("expiry"),
-        gex[0].alias("call_gex"), gex[1].alias("put_gex"),
-        oi[0].alias("call_oi"), oi[1].alias("put_oi"),
-        prev[0].alias("call_prev_oi"), prev[1].alias("put_prev_oi"),
-        vol[0].alias("call_volume"), vol[1].alias("put_volume"),
-        ask[0].alias("call_ask_vol"), bid[0].alias("call_bid_vol"),
-        ask[1].alias("put_ask_vol"), bid[1].alias("put_bid_vol"),
-        (F.col("l_tax") + F.lit(0.1)).alias("iv"),
+    call = "l_suppkey % 2 = 0"
+
+    def side(name, value):
+        value = f"CAST({value} AS DOUBLE)"
+        return [f"CASE WHEN {call} THEN {value} ELSE 0D END AS call_{name}", f"CASE WHEN {call} THEN 0D ELSE {value} END AS put_{name}"]
+
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag AS ticker",
+        f"date_trunc('{grain}', l_shipdate) AS ts",
+        "l_quantity AS strike",
+        "make_date(2002, l_linenumber, 15) AS expiry",
+        *side("gex", "l_extendedprice * l_discount"),
+        *side("oi", "l_partkey % 500 + 1"),
+        *side("prev_oi", "l_orderkey % 500"),
+        *side("volume", "l_partkey % 90 + 10"),
+        *side("ask_vol", "l_orderkey % 41"),
+        *side("bid_vol", "l_partkey % 37"),
+        "l_tax + 0.1D AS iv",
         # The batch spot is the quantity of the first row in key order.
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("row_key"),
-        F.col("l_orderkey").alias("row_a"), F.col("l_partkey").alias("row_b"), F.col("l_suppkey").alias("row_c"),
+        "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS row_key",
+        "l_orderkey AS row_a",
     )
 
 
@@ -57,50 +50,33 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prints_of(ev: DataFrame) -> DataFrame:
-    k = F.regexp_extract("props", r"(\d+)", 1).cast("bigint")
-    occ = F.concat(F.lit("C"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
-    return ev.select(
-        F.col("event_id").alias("seq"),
-        F.col("ts"),
-        F.col("event_type").alias("ticker"),
-        F.concat(F.lit("T"), (F.col("user_id") % 40).cast("string")).alias("underlying"),
-        occ.alias("occ"),
-        F.col("user_id").alias("contract"),
-        F.when(F.col("user_id") % 2 == 0, "C").otherwise("P").alias("right"),
-        (F.lit(50.0) + F.col("user_id") % 50).alias("strike"),
-        F.date_add(F.lit("2024-02-02").cast("date"), ((F.col("user_id") % 4) * 7).cast("int")).alias("expiry"),
-        F.col("value").alias("price"),
-        k.alias("size"),
-        F.col("value").alias("premium"),
-        F.when(k % 3 == 0, "ask").when(k % 3 == 1, "bid").otherwise("mid").alias("side"),
-        (k % 5 == 0).alias("is_sweep"),
-        F.to_date("ts").alias("day"),
+    with_size = ev.selectExpr("*", r"CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k")
+    return with_size.selectExpr(
+        "event_id AS seq", "ts", "event_type AS ticker",
+        "concat('T', CAST(user_id % 40 AS STRING)) AS underlying",
+        "concat('C', lpad(CAST(user_id AS STRING), 6, '0')) AS occ",
+        "user_id AS contract",
+        "CASE WHEN user_id % 2 = 0 THEN 'C' ELSE 'P' END AS right",
+        "50D + user_id % 50 AS strike",
+        "date_add(DATE '2024-02-02', CAST((user_id % 4) * 7 AS INT)) AS expiry",
+        "value AS price", "k AS size", "value AS premium",
+        "CASE k % 3 WHEN 0 THEN 'ask' WHEN 1 THEN 'bid' ELSE 'mid' END AS side",
+        "k % 5 = 0 AS is_sweep",
+        "to_date(ts) AS day",
     )
 
 
 def contract_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily contract rows with open interest that opens and closes."""
-    from pyspark.sql import Window
-
-    p = prints(spark, sf_dir)
-    opened = F.when(F.col("size") % 4 != 0, F.col("size")).otherwise(-F.col("size"))
-    days = p.groupBy("underlying", "occ", "contract", "right", "strike", "expiry", "day").agg(
-        F.sum("size").alias("volume"),
-        F.sum("premium").alias("premium"),
-        F.count(F.lit(1)).alias("trades"),
-        F.sum(F.when(F.col("side") == "ask", F.col("size")).otherwise(0)).alias("ask_volume"),
-        F.sum(F.when(F.col("side") == "bid", F.col("size")).otherwise(0)).alias("bid_volume"),
-        F.sum(F.when(F.col("side") == "mid", F.col("size")).otherwise(0)).alias("mid_volume"),
-        F.sum(F.when(F.col("is_sweep"), F.col("premium")).otherwise(0.0)).alias("sweep_premium"),
-        F.sum(opened).alias("_net"),
+    days = prints(spark, sf_dir).groupBy("underlying", "occ", "contract", "right", "strike", "expiry", "day").agg(
+        F.expr("sum(size) AS volume"), F.expr("sum(premium) AS premium"), F.expr("count(1) AS trades"),
+        *[F.expr(f"sum(CASE WHEN side = '{x}' THEN size ELSE 0 END) AS {x}_volume") for x in ("ask", "bid", "mid")],
+        F.expr("sum(CASE WHEN is_sweep THEN premium ELSE 0D END) AS sweep_premium"),
+        F.expr("sum(CASE WHEN size % 4 <> 0 THEN size ELSE -size END) AS _net"),
     )
     # One contract trades on at most a few hundred days, so its days fit one window.
-    life = Window.partitionBy("occ").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        days.withColumn("oi", F.lit(1000) + F.sum("_net").over(life))
-        .withColumn("prev_oi", F.col("oi") - F.col("_net"))
-        .drop("_net")
-    )
+    run = "1000 + sum(_net) OVER (PARTITION BY occ ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return days.selectExpr("*", f"{run} AS oi").selectExpr("* EXCEPT (_net)", "oi - _net AS prev_oi")
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,37 +103,31 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return df.join(ranks, [*keys, value])
 
 
-def ewma_scan(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], decay: Column,
-              start: Column) -> DataFrame:
+def ewma_scan(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, str], decay: str, start: str) -> DataFrame:
     """y = e^-d * y_prev + (1 - e^-d) * x along ``order``; rows with ``start`` set y = x.
 
-    ``values`` maps each output to its input x; all share the decay and restarts.
-    Closed form over windows, cut into blocks of decay exponent so that no power
-    overflows. Three earlier blocks are carried; what lies before them is below
-    e^-90 of its size and cannot change a double.
+    ``values`` maps each output to its input, ``decay`` and ``start`` are SQL
+    expressions; all outputs share the decay and the restarts. Closed form over
+    windows, cut into blocks of decay exponent so that no power overflows. Three
+    earlier blocks are carried; what lies before them is below e^-90 of its size
+    and cannot change a double.
     """
-    keys = list(keys)
-    names = list(values)
-    upto = (Window.unboundedPreceding, 0)
-    by_key = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
-    by_seg = Window.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(*upto)
-    by_blk = Window.partitionBy(*keys, "_seg", "_blk").orderBy(order).rowsBetween(*upto)
-    past = Window.partitionBy(*keys, "_seg").orderBy("_blk")
-    src = df.withColumns({"_start": start, "_d": decay, **{f"_x{i}": values[n] for i, n in enumerate(names)}})
-    step = F.when(F.col("_start"), F.lit(0.0)).otherwise(F.col("_d"))
-    src = src.withColumns({"_seg": F.sum(F.col("_start").cast("int")).over(by_key), "_d": step})
-    src = src.withColumn("_cum", F.sum("_d").over(by_seg))
-    blk = F.floor(F.col("_cum") / _BLOCK)
-    gain = F.when(F.col("_start"), F.lit(1.0)).otherwise(-F.expm1(-F.col("_d"))) * F.exp(F.col("_cum") - blk * _BLOCK)
-    src = src.withColumns({"_blk": blk, **{f"_x{i}": F.col(f"_x{i}") * gain for i in range(len(names))}})
+    key, b = ", ".join(keys), _BLOCK
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    xs = {f"_x{i}": f"CAST({x} AS DOUBLE)" for i, x in enumerate(values.values())}
+    src = df.selectExpr("*", f"{start} AS _start", f"CASE WHEN {start} THEN 0D ELSE {decay} END AS _d")
+    src = src.selectExpr("*", f"sum(CAST(_start AS INT)) OVER (PARTITION BY {key} ORDER BY {order} {run}) AS _seg")
+    src = src.selectExpr("*", f"sum(_d) OVER (PARTITION BY {key}, _seg ORDER BY {order} {run}) AS _cum")
+    gain = f"(CASE WHEN _start THEN 1D ELSE -expm1(-_d) END) * exp(_cum - floor(_cum / {b}D) * {b}D)"
+    src = src.selectExpr("*", f"floor(_cum / {b}D) AS _blk", *[f"{x} * {gain} AS {name}" for name, x in xs.items()])
 
     def carried(x):
-        out = F.sum(x).over(by_blk)
+        parts = [f"sum({x}) OVER (PARTITION BY {key}, _seg, _blk ORDER BY {order} {run})"]
         for back in (1, 2, 3):
-            total = F.sum(x).over(past.rangeBetween(-back, -back))
-            out = out + F.coalesce(total, F.lit(0.0)) * math.exp(-_BLOCK * back)
-        return out
+            frame = f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING"
+            parts.append(f"coalesce(sum({x}) OVER (PARTITION BY {key}, _seg ORDER BY _blk {frame}), 0D) * {math.exp(-b * back)!r}D")
+        return " + ".join(parts)
 
-    fade = F.exp(F.col("_blk") * _BLOCK - F.col("_cum"))
-    src = src.withColumns({n: fade * carried(f"_x{i}") for i, n in enumerate(names)})
-    return src.drop("_start", "_seg", "_d", "_cum", "_blk", *[f"_x{i}" for i in range(len(names))])
+    helpers = ", ".join(["_start", "_seg", "_d", "_cum", "_blk", *xs])
+    return src.selectExpr(f"* EXCEPT ({helpers})", *[
+        f"exp(_blk * {b}D - _cum) * ({carried(x)}) AS {out}" for out, x in zip(values, xs)])

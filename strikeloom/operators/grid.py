@@ -6,19 +6,17 @@ every later step works on the grid, whose size is strikes x expiries per batch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeloom.constants import (
-    BATCH_INTERVAL_S, LAMBDA_BATCH, MAG_GAMMA, SHAPE_P, THETA,
+    BATCH_INTERVAL_S, FEATURES, LAMBDA_BATCH, MAG_GAMMA, SHAPE_P, THETA,
 )
 from strikeloom.functions.ordered import ewma_scan
-from strikeloom.functions.scalar import (
-    num, ratio_or, seconds_between, shape, signed_log,
-)
-import math
+from strikeloom.functions.scalar import num, ratio_or, seconds_between, shape
 
 BATCH = ("ticker", "ts")
 COLUMN = ("ticker", "ts", "expiry")
@@ -77,19 +75,11 @@ def cells(chain: DataFrame) -> DataFrame:
         "call_gex", "put_gex", "call_oi", "put_oi", "call_prev_oi", "put_prev_oi", "call_volume",
         "put_volume", "call_ask_vol", "call_bid_vol", "put_ask_vol", "put_bid_vol",
     ]
-    aggs = [F.sum(c).alias(c) for c in sums if c in chain.columns]
-    aggs += [
-        F.sum(net_gex()).alias("g"),
-        F.sum(F.abs(net_gex())).alias("abs_rows"),
-        F.count(F.lit(1)).alias("n_rows"),
-    ]
-    if "iv" in chain.columns:
-        aggs.append(F.avg("iv").alias("iv"))
-    if "row_key" in chain.columns:
-        aggs.append(F.min("row_key").alias("row_key"))
-    if "spot" in chain.columns:
-        aggs.append(F.max("spot").alias("spot"))
-    return chain.groupBy("ticker", "ts", "strike", "expiry").agg(*aggs)
+    aggs = [f"sum({c}) AS {c}" for c in sums if c in chain.columns]
+    aggs += ["sum(call_gex - put_gex) AS g", "sum(abs(call_gex - put_gex)) AS abs_rows", "count(1) AS n_rows"]
+    extra = {"iv": "avg(iv) AS iv", "row_key": "min(row_key) AS row_key", "spot": "max(spot) AS spot"}
+    aggs += [text for name, text in extra.items() if name in chain.columns]
+    return chain.groupBy("ticker", "ts", "strike", "expiry").agg(*[F.expr(x) for x in aggs])
 
 
 def with_first_spot(cells: DataFrame) -> DataFrame:
@@ -101,53 +91,45 @@ def with_first_spot(cells: DataFrame) -> DataFrame:
 def columns(cells: DataFrame) -> DataFrame:
     """Per-expiry sums of one batch."""
     return cells.groupBy(*COLUMN).agg(
-        F.sum("abs_rows").alias("gmag"),
-        F.sum("g").alias("net_col"),
-        F.sum(F.col("abs_rows") * F.col("strike")).alias("com_num"),
-        F.sum(F.col("call_ask_vol") + F.col("put_ask_vol")).alias("ask"),
-        F.sum(F.col("call_bid_vol") + F.col("put_bid_vol")).alias("bid"),
-        F.sum(cell_flow()).alias("doi"),
-        F.max("spot").alias("spot"),
+        F.expr("sum(abs_rows) AS gmag"),
+        F.expr("sum(g) AS net_col"),
+        F.expr("sum(abs_rows * strike) AS com_num"),
+        F.expr("sum(call_ask_vol + put_ask_vol) AS ask"),
+        F.expr("sum(call_bid_vol + put_bid_vol) AS bid"),
+        F.expr("sum((call_oi - call_prev_oi) + (put_oi - put_prev_oi)) AS doi"),
+        F.expr("max(spot) AS spot"),
     )
 
 
 def features(cols: DataFrame) -> DataFrame:
     """The seven column features, names as in ``constants.FEATURES``."""
-    dte = F.greatest(F.datediff("expiry", F.to_date("ts")).cast("double"), F.lit(0.25))
-    com = F.col("com_num") / F.col("gmag")
-    dist = F.when((F.col("gmag") > 0) & (F.col("spot") > 0), F.abs(com - F.col("spot")) / F.col("spot"))
-    return cols.withColumns({
-        "log_dte": F.ln(dte),
-        "log_gmag": F.ln(F.col("gmag") + 1),
-        "net_col_sign_log": signed_log("net_col"),
-        "askbid_imbalance": (F.col("ask") - F.col("bid")) / (F.col("ask") + F.col("bid") + 1),
-        "doi_migration": signed_log("doi"),
-        "com_dist_rel": F.coalesce(dist, F.lit(0.0)),
-        "tod_frac": (F.hour("ts") * 60 + F.minute("ts")) / F.lit(1440.0),
-    })
-
-
-def theta_dot(theta: Sequence[float] = THETA) -> Column:
-    from strikeloom.constants import FEATURES
-
-    out = F.lit(theta[0])
-    for weight, name in zip(theta[1:], FEATURES):
-        out = out + F.lit(weight) * F.col(name)
-    return out
+    def signed(x):
+        return f"CASE WHEN {x} < 0 THEN -ln(1 - {x}) ELSE ln(1 + {x}) END"
+
+    return cols.selectExpr(
+        "*",
+        "ln(greatest(CAST(datediff(expiry, to_date(ts)) AS DOUBLE), 0.25D)) AS log_dte",
+        "ln(gmag + 1) AS log_gmag",
+        f"{signed('net_col')} AS net_col_sign_log",
+        "(ask - bid) / (ask + bid + 1) AS askbid_imbalance",
+        f"{signed('doi')} AS doi_migration",
+        "CASE WHEN gmag > 0 AND spot > 0 THEN abs(com_num / gmag - spot) / spot ELSE 0D END AS com_dist_rel",
+        "(hour(ts) * 60 + minute(ts)) / 1440D AS tod_frac",
+    )
 
 
 def psi(feats: DataFrame, gamma: float = MAG_GAMMA, theta: Sequence[float] = THETA) -> DataFrame:
     """Instant column weight; an all-zero column weighs 0, a zero net counts as positive."""
-    size = F.exp(F.lit(gamma) * theta_dot(theta))
-    sign = F.when(F.col("net_col") >= 0, 1.0).otherwise(-1.0)
-    return feats.withColumn("psi", F.when(F.col("gmag") == 0, F.lit(0.0)).otherwise(sign * size))
+    dot = " + ".join([f"{theta[0]!r}D", *[f"({w!r}D) * {name}" for w, name in zip(theta[1:], FEATURES)]])
+    sign = "CASE WHEN net_col >= 0 THEN 1D ELSE -1D END"
+    return feats.selectExpr("*", f"CASE WHEN gmag = 0 THEN 0D ELSE {sign} * exp({gamma!r}D * ({dot})) END AS psi")
 
 
 def batches(cols: DataFrame) -> DataFrame:
     """Batch list of each ticker with the previous batch time and the spot."""
-    one = cols.groupBy(*BATCH).agg(F.max("spot").alias("spot"))
-    w = Window.partitionBy("ticker").orderBy("ts")
-    return one.withColumn("prev_ts", F.lag("ts").over(w)).withColumn("seq", F.row_number().over(w))
+    one = cols.groupBy(*BATCH).agg(F.expr("max(spot) AS spot"))
+    return one.selectExpr("*", "lag(ts) OVER (PARTITION BY ticker ORDER BY ts) AS prev_ts",
+                          "row_number() OVER (PARTITION BY ticker ORDER BY ts) AS seq")
 
 
 def smoothed_weights(psi_cols: DataFrame, gap_s: float = BATCH_INTERVAL_S, lam: float = LAMBDA_BATCH) -> DataFrame:
@@ -158,19 +140,11 @@ def smoothed_weights(psi_cols: DataFrame, gap_s: float = BATCH_INTERVAL_S, lam:
     all-zero column (which sets 0).
     """
     info = batches(psi_cols).select("ticker", "ts", "prev_ts")
-    own = Window.partitionBy("ticker", "expiry").orderBy("ts")
-    joined = psi_cols.join(info, ["ticker", "ts"]).withColumn("_last", F.lag("ts").over(own))
-    gap = seconds_between("ts", "prev_ts")
-    start = (
-        F.col("_last").isNull()
-        | (F.col("_last") != F.col("prev_ts"))
-        | (gap > gap_s)
-        | (F.col("gmag") == 0)
-    )
-    flagged = joined.withColumn("fresh_start", F.coalesce(start, F.lit(True)))
-    return ewma_scan(
-        flagged, ["ticker", "expiry"], "ts", {"a": F.col("psi")}, F.lit(-math.log(lam)), F.col("fresh_start")
-    ).drop("_last")
+    joined = psi_cols.join(info, ["ticker", "ts"]).selectExpr("*", "lag(ts) OVER (PARTITION BY ticker, expiry ORDER BY ts) AS _last")
+    gap = "(unix_micros(ts) - unix_micros(prev_ts)) / 1e6D"
+    start = f"coalesce(_last IS NULL OR _last <> prev_ts OR {gap} > {float(gap_s)!r}D OR gmag = 0, true)"
+    flagged = joined.selectExpr("* EXCEPT (_last)", f"{start} AS fresh_start")
+    return ewma_scan(flagged, ["ticker", "expiry"], "ts", {"a": "psi"}, f"{-math.log(lam)!r}D", "fresh_start")
 
 
 def fold_weights(psi_cols: DataFrame, gap_s: float = BATCH_INTERVAL_S, lam: float = LAMBDA_BATCH) -> DataFrame:
@@ -193,8 +167,8 @@ def fold_weights(psi_cols: DataFrame, gap_s: float = BATCH_INTERVAL_S, lam: floa
 
 def shaped(cells: DataFrame, p: float = SHAPE_P) -> DataFrame:
     """Within-column power basis ``h`` of the deduplicated cells."""
-    peak = F.max(F.abs("g")).over(Window.partitionBy(*COLUMN))
-    return cells.withColumn("col_max", peak).withColumn("h", shape("g", "col_max", p))
+    rows = cells.selectExpr("*", "max(abs(g)) OVER (PARTITION BY ticker, ts, expiry) AS col_max")
+    return rows.withColumn("h", shape("g", "col_max", p))
 
 
 def cell_values(shaped_cells: DataFrame, weights: DataFrame) -> DataFrame:

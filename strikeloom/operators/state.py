@@ -35,7 +35,7 @@ def cell_state(cells: DataFrame, batches: DataFrame, lam: float = LAMBDA_CELL, c
         .join(info, list(BATCH))
         .withColumn("_first", F.row_number().over(own) == 1)
     )
-    rows = ewma_scan(rows, CELL, "ts", {"q_g": F.col("g"), "q_f": F.col("f")}, F.col("_step"), F.col("_first"))
+    rows = ewma_scan(rows, CELL, "ts", {"q_g": "g", "q_f": "f"}, "_step", "_first")
     return rows.drop("_step", "_first")
 
 
@@ -154,7 +154,7 @@ def accumulators(cells: DataFrame) -> DataFrame:
         "_first": F.row_number().over(own) == 1,
     })
     for name, lam in (("slow", EWMA_SLOW), ("fast", EWMA_FAST)):
-        rows = ewma_scan(rows, CELL, "ts", {f"ewma_g_{name}": F.col("g")}, F.lit(-math.log(lam)), F.col("_first"))
+        rows = ewma_scan(rows, CELL, "ts", {f"ewma_g_{name}": "g"}, f"{-math.log(lam)!r}D", "_first")
     dev = {
         f"g_dev_{n}": F.coalesce(F.col("g") - F.lag(f"ewma_g_{n}").over(own), F.lit(0.0)) for n in ("slow", "fast")
     }
