@@ -38,8 +38,9 @@ def chain(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
         *side("ask_vol", "l_orderkey % 41"),
         *side("bid_vol", "l_partkey % 37"),
         "l_tax + 0.1D AS iv",
-        # The batch spot is the quantity of the first row in key order.
-        "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS row_key",
+        # The batch spot is the quantity of the first row in key order. Order and
+        # quantity share one long, so that a hash aggregate can take the minimum.
+        "(l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS row_key",
         "l_orderkey AS row_a",
     )
 

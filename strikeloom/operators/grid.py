@@ -83,9 +83,9 @@ def cells(chain: DataFrame) -> DataFrame:
 
 
 def with_first_spot(cells: DataFrame) -> DataFrame:
-    """Batch spot from the first row of the batch in key order."""
-    first = F.min("row_key").over(Window.partitionBy(*BATCH))
-    return cells.withColumn("spot", first["l_quantity"]).drop("row_key")
+    """Batch spot from the first row of the batch in key order (see the chain adapter)."""
+    first = "min(row_key) OVER (PARTITION BY ticker, ts)"
+    return cells.selectExpr("* EXCEPT (row_key)", f"CAST({first} % 100 AS DOUBLE) AS spot")
 
 
 def columns(cells: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ SNAPSHOT_KEYS = ("ticker", "expiry", "strike")
 
 
 def _at() -> Column:
-    return F.struct("ts", "seq")
+    """Order of rows by time, then sequence, as one number a hash aggregate can hold."""
+    return F.expr("CAST(unix_micros(ts) AS DECIMAL(38,0)) * 1000000000000 + seq")
 
 
 def _first(c: str) -> Column:
@@ -47,8 +48,8 @@ def hourly(rows: DataFrame, schema_version: int = 1) -> DataFrame:
 
 def strike_eod(rows: DataFrame, schema_version: int = 1) -> DataFrame:
     cols = ("call_oi", "put_oi", "call_volume", "put_volume", "call_gex", "put_gex", "spot")
-    out = rows.groupBy(*SNAPSHOT_KEYS, F.to_date("ts").alias("day")).agg(F.max_by(F.struct(*cols), _at()).alias("r"))
-    out = out.select(*SNAPSHOT_KEYS, "day", "r.*").withColumnRenamed("spot", "spot_close")
+    out = rows.groupBy(*SNAPSHOT_KEYS, F.to_date("ts").alias("day")).agg(*[_last(c).alias(c) for c in cols])
+    out = out.withColumnRenamed("spot", "spot_close")
     return out.withColumns({"net_gex": F.col("call_gex") - F.col("put_gex"), "schema_version": F.lit(schema_version).cast("bigint")})
 
 

@@ -57,7 +57,8 @@ def valued(spark, sf, gamma: float = 0.7, p: float = 1.25) -> DataFrame:
     """Monthly cell values under smoothed weights, from one pass over the chain."""
     cells = materialize(m_cells(spark, sf), "cells")
     w = grid.smoothed_weights(grid.psi(grid.features(grid.columns(cells)), gamma), MONTH_GAP_S)
-    return grid.cell_values(grid.shaped(cells, p), w)
+    # One shuffle by batch serves the column windows, the node sums and the ranks.
+    return grid.cell_values(grid.shaped(cells.repartition("ticker", "ts"), p), w)
 
 
 # --- SQL counterparts -----------------------------------------------------------
@@ -78,15 +79,14 @@ SELECT l_returnflag AS ticker, CAST(date_trunc('{grain}', l_shipdate) AS TIMESTA
        CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE l_orderkey % 41 END::DOUBLE AS put_ask_vol,
        CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE l_partkey % 37 END::DOUBLE AS put_bid_vol,
        l_tax + 0.1::DOUBLE AS iv,
-       row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS row_key, l_quantity AS row_spot,
-       l_orderkey AS row_a, l_partkey AS row_b, l_suppkey AS row_c, l_linenumber AS row_l
+       l_quantity AS row_spot, l_orderkey AS row_a, l_linenumber AS row_l
 FROM lineitem
 """
 
 _SPOT = """
 SELECT ticker, ts, row_spot AS spot FROM (
   SELECT ticker, ts, row_spot, row_number() OVER (
-    PARTITION BY ticker, ts ORDER BY row_a, row_l, row_b, row_c, row_spot) AS rn FROM chain_{g}) WHERE rn = 1
+    PARTITION BY ticker, ts ORDER BY row_a, row_l, row_spot) AS rn FROM chain_{g}) WHERE rn = 1
 """
 
 _CELLS = """

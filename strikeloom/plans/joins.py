@@ -116,6 +116,9 @@ def nearest_record(spark, sf):
     p = adapters.prints(spark, sf)
     start = F.unix_micros(F.col("day").cast("timestamp")) + 14 * 3600 * 1000000
     dist = F.abs(F.unix_micros("ts") - start)
+    # Distance, then the earlier side, then the sequence, as one number.
+    later = F.when(F.unix_micros("ts") > start, 1).otherwise(0)
+    order = (dist.cast("decimal(38,0)") * 2 + later) * F.lit(10 ** 12) + F.col("seq")
     return p.groupBy("ticker", "day").agg(
-        F.min_by("seq", F.struct(dist, F.col("ts"), F.col("seq"))).alias("seq"), F.min(dist).alias("dist")).select(
+        F.min_by("seq", order).alias("seq"), F.min(dist).alias("dist")).select(
         "ticker", d("day").alias("day"), "seq", r(F.col("dist") / 1e6, 5).alias("dist_s"))

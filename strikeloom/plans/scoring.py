@@ -22,7 +22,7 @@ def pair_cells(spark, sf, gamma=0.7):
     """Cells with target and model value, written once per query."""
     cells = materialize(m_cells(spark, sf), "cells")
     w = grid.smoothed_weights(grid.psi(grid.features(grid.columns(cells)), gamma), MONTH_GAP_S)
-    both = target(grid.cell_values(grid.shaped(cells), w))
+    both = target(grid.cell_values(grid.shaped(cells.repartition("ticker", "ts")), w))
     return materialize(both.select("ticker", "ts", "strike", "expiry", "spot", "g", "h", "a", "c", "y"), "pairs")
 
 
