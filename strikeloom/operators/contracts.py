@@ -13,7 +13,7 @@ from strikeloom.functions.scalar import (
 )
 
 
-def map_rows(raw: DataFrame, session: Column) -> DataFrame:
+def map_rows(raw: DataFrame, session: Column, source: str = "chain_capture") -> DataFrame:
     """Vendor contract rows to typed contract-day rows; zero prices become null."""
     price = F.nullif(num("avg_price"), F.lit(0.0))
     whole = lambda c: num(c).cast("bigint")
@@ -44,6 +44,7 @@ def map_rows(raw: DataFrame, session: Column) -> DataFrame:
         missing.cast("double").alias("underlying_price"),
         F.nullif(num("iv"), F.lit(0.0)).alias("iv"),
         missing.cast("bigint").alias("trade_count"),
+        F.lit(source).alias("source"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -88,8 +89,10 @@ def time_range(df: DataFrame, since: str | None = None, until: str | None = None
     cond: Column = F.lit(True)
     if since:
         cond = cond & (c >= since)
-    if until:
-        cond = cond & (c <= (f"{until}T23:59:59.999999" if len(until) == 10 else until))
+    if until and len(until) == 10:
+        cond = cond & (c < (dt.date.fromisoformat(until) + dt.timedelta(days=1)).isoformat())
+    elif until:
+        cond = cond & (c <= until)
     return df.where(cond)
 
 
