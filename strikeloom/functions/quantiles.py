@@ -62,6 +62,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", order_prefix(F.col("_v")))
     )
+    # Stated here so that both uses below plan the same exchange and share it.
+    for c in (*keys, "_b"):
+        counts = counts.where(F.col(c).isNotNull())
     buckets = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
     whole = Window.partitionBy(*keys)
     run = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

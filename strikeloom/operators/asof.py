@@ -57,6 +57,31 @@ def nearest_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts
     return out.drop("_t", "_c", "_r", "_is_left", "_p", "_n", "_before", "_after")
 
 
+def last_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
+                payload: Sequence[str], out: str, chunk_s: int = 3600) -> DataFrame:
+    """Attach the payload of the last right row at or before each left time, as a struct.
+
+    Chunked in time like the nearest join: a chunk gets the last right row of the
+    chunks before it.
+    """
+    keys = list(keys)
+
+    def chunk(ts):
+        return F.floor(F.unix_micros(ts) / F.lit(chunk_s * 1_000_000))
+
+    rows = left.withColumns({"_t": F.unix_micros(left_ts), "_c": chunk(F.col(left_ts)), "_side": F.lit(1)})
+    marks = right.select(*keys, F.unix_micros(right_ts).alias("_t"), chunk(F.col(right_ts)).alias("_c"), F.lit(0).alias("_side"),
+                         F.struct(*payload).alias("_r"))
+    spans = rows.select(*keys, "_c").distinct().join(
+        marks.groupBy(*keys, "_c").agg(F.max_by("_r", "_t").alias("_hi")), [*keys, "_c"], "full")
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, "_c", F.last("_hi", ignorenulls=True).over(before).alias("_before"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    seen = Window.partitionBy(*keys, "_c").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_in", F.last("_r", ignorenulls=True).over(seen)).where("_side = 1")
+    return both.join(spans, [*keys, "_c"]).withColumn(out, F.coalesce("_in", "_before")).drop("_t", "_c", "_side", "_r", "_in", "_before")
+
+
 def aligned_days(aligned: DataFrame, day: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Per day: instants, aligned pairs, upper-median and largest offset, usable flag."""
     rows = aligned.withColumn("_day", day).withColumn("_d", F.when(F.col("match_ts").isNotNull(), F.col("dist_s")))

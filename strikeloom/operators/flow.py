@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strikeloom.functions.ordered import running_sum
 from strikeloom.functions.scalar import ratio
+from strikeloom.operators.asof import last_before
 
 _UPTO = (Window.unboundedPreceding, 0)
 
@@ -164,10 +165,9 @@ def repeated_hits(prints: DataFrame, band: Column, days: int = 7, min_hits: int
     """
     span = days * 86_400_000_000
     hits = prints.where(F.col("side") == "ask").withColumns({"band": band, "_t": F.unix_micros("ts")})
-    enter = hits.select("occ", "band", "seq", "_t", F.lit(0).alias("_order"), F.lit(1).alias("_one"))
-    leave = hits.select("occ", "band", "seq", (F.col("_t") + span).alias("_t"), F.lit(-1).alias("_order"), F.lit(-1).alias("_one"))
     # Prints at one instant see each other: count per instant first, then run.
-    points = enter.unionByName(leave).groupBy("occ", "band", "_t").agg(F.sum("_one").alias("_one"))
+    steps = F.array(F.struct(F.col("_t").alias("t"), F.lit(1).alias("one")), F.struct((F.col("_t") + span).alias("t"), F.lit(-1).alias("one")))
+    points = hits.select("occ", "band", F.explode(steps).alias("p")).groupBy("occ", "band", F.col("p.t").alias("_t")).agg(F.sum("p.one").alias("_one"))
     run = running_sum(points, ["occ", "band"], ["_t"], {"hits": F.col("_one")}, F.floor(F.col("_t") / 86_400_000_000))
     return hits.join(run.select("occ", "band", "_t", "hits"), ["occ", "band", "_t"]).where(F.col("hits") >= min_hits).drop("_t")
 
@@ -193,18 +193,15 @@ def alert_outcomes(alerts: DataFrame, bars: DataFrame, horizons: Sequence[int] =
 
     ``bars`` has ticker, day, ts, close, high, low. The excursions come from
     running maxima and minima taken backwards from the day's end; the bar of an
-    alert is the last one at or before it, found in the same ordered pass.
+    alert is the last one at or before it.
     """
     keys = ["ticker", "day"]
     back = Window.partitionBy(*keys).orderBy(F.col("ts").desc()).rowsBetween(*_UPTO)
     b = bars.withColumns({"max_after": F.max("high").over(back), "min_after": F.min("low").over(back)})
     eod = bars.groupBy(*keys).agg(F.max_by("close", "ts").alias("price_eod"))
-    marks = F.array(*[F.struct(F.lit(h).alias("h"), (F.unix_micros("ts") + h * minute_us).alias("t")) for h in (0, *horizons)])
+    marks = F.array(*[F.struct(F.lit(h).alias("h"), F.timestamp_micros(F.unix_micros("ts") + h * minute_us).alias("t")) for h in (0, *horizons)])
     asks = alerts.select(*keys, "alert_id", F.explode(marks).alias("m")).select(*keys, "alert_id", F.col("m.h").alias("h"), F.col("m.t").alias("t"))
-    side = b.select(*keys, F.unix_micros("ts").alias("t"), F.struct("close", "max_after", "min_after").alias("bar"))
-    both = asks.unionByName(side, allowMissingColumns=True)
-    seen = Window.partitionBy(*keys).orderBy("t", F.col("alert_id").isNotNull()).rowsBetween(*_UPTO)
-    both = both.withColumn("at", F.last("bar", ignorenulls=True).over(seen)).where(F.col("alert_id").isNotNull())
+    both = last_before(asks, b, keys, "t", "ts", ["close", "max_after", "min_after"], "at")
     pick = lambda h, f: F.max(F.when(F.col("h") == h, F.col(f"at.{f}")))
     out = both.groupBy(*keys, "alert_id").agg(
         pick(0, "close").alias("price_0"), *[pick(h, "close").alias(f"price_{h}") for h in horizons], pick(0, "max_after").alias("_hi"), pick(0, "min_after").alias("_lo"))

@@ -75,7 +75,7 @@ SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strike, CAST(sum(s) OVER (PARTITI
   SELECT *, CASE WHEN now AND NOT coalesce(lag(now) OVER (PARTITION BY ticker, strike ORDER BY ts), false) THEN 1 ELSE 0 END AS s FROM touch_d) QUALIFY now""")
 def retest(spark, sf):
     from pyspark.sql import Window
-    counts = _counts(d_cells(spark, sf))
+    counts = _counts(materialize(d_cells(spark, sf), "cells"))
     w = Window.partitionBy("ticker", "strike").orderBy("ts")
     touches = counts.withColumn("touch", F.col("n_tch") > F.coalesce(F.lag("n_tch").over(w), F.lit(0)))
     return exposure.retests(touches).where("touch").select("ticker", d("ts").alias("ts"), "strike", n("retest").alias("retest"))

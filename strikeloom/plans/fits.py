@@ -159,7 +159,7 @@ def leave_one_day_out(spark, sf):
     samples = materialize(_samples(spark, sf, cells), "samples")
     theta = _fold_models(samples).where("fold is not null").select("fold", "theta")
     up = F.when(F.col("net_col_sign_log") >= 0, 1.0).otherwise(-1.0)
-    held = samples.join(F.broadcast(theta), "fold").withColumn("ahat", up * F.exp(fits.predict(F.col("theta"), _XS)))
+    held = samples.join(theta, "fold").withColumn("ahat", up * F.exp(fits.predict(F.col("theta"), _XS)))
     held = materialize(held.select(*_REC, "expiry", "fold", "a", "ahat", up.alias("up")), "held")
     scored = held.where(F.col("a").isNotNull() & (F.col("a") != 0)).withColumn(
         "err", F.abs(F.abs("ahat") - F.abs("a")) / F.greatest(F.abs("a"), F.lit(1e-12)))

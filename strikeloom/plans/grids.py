@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from strikeloom import adapters
 from strikeloom.operators import grid
 from strikeloom.plans.common import (
     DAY_GAP_S, MONTH_GAP_S, d, d_psi, m_cells, m_psi, n, r, t, valued,
 )
 from strikeloom.plans.registry import query
-from strikeloom import adapters
+from strikeloom.session import materialize
 
 
 @query("prj_3_net_gex", """
@@ -79,7 +80,7 @@ def cell_basis(spark, sf):
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS expiry, CAST(st AS BIGINT) AS restart,
        CAST(sign(trunc(a * 1000)) AS BIGINT) AS a_sign, round(ln(abs(a) + 1), 6) AS log_a FROM weights_d""")
 def gap_reset(spark, sf):
-    w = grid.smoothed_weights(d_psi(spark, sf), DAY_GAP_S)
+    w = grid.smoothed_weights(materialize(d_psi(spark, sf), "psi"), DAY_GAP_S)
     return w.select("ticker", d("ts").alias("ts"), d("expiry").alias("expiry"),
                     n(F.col("fresh_start").cast("int")).alias("restart"), n(F.signum((F.col("a") * 1000).cast("bigint"))).alias("a_sign"),
                     r(F.ln(F.abs("a") + 1)).alias("log_a"))
@@ -89,7 +90,7 @@ def gap_reset(spark, sf):
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS expiry,
        CAST(sign(trunc(a * 1000)) AS BIGINT) AS a_sign, round(ln(abs(a) + 1), 6) AS log_a FROM weights_m""")
 def fold_form(spark, sf):
-    return grid.fold_weights(m_psi(spark, sf), MONTH_GAP_S).select(
+    return grid.fold_weights(materialize(m_psi(spark, sf), "psi"), MONTH_GAP_S).select(
         "ticker", d("ts").alias("ts"), d("expiry").alias("expiry"),
         n(F.signum((F.col("a") * 1000).cast("bigint"))).alias("a_sign"), r(F.ln(F.abs("a") + 1)).alias("log_a"))
 
@@ -99,7 +100,7 @@ SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS e
        CASE WHEN avg(abs(a)) OVER w = 0 THEN 0.0 ELSE round(a / avg(abs(a)) OVER w, 6) + 0.0 END AS w
 FROM weights_m WINDOW w AS (PARTITION BY ticker, ts)""")
 def display(spark, sf):
-    w = grid.display_weights(grid.smoothed_weights(m_psi(spark, sf), MONTH_GAP_S))
+    w = grid.display_weights(grid.smoothed_weights(materialize(m_psi(spark, sf), "psi"), MONTH_GAP_S))
     return w.select("ticker", d("ts").alias("ts"), d("expiry").alias("expiry"), r("w").alias("w"))
 
 

@@ -23,7 +23,7 @@ GROUP BY s.ticker, s.ts, s.strike, s.expiry""")
 
 
 def _state(spark, sf):
-    cells = d_cells(spark, sf)
+    cells = materialize(d_cells(spark, sf), "cells")
     return state.cell_state(cells, grid.batches(grid.columns(cells)), cadence_s=DAY_S)
 
 
@@ -82,7 +82,7 @@ def _counts(cells):
 @query("win_5_interactions", """
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strike, n_tch, n_del, n_rej FROM touch_d""")
 def interactions(spark, sf):
-    return _counts(d_cells(spark, sf)).select("ticker", d("ts").alias("ts"), "strike", "n_tch", "n_del", "n_rej")
+    return _counts(materialize(d_cells(spark, sf), "cells")).select("ticker", d("ts").alias("ts"), "strike", "n_tch", "n_del", "n_rej")
 
 
 view("scores_d", """
@@ -93,7 +93,7 @@ SELECT *, n_del / (n_tch + 1.0::DOUBLE) AS s_del, n_rej / (n_tch + 1.0::DOUBLE)
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strike, round(s_del, 6) AS s_del, round(s_rej, 6) AS s_rej, round(s_tch, 6) AS s_tch
 FROM scores_d""")
 def node_scores(spark, sf):
-    return state.scores(_counts(d_cells(spark, sf))).select(
+    return state.scores(_counts(materialize(d_cells(spark, sf), "cells"))).select(
         "ticker", d("ts").alias("ts"), "strike", r("s_del").alias("s_del"), r("s_rej").alias("s_rej"),
         r("s_tch").alias("s_tch"))
 
