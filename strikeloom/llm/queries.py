@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import media, mixing, packing, topk
+from strikeloom.llm import media, mixing, packing, topk, toxicity
 from strikeloom.llm.common import read
 
 
@@ -13,6 +13,14 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_texts(read(spark, sf_dir, "documents"))).drop("error")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(toxicity.folds(F.col("doc_id")) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (toxicity.folds(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op6_packing, op7_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op10_exact_top_k)}
 
 ORACLES = {
     "op7_mixing": r"""
