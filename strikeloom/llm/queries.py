@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import media, mixing, packing, topk, toxicity
+from strikeloom.llm import media, mixing, packing, pii, topk, toxicity
 from strikeloom.llm.common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.train(pii.weak_labels(docs))))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_texts(read(spark, sf_dir, "documents"))).drop("error")
 
@@ -35,7 +40,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op10_exact_top_k)}
 
 ORACLES = {
     "op7_mixing": r"""
