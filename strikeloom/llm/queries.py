@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import media, mixing, packing, pii, topk, toxicity
+from strikeloom.llm import media, mixing, packing, pii, substring, topk, toxicity
 from strikeloom.llm.common import read
 
 
@@ -35,12 +35,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op8_substring_dedup, op10_exact_top_k)}
 
 ORACLES = {
     "op7_mixing": r"""
@@ -62,6 +66,22 @@ SELECT doc_id, size, source_size, target,
   (size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE
     < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN rate ON d.source IS NOT DISTINCT FROM rate.source""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, r, p, sha256(array_to_string(w[p:p + 12], ' ')) AS h
+  FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+least_doc AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS i FROM win JOIN least_doc USING (h) WHERE m < doc_id OR m IS NOT NULL AND doc_id IS NULL),
+per AS (SELECT r, list(i) AS g FROM gone GROUP BY r),
+kept AS (
+  SELECT doc_id, w, coalesce(g, []) AS g, d.r FROM d LEFT JOIN per ON d.r = per.r),
+words AS (SELECT r, i, w[i] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+text AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS t FROM words LEFT JOIN gone ON words.r = gone.r AND words.i = gone.i
+  WHERE gone.i IS NULL GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(g)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM kept LEFT JOIN text ON kept.r = text.r""",
     "op10_exact_top_k": """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
