@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import media, mixing, packing, pii, substring, topk, toxicity
+from strikeloom.llm import media, mixing, neardup, packing, pii, substring, topk, toxicity
 from strikeloom.llm.common import read
 
 
@@ -39,12 +39,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op8_substring_dedup, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op8_substring_dedup, op9_near_duplicates, op10_exact_top_k)}
 
 ORACLES = {
     "op7_mixing": r"""
@@ -82,6 +86,23 @@ text AS (
   WHERE gone.i IS NULL GROUP BY words.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(g)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM kept LEFT JOIN text ON kept.r = text.r""",
+    "op9_near_duplicates": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, r, array_to_string(w[p:p + 4], ' ') AS g
+  FROM (SELECT doc_id, r, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS p FROM d)),
+bag AS (SELECT r, g, count(*) AS c FROM s GROUP BY r, g),
+size AS (SELECT r, sum(c) AS n FROM bag GROUP BY r),
+both_ AS (SELECT x.r AS a, y.r AS b, sum(least(x.c, y.c)) AS k FROM bag x JOIN bag y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
+link AS (
+  SELECT dx.doc_id AS a, dy.doc_id AS b FROM both_ JOIN size x ON x.r = a JOIN size y ON y.r = b JOIN d dx ON dx.r = a JOIN d dy ON dy.r = b
+  WHERE k * 5 >= (x.n + y.n - k) * 4),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS node, a AS seen FROM edge UNION SELECT reach.node, edge.b FROM reach JOIN edge ON reach.seen = edge.a),
+lab AS (SELECT node, min(seen) AS class_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n, 0)::BIGINT AS n_shingles
+FROM d LEFT JOIN size USING (r) LEFT JOIN lab ON lab.node = d.doc_id""",
     "op10_exact_top_k": """
 WITH v AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
