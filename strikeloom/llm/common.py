@@ -13,6 +13,9 @@ from strikeloom.session import scratch_dir
 #: Bytes of text that one numpy pass works on at most, unless a single text is longer.
 PASS_BYTES = 4 << 20
 
+#: Columns of a count table that travel in one row.
+CHUNK = 1 << 12
+
 #: Odd multipliers of a 64-bit finaliser (fixed values, public-domain splitmix64).
 MIX_A, MIX_B, MIX_C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -115,3 +118,32 @@ def combine(*parts: np.ndarray) -> np.ndarray:
     for part in parts:
         out = mix(out * np.uint64(MIX_C) + part)
     return out
+
+
+def blobs(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A table of counts in chunks of its columns; chunks without counts are left out."""
+    rows = [(i // CHUNK, np.ascontiguousarray(total[:, i:i + CHUNK]).tobytes()) for i in range(0, total.shape[1], CHUNK) if total[:, i:i + CHUNK].any()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
+
+
+def summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Sum of the tasks' tables. Spark adds chunk by chunk; the driver receives one table of fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                numbers = np.frombuffer(counts.as_buffer(), np.int64)
+                if chunk in total:
+                    total[chunk] += numbers
+                else:
+                    total[chunk] = numbers.copy()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    # A task holds a few chunks at most, however many partial tables there are.
+    out = np.zeros(shape, np.int64)
+    for row in parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+        out[:, row["chunk"] * CHUNK:(row["chunk"] + 1) * CHUNK] += np.frombuffer(row["counts"], np.int64).reshape(shape[0], -1)
+    return out

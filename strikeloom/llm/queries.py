@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeloom.llm import media, mixing, neardup, packing, pii, substring, topk, toxicity
+from strikeloom.llm import langid, media, mixing, neardup, packing, pii, resampling, substring, topk, toxicity
 from strikeloom.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store_texts(read(spark, sf_dir, "documents"))).drop("error")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "pages"), langid.train(read(spark, sf_dir, "documents")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(toxicity.folds(F.col("doc_id")) != 0))
@@ -26,6 +30,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (toxicity.folds(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many documents as the labels' share of good ones."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    marked = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    k = round(docs.count() * (1.0 if marked is None else marked))
+    return resampling.resample(docs, labels.where("quality = 1").select("doc_id"), k)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -48,7 +60,9 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_media_columns, op4_toxicity, op6_packing, op7_mixing, op8_substring_dedup, op9_near_duplicates, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (
+    op1_pii, op2_media_columns, op3_language_id, op4_toxicity, op5_quality_resampling, op6_packing, op7_mixing, op8_substring_dedup, op9_near_duplicates,
+    op10_exact_top_k)}
 
 ORACLES = {
     "op7_mixing": r"""
