@@ -43,7 +43,7 @@ TRAIN_ROWS = 20_000
 BITS = 18
 BEGINNING = 5
 #: Prior mass in tokens: fixed part, and times the expected count of the word in a sample of this many tokens.
-PRIOR_MASS, PRIOR_TOKENS = 8.0, 10_000
+PRIOR_MASS, PRIOR_TOKENS = 6.0, 10_000
 CLIP, DRIFT = 8.0, 2.0
 #: A passage is significant below this expectation in a clean document.
 SIGNIFICANT = 0.05
@@ -97,8 +97,9 @@ def count(docs: DataFrame, sample: DataFrame) -> np.ndarray:
                 mine = kind == k
                 if mine.any():
                     row = 1 + 4 * (k // 2) + k % 2
-                    total[row] += np.bincount(word[mine], minlength=size)
-                    total[row + 2] += np.bincount(head[mine], minlength=size)
+                    # A labelled document counts once for a word, however often it repeats it.
+                    for r, name in ((row, word), (row + 2, head)):
+                        total[r] += np.bincount(np.unique(found.docs[mine] * size + name[mine]) % size, minlength=size)
         yield from blobs(total)
 
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "toxic", "half")
@@ -166,7 +167,7 @@ def calibrate(model: Model, toxic: np.ndarray, found: list[np.ndarray], tokens:
     """Extreme-value parameters from the clean documents, then the logistic map of the evidence."""
     best = np.array([x.max(initial=0.0) for x in found])
     clean = (toxic == 0) & (tokens > 0)
-    if clean.sum() >= 8 and best[clean].std() > 0:
+    if (best[clean] > 0).sum() >= 4:
         model.lam, model.log_k = gumbel(best[clean], np.log(tokens[clean]))
     x = np.array([evidence(model, s, n) for s, n in zip(found, tokens)])
     y = toxic.astype(float)
@@ -185,13 +186,15 @@ def calibrate(model: Model, toxic: np.ndarray, found: list[np.ndarray], tokens:
 
 
 def gumbel(best: np.ndarray, log_n: np.ndarray) -> tuple[float, float]:
-    """Maximum likelihood of P(S < s) = exp(-K n exp(-lambda s)); for given lambda, K has a closed form."""
+    """Maximum likelihood of P(S < s) = exp(-K n exp(-lambda s)); rows without a positive
+    segment are censored at 0. For given lambda, K has a closed form."""
+    hit = best > 0
 
     def fit(lam: float) -> tuple[float, float]:
         t = log_n - lam * best
         top = t.max()
-        log_k = -(top + math.log(np.exp(t - top).mean()))
-        return len(best) * (math.log(lam) + log_k) + t.sum() - len(best), log_k
+        log_k = math.log(hit.sum()) - top - math.log(np.exp(t - top).sum())
+        return hit.sum() * (math.log(lam) + log_k - 1) + t[hit].sum(), log_k
 
     low, high = 0.02, 8.0
     ratio = (math.sqrt(5) - 1) / 2
@@ -230,7 +233,8 @@ def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: s
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model if isinstance(model, list) else [model])
-    kept = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
+    first = 1 if "text" in keep else 2
+    kept = [(c, docs.schema[c].dataType.simpleString()) for c in (["text"] if first == 1 else []) + [c for c in keep if c not in ("doc_id", "text")]]
     own = "doc_id long, tokens long, segments array<double>, score double, passages string"
     kinds = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("segments", pa.list_(pa.float64())), ("score", pa.float64()), ("passages", pa.string())])
 
@@ -250,8 +254,8 @@ def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: s
                 spans.append(",".join(f"{found.starts[a + x] - found.offsets[i]}:{found.ends[a + y - 1] - found.offsets[i]}" for x, y, s in parts if s > limit))
                 logit = m.slope * evidence(m, np.array(out[-1]), int(b - a)) + m.offset if m else -60.0
                 points.append(1 / (1 + math.exp(-max(-60.0, min(60.0, logit)))) if m else 0.0)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, kinds.field(2).type), pa.array(points), pa.array(spans, pa.string()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*kinds, *(batch.schema.field(2 + i) for i in range(len(kept)))]))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, kinds.field(2).type), pa.array(points), pa.array(spans, pa.string()), *batch.columns[first:]]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*kinds, *(batch.schema.field(first + i) for i in range(len(kept)))]))
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))
     return columns.mapInArrow(run, ", ".join([own, *(f"`{c}` {t}" for c, t in kept)]))
