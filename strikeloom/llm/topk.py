@@ -18,7 +18,7 @@ take no part; missing trailing components count as 0; rows that share an id are
 separate candidates, but never for a query of that id; of queries that share an id the
 greatest vector is asked; ties go to the smaller id. Extra columns are ignored.
 Components are integers; products are summed in 64-bit floats while all sums stay
-exact (below 2^53), else in Python integers.
+exact (below 2^53), else in Python integers; a score outside 64 bits is the nearest long.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def _search(k: int):
                 best = sorted(range(len(rows)), key=lambda r: (-score[r], xid[rows[r]]))[:k] if len(rows) <= 4 * k else np.lexsort((xid[rows], -score))[:k]
                 out_q += [qid[i]] * len(best)
                 out_v += [xid[rows[r]] for r in best]
-                out_s += [int(score[r]) for r in best]
+                out_s += [max(-(2**63), min(2**63 - 1, int(score[r]))) for r in best]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
 
     return run
