@@ -18,15 +18,17 @@ threshold share none with a probability of 3e-6. Equal bags are one node from th
 
 1. Every bucket's members are compared with its least member: pairs grow with documents,
    not with the squares of buckets.
-2. In buckets whose members are not in one class by then, the pairs of members of different
-   classes are compared that can reach the threshold by their sizes and by the triangle
-   inequality of their distances to the compared least member. Large buckets are cut
-   into blocks, and pairs of blocks are the tasks.
+2. That comparison also tells, one bit each, which shingles of the least member a
+   document holds. Where the members compared with one least member are not in one class
+   by then, two members of different classes share at most the shingles that both bit rows
+   have plus the smaller number of shingles outside. Pairs whose quotient can still reach
+   the threshold are compared. Large sets of members are cut into blocks, and pairs of
+   blocks are the tasks; only pairs that pass leave a task.
 
 Every link is verified on the bags themselves. Classes are connected components.
 
 Defined cases: null and empty texts are classes of their own; null ids get a null class and
-never join one; rows that share an id are one document of which any text counts; repeated
+never join one; rows that share an id are one document, and the greatest of its texts is compared; repeated
 rows each get a row; ties have no meaning here, the least id names a class; no rows give
 no rows. Extra columns are ignored.
 """
@@ -49,8 +51,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 ROWS, BANDS = 5, 32
 M = ROWS * BANDS
-#: Members of a bucket in a block of the second comparison.
-BLOCK = 512
+#: Members in a block of the second comparison.
+BLOCK = 128
 
 
 def bags(values: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,27 +138,30 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bag similarity of every pair (a, b, text_a, text_b)."""
+    """Shared and joint bag size of every pair (a, b, text_a, text_b), the bag size of b, and which units of a's bag b has."""
     for batch in passes(passes(batches, "text_a"), "text_b"):
         n = batch.num_rows
         oa, na, ca = bags(*utf8(batch.column(2)))
         ob, nb, cb = bags(*utf8(batch.column(3)))
         ka, kb = mix(na + mix(oa.astype(np.uint64))), mix(nb + mix(ob.astype(np.uint64)))
         _, ia, ib = np.intersect1d(ka, kb, return_indices=True)
-        both = np.bincount(oa[ia], np.minimum(ca[ia], cb[ib]), n).astype(np.int64)
-        every = (np.bincount(oa, ca, n) + np.bincount(ob, cb, n)).astype(np.int64) - both
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(every)], ["a", "b", "both", "every"])
+        have = np.zeros(ka.size, np.int64)
+        have[ia] = np.minimum(ca[ia], cb[ib])
+        both = np.bincount(oa, have, n).astype(np.int64)
+        size = np.bincount(ob, cb, n).astype(np.int64)
+        units = np.bincount(oa, ca, n).astype(np.int64)
+        copy = np.arange(int(ca.sum())) - np.repeat(np.cumsum(ca) - ca, ca)
+        bits = copy < np.repeat(have, ca)
+        ends = np.cumsum(units)
+        packed = [np.packbits(bits[e - u:e]).tobytes() for u, e in zip(units.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(units + size - both), pa.array(size), pa.array(packed, pa.binary())], ["a", "b", "both", "every", "n", "bits"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the shared and the joint size of their bags."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = shared(texts.join(used, "id", "left_semi"), "texts")
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    found = joined.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, both long, every long")
-    return found
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the shared and the joint size of their bags; ``texts`` (id, text) holds all their texts."""
+    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, both long, every long, n long, bits binary")
 
 
 def _is_link():
@@ -164,39 +169,36 @@ def _is_link():
 
 
 def _cross(table: pa.Table) -> pa.Table:
-    """Pairs of a block, or of two blocks, of one bucket that are in different classes and can be links."""
-    side, ids, label, n = (table.column(c).to_numpy() for c in ("side", "id", "label", "n"))
-    gap = table.column("gap").to_numpy()
-    one = np.flatnonzero(side == 0)
-    two = np.flatnonzero(side == 1)
+    """Pairs of a block, or of two blocks, that are in different classes and can be links by the bit rows."""
+    side, ids, label, n, both = (table.column(c).to_numpy() for c in ("side", "id", "label", "n", "both"))
+    rows = table.column("bits").to_pylist()
+    width = -(-len(rows[0]) // 8) * 8
+    bits = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint64).reshape(len(rows), width // 8)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = two.size == 0
     two = one if alone else two
     out_a, out_b = [], []
-    share = NUMERATOR / DENOMINATOR
     for i in one.tolist():
-        near = (label[two] != label[i]) & (np.minimum(n[two], n[i]) >= share * np.maximum(n[two], n[i]) - 1e-9)
-        near &= np.abs(gap[two] - gap[i]) <= 1 - share + 1e-9
-        if alone:
-            near &= ids[two] > ids[i]
-        found = ids[two[near]]
+        rest = two[(label[two] != label[i]) & ((ids[two] > ids[i]) | (not alone))]
+        most = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(n[rest] - both[rest], n[i] - both[i])
+        found = ids[rest[most * DENOMINATOR >= (n[rest] + n[i] - most) * NUMERATOR]]
         out_a.append(np.minimum(found, ids[i]))
         out_b.append(np.maximum(found, ids[i]))
     return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else [], pa.int64()), "b": pa.array(np.concatenate(out_b) if out_b else [], pa.int64())})
 
 
-def rest_pairs(members: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that the first comparison left open: members (key, id, n, pivot) of one bucket in different classes."""
-    gaps = stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("both") / F.col("every")).alias("gap"))
-    placed = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    placed = placed.join(gaps, ["pivot", "id"], "left").withColumn("gap", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("gap")))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most and size > 2")
-    open_ = placed.join(mixed.select("key", "size"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+def rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs that the first comparison left open, from its result (a: least member, b: member) and the classes by then."""
+    placed = stars.select("a", F.col("b").alias("id"), "n", "both", "bits").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    placed = placed.withColumn("label", F.coalesce("label", "id"))
+    mixed = placed.groupBy("a").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    open_ = placed.join(mixed.select("a", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "a")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other block of its bucket once.
+    # A block meets itself and every other block of its set once.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    spread = open_.select("key", "id", "label", "n", "gap", "block", F.explode(meets).alias("meet"))
-    spread = spread.select("key", "meet.x", "meet.y", (F.col("block") != F.col("meet.x")).cast("int").alias("side"), "id", "label", "n", "gap")
-    return spread.groupBy("key", "x", "y").applyInArrow(_cross, "a long, b long").distinct()
+    spread = open_.select("*", F.explode(meets).alias("meet"))
+    spread = spread.select("a", "meet.x", "meet.y", (F.col("block") != F.col("meet.x")).cast("int").alias("side"), "id", "label", "n", "both", "bits")
+    return spread.groupBy("a", "x", "y").applyInArrow(_cross, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -205,14 +207,17 @@ def classes(docs: DataFrame) -> DataFrame:
     sketch = shared(docs.mapInArrow(_sketch, "doc_id long, pa long, pb long, n long, keys array<long>"), "sketch")
     nodes = sketch.where("n > 0 and doc_id is not null").groupBy("pa", "pb").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     nodes = shared(nodes, "nodes")
-    placed = nodes.select(F.explode("keys").alias("key"), "id", "n")
+    placed = nodes.select(F.explode("keys").alias("key"), "id")
     pivots = placed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other")
-    members = shared(placed.join(pivots.select("key", "pivot"), "key"), "members")
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = shared(verified(pairs, docs), "stars")
+    pairs = placed.join(pivots.select("key", "pivot"), "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = shared(pairs, "pairs")
+    # One copy of the texts that any comparison needs, one row an id.
+    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = shared(docs.join(used, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")), "texts")
+    stars = shared(verified(pairs, texts), "stars")
     links = stars.where(_is_link()).select("a", "b")
-    rest = rest_pairs(members, stars, connected(links)).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(shared(rest, "rest"), docs).where(_is_link()).select("a", "b")
+    rest = rest_pairs(stars, connected(links)).join(pairs, ["a", "b"], "left_anti")
+    more = shared(verified(shared(rest, "rest"), texts).where(_is_link()).select("a", "b"), "more")
     labels = connected(links.unionByName(more))
     named = nodes.select("pa", "pb", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
     named = named.select("pa", "pb", F.coalesce("label", "id").alias("class_id"))

@@ -83,7 +83,7 @@ def test_signatures_estimate_weighted_similarity_without_bias():
         names = np.sort(rng.integers(1, 2**63, 12).astype(np.uint64))
         a, b = rng.integers(0, 7, 12), rng.integers(0, 7, 12)
         a[0] = b[0] = 3
-        sig = [neardup.signatures(np.zeros((w > 0).sum(), np.int64), names[w > 0], w[w > 0], 1, 64)[0] for w in (a, b)]
+        sig = [neardup.signatures(np.zeros((w > 0).sum(), np.int64), names[w > 0], w[w > 0], 1, 512)[0] for w in (a, b)]
         hits.append((sig[0] == sig[1]).mean())
         expected.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(hits) - np.mean(expected)) < 0.01
