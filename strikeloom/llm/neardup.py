@@ -213,7 +213,8 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = shared(pairs, "pairs")
     # One copy of the texts that any comparison needs, one row an id.
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = shared(docs.join(used, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")), "texts")
+    # The id set grows with the documents, so both sides are always shuffled, also where it is small.
+    texts = shared(docs.join(used.hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")), "texts")
     stars = shared(verified(pairs, texts), "stars")
     links = stars.where(_is_link()).select("a", "b")
     rest = rest_pairs(stars, connected(links)).join(pairs, ["a", "b"], "left_anti")

@@ -402,7 +402,7 @@ def find(docs: DataFrame, model: Field | None, keep=()) -> DataFrame:
     ``text`` can be one of the kept columns.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep if c not in ("doc_id", "text")]
+    kept = [c for c in keep if c not in ("doc_id", "text", "found")]
     first = 1 if "text" in keep else 2
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("base", pa.bool_())])
 

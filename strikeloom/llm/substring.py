@@ -11,8 +11,8 @@ of a symbol has that symbol wherever the window occurs.
 
 Spark rounds:
 
-1. Each window of ``window`` words chooses one symbol that it determines, the longest and
-   then least-named one. The chosen symbols are gathered by name; those of at least two
+1. Each window of ``window`` words chooses one symbol that it determines, the one with the
+   most letters. The chosen symbols are gathered by name; those of at least two
    documents are shared. A window whose symbol is not shared occurs in one document only.
 2. Windows with a shared symbol are verified: their 128-bit names are gathered and the
    least document of each is found.
@@ -114,40 +114,32 @@ def levels(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> list[
     return out
 
 
-def choose(stack: list[Symbols], windows: np.ndarray, total: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window start: name of the chosen symbol and its place (first word).
+def choose(stack: list[Symbols], sizes: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
+    """For every window start, the name of the chosen symbol.
 
-    A higher level wins; on it, the longest of the symbols that the window determines, and
-    of those the one with the least mixed name, so that neighbouring windows agree.
+    Of all symbols that the window determines, on any level, the one with the most letters
+    (``sizes``: bytes of every word) is the rarest as a rule; ties go to the least mixed name, so that
+    neighbouring windows agree. Both depend on the window's words alone.
     """
-    names, places = np.zeros(windows.size, np.uint64), np.zeros(windows.size, np.int64)
-    left = np.ones(windows.size, bool)
+    total = sizes.size
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    names, best = np.zeros(windows.size, np.uint64), np.zeros(windows.size, np.uint64)
     for level in range(len(stack) - 1, -1, -1):
         s = stack[level]
-        todo = np.flatnonzero(left)
-        if not todo.size:
-            break
-        # Symbols in order have rising reach: a window sees the range [a, b) of them.
-        p = windows[todo]
-        a = np.cumsum(np.bincount(np.maximum(s.low + 1, 0), minlength=total + 2))[p]
-        b = np.cumsum(np.bincount(np.minimum(s.high, total + 1), minlength=total + 2))[p + window]
-        sees = a < b
-        todo, a, b = todo[sees], a[sees], b[sees]
-        if not todo.size:
+        if not s.names.size:
             continue
-        span = np.minimum(s.end - s.start, 255).astype(np.uint64)
-        worth = (span << np.uint64(56)) | (mix(s.names + np.uint64(97)) >> np.uint64(8))
-        best = a.copy()
-        for step in range(1, int((b - a).max())):
-            rival = a + step
-            live = rival < b
-            rival = np.where(live, rival, a)
-            best = np.where(live & (worth[rival] > worth[best]), rival, best)
+        # Symbols in order have rising reach: a window sees the range [a, b) of them.
+        a = np.cumsum(np.bincount(np.maximum(s.low + 1, 0), minlength=total + 2))[windows]
+        b = np.cumsum(np.bincount(np.minimum(s.high, total + 1), minlength=total + 2))[windows + window]
+        letters = np.minimum(before[s.end] - before[s.start], 255).astype(np.uint64)
+        worth = (letters << np.uint64(56)) | (mix(s.names + np.uint64(97)) >> np.uint64(8))
         # The level is part of the name: a word alone differs from itself kept by a round.
-        names[todo] = mix(s.names[best] + np.uint64(level + 1))
-        places[todo] = s.start[best]
-        left[todo] = False
-    return names, places
+        named = mix(s.names + np.uint64(level + 1))
+        for step in range(int((b - a).max(initial=0))):
+            at = np.minimum(a + step, s.names.size - 1)
+            better = (a + step < b) & (worth[at] > best)
+            best[better], names[better] = worth[at[better]], named[at[better]]
+    return names
 
 
 @dataclass
@@ -250,7 +242,7 @@ def _flags(answers: pa.Table, round_no: int, names: np.ndarray, ranges: int) ->
 
 
 def _chosen(b: Batch, window: int, rounds: int):
-    names, _ = choose(levels(b.names, b.bounds, rounds), b.windows, b.names.size, window)
+    names = choose(levels(b.names, b.bounds, rounds), b.ends - b.starts, b.windows, window)
     return entries(names, b.ids[b.owner])
 
 

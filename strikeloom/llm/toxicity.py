@@ -45,6 +45,8 @@ BEGINNING = 5
 #: Prior mass in tokens: fixed part, and times the expected count of the word in a sample of this many tokens.
 PRIOR_MASS, PRIOR_TOKENS = 6.0, 10_000
 CLIP, DRIFT = 8.0, 2.0
+#: Clean training documents with a positive segment from which lambda is fitted.
+FEW_HITS = 4
 #: A passage is significant below this expectation in a clean document.
 SIGNIFICANT = 0.05
 
@@ -167,7 +169,7 @@ def calibrate(model: Model, toxic: np.ndarray, found: list[np.ndarray], tokens:
     """Extreme-value parameters from the clean documents, then the logistic map of the evidence."""
     best = np.array([x.max(initial=0.0) for x in found])
     clean = (toxic == 0) & (tokens > 0)
-    if (best[clean] > 0).sum() >= 4:
+    if clean.any():
         model.lam, model.log_k = gumbel(best[clean], np.log(tokens[clean]))
     x = np.array([evidence(model, s, n) for s, n in zip(found, tokens)])
     y = toxic.astype(float)
@@ -187,15 +189,19 @@ def calibrate(model: Model, toxic: np.ndarray, found: list[np.ndarray], tokens:
 
 def gumbel(best: np.ndarray, log_n: np.ndarray) -> tuple[float, float]:
     """Maximum likelihood of P(S < s) = exp(-K n exp(-lambda s)); rows without a positive
-    segment are censored at 0. For given lambda, K has a closed form."""
+    segment are censored at 0. For given lambda, K has a closed form. With hardly any such
+    segment lambda stays 1, and half a segment is added to what was seen."""
     hit = best > 0
+    few = hit.sum() < FEW_HITS
 
     def fit(lam: float) -> tuple[float, float]:
         t = log_n - lam * best
         top = t.max()
-        log_k = math.log(hit.sum()) - top - math.log(np.exp(t - top).sum())
+        log_k = math.log(hit.sum() + 0.5 * few) - top - math.log(np.exp(t - top).sum())
         return hit.sum() * (math.log(lam) + log_k - 1) + t[hit].sum(), log_k
 
+    if few:
+        return 1.0, fit(1.0)[1]
     low, high = 0.02, 8.0
     ratio = (math.sqrt(5) - 1) / 2
     for _ in range(80):
@@ -227,14 +233,15 @@ def evidence(model: Model, scores: np.ndarray, tokens: int) -> float:
 
 def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: str | None = None) -> DataFrame:
     """doc_id, tokens, segments (scores of all maximal segments), score and passages
-    (start:end in code points, of all significant ones), with the ``keep`` columns.
+    (start:end in code points, of all significant ones), with the ``keep`` columns that have other names.
 
     With several models the integer column ``choose``, one of ``keep``, names each row's.
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model if isinstance(model, list) else [model])
     first = 1 if "text" in keep else 2
-    kept = [(c, docs.schema[c].dataType.simpleString()) for c in (["text"] if first == 1 else []) + [c for c in keep if c not in ("doc_id", "text")]]
+    others = [c for c in keep if c not in ("doc_id", "text", "tokens", "segments", "score", "passages")]
+    kept = [(c, docs.schema[c].dataType.simpleString()) for c in (["text"] if first == 1 else []) + others]
     own = "doc_id long, tokens long, segments array<double>, score double, passages string"
     kinds = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("segments", pa.list_(pa.float64())), ("score", pa.float64()), ("passages", pa.string())])
 
@@ -257,5 +264,5 @@ def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: s
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, kinds.field(2).type), pa.array(points), pa.array(spans, pa.string()), *batch.columns[first:]]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*kinds, *(batch.schema.field(first + i) for i in range(len(kept)))]))
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c not in ("doc_id", "text")))
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
     return columns.mapInArrow(run, ", ".join([own, *(f"`{c}` {t}" for c, t in kept)]))
