@@ -8,12 +8,12 @@ from strikeloom.llm import queries, toxicity
 
 
 def quadratic(scores):
-    """All maximal segments by their definition: take the best one, go on left and right of it."""
+    """All maximal segments by their definition: take the best one (the shortest of equal ones), go on left and right of it."""
     best, at = 0, None
     for a in range(len(scores)):
         for b in range(a + 1, len(scores) + 1):
             s = sum(scores[a:b])
-            if s > best:
+            if s > best or s == best and at and b - a < at[1] - at[0]:
                 best, at = s, (a, b)
     if at is None:
         return []
