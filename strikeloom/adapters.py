@@ -38,9 +38,9 @@ def chain(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
         *side("ask_vol", "l_orderkey % 41"),
         *side("bid_vol", "l_partkey % 37"),
         "l_tax + 0.1D AS iv",
-        # The batch spot is the quantity of the first row in key order. Order and
-        # quantity share one long, so that a hash aggregate can take the minimum.
-        "(l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS row_key",
+        # The batch spot is the quantity, here the strike, of the first row in key order. One
+        # number holds order and line (of any int), so that a hash aggregate can take the minimum.
+        "CAST(l_orderkey AS DECIMAL(38,0)) * 10000000000 + l_linenumber AS row_key",
         "l_orderkey AS row_a",
     )
 
@@ -55,7 +55,7 @@ def prints_of(ev: DataFrame) -> DataFrame:
     return with_size.selectExpr(
         "event_id AS seq", "ts", "event_type AS ticker",
         "concat('T', CAST(user_id % 40 AS STRING)) AS underlying",
-        "concat('C', lpad(CAST(user_id AS STRING), 6, '0')) AS occ",
+        "format_string('C%06d', user_id) AS occ",
         "user_id AS contract",
         "CASE WHEN user_id % 2 = 0 THEN 'C' ELSE 'P' END AS right",
         "50D + user_id % 50 AS strike",

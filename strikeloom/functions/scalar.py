@@ -65,12 +65,10 @@ def contract_key(text) -> Column:
 
 
 def contract_id(ticker, expiry, right, strike) -> Column:
-    """ticker + yyMMdd + C/P + strike in thousandths, eight digits, half to even."""
+    """ticker + yyMMdd + C/P + strike in thousandths, at least eight digits, half to even."""
     thousandths = F.bround(col(strike).cast("double") * 1000, 0).cast("bigint")
     side = F.when(F.upper(col(right)).startswith("C"), "C").otherwise("P")
-    return F.concat(
-        col(ticker), F.date_format(col(expiry), "yyMMdd"), side, F.lpad(thousandths.cast("string"), 8, "0")
-    )
+    return F.concat(col(ticker), F.date_format(col(expiry), "yyMMdd"), side, F.format_string("%08d", thousandths))
 
 
 def parse_money(text) -> Column:

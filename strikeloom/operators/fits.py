@@ -158,8 +158,8 @@ def weights_long(solved: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, F.col("z.expiries").alias("expiry"), F.col("z.a").alias("a"))
 
 
-def frame_fit(cells: DataFrame, frames: DataFrame, keys: Sequence[str], x: str = "g", step: int = 5) -> DataFrame:
-    """Ridge weights and R2 of every ``step``-th frame over the strikes of its own axis.
+def frame_fit(cells: DataFrame, frames: DataFrame, keys: Sequence[str], x: str = "g", step: int = 1) -> DataFrame:
+    """Ridge weights and R2 of every frame (with ``step``, of every step-th) over the strikes of its own axis.
 
     ``frames`` has keys, frame, axis, strike and y. One Gram per (record, axis)
     serves all its frames.
@@ -310,23 +310,14 @@ def record_moments(design: DataFrame, p: int = 8, keys: Sequence[str] = RECORD)
     return moment_sums(design, keys, xs, F.col("y")).select(*keys, "gram", "rhs", F.col("yy").alias("vv"))
 
 
-_DIRECT_PARTS = 256
-
-
-def _partial_sums(rows: DataFrame, parts: int, run, size: int) -> np.ndarray:
-    """Sum the fixed-size arrays executors return, one per partition.
-
-    With many partitions the arrays are added by Spark first, so the driver never
-    holds more than a few hundred of them.
-    """
+def _partial_sums(rows: DataFrame, run, size: int) -> np.ndarray:
+    """Sum the fixed-size arrays executors return, one per partition; Spark adds them, the driver holds one."""
     partial = rows.mapInPandas(run, "s array<double>")
-    if parts > _DIRECT_PARTS:
-        long = partial.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-        out = np.zeros(size)
-        for row in long.collect():
-            out[row["i"]] = row["x"]
-        return out
-    return np.sum([row["s"] for row in partial.collect()] or [np.zeros(size)], axis=0)
+    long = partial.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    out = np.zeros(size)
+    for row in long.toLocalIterator():
+        out[row["i"]] = row["x"]
+    return out
 
 
 class ProfiledFit:
@@ -346,7 +337,6 @@ class ProfiledFit:
                 moments = moments.withColumn(name, F.lit(None).cast("string"))
         self.p, self.models = p, list(models)
         self.rows = moments.select("run", "fold", "gram", "rhs", "vv")
-        self.parts = self.rows.rdd.getNumPartitions()
 
     def _sum(self, fn, size: int, held_out: bool = False) -> np.ndarray:
         p, models = self.p, self.models
@@ -362,7 +352,7 @@ class ProfiledFit:
                     acc += fn(np.array([unpack(g, p) for g in pdf["gram"]]), np.stack(pdf["rhs"].to_numpy()), pdf["vv"].to_numpy(), mask)
             yield pd.DataFrame({"s": [acc.tolist()]})
 
-        return _partial_sums(self.rows, self.parts, run, size)
+        return _partial_sums(self.rows, run, size)
 
     def objective(self, betas: np.ndarray, held_out: bool = False) -> np.ndarray:
         """Summed cos2 for betas of shape (models, candidates, p)."""
@@ -478,7 +468,6 @@ def alternating_fits(packed: DataFrame, means: np.ndarray, norms: np.ndarray, fo
     live = np.ones(k, dtype=bool)
     width = p * p + p + 2
     rows = packed.select("fold", "x", "t")
-    parts = rows.rdd.getNumPartitions()
     for _ in range(iters):
         def run(batches, thetas=thetas):
             acc = np.zeros((k, width))
@@ -498,7 +487,7 @@ def alternating_fits(packed: DataFrame, means: np.ndarray, norms: np.ndarray, fo
                     acc[:, -1] += use
             yield pd.DataFrame({"s": [acc.ravel().tolist()]})
 
-        s = _partial_sums(rows, parts, run, k * width).reshape(k, width)
+        s = _partial_sums(rows, run, k * width).reshape(k, width)
         nxt = thetas.copy()
         for m in np.flatnonzero(live):
             if s[m, -1] == 0:

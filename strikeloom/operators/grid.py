@@ -83,9 +83,8 @@ def cells(chain: DataFrame) -> DataFrame:
 
 
 def with_first_spot(cells: DataFrame) -> DataFrame:
-    """Batch spot from the first row of the batch in key order (see the chain adapter)."""
-    first = "min(row_key) OVER (PARTITION BY ticker, ts)"
-    return cells.selectExpr("* EXCEPT (row_key)", f"CAST({first} % 100 AS DOUBLE) AS spot")
+    """Batch spot: the strike of the first row of the batch in key order (see the chain adapter)."""
+    return cells.selectExpr("* EXCEPT (row_key)", "CAST(min_by(strike, row_key) OVER (PARTITION BY ticker, ts) AS DOUBLE) AS spot")
 
 
 def columns(cells: DataFrame) -> DataFrame:

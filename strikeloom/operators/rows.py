@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeloom.session import broadcast_if_small
-
 BASES = ("net", "gross", "flip", "oi_size")
 
 
@@ -49,9 +47,7 @@ def freshness(rows: DataFrame, keys: list[str], captured: str, expiry: str, oi:
 
 def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule hits: ``metric operator threshold`` for enabled rules; a null ticker means all."""
-    live = broadcast_if_small(
-        rules.where("enabled").select("rule_id", F.col("ticker").alias("_t"), "metric", "op", "threshold")
-    )
+    live = rules.where("enabled").select("rule_id", "ticker", "metric", "op", "threshold")
     hit = (
         F.when(F.col("op") == ">", F.col("value") > F.col("threshold"))
         .when(F.col("op") == ">=", F.col("value") >= F.col("threshold"))
@@ -59,9 +55,7 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
         .when(F.col("op") == "<=", F.col("value") <= F.col("threshold"))
         .when(F.col("op") == "=", F.col("value") == F.col("threshold"))
     )
-    return (
-        metrics.join(live, "metric")
-        .where(F.col("_t").isNull() | (F.col("_t") == F.col("ticker")))
-        .where(hit)
-        .drop("_t")
-    )
+    # A rule of one ticker meets that ticker's rows only; rules for all tickers are joined apart.
+    own = metrics.join(live.where("ticker is not null"), ["metric", "ticker"])
+    every = metrics.join(live.where("ticker is null").drop("ticker"), "metric")
+    return own.unionByName(every).where(hit)

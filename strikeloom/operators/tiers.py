@@ -11,8 +11,8 @@ SNAPSHOT_KEYS = ("ticker", "expiry", "strike")
 
 
 def _at() -> Column:
-    """Order of rows by time, then sequence, as one number a hash aggregate can hold."""
-    return F.expr("CAST(unix_micros(ts) AS DECIMAL(38,0)) * 1000000000000 + seq")
+    """Order of rows by time, then sequence (any non-negative long), as one number a hash aggregate can hold."""
+    return F.expr("CAST(unix_micros(ts) AS DECIMAL(38,0)) * 10000000000000000000BD + seq")
 
 
 def _first(c: str) -> Column:

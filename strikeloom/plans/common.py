@@ -174,7 +174,7 @@ for _g, _grain, _gap in (("m", "month", 31 * 86400), ("d", "day", 86400)):
 
 view("prints", r"""
 SELECT event_id AS seq, ts, event_type AS ticker, 'T' || (user_id % 40)::VARCHAR AS underlying,
-       'C' || lpad(user_id::VARCHAR, 6, '0') AS occ, user_id AS contract,
+       printf('C%06d', user_id) AS occ, user_id AS contract,
        CASE WHEN user_id % 2 = 0 THEN 'C' ELSE 'P' END AS cp, 50.0::DOUBLE + user_id % 50 AS strike,
        CAST(DATE '2024-02-02' + CAST((user_id % 4) * 7 AS INTEGER) AS DATE) AS expiry, value AS price,
        k AS size, value AS premium,

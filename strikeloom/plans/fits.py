@@ -177,7 +177,7 @@ def leave_one_day_out(spark, sf):
 
 
 view("fcells", """
-SELECT c.ticker, c.ts, f.frame, c.strike, c.expiry, c.g, f.value AS y FROM cells_m c JOIN rframes f USING (ticker, ts, strike) WHERE f.frame % 5 = 0 AND c.g <> 0""")
+SELECT c.ticker, c.ts, f.frame, c.strike, c.expiry, c.g, f.value AS y FROM cells_m c JOIN rframes f USING (ticker, ts, strike) WHERE c.g <> 0""")
 view("faug", _augmented("", "", "ticker, ts, frame", "SELECT * FROM fcells", "1e-3::DOUBLE * trace / ne"))
 view("fgj", _solve("faug", "fgj", "ticker, ts, frame"))
 view("fsol", """

@@ -118,7 +118,7 @@ def nearest_record(spark, sf):
     dist = F.abs(F.unix_micros("ts") - start)
     # Distance, then the earlier side, then the sequence, as one number.
     later = F.when(F.unix_micros("ts") > start, 1).otherwise(0)
-    order = (dist.cast("decimal(38,0)") * 2 + later) * F.lit(10 ** 12) + F.col("seq")
-    return p.groupBy("ticker", "day").agg(
+    order = F.expr("CAST(_near AS DECIMAL(38,0)) * 10000000000000000000BD + seq")
+    return p.withColumn("_near", dist * 2 + later).groupBy("ticker", "day").agg(
         F.min_by("seq", order).alias("seq"), F.min(dist).alias("dist")).select(
         "ticker", d("day").alias("day"), "seq", r(F.col("dist") / 1e6, 5).alias("dist_s"))

@@ -90,7 +90,7 @@ def contract_key(spark, sf):
 
 @query("prj_9_contract_id", """
 SELECT l_returnflag || '02' || lpad(l_linenumber::VARCHAR, 2, '0') || '15' || CASE WHEN l_suppkey % 2 = 0 THEN 'C' ELSE 'P' END
-  || lpad(CAST(round_even((l_quantity * 1000 + (l_partkey % 4) * 0.5::DOUBLE) / 1000 * 1000, 0) AS BIGINT)::VARCHAR, 8, '0') AS occ, count(*) AS n
+  || printf('%08d', CAST(round_even((l_quantity * 1000 + (l_partkey % 4) * 0.5::DOUBLE) / 1000 * 1000, 0) AS BIGINT)) AS occ, count(*) AS n
 FROM lineitem GROUP BY ALL""")
 def contract_id(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -145,7 +145,7 @@ SELECT l_returnflag AS ticker, strftime(l_shipdate, '%Y') AS yr, make_date(2002,
   (l_partkey % 9)::DOUBLE AS cnt, CASE WHEN l_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE l_extendedprice / 100 END AS "close",
   l_extendedprice / 128 AS bid, l_extendedprice / 64 AS ask,
   l_returnflag || '02' || lpad(l_linenumber::VARCHAR, 2, '0') || '15' || CASE WHEN l_suppkey % 2 = 0 THEN 'C' ELSE 'P' END
-  || lpad((l_quantity * 1000)::BIGINT::VARCHAR, 8, '0') AS occ FROM lineitem""")
+  || printf('%08d', (l_quantity * 1000)::BIGINT) AS occ FROM lineitem""")
 view("archive_px", """
 SELECT *, CASE WHEN "close" <= 0 AND volume > 0 THEN (bid + ask) / 2 ELSE "close" END AS px FROM archive""")
 

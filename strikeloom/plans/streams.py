@@ -67,8 +67,8 @@ def node_stream(spark, sf):
         "ticker", "strike", "expiry", "ts", "step", "g", "f", "spot", "prev_spot", "band")
     path = scratch_dir(spark, "node-input")
     rows = materialize(rows, "node-rows")
-    jobs.write_in_order(rows, path, "ts", 2)
-    stream = jobs.file_stream(spark, path, rows.schema)
+    jobs.write_in_order(rows, path, "ts", 2, split=True)
+    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=1)
     out = jobs.collected(jobs.stateful(stream, ["ticker", "strike"], jobs.NodeProcessor(), jobs.NODE_OUTPUT), "nodes")
     return out.select("ticker", d("ts").alias("ts"), "strike", d("expiry").alias("expiry"), r("q_g", 3).alias("q_g"), r("q_f", 3).alias("q_f"), "n_tch", "n_del", "n_rej")
 
@@ -89,10 +89,8 @@ def range_stream(spark, sf):
 SELECT count(*) AS rows_in, count(*) FILTER (size * 10 > 482) AS dropped, count(*) FILTER (size * 10 <= 482) AS kept FROM prints""")
 def stale_rows(spark, sf):
     p = adapters.prints_of(events_stream(spark, sf))
-    kept = jobs.drop_stale(p, F.col("size") * 10 > 482).select("seq", "ts")
-    sink, progress = jobs.run_available(kept, "kept")
-    total, gone = (jobs.observed_total(progress, "hygiene", m) for m in ("rows", "dropped"))
-    return spark.read.parquet(sink).agg(F.lit(total).cast("bigint").alias("rows_in"), F.lit(gone).cast("bigint").alias("dropped"), F.count(F.lit(1)).alias("kept"))
+    marked = jobs.mark_stale(p, F.col("size") * 10 > 482).select("seq", "ts", "stale")
+    return jobs.stale_counts(jobs.collected(marked, "kept"))
 
 
 @query("str_7_alert_stream", """

@@ -32,7 +32,7 @@ def _configured_root(spark: SparkSession) -> str | None:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+    """A new folder below the cluster's shared checkpoint folder; it is removed with the application.
 
     Only a local master may fall back to a machine-local folder; on a cluster an
     executor could not see it, so a missing setting is an error there.
@@ -43,7 +43,17 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    base = f"{root.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    _drop_at_exit(spark, base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Make a folder that goes when the driver's JVM ends, on whichever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
@@ -63,16 +73,3 @@ def materialize(df, label: str):
     path = scratch_dir(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df, max_rows: int = 10_000):
-    """Mark ``df`` for broadcast only after counting that it is small.
-
-    The count stops one row past the limit. Beyond it the frame is returned
-    unmarked and the join shuffles both sides.
-    """
-    from pyspark.sql import functions as F
-
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -58,25 +58,20 @@ def sweep_stream(prints: DataFrame, gap: str = "1 second", delay: str = "1 minut
 
 
 def alert_stream(metrics: DataFrame, rules: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One event per (rule, ts) from a metric stream and the static rules."""
+    """One event per (rule, ticker, ts) from a metric stream and the static rules."""
     from strikeloom.operators.rows import alerts
 
-    return alerts(metrics.withWatermark("ts", delay), rules).dropDuplicates(["rule_id", "ts"])
+    return alerts(metrics.withWatermark("ts", delay), rules).dropDuplicates(["rule_id", "ticker", "ts"])
 
 
-def drop_stale(rows: DataFrame, late, name: str = "hygiene") -> DataFrame:
-    """Filter late rows before any state and count them as an observed metric."""
-    seen = rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("dropped"))
-    return seen.where(~late)
+def mark_stale(rows: DataFrame, late) -> DataFrame:
+    """Tell late rows apart before any state; the sink keeps both kinds, so that counts hold over any number of micro-batches."""
+    return rows.withColumn("stale", F.coalesce(late, F.lit(False)))
 
 
-def observed_total(progress, name: str, metric: str) -> int:
-    total = 0
-    for p in progress:
-        row = p.observedMetrics.get(name) if hasattr(p, "observedMetrics") else (p.get("observedMetrics") or {}).get(name)
-        if row is not None:
-            total += row[metric] or 0
-    return int(total)
+def stale_counts(marked: DataFrame) -> DataFrame:
+    """rows_in, dropped and kept of a table that ``mark_stale`` wrote."""
+    return marked.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if("stale").alias("dropped"), F.count_if(~F.col("stale")).alias("kept"))
 
 
 def _micros(ts) -> int:
@@ -134,10 +129,14 @@ NODE_OUTPUT = ("ticker string, strike double, expiry date, ts timestamp, q_g dou
 
 
 class NodeProcessor(StatefulProcessor):
-    """Cell averages (a map by expiry) and interaction counts of one (ticker, strike)."""
+    """Cell averages (a map by expiry) and interaction counts of one (ticker, strike).
+
+    A batch time may arrive in several micro-batches: its interaction is counted once,
+    and each cell takes each batch time once. Rows older than the state are late.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getMapState("cells", "expiry string", "q_g double, q_f double")
+        self.cells = handle.getMapState("cells", "expiry string", "q_g double, q_f double, ts_us bigint")
         self.counts = handle.getValueState("counts", "ts_us bigint, tch bigint, del bigint, rej bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -150,24 +149,26 @@ class NodeProcessor(StatefulProcessor):
         strike = float(key[1])
         for ts, batch in new.groupby("ts", sort=True):
             at = _micros(ts)
-            if at <= last:
+            if at < last:
                 continue
-            last = at
             first = batch.iloc[0]
-            if not (pd.isna(first.spot) or pd.isna(first.prev_spot)):
+            if at > last and not (pd.isna(first.spot) or pd.isna(first.prev_spot)):
                 now = abs(first.spot - strike) <= first.band
                 before = abs(first.prev_spot - strike) <= first.band
                 crossed = (first.prev_spot - strike) * (first.spot - strike) < 0
                 tch, dlv, rej = tch + int(now), dlv + int(crossed), rej + int(before and not now and not crossed)
+            last = at
             for row in batch.itertuples():
                 cell = (str(row.expiry),)
                 keep = math.exp(-row.step)
                 if self.cells.containsKey(cell):
                     q = self.cells.getValue(cell)
+                    if q[2] >= at:
+                        continue
                     q_g, q_f = keep * q[0] + (1 - keep) * row.g, keep * q[1] + (1 - keep) * row.f
                 else:
                     q_g, q_f = row.g, row.f
-                self.cells.updateValue(cell, (float(q_g), float(q_f)))
+                self.cells.updateValue(cell, (float(q_g), float(q_f), int(at)))
                 out.append((row.ticker, row.strike, row.expiry, row.ts, q_g, q_f, tch, dlv, rej))
         self.counts.update((int(last), int(tch), int(dlv), int(rej)))
         yield pd.DataFrame(out, columns=["ticker", "strike", "expiry", "ts", "q_g", "q_f", "n_tch", "n_del", "n_rej"])
@@ -209,11 +210,19 @@ def stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, o
     return stream.groupBy(*keys).transformWithStateInPandas(processor, output, "append", "none")
 
 
-def write_in_order(df: DataFrame, path: str, ts: str, pieces: int) -> None:
-    """Land a table as a sequence of files in time order, as an ingest job would."""
+def write_in_order(df: DataFrame, path: str, ts: str, pieces: int, split: bool = False) -> None:
+    """Land a table as a sequence of files in time order, as an ingest job would.
+
+    With ``split``, the batch time at each cut is dealt over the files on both sides of it.
+    """
     bounds = df.select(F.unix_timestamp(F.min(ts)).alias("lo"), F.unix_timestamp(F.max(ts)).alias("hi")).first()
     width = (bounds["hi"] - bounds["lo"]) // pieces + 1
+    at = F.floor((F.unix_timestamp(ts) - bounds["lo"]) / width).cast("int")
+    if split:
+        firsts = df.groupBy(at.alias("piece")).agg(F.min(ts).alias("first")).where("piece > 0").collect()
+        half = F.pmod(F.xxhash64(*df.columns), F.lit(2)) == 0
+        for row in firsts:
+            at = F.when((F.col(ts) == row["first"]) & half, row["piece"] - 1).otherwise(at)
+    placed = df.withColumn("_piece", at)
     for i in range(pieces):
-        lo = bounds["lo"] + i * width
-        piece = df.where((F.unix_timestamp(ts) >= lo) & (F.unix_timestamp(ts) < lo + width))
-        piece.write.mode("append").parquet(path)
+        placed.where(F.col("_piece") == i).drop("_piece").coalesce(1).write.mode("append").parquet(path)

@@ -117,3 +117,28 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(S.ratio_inf("a", "b")).collect()] == [float("inf"), 0.0, 1.5]
     one = spark.createDataFrame([(2.0, [1.0, 2.0, 3.0, 2.0])], "v double, h array<double>")
     assert one.select(S.percentile_of_history("v", "h")).first()[0] == 0.5
+
+
+def test_smoothing_keeps_what_lies_far_back(spark):
+    """The closed form against the recursion over many blocks, a large value followed by zeros."""
+    import math
+
+    from strikeloom.functions.ordered import ewma_scan
+
+    xs = [1e6] + [0.0] * 1100 + [3.0, -2.0] * 450
+    df = spark.createDataFrame([("k", i, x, i == 0) for i, x in enumerate(xs)], "key string, i long, x double, first boolean")
+    out = ewma_scan(df, ["key"], "i", {"y": "x"}, "0.5D", "first").orderBy("i").collect()
+    y, keep = 0.0, math.exp(-0.5)
+    for i, (x, row) in enumerate(zip(xs, out)):
+        y = x if i == 0 else keep * y + (1 - keep) * x
+        assert math.isclose(row["y"], y, rel_tol=1e-9, abs_tol=1e-300), i
+
+
+def test_contract_ids_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    from strikeloom.functions.scalar import contract_id
+
+    df = spark.createDataFrame([(10_000.0,), (100_000.0,), (12.5,)], "strike double")
+    ids = [r[0] for r in df.select(contract_id(F.lit("NKY"), F.lit("2026-01-16").cast("date"), F.lit("C"), "strike")).collect()]
+    assert ids == ["NKY260116C10000000", "NKY260116C100000000", "NKY260116C00012500"]
