@@ -13,6 +13,9 @@ from strikeloom.session import scratch_dir
 #: Bytes of text that one numpy pass works on at most, unless a single text is longer.
 PASS_BYTES = 4 << 20
 
+#: Bytes of an arrow batch between Spark and a task's Python.
+ARROW_BYTES = 8 << 20
+
 #: Columns of a count table that travel in one row.
 CHUNK = 1 << 12
 
@@ -20,21 +23,27 @@ CHUNK = 1 << 12
 MIX_A, MIX_B, MIX_C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an arrow batch: rows of text vary too much for a bound by rows. A setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once below the cluster's shared folder and read it back.
 
-    The table outlives lost executors and is removed when the driver's JVM ends.
+    The table outlives lost executors and is removed with the application.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
