@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from strikeloom.session import scratch_dir
 
 #: Bytes of text that one numpy pass works on at most, unless a single text is longer.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 #: Bytes of an arrow batch between Spark and a task's Python.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 #: Columns of a count table that travel in one row.
 CHUNK = 1 << 12
@@ -47,15 +47,15 @@ def shared(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def passes(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut arrow batches so that the named column holds about ``PASS_BYTES`` in each; empty ones are left out."""
+def passes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut arrow batches so that the named column holds about ``limit`` bytes in each; empty ones are left out."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PASS_BYTES, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
 
@@ -116,9 +116,19 @@ def word_names(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     letter = mix(np.arange(256, dtype=np.uint64) + np.uint64((seed * MIX_A) % 2**64))
     lengths = ends - starts
     powers = np.cumprod(np.full(int(lengths.max()) + 1, (MIX_A + 2 * seed) | 1, np.uint64))
-    flat = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    inked = letter[values[flat + np.repeat(starts, lengths)]] * powers[flat]
-    return mix(np.add.reduceat(inked, np.cumsum(lengths) - lengths) ^ lengths.astype(np.uint64))
+    out = np.empty(starts.size, np.uint64)
+    # In slices of about PASS_BYTES letters: the arrays below hold eight bytes for each.
+    total = np.cumsum(lengths)
+    at = 0
+    while at < starts.size:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PASS_BYTES, "right")))
+        size, first = lengths[at:end], total[at:end] - lengths[at:end]
+        first -= first[0]
+        flat = np.arange(int(size.sum())) - np.repeat(first, size)
+        inked = letter[values[flat + np.repeat(starts[at:end], size)]] * powers[flat]
+        out[at:end] = np.add.reduceat(inked, first)
+        at = end
+    return mix(out ^ lengths.astype(np.uint64))
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:

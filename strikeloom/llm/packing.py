@@ -153,7 +153,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, ra
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds.types)], schema=kinds)
 
-        for batch in passes(batches):
+        for batch in passes(batches, limit=4 << 20):  # the piece table is sorted once a pass
             flat, offsets = tokens.encode(batch.column(1))
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 stream.add(doc_id, np.append(flat[offsets[i]:offsets[i + 1]], np.uint16(END_ID)))
