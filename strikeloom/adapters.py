@@ -73,6 +73,7 @@ def contract_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("sum(size) AS volume"), F.expr("sum(premium) AS premium"), F.expr("count(1) AS trades"),
         *[F.expr(f"sum(CASE WHEN side = '{x}' THEN size ELSE 0 END) AS {x}_volume") for x in ("ask", "bid", "mid")],
         F.expr("sum(CASE WHEN is_sweep THEN premium ELSE 0D END) AS sweep_premium"),
+        F.expr("sum(CASE WHEN is_sweep THEN size ELSE 0 END) AS sweep_volume"),
         F.expr("sum(CASE WHEN size % 4 <> 0 THEN size ELSE -size END) AS _net"),
     )
     # One contract trades on at most a few hundred days, so its days fit one window.

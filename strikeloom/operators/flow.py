@@ -47,8 +47,11 @@ def relative_volume_bars(prints: DataFrame, width_s: int = 3600, days_back: int
         _by_right(F.col("premium"), "C").alias("call_premium"), _by_right(F.col("premium"), "P").alias("put_premium"))
     prior = Window.partitionBy("ticker", "slot").orderBy("day").rowsBetween(-days_back, -1)
     total = F.col("call_volume") + F.col("put_volume")
-    bars = bars.withColumn("avg_volume", F.avg(total).over(prior))
-    return bars.withColumn("rvol", ratio(total, "avg_volume"))
+    bars = bars.withColumns({
+        "avg_volume": F.avg(total).over(prior), "avg_call_volume": F.avg("call_volume").over(prior), "avg_put_volume": F.avg("put_volume").over(prior),
+        "avg_premium": F.avg(F.col("call_premium") + F.col("put_premium")).over(prior), "days": F.count(F.lit(1)).over(prior)})
+    return bars.withColumns({
+        "rvol": ratio(total, "avg_volume"), "call_rvol": ratio("call_volume", "avg_call_volume"), "put_rvol": ratio("put_volume", "avg_put_volume")})
 
 
 def day_rvol(bars: DataFrame, days_back: int = 20) -> DataFrame:
@@ -57,15 +60,36 @@ def day_rvol(bars: DataFrame, days_back: int = 20) -> DataFrame:
     return day.withColumn("rvol", ratio("volume", F.avg("volume").over(prior)))
 
 
-def time_of_day_baseline(prints: DataFrame, today: Column, width_s: int = 3600, days_back: int = 20) -> DataFrame:
-    """Mean and sample deviation per slot over the days before ``today`` and today's z-score."""
+def latest_sessions(rows: DataFrame, count: int) -> DataFrame:
+    """(day, back): the last ``count`` days that hold a row, ``back`` 0 for the latest."""
+    order = Window.orderBy(F.col("day").desc())  # one row per day
+    return rows.select("day").distinct().withColumn("back", F.row_number().over(order) - 1).where(F.col("back") < count)
+
+
+def time_of_day_baseline(prints: DataFrame, width_s: int = 3600, sessions: int = 20) -> DataFrame:
+    """Mean and sample deviation per slot over the sessions before the latest, and the latest session's z-score.
+
+    A session without a trade in a slot counts with zero, so sums over the traded
+    slots are divided by the number of sessions.
+    """
     bars = prints.withColumn("slot", _slot_of_day("ts", width_s)).groupBy("ticker", "day", "slot").agg(
         F.count(F.lit(1)).alias("trades"), F.sum("premium").alias("premium"))
-    base = bars.where((F.col("day") < today) & (F.col("day") >= F.date_sub(today, days_back))).groupBy("ticker", "slot").agg(
-        F.avg("trades").alias("trades_avg"), F.stddev("trades").alias("trades_std"), F.avg("premium").alias("premium_avg"),
-        F.stddev("premium").alias("premium_std"), F.count(F.lit(1)).alias("n_days"))
-    now = bars.where(F.col("day") == today).select("ticker", "slot", "trades", "premium")
-    out = base.join(now, ["ticker", "slot"], "left")
+    calendar = latest_sessions(bars, sessions + 1)
+    held = calendar.agg((F.count(F.lit(1)) - 1).alias("n_days"))
+    bars = bars.join(calendar, "day")
+    past = F.col("back") > 0
+
+    def over(x):
+        return F.coalesce(F.sum(F.when(past, x)), F.lit(0))
+
+    sums = bars.groupBy("ticker", "slot").agg(
+        *[over(F.col(c)).alias(f"_{c}") for c in ("trades", "premium")], *[over(F.col(c) * F.col(c)).alias(f"_{c}2") for c in ("trades", "premium")],
+        *[F.coalesce(F.sum(F.when(~past, F.col(c))), F.lit(0)).alias(c) for c in ("trades", "premium")])
+    out = sums.join(F.broadcast(held))
+    for c in ("trades", "premium"):
+        mean = F.col(f"_{c}") / F.col("n_days")
+        spread = (F.col(f"_{c}2") - F.col("n_days") * mean * mean) / (F.col("n_days") - 1)
+        out = out.withColumns({f"{c}_avg": mean, f"{c}_std": F.when(F.col("n_days") > 1, F.sqrt(F.greatest(spread, F.lit(0.0))))})
     return out.withColumns({
         "trades_z": ratio(F.col("trades") - F.col("trades_avg"), "trades_std"), "premium_z": ratio(F.col("premium") - F.col("premium_avg"), "premium_std")})
 
@@ -91,6 +115,20 @@ def market_overview(prints: DataFrame, days_back: int = 20) -> DataFrame:
         "net_premium": F.col("call_premium") - F.col("put_premium"), "ratio": ratio("call_premium", "put_premium"), "vs_base": ratio(total, F.avg(total).over(prior))})
 
 
+def premium_so_far(prints: DataFrame, width_s: int = 3600, sessions: int = 20) -> DataFrame:
+    """Premium of all prints of a day up to each slot's end, against the mean of the prior sessions up to the same slot.
+
+    Slots without a print carry the sum of the slots before them.
+    """
+    slots = -(-86_400 // width_s)
+    held = prints.groupBy("day", _slot_of_day("ts", width_s).alias("slot")).agg(F.sum("premium").alias("premium"))
+    grid = held.select("day").distinct().select("day", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    run = Window.partitionBy("day").orderBy("slot").rowsBetween(*_UPTO)
+    prior = Window.partitionBy("slot").orderBy("day").rowsBetween(-sessions, -1)  # one row per day
+    out = grid.join(held, ["day", "slot"], "left").withColumn("so_far", F.sum(F.coalesce("premium", F.lit(0.0))).over(run))
+    return out.withColumn("base", F.avg("so_far").over(prior)).withColumn("rvol", ratio("so_far", "base")).select("day", "slot", "so_far", "base", "rvol")
+
+
 def top_by(rows: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], k: int) -> DataFrame:
     """First k rows per key; the rank filter limits rows before the shuffle."""
     order = Window.partitionBy(*keys).orderBy(F.col(value).desc(), *ties)
@@ -177,15 +215,28 @@ def contract_boards(days: DataFrame, as_of: Column, spans: dict[str, int]) -> Da
     labels = F.array(*[F.struct(F.lit(n).alias("span"), F.lit(k).alias("k")) for n, k in spans.items()])
     rows = days.withColumn("s", F.explode(labels)).where((F.col("day") > F.date_sub(as_of, F.col("s.k"))) & (F.col("day") <= as_of))
     return rows.groupBy("s.span", "occ").agg(
-        F.sum("volume").alias("volume"), F.sum("premium").alias("premium"), F.max_by("oi", "day").alias("oi"), F.sum("sweep_premium").alias("sweep_premium")
-    ).withColumns({"vol_oi": ratio("volume", "oi"), "sweep_share": ratio("sweep_premium", "premium")})
+        F.sum("volume").alias("volume"), F.sum("premium").alias("premium"), F.max_by("oi", "day").alias("oi"), F.sum("sweep_premium").alias("sweep_premium"),
+        F.sum("sweep_volume").alias("sweep_volume")
+    ).withColumns({"vol_oi": ratio("volume", "oi"), "sweep_share": ratio("sweep_volume", "volume")})
+
+
+#: Boards and the column each is ordered by.
+BOARDS = {"volume": "volume", "premium": "premium", "open_interest": "oi", "unusual": "vol_oi", "sweeps": "sweep_premium"}
+
+
+def ranked_boards(contracts: DataFrame, keys: Sequence[str], orders: dict[str, str], ties: Sequence[str], k: int) -> DataFrame:
+    """The first k rows of every order in one pass: a row meets each order once, then one rank by (keys, order)."""
+    each = F.array(*[F.struct(F.lit(name).alias("board"), F.col(c).cast("double").alias("by")) for name, c in orders.items()])
+    long = contracts.withColumn("_o", F.explode(each)).select("*", "_o.board", "_o.by").drop("_o").where("by is not null")
+    return top_by(long, [*keys, "board"], "by", ties, k)
 
 
 def dark_pool(prints: DataFrame, min_notional: float = 1_000_000.0) -> DataFrame:
-    """Large off-exchange prints with their share of the ticker's average daily volume."""
-    adv = prints.groupBy("ticker", "day").agg(F.sum("size").alias("_v")).groupBy("ticker").agg(F.avg("_v").alias("adv"))
+    """Large off-exchange prints with their share of the ticker's average daily volume over the days before."""
+    before = Window.partitionBy("ticker").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    adv = prints.groupBy("ticker", "day").agg(F.sum("size").alias("_v")).select("ticker", "day", F.avg("_v").over(before).alias("adv"))
     big = prints.withColumn("notional", F.col("price") * F.col("size")).where(F.col("notional") >= min_notional)
-    return big.join(adv, "ticker").withColumn("adv_share", ratio("size", "adv"))
+    return big.join(adv, ["ticker", "day"]).withColumn("adv_share", ratio("size", "adv"))
 
 
 def alert_outcomes(alerts: DataFrame, bars: DataFrame, horizons: Sequence[int] = (5, 15, 30), minute_us: int = 60_000_000) -> DataFrame:
@@ -209,6 +260,15 @@ def alert_outcomes(alerts: DataFrame, bars: DataFrame, horizons: Sequence[int] =
         "mfe": F.col("_hi") - F.col("price_0"), "mae": F.col("_lo") - F.col("price_0")}).drop("_hi", "_lo")
 
 
+def hit_rates(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share of alerts up by half after 30 minutes, and doubled at the day's end; alerts without a price are not counted."""
+    def share(price: str, factor: float):
+        known = F.col("price_0").isNotNull() & (F.col("price_0") > 0) & F.col(price).isNotNull()
+        return F.avg(F.when(known, (F.col(price) >= factor * F.col("price_0")).cast("double")))
+
+    return outcomes.groupBy(*keys).agg(F.count(F.lit(1)).alias("alerts"), share("price_30", 1.5).alias("up_half_30m"), share("price_eod", 2.0).alias("doubled_eod"))
+
+
 def breadth(bars: DataFrame, sectors: DataFrame, days: int = 20) -> DataFrame:
     """Share of names per sector and day closing above their own moving average."""
     w = Window.partitionBy("ticker").orderBy("day").rowsBetween(-(days - 1), 0)

@@ -192,6 +192,7 @@ SELECT *, oi - net AS prev_oi FROM (
            CAST(sum(CASE WHEN side = 'bid' THEN size ELSE 0 END) AS BIGINT) AS bid_volume,
            CAST(sum(CASE WHEN side = 'mid' THEN size ELSE 0 END) AS BIGINT) AS mid_volume,
            sum(CASE WHEN is_sweep THEN premium ELSE 0.0::DOUBLE END) AS sweep_premium,
+           CAST(sum(CASE WHEN is_sweep THEN size ELSE 0 END) AS BIGINT) AS sweep_volume,
            CAST(sum(CASE WHEN size % 4 <> 0 THEN size ELSE -size END) AS BIGINT) AS net
     FROM prints GROUP BY underlying, occ, contract, cp, strike, expiry, day))
 """)

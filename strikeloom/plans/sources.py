@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from strikeloom import adapters
 from strikeloom.operators import ranking
-from strikeloom.plans.common import d, m_cells, n, r
+from strikeloom.plans.common import d, m_cells, n, r, t
 from strikeloom.plans.registry import query, view
 from strikeloom.session import materialize, scratch_dir
 from strikeloom.sources import archive, captures, sinks
@@ -162,22 +162,26 @@ def _exported(spark, sf):
     path = scratch_dir(spark, "export")
     p.withColumn("dt", d("day")).drop("day").write.option("maxRecordsPerFile", 5_000_000).partitionBy("dt").parquet(path)
     m = sinks.export_manifest(spark, path, "T0")
-    return p, m.withColumn("day", F.regexp_extract("file_path", r"dt=(\d{4}-\d\d-\d\d)", 1).cast("date"))
+    return p, path, m.withColumn("day", F.regexp_extract("file_path", r"dt=(\d{4}-\d\d-\d\d)", 1).cast("date"))
 
 
 @query("src_13_export_manifest", """
-SELECT strftime(day, '%Y-%m-%d') AS day, 'T0' AS tier, count(*) AS row_count, true AS verified, 64 AS digest_length FROM prints GROUP BY day""")
+SELECT strftime(day, '%Y-%m-%d') AS day, 'T0' AS tier, count(*) AS row_count, true AS verified, 64 AS digest_length, count(*) AS source_rows,
+  strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, true AS agrees FROM prints GROUP BY day""")
 def export_manifest(spark, sf):
-    _, m = _exported(spark, sf)
-    return m.groupBy(d("day").alias("day"), "tier").agg(
+    p, path, m = _exported(spark, sf)
+    files = m.groupBy(d("day").alias("day"), "tier").agg(
         n(F.sum("row_count")).alias("row_count"), F.min("verified").alias("verified"), F.min(F.length("sha256")).cast("int").alias("digest_length"))
+    written = spark.read.parquet(path).withColumn("day", F.col("dt").cast("date"))
+    check = sinks.verify_export(p, written, "day", "ts")
+    return files.join(check.select(d("day").alias("day"), "source_rows", t("exported_min").alias("first_ts"), t("exported_max").alias("last_ts"), "agrees"), "day")
 
 
 @query("str_9_retention_candidates", """
 SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS rows, count(*) AS exported FROM prints
 WHERE day < (SELECT max(day) FROM prints) - 2 GROUP BY day""")
 def retention(spark, sf):
-    p, m = _exported(spark, sf)
+    p, _, m = _exported(spark, sf)
     today = p.agg(F.max("day").alias("_today"))
     rows = p.join(F.broadcast(today))
     return sinks.retention_candidates(rows, materialize(m, "manifest"), "day", 2, F.col("_today")).select(

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 def write_sessions(df: DataFrame, path: str, session: str = "dt", sort: Sequence[str] = ("ticker",)) -> None:
     """Partition by session and replace only the sessions present in ``df``.
 
-    Rows are spread over the sessions plus a salt, so one large session is
-    written by several tasks; within a file rows are sorted for min/max skipping.
+    Rows are spread over the sessions plus a salt of the whole row, so a large session,
+    and a hot ticker in it, is written by several tasks; within a file rows are sorted
+    for min/max skipping.
     """
-    salt = (F.xxhash64(*[F.col(c) for c in sort]) % 8).alias("_salt")
+    salt = F.xxhash64(*[F.col(c) for c in df.columns]) % 8
     keep = [c for c in sort if c in df.columns]
     (
         df.withColumn("_salt", salt).repartition(session, "_salt").drop("_salt").sortWithinPartitions(session, *keep)
@@ -76,5 +77,17 @@ def retention_candidates(rows: DataFrame, manifest: DataFrame, key: str, age_day
     Only candidates are returned; nothing is deleted here.
     """
     old = rows.where(F.col(key) < F.date_sub(today, age_days)).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    safe = manifest.where("verified").groupBy(key).agg(F.sum("row_count").alias("exported"))
-    return old.join(safe, key).where(F.col("exported") >= F.col("rows"))
+    # One export of a file counts once, and counts must agree exactly: a repeated export must not cover for a missing one.
+    files = manifest.where("verified").select(key, "sha256", "row_count").distinct()
+    safe = files.groupBy(key).agg(F.sum("row_count").alias("exported"))
+    return old.join(safe, key).where(F.col("exported") == F.col("rows"))
+
+
+def verify_export(source: DataFrame, exported: DataFrame, key: str, ts: str) -> DataFrame:
+    """Per partition: rows and time range of the source and of what was read back, and whether they agree."""
+    def shape(rows: DataFrame, side: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"{side}_rows"), F.min(ts).alias(f"{side}_min"), F.max(ts).alias(f"{side}_max"))
+
+    both = shape(source, "source").join(shape(exported, "exported"), key, "full")
+    same = [F.col(f"source_{c}").eqNullSafe(F.col(f"exported_{c}")) for c in ("rows", "min", "max")]
+    return both.withColumn("agrees", same[0] & same[1] & same[2])
