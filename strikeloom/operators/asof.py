@@ -96,12 +96,17 @@ def aligned_days(aligned: DataFrame, day: Column, keys: Sequence[str] = ()) -> D
 def cadence(rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Distinct snapshot times per key and the min, upper-median and max gap between them.
 
-    Snapshot times are distinct first; a key has as many as batches in its span.
+    Times are cut by day: the first of a day takes the last one before it from a
+    table of one row per key and day, so no key has to fit one task.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    times = rows.select(*keys, ts).distinct()
-    gaps = times.withColumn("gap_s", (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / F.lit(1e6))
+    day = F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).alias("_day")
+    times = rows.select(*keys, ts, day).distinct()
+    ends = times.groupBy(*keys, "_day").agg(F.max(ts).alias("_last"))
+    ends = ends.select(*keys, "_day", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_day").orderBy(ts)
+    previous = F.coalesce(F.lag(ts).over(inside), F.col("_before"))
+    gaps = times.join(ends, [*keys, "_day"]).withColumn("gap_s", (F.unix_micros(ts) - F.unix_micros(previous)) / F.lit(1e6))
     base = gaps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_snapshots"), F.min("gap_s").alias("gap_min"), F.max("gap_s").alias("gap_max"))
     med = exact_quantiles(gaps, keys, "gap_s", {"gap_median": (0.5, "upper")}).drop("n")

@@ -67,12 +67,16 @@ def relabel_session(rows: DataFrame, tape_time: str = "last_tape_time") -> DataF
 def underlying_day(rows: DataFrame) -> DataFrame:
     """Call/put totals of a ticker-day; rows of unknown right are counted apart."""
     call, put = F.col("right") == "C", F.col("right") == "P"
-    agg = rows.groupBy("date", "ticker").agg(
+    # Raw rows meet one hash aggregate; the distinct counts then expand cells, not rows.
+    names = ("call_premium", "put_premium", "call_volume", "put_volume", "unknown_right")
+    cells = rows.groupBy("date", "ticker", "strike", "expiration").agg(
         F.sum(F.when(call, F.col("total_premium")).otherwise(0.0)).alias("call_premium"),
         F.sum(F.when(put, F.col("total_premium")).otherwise(0.0)).alias("put_premium"),
         F.sum(F.when(call, F.col("total_volume")).otherwise(0)).alias("call_volume"),
         F.sum(F.when(put, F.col("total_volume")).otherwise(0)).alias("put_volume"),
-        F.count_if(F.col("right").isNull()).alias("unknown_right"),
+        F.count_if(F.col("right").isNull()).alias("unknown_right"))
+    agg = cells.groupBy("date", "ticker").agg(
+        *[F.sum(c).alias(c) for c in names],
         F.countDistinct("strike").alias("unique_strikes"),
         F.countDistinct("expiration").alias("unique_expirations"),
     )

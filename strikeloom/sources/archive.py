@@ -98,7 +98,9 @@ def time_range(df: DataFrame, since: str | None = None, until: str | None = None
 
 def summary(df: DataFrame, column: str | None = None) -> DataFrame:
     c = time_column(df, column)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.min(c).alias("time_min"), F.max(c).alias("time_max"),
+    # One row per ticker and year first, so that the distinct counts see no raw rows.
+    parts = df.groupBy("_ticker", "_year").agg(F.count(F.lit(1)).alias("rows"), F.min(c).alias("time_min"), F.max(c).alias("time_max"))
+    return parts.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("time_min").alias("time_min"), F.max("time_max").alias("time_max"),
         F.countDistinct("_ticker").alias("n_tickers"), F.countDistinct("_year").alias("n_years"),
         F.array_join(F.array_sort(F.collect_set("_year")), ",").alias("years"))
