@@ -26,13 +26,13 @@ STATE_BETA = (
     0.791887839, -0.258052945, -0.000170497, -0.000108827,
     -0.553463898, -3.517e-06, -1.216e-06, -1.7323e-05,
 )
-STATE_TERMS = ("g", "q_g", "f", "q_f", "g_rho", "node_deliver", "node_reject", "node_touch")
 
 EWMA_SLOW = 0.9
 EWMA_FAST = 0.5
 
 KING_TOL_INDEX = 25.0     # strike tolerance for the large index
 KING_TOL_OTHER = 5.0
+INDEX_SYMBOLS = ("SPX",)  # symbols with the wide tolerance
 MATERIAL_FRAC = 0.05      # nodes at or above this share of max |V| are scored
 NEAR_TIE = 0.9
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeloom.constants import KING_TOL_OTHER, MATERIAL_FRAC, NEAR_TIE
+from strikeloom.constants import INDEX_SYMBOLS, KING_TOL_INDEX, KING_TOL_OTHER, MATERIAL_FRAC, NEAR_TIE
 from strikeloom.functions.quantiles import array_quantile, exact_quantiles
 from strikeloom.functions.scalar import ratio, ratio_or
 
@@ -47,8 +47,13 @@ def node_error(pairs: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
         ratio_or(F.col("_d") * F.col("_d"), F.col("_a") * F.col("_b"), 0.0).alias("cos2"))
 
 
+def king_tolerance(index_symbols: Sequence[str] = INDEX_SYMBOLS) -> Column:
+    """Strike tolerance of a row's ticker: wide for the index symbols."""
+    return F.when(F.col("ticker").isin(*index_symbols), F.lit(KING_TOL_INDEX)).otherwise(F.lit(KING_TOL_OTHER))
+
+
 def king_scores(pairs: DataFrame, keys: Sequence[str] = RECORD, tolerance: Column | None = None, top: int = 6) -> DataFrame:
-    tolerance = F.lit(KING_TOL_OTHER) if tolerance is None else tolerance
+    tolerance = king_tolerance() if tolerance is None else tolerance
     by_y = Window.partitionBy(*keys).orderBy(F.abs("y").desc(), "strike")
     by_v = Window.partitionBy(*keys).orderBy(F.abs("v").desc(), "strike")
     rows = pairs.withColumns({"_ry": F.row_number().over(by_y), "_rv": F.row_number().over(by_v)})
@@ -77,9 +82,9 @@ def star_scores(cells: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
         (F.count_if((F.col("_gy") == 1) & (F.col("_gc") == 1)) > 0).alias("global_star_exact"))
 
 
-def record_scores(cells: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
+def record_scores(cells: DataFrame, keys: Sequence[str] = RECORD, tolerance: Column | None = None) -> DataFrame:
     pairs = node_pairs(cells, keys)
-    return node_error(pairs, keys).join(king_scores(pairs, keys), list(keys)).join(star_scores(cells, keys), list(keys))
+    return node_error(pairs, keys).join(king_scores(pairs, keys, tolerance), list(keys)).join(star_scores(cells, keys), list(keys))
 
 
 def scorecard(scores: DataFrame, scope: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -129,7 +134,7 @@ def compare_runs(before: DataFrame, after: DataFrame, keys: Sequence[str], metri
     return out.withColumn("delta", F.col("after") - F.col("before"))
 
 
-def classify_misses(cells: DataFrame, kings: DataFrame, keys: Sequence[str] = RECORD, tolerance: float = KING_TOL_OTHER) -> DataFrame:
+def classify_misses(cells: DataFrame, kings: DataFrame, keys: Sequence[str] = RECORD, tolerance: Column | None = None) -> DataFrame:
     """Why the predicted king differs from the true one.
 
     ``cells`` hold target ``y``, weight ``a`` and basis ``g``. Only the two strikes
@@ -157,7 +162,7 @@ def classify_misses(cells: DataFrame, kings: DataFrame, keys: Sequence[str] = RE
         .when(F.col("gross_t") >= F.col("gross_p"), "sign_cancellation").otherwise("expiry_mislocation"))
     return out.join(spread, list(keys), "left").withColumns({
         "label": label, "driver_mismatch": F.col("dom_ours") != F.col("dom_true"),
-        "err_tol_units": F.abs(F.col("king_pred") - F.col("king_true")) / tolerance})
+        "err_tol_units": F.abs(F.col("king_pred") - F.col("king_true")) / (king_tolerance() if tolerance is None else tolerance)})
 
 
 def column_rank_of_star(cells: DataFrame, keys: Sequence[str] = RECORD, min_shared: int = 5) -> DataFrame:

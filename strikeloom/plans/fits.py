@@ -8,7 +8,7 @@ from strikeloom.functions.quantiles import exact_quantiles
 from strikeloom.operators import fits, grid, rows, scoring, state
 from strikeloom.plans.common import MONTH_GAP_S, d, m_cells, n, r
 from strikeloom.plans.registry import query, view
-from strikeloom.plans.scoring import kings_sql, nerr_sql, pair_cells, target
+from strikeloom.plans.scoring import kings_sql, nerr_sql, target, tolerance
 from strikeloom.plans.sources import range_frames
 from strikeloom.plans.states import _STABLE, m_features
 from strikeloom.session import materialize
@@ -168,7 +168,7 @@ def leave_one_day_out(spark, sf):
     kappa = held.groupBy(*_REC).agg((F.sum(F.col("a") * F.col("ahat")) / F.sum(F.when(F.col("a").isNotNull(), F.col("ahat") * F.col("ahat")))).alias("kappa"))
     w = held.join(kappa, _REC).select(*_REC, "expiry", (F.col("ahat") * F.coalesce("kappa", F.lit(0.0))).alias("w"))
     pairs = scoring.node_pairs(cells.join(w, [*_REC, "expiry"]).withColumn("c", F.col("w") * F.col("g")))
-    rec = materialize(scoring.node_error(pairs).join(scoring.king_scores(pairs), _REC).withColumn("fold", F.year("ts").cast("bigint")), "records")
+    rec = materialize(scoring.node_error(pairs).join(scoring.king_scores(pairs, tolerance=tolerance()), _REC).withColumn("fold", F.year("ts").cast("bigint")), "records")
     rate = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0))
     ends = rec.groupBy("fold").agg(F.count(F.lit(1)).alias("n_records"), rate("king_exact").alias("king_exact"), rate("king_in_tol").alias("king_tol"))
     ends = ends.join(exact_quantiles(rec, ["fold"], "med_ape_unscaled", {"med_ape": (0.5, "linear")}).drop("n"), "fold")
@@ -330,7 +330,7 @@ def variant_sweep(spark, sf):
     value = F.when(F.col("basis") == "flip", F.col("b_flip")).when(F.col("basis") == "oi_size", F.col("b_oi")).otherwise(F.col("g"))
     both = cells.select(*_REC, "strike", "expiry", "g", "b_flip", "b_oi", "y").join(vw, [*_REC, "expiry"]).withColumn("c", F.col("av") * value)
     keys = ["variant", *_REC]
-    k = scoring.king_scores(scoring.node_pairs(both, keys), keys)
+    k = scoring.king_scores(scoring.node_pairs(both, keys), keys, tolerance())
     return k.groupBy("variant", "ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if("king_exact").alias("n_exact"), F.count_if("king_in_tol").alias("n_tol"))
 
 
@@ -357,7 +357,7 @@ def upper_bounds(spark, sf):
     both = fits.param_rows(cells, "_i", [0, 1]).withColumn("bound", F.when(F.col("_i") == 0, "free").otherwise("joint"))
     both = both.join(bound_weights(cells), ["bound", *_REC, "expiry"], "left").withColumn("c", F.coalesce("a", F.lit(0.0)) * F.col("g"))
     keys = ["bound", *_REC]
-    k = scoring.king_scores(scoring.node_pairs(both, keys), keys)
+    k = scoring.king_scores(scoring.node_pairs(both, keys), keys, tolerance())
     return k.groupBy("bound", "ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if("king_exact").alias("n_exact"), F.count_if("king_in_tol").alias("n_tol"))
 
 
@@ -376,7 +376,7 @@ def model_evaluation(spark, sf):
         out = one if out is None else out.unionByName(one)
     keys = ["model", *_REC]
     pairs = materialize(scoring.node_pairs(out, keys), "pairs")
-    rec = materialize(scoring.node_error(pairs, keys).join(scoring.king_scores(pairs, keys), keys), "records")
+    rec = materialize(scoring.node_error(pairs, keys).join(scoring.king_scores(pairs, keys, tolerance()), keys), "records")
     rate = lambda c: F.avg(F.when(F.col(c), 1.0).otherwise(0.0))
     card = rec.groupBy("model").agg(F.count(F.lit(1)).alias("n"), rate("king_exact").alias("king_exact"), rate("king_in_tol").alias("king_tol"), F.avg("top6_overlap").alias("overlap"))
     med = exact_quantiles(rec, ["model"], "med_ape", {"med_ape": (0.5, "linear")}).drop("n")

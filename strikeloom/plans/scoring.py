@@ -14,6 +14,11 @@ SELECT v.ticker, v.ts, v.strike, v.expiry, v.g, v.a, v.c, month(v.expiry) * v.g
 view("npairs", "SELECT ticker, ts, strike, sum(y) AS y, sum(c) AS v FROM tcells GROUP BY ALL")
 
 
+def tolerance():
+    """The ticker R stands for the index."""
+    return scoring.king_tolerance(("R",))
+
+
 def target(df):
     return df.withColumn("y", F.month("expiry") * F.col("g") + F.lit(10.0) * (F.col("call_oi") - F.col("put_oi")))
 
@@ -40,7 +45,7 @@ def kings_sql(src: str, keys: str = "ticker, ts") -> str:
     return f"""
 SELECT {keys}, max(CASE WHEN ry = 1 THEN strike END) AS king_true, max(CASE WHEN rv = 1 THEN strike END) AS king_pred, count(*) FILTER (ry <= 6 AND rv <= 6) AS top6_overlap,
   max(CASE WHEN ry = 1 THEN strike END) = max(CASE WHEN rv = 1 THEN strike END) AS king_exact,
-  abs(max(CASE WHEN ry = 1 THEN strike END) - max(CASE WHEN rv = 1 THEN strike END)) <= 5 AS king_in_tol
+  abs(max(CASE WHEN ry = 1 THEN strike END) - max(CASE WHEN rv = 1 THEN strike END)) <= CASE WHEN ticker = 'R' THEN 25 ELSE 5 END AS king_in_tol
 FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY abs(y) DESC, strike) AS ry, row_number() OVER (PARTITION BY {keys} ORDER BY abs(v) DESC, strike) AS rv FROM {src}) GROUP BY {keys}"""
 
 
@@ -67,13 +72,13 @@ def node_error(spark, sf):
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, king_true, king_pred, king_exact, king_in_tol, star_total, star_exact, star_top3, global_star_exact FROM rscore""")
 def king_star(spark, sf):
     cells = pair_cells(spark, sf)
-    s = scoring.king_scores(scoring.node_pairs(cells)).join(scoring.star_scores(cells), ["ticker", "ts"])
+    s = scoring.king_scores(scoring.node_pairs(cells), tolerance=tolerance()).join(scoring.star_scores(cells), ["ticker", "ts"])
     return s.select("ticker", d("ts").alias("ts"), "king_true", "king_pred", "king_exact", "king_in_tol", "star_total", "star_exact", "star_top3", "global_star_exact")
 
 
 @query("top_9_top6_overlap", "SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, top6_overlap FROM kscore")
 def overlap(spark, sf):
-    return scoring.king_scores(scoring.node_pairs(pair_cells(spark, sf))).select("ticker", d("ts").alias("ts"), "top6_overlap")
+    return scoring.king_scores(scoring.node_pairs(pair_cells(spark, sf)), tolerance=tolerance()).select("ticker", d("ts").alias("ts"), "top6_overlap")
 
 
 @query("top_8_rank_of_column_star", """
@@ -95,7 +100,7 @@ _CARD_COLS = ("king_exact_rate", "king_tol_rate", "overlap_mean", "global_star_r
 
 
 def card(spark, sf, gamma=0.7):
-    return scoring.scorecard(materialize(scoring.record_scores(pair_cells(spark, sf, gamma)), "scores"), F.year("ts"))
+    return scoring.scorecard(materialize(scoring.record_scores(pair_cells(spark, sf, gamma), tolerance=tolerance()), "scores"), F.year("ts"))
 
 
 @query("agg_21_scorecard", _CARD)
@@ -107,7 +112,7 @@ def scorecard(spark, sf):
 SELECT coalesce(ticker, 'all') AS "row", coalesce(yr, 'all') AS "col", count(*) AS n, count(*) FILTER (king_exact) AS n_exact, count(*) FILTER (king_in_tol) AS n_tol,
   round(count(*) FILTER (king_exact) / count(*)::DOUBLE, 6) AS exact_rate FROM (SELECT *, year(ts)::VARCHAR AS yr FROM kscore) GROUP BY CUBE (ticker, yr)""")
 def cross_tab(spark, sf):
-    k = scoring.king_scores(scoring.node_pairs(pair_cells(spark, sf)))
+    k = scoring.king_scores(scoring.node_pairs(pair_cells(spark, sf)), tolerance=tolerance())
     return scoring.cross_tab(k, F.col("ticker"), F.year("ts")).select("row", "col", "n", "n_exact", "n_tol", r("exact_rate").alias("exact_rate"))
 
 
@@ -117,7 +122,7 @@ SELECT metric, round(measured, 6) AS measured, bar::DOUBLE AS bar, met FROM (
   UNION ALL SELECT 'node_med_ape', m, 0.1, m <= 0.1 FROM (SELECT list_sort(list(med_ape))[count(*) // 2 + 1] AS m FROM rscore)
   UNION ALL SELECT 'session_days', count(DISTINCT ts), 20, count(DISTINCT ts) >= 20 FROM rscore)""")
 def gate(spark, sf):
-    scores = materialize(scoring.record_scores(pair_cells(spark, sf)), "scores")
+    scores = materialize(scoring.record_scores(pair_cells(spark, sf), tolerance=tolerance()), "scores")
     days = scores.agg(F.countDistinct("ts").alias("days"))
     c = scoring.scorecard(scores, F.year("ts")).join(F.broadcast(days))
     return scoring.gate(c, n_days=F.col("days")).select("metric", r("measured").alias("measured"), "bar", "met")
@@ -125,7 +130,7 @@ def gate(spark, sf):
 
 view("misses", """
 SELECT m.*, s.a_spread, CASE WHEN king_true = king_pred THEN 'exact' WHEN y_t > 0 AND y_p >= 0.9 * y_t THEN 'near_tie_intrinsic' WHEN o_p > 0 AND o_t >= 0.9 * o_p THEN 'near_tie_ours'
-    WHEN gross_t >= gross_p THEN 'sign_cancellation' ELSE 'expiry_mislocation' END AS label, dom_ours <> dom_true AS driver_mismatch, abs(king_pred - king_true) / 5.0::DOUBLE AS err_tol_units FROM (
+    WHEN gross_t >= gross_p THEN 'sign_cancellation' ELSE 'expiry_mislocation' END AS label, dom_ours <> dom_true AS driver_mismatch, abs(king_pred - king_true) / CASE WHEN ticker = 'R' THEN 25.0::DOUBLE ELSE 5.0::DOUBLE END AS err_tol_units FROM (
   SELECT c.ticker, c.ts, k.king_true, k.king_pred, abs(coalesce(sum(y) FILTER (c.strike = king_true), 0)) AS y_t, abs(coalesce(sum(y) FILTER (c.strike = king_pred), 0)) AS y_p,
     abs(coalesce(sum(c.c) FILTER (c.strike = king_true), 0)) AS o_t, abs(coalesce(sum(c.c) FILTER (c.strike = king_pred), 0)) AS o_p,
     coalesce(sum(abs(a * g)) FILTER (c.strike = king_true), 0) AS gross_t, coalesce(sum(abs(a * g)) FILTER (c.strike = king_pred), 0) AS gross_p,
@@ -138,8 +143,8 @@ LEFT JOIN (SELECT ticker, ts, max(abs(a)) / min(abs(a)) AS a_spread FROM tcells
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, label, driver_mismatch, round(err_tol_units, 6) AS err_tol_units, round(ln(a_spread), 6) AS log_spread FROM misses""")
 def taxonomy(spark, sf):
     cells = pair_cells(spark, sf)
-    kings = scoring.king_scores(scoring.node_pairs(cells))
-    return scoring.classify_misses(cells, kings).select(
+    kings = scoring.king_scores(scoring.node_pairs(cells), tolerance=tolerance())
+    return scoring.classify_misses(cells, kings, tolerance=tolerance()).select(
         "ticker", d("ts").alias("ts"), "label", "driver_mismatch", r("err_tol_units").alias("err_tol_units"), r(F.ln("a_spread")).alias("log_spread"))
 
 
@@ -148,7 +153,7 @@ SELECT label, count(*) AS n, count(*) FILTER (driver_mismatch) AS n_mismatch, ro
   round(list_sort(list(err_tol_units))[CAST(floor(0.9::DOUBLE * (count(*) - 1)) AS BIGINT) + 1], 6) AS err_p90 FROM misses GROUP BY label""")
 def miss_summary(spark, sf):
     cells = pair_cells(spark, sf)
-    m = materialize(scoring.classify_misses(cells, scoring.king_scores(scoring.node_pairs(cells))), "misses")
+    m = materialize(scoring.classify_misses(cells, scoring.king_scores(scoring.node_pairs(cells), tolerance=tolerance()), tolerance=tolerance()), "misses")
     base = m.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("driver_mismatch").alias("n_mismatch"))
     q = exact_quantiles(m, ["label"], "err_tol_units", {"err_p50": (0.5, "upper"), "err_p90": (0.9, "lower")}).drop("n")
     return base.join(q, "label").select("label", "n", "n_mismatch", r("err_p50").alias("err_p50"), r("err_p90").alias("err_p90"))
@@ -169,7 +174,7 @@ SELECT ticker, metric, round(before, 6) AS before, round(after, 6) AS after, rou
   UNION ALL SELECT b.ticker, 'overlap', b.e, a.e FROM (SELECT ticker, avg(top6_overlap) AS e FROM kscore_1 GROUP BY ticker) b JOIN (SELECT ticker, avg(top6_overlap) AS e FROM kscore GROUP BY ticker) a USING (ticker))""")
 def compare_runs(spark, sf):
     def one(gamma):
-        k = scoring.king_scores(scoring.node_pairs(pair_cells(spark, sf, gamma)))
+        k = scoring.king_scores(scoring.node_pairs(pair_cells(spark, sf, gamma)), tolerance=tolerance())
         return k.groupBy("ticker").agg(F.avg(F.when(F.col("king_exact"), 1.0).otherwise(0.0)).alias("exact"), F.avg("top6_overlap").alias("overlap"))
     return scoring.compare_runs(one(1.0), one(0.7), ["ticker"], ["exact", "overlap"]).select(
         "ticker", "metric", r("before").alias("before"), r("after").alias("after"), r("delta").alias("delta"))
