@@ -201,7 +201,26 @@ def trajectory(spark, sf):
     return out.select("ticker", d("ts").alias("ts"), "frame", n("n_expiries").alias("n_expiries"), r("r2", 5).alias("r2"))
 
 
-@query("fit_15_basis_comparison")
+_SIGNED = "CASE WHEN {0}_ask_vol > {0}_bid_vol THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+view("basis_cells", f"""
+SELECT * FROM (
+  SELECT basis, c.ticker, c.ts, f.frame, c.strike, c.expiry, f.value AS y, CASE basis WHEN 'net' THEN call_gex - put_gex WHEN 'gross' THEN call_gex + put_gex
+    WHEN 'flip' THEN {_SIGNED.format('call')} * abs(call_gex) - {_SIGNED.format('put')} * abs(put_gex)
+    ELSE {_SIGNED.format('call')} * (call_volume + 0.5::DOUBLE * call_oi) - {_SIGNED.format('put')} * (put_volume + 0.5::DOUBLE * put_oi) END AS g
+  FROM cells_m c JOIN rframes f USING (ticker, ts, strike) CROSS JOIN (VALUES ('net'), ('gross'), ('flip'), ('oi_size')) v(basis)) WHERE g <> 0""")
+view("basis_aug", _augmented("", "", "basis, ticker, ts, frame", "SELECT * FROM basis_cells", "1e-3::DOUBLE * trace / ne"))
+view("basis_gj", _solve("basis_aug", "basis_gj", "basis, ticker, ts, frame"))
+view("basis_sol", """
+SELECT basis, ticker, ts, frame, len(es) AS n_expiries, lam, bs, list_transform(m, lambda row: row[len(row)]) AS a FROM basis_gj WHERE k = len(m) + 1""")
+view("basis_r2", """
+SELECT s.basis, CASE WHEN st > 0 THEN 1 - (yy - list_dot_product(a, bs) - lam * list_dot_product(a, a)) / st ELSE 0 END AS r2
+FROM basis_sol s JOIN (SELECT ticker, ts, frame, sum(value * value) AS yy, sum(value * value) - sum(value) * sum(value) / count(*) AS st, max(abs(value)) AS top FROM rframes GROUP BY ALL) n USING (ticker, ts, frame)
+WHERE top > 0 AND n_expiries >= 2""")
+
+
+@query("fit_15_basis_comparison", """
+SELECT basis, count(*) AS n, round(list_sort(list(r2))[count(*) // 2 + 1], 4) AS r2_median, round(list_sort(list(r2))[count(*) // 4 + 1], 4) AS r2_p25,
+  round(list_sort(list(r2))[least(CAST(floor(count(*) * 0.75::DOUBLE) AS BIGINT), count(*) - 1) + 1], 4) AS r2_p75 FROM basis_r2 GROUP BY basis""")
 def basis_comparison(spark, sf):
     cells = target_cells(spark, sf)
     frames = _frames(spark, sf, cells)
