@@ -6,7 +6,7 @@ from strikeloom import adapters
 from strikeloom.operators import ranking
 from strikeloom.plans.common import d, m_cells, n, r, t
 from strikeloom.plans.registry import query, view
-from strikeloom.session import materialize, scratch_dir
+from strikeloom.session import materialize, scratch_dir, table
 from strikeloom.sources import archive, captures, sinks
 
 
@@ -231,3 +231,18 @@ SELECT ticker AS symbol, strftime(ts, '%Y-%m-%d') AS day, strftime(expiry, '%Y-%
 def column_kings(spark, sf):
     return captures.column_kings(_matrix(spark, sf)).select(
         "symbol", _day("asOf").alias("day"), "expiry", "strike", r(F.abs("value"), 4).alias("value_abs"))
+
+
+@query("fn_json_unwrap", """
+SELECT kind, CAST(sum(n) AS BIGINT) AS rows, sum(CASE WHEN kind < 4 THEN n END) IS NOT NULL AS found, round(sum(v), 2) + 0.0 AS value FROM (
+  SELECT o_orderkey % 6 AS kind, CASE WHEN o_orderkey % 6 < 4 THEN 2 ELSE 0 END AS n, CASE WHEN o_orderkey % 6 < 4 THEN 2 * o_custkey ELSE 0 END AS v FROM orders) GROUP BY kind""")
+def json_unwrap(spark, sf):
+    """Replies in six forms, four of which hold rows."""
+    o = table(spark, sf, "orders")
+    kind = F.col("o_orderkey") % 6
+    rows = F.to_json(F.array(*[F.struct(F.col("o_orderpriority").alias("expires"), F.col("o_custkey").alias("v")) for _ in range(2)]))
+    body = (F.when(kind == 0, rows).when(kind == 1, F.concat(F.lit('{"data": '), rows, F.lit("}"))).when(kind == 2, F.concat(F.lit('{"data": {"chains": '), rows, F.lit("}}")))
+            .when(kind == 3, F.concat(F.lit('{"chains": '), rows, F.lit("}"))).when(kind == 4, F.lit('{"error": "no such ticker"}')).otherwise(F.lit("not json")))
+    out = o.select(kind.alias("kind"), captures.unwrap_rows(body, "struct<expires: string, v: bigint>").alias("rows"))
+    out = out.select("kind", F.size("rows").alias("n"), F.aggregate("rows", F.lit(0).cast("bigint"), lambda a, x: a + x["v"]).alias("v"))
+    return out.groupBy("kind").agg(n(F.sum("n")).alias("rows"), (F.sum("n") > 0).alias("found"), r(F.sum("v"), 2).alias("value"))

@@ -24,6 +24,19 @@ def _read(spark: SparkSession, path: str, schema: str, multi_line: bool) -> Data
         "file", F.col("_metadata.file_path"))
 
 
+def unwrap_rows(body, row: str) -> Column:
+    """Rows of a reply that may be a bare list, or hold it under ``data``, ``data.chains`` or ``chains``.
+
+    ``row`` is the type of one row. Other replies, and text that is no JSON, give an empty array.
+    """
+    body = F.col(body) if isinstance(body, str) else body
+    places = [body, *(F.get_json_object(body, path) for path in ("$.data", "$.data.chains"))]
+    # A reply with ``data`` is read from there only; without it, the reply itself may hold ``chains``.
+    bare = F.when(places[1].isNull(), F.get_json_object(body, "$.chains"))
+    found = F.coalesce(*[F.when(F.ltrim(p).startswith("["), p) for p in (*places, bare)])
+    return F.coalesce(F.from_json(found, f"array<{row}>"), F.array().cast(f"array<{row}>"))
+
+
 def read_matrix(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """One row per symbol of each capture."""
     return _read(spark, path, MATRIX_SCHEMA, multi_line).select(
