@@ -14,7 +14,7 @@ Spark rounds:
 1. Each window of ``window`` words chooses one symbol that it determines, the one with the
    most letters. The chosen symbols are gathered by name; those of at least two
    documents are shared. A window whose symbol is not shared occurs in one document only.
-2. Windows with a shared symbol are verified: their 128-bit names are gathered and the
+2. Windows with a shared symbol are verified: their 96-bit names are gathered and the
    least document of each is found.
 3. Words covered by a window that also starts in a smaller document are removed.
 
@@ -184,14 +184,18 @@ ANSWER = "batch long, round int, range int, bits binary"
 
 
 def pack(batch: int, ranges: int, names: np.ndarray, low: np.ndarray, high: np.ndarray, second: np.ndarray | None = None) -> pa.Table:
-    """Entries cut into name ranges; ``names`` ascends."""
-    cut = np.searchsorted(names, [np.uint64((r * 2**64) // ranges) for r in range(ranges)])
-    cut = np.append(cut, names.size)
-    rows = [(r, slice(int(cut[r]), int(cut[r + 1]))) for r in range(ranges) if cut[r] < cut[r + 1]]
+    """Entries cut into name ranges; ``names`` ascends. ``second`` adds 32 bits to each name."""
+    rows = _ranges(names, low, ranges)
     named = [names[x].tobytes() + (second[x].tobytes() if second is not None else b"") for _, x in rows]
     return pa.table({
         "range": pa.array([r for r, _ in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "names": pa.array(named, pa.binary()),
-        "low": pa.array([low[x].tobytes() for _, x in rows], pa.binary()), "more": pa.array([(high[x] - low[x]).tobytes() for _, x in rows], pa.binary())})
+        "low": pa.array([np.diff(low[x], prepend=0).tobytes() for _, x in rows], pa.binary()), "more": pa.array([(high[x] - low[x]).tobytes() for _, x in rows], pa.binary())})
+
+
+def _ranges(names: np.ndarray, low: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
+    """Name ranges that hold entries, and the entries of each by rising document, whose differences take little room."""
+    cut = np.append(np.searchsorted(names, [np.uint64((r * 2**64) // ranges) for r in range(ranges)]), names.size).tolist()
+    return [(r, a + np.lexsort((names[a:b], low[a:b]))) for r, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
 
 
 def _gather(round_no: int):
@@ -200,18 +204,18 @@ def _gather(round_no: int):
     def run(table: pa.Table) -> pa.Table:
         batches = table.column("batch").to_numpy()
         order = np.argsort(batches, kind="stable")
-        low = [np.frombuffer(table.column("low")[int(i)].as_py(), np.int64) for i in order]
+        low = [np.cumsum(np.frombuffer(table.column("low")[int(i)].as_py(), np.int64)) for i in order]
         more = [np.frombuffer(table.column("more")[int(i)].as_py(), np.int64) for i in order]
-        raw = [np.frombuffer(table.column("names")[int(i)].as_py(), np.uint64) for i in order]
+        raw = [table.column("names")[int(i)].as_py() for i in order]
         sizes = np.array([x.size for x in low])
         lows, highs = np.concatenate(low), np.concatenate(low) + np.concatenate(more)
         if round_no == 1:
-            _, back = np.unique(np.concatenate(raw), return_inverse=True)
+            _, back = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in raw]), return_inverse=True)
         else:
-            pairs = np.empty(int(sizes.sum()), [("a", np.uint64), ("b", np.uint64)])
-            pairs["a"], pairs["b"] = np.concatenate([x[:n] for x, n in zip(raw, sizes)]), np.concatenate([x[n:] for x, n in zip(raw, sizes)])
-            rank = np.lexsort((pairs["b"], pairs["a"]))
-            new = np.append(True, pairs[rank][1:] != pairs[rank][:-1])
+            one = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(raw, sizes)])
+            two = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(raw, sizes)])
+            rank = np.lexsort((two, one))
+            new = np.append(True, (one[rank][1:] != one[rank][:-1]) | (two[rank][1:] != two[rank][:-1]))
             back = np.empty(rank.size, np.int64)
             back[rank] = np.cumsum(new) - 1
         least = np.full(int(back.max()) + 1, NO_ID)
@@ -230,14 +234,13 @@ def _gather(round_no: int):
     return run
 
 
-def _flags(answers: pa.Table, round_no: int, names: np.ndarray, ranges: int) -> np.ndarray:
-    """The answers to ``names`` (ascending), one boolean each."""
+def _flags(answers: pa.Table, round_no: int, names: np.ndarray, low: np.ndarray, ranges: int) -> np.ndarray:
+    """The answers to what ``pack`` sent for ``names`` and ``low``, one boolean each."""
     out = np.zeros(names.size, bool)
-    cut = np.append(np.searchsorted(names, [np.uint64((r * 2**64) // ranges) for r in range(ranges)]), names.size)
+    sent = dict(_ranges(names, low, ranges))
     for key, number, bits in zip(answers.column("range").to_pylist(), answers.column("round").to_pylist(), answers.column("bits").to_pylist()):
         if number == round_no:
-            a, b = int(cut[key]), int(cut[key + 1])
-            out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            out[sent[key]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=sent[key].size).astype(bool)
     return out
 
 
@@ -247,13 +250,13 @@ def _chosen(b: Batch, window: int, rounds: int):
 
 
 def _candidates(b: Batch, answers: pa.Table, window: int, rounds: int, ranges: int):
-    """Windows with a shared symbol, and the 128-bit names of their words."""
-    distinct, _, _, back = _chosen(b, window, rounds)
-    picked = np.flatnonzero(_flags(answers, 1, distinct, ranges)[back])
+    """Windows with a shared symbol, and the 96-bit names of their words."""
+    distinct, low, _, back = _chosen(b, window, rounds)
+    picked = np.flatnonzero(_flags(answers, 1, distinct, low, ranges)[back])
     at = b.windows[picked]
     other = word_names(b.values, b.starts, b.ends, seed=2)
     one = combine(*[b.names[at + i] for i in range(window)])
-    two = combine(*[other[at + i] for i in range(window)])
+    two = (combine(*[other[at + i] for i in range(window)]) >> np.uint64(32)).astype(np.uint32)
     rank = np.lexsort((two, one))
     new = np.ones(rank.size, bool)
     new[1:] = (one[rank][1:] != one[rank][:-1]) | (two[rank][1:] != two[rank][:-1])
@@ -298,7 +301,7 @@ def _remove(window: int, rounds: int, ranges: int, texts: bool):
             ids = b.ids[b.owner[picked]]
             low = np.full(one.size, NO_ID)
             np.minimum.at(low, back, ids)
-            before = _flags(answers, 2, one, ranges) if one.size else np.zeros(0, bool)
+            before = _flags(answers, 2, one, low, ranges) if one.size else np.zeros(0, bool)
             hit = b.windows[picked[before[back] | (low[back] < ids)]] if one.size else np.zeros(0, np.int64)
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + window, -1)
