@@ -18,12 +18,12 @@ threshold share none with a probability of 3e-6. Equal bags are one node from th
 
 1. Every bucket's members are compared with its least member: pairs grow with documents,
    not with the squares of buckets.
-2. That comparison also tells, one bit each, which shingles of the least member a
-   document holds. Where the members compared with one least member are not in one class
-   by then, two members of different classes share at most the shingles that both bit rows
-   have plus the smaller number of shingles outside. Pairs whose quotient can still reach
-   the threshold are compared. Large sets of members are cut into blocks, and pairs of
-   blocks are the tasks; only pairs that pass leave a task.
+2. That comparison also describes a document by the least member: one bit for each shingle
+   of that one, and 32-bit names of the shingles outside. Where the members compared with
+   one least member are not in one class by then, all pairs of different classes are
+   compared by these descriptions, whose overlap is never below the true one. Large sets of
+   members are cut into blocks, and pairs of blocks are the tasks; of the pairs that reach the
+   threshold, a task sends those that join classes it has not joined yet.
 
 Every link is verified on the bags themselves. Classes are connected components.
 
@@ -138,7 +138,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared and joint bag size of every pair (a, b, text_a, text_b), the bag size of b, and which units of a's bag b has."""
+    """Shared and joint bag size of every pair (a, b, text_a, text_b), the bag size of b, which units of a's
+    bag b has, and names of b's units outside. A unit is a shingle and the number of its copy."""
     for batch in passes(passes(batches, "text_a"), "text_b"):
         n = batch.num_rows
         oa, na, ca = bags(*utf8(batch.column(2)))
@@ -154,14 +155,21 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = copy < np.repeat(have, ca)
         ends = np.cumsum(units)
         packed = [np.packbits(bits[e - u:e]).tobytes() for u, e in zip(units.tolist(), ends.tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(units + size - both), pa.array(size), pa.array(packed, pa.binary())], ["a", "b", "both", "every", "n", "bits"])
+        held = np.zeros(kb.size, np.int64)
+        held[ib] = np.minimum(ca[ia], cb[ib])
+        outside = cb - held
+        number = np.arange(int(outside.sum())) - np.repeat(np.cumsum(outside) - outside, outside) + np.repeat(held, outside)
+        extra = (mix(np.repeat(nb, outside) + number.astype(np.uint64) * np.uint64(MIX_A)) >> np.uint64(32)).astype(np.uint32)
+        stops = np.cumsum(size - both)
+        named = [extra[e - u:e].tobytes() for u, e in zip((size - both).tolist(), stops.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(units + size - both), pa.array(size), pa.array(packed, pa.binary()), pa.array(named, pa.binary())], ["a", "b", "both", "every", "n", "bits", "extra"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the shared and the joint size of their bags; ``texts`` (id, text) holds all their texts."""
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, both long, every long, n long, bits binary")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, both long, every long, n long, bits binary, extra binary")
 
 
 def _is_link():
@@ -169,27 +177,45 @@ def _is_link():
 
 
 def _cross(table: pa.Table) -> pa.Table:
-    """Pairs of a block, or of two blocks, that are in different classes and can be links by the bit rows."""
+    """Links between different classes among the members of a block, or of two, by their descriptions; as few as join the same classes."""
     side, ids, label, n, both = (table.column(c).to_numpy() for c in ("side", "id", "label", "n", "both"))
     rows = table.column("bits").to_pylist()
     width = -(-len(rows[0]) // 8) * 8
     bits = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint64).reshape(len(rows), width // 8)
+    names = [np.frombuffer(x, np.uint32) for x in table.column("extra").to_pylist()]
+    flat, owner = np.concatenate(names), np.repeat(np.arange(len(names)), [x.size for x in names])
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = two.size == 0
     two = one if alone else two
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
     out_a, out_b = [], []
     for i in one.tolist():
         rest = two[(label[two] != label[i]) & ((ids[two] > ids[i]) | (not alone))]
-        most = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64) + np.minimum(n[rest] - both[rest], n[i] - both[i])
-        found = ids[rest[most * DENOMINATOR >= (n[rest] + n[i] - most) * NUMERATOR]]
-        out_a.append(np.minimum(found, ids[i]))
-        out_b.append(np.maximum(found, ids[i]))
-    return pa.table({"a": pa.array(np.concatenate(out_a) if out_a else [], pa.int64()), "b": pa.array(np.concatenate(out_b) if out_b else [], pa.int64())})
+        inside = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64)
+        most = inside + np.minimum(n[rest] - both[rest], n[i] - both[i])
+        near = most * DENOMINATOR >= (n[rest] + n[i] - most) * NUMERATOR
+        rest, inside = rest[near], inside[near]
+        if not rest.size:
+            continue
+        common = np.bincount(owner[np.isin(flat, names[i])], minlength=len(names))[rest] + inside
+        for j in rest[common * DENOMINATOR >= (n[rest] + n[i] - common) * NUMERATOR].tolist():
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                out_a.append(min(int(ids[i]), int(ids[j])))
+                out_b.append(max(int(ids[i]), int(ids[j])))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs that the first comparison left open, from its result (a: least member, b: member) and the classes by then."""
-    placed = stars.select("a", F.col("b").alias("id"), "n", "both", "bits").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
+    placed = stars.select("a", F.col("b").alias("id"), "n", "both", "bits", "extra").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
     placed = placed.withColumn("label", F.coalesce("label", "id"))
     mixed = placed.groupBy("a").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     open_ = placed.join(mixed.select("a", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "a")
@@ -197,7 +223,7 @@ def rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
     # A block meets itself and every other block of its set once.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     spread = open_.select("*", F.explode(meets).alias("meet"))
-    spread = spread.select("a", "meet.x", "meet.y", (F.col("block") != F.col("meet.x")).cast("int").alias("side"), "id", "label", "n", "both", "bits")
+    spread = spread.select("a", "meet.x", "meet.y", (F.col("block") != F.col("meet.x")).cast("int").alias("side"), "id", "label", "n", "both", "bits", "extra")
     return spread.groupBy("a", "x", "y").applyInArrow(_cross, "a long, b long").distinct()
 
 
