@@ -7,6 +7,7 @@ earlier chunks contribute. The per-chunk summaries are small.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from strikeloom.functions.scalar import col
 
-_BLOCK = 30.0  # decay exponent held by one block; e^30 stays far from overflow
-_BACK = 50  # e^(-30 * 50) times the largest double is below the smallest one
+_BLOCK = 300.0  # decay exponent held by one block; e^300 leaves room for inputs to 1e177
+_BACK = 4  # e^(-300 * 5) times the largest double is below the smallest one
 
 
 def order_prefix(value) -> Column:
@@ -108,9 +109,10 @@ def ewma_scan(df: DataFrame, keys: Sequence[str], order: str, values: dict[str,
 
     ``values`` maps each output to its input, ``decay`` and ``start`` are SQL
     expressions; all outputs share the decay and the restarts. Closed form over
-    windows, cut into blocks of decay exponent so that no power overflows. The sums
-    of the ``_BACK`` blocks before a row's own are carried one by one; anything
-    older is below the smallest double whatever its size, also in the recursion.
+    windows, cut into blocks of decay exponent so that no power overflows (inputs
+    below 1e177). The sums of the ``_BACK`` blocks before a row's own are carried;
+    anything older is below the smallest double whatever its size, also in the
+    recursion.
     """
     key, b = ", ".join(keys), _BLOCK
     run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -120,17 +122,15 @@ def ewma_scan(df: DataFrame, keys: Sequence[str], order: str, values: dict[str,
     src = src.selectExpr("*", f"sum(_d) OVER (PARTITION BY {key}, _seg ORDER BY {order} {run}) AS _cum")
     gain = f"(CASE WHEN _start THEN 1D ELSE -expm1(-_d) END) * exp(_cum - floor(_cum / {b}D) * {b}D)"
     src = src.selectExpr("*", f"floor(_cum / {b}D) AS _blk", *[f"{x} * {gain} AS {name}" for name, x in xs.items()])
-    # Sums inside the block so far; the last row of a block holds the block's sums.
-    src = src.selectExpr(
-        "*", f"lead(_blk) OVER (PARTITION BY {key}, _seg ORDER BY {order}) AS _next",
-        *[f"sum({x}) OVER (PARTITION BY {key}, _seg, _blk ORDER BY {order} {run}) AS _in{x}" for x in xs])
-    sums = ", ".join(f"_in{x}" for x in xs)
-    past = f"collect_list(CASE WHEN _next IS NULL OR _next <> _blk THEN struct(_blk AS b, {sums}) END)"
-    src = src.selectExpr("*", f"{past} OVER (PARTITION BY {key}, _seg ORDER BY _blk RANGE BETWEEN {_BACK} PRECEDING AND 1 PRECEDING) AS _past")
 
     def carried(x):
-        return f"_in{x} + aggregate(_past, 0D, (a, p) -> a + p._in{x} * exp((p.b - _blk) * {b}D))"
-
-    helpers = ", ".join(["_start", "_seg", "_d", "_cum", "_blk", "_next", "_past", *xs, *[f"_in{x}" for x in xs]])
+        parts = [f"sum({x}) OVER (PARTITION BY {key}, _seg, _blk ORDER BY {order} {run})"]
+        for back in range(1, _BACK + 1):
+            frame = f"RANGE BETWEEN {back} PRECEDING AND {back} PRECEDING"
+            half = f"{math.exp(-b * back / 2)!r}D"  # the whole factor would underflow before it meets a large sum
+            parts.append(f"coalesce(sum({x}) OVER (PARTITION BY {key}, _seg ORDER BY _blk {frame}), 0D) * {half} * {half}")
+        return " + ".join(parts)
+
+    helpers = ", ".join(["_start", "_seg", "_d", "_cum", "_blk", *xs])
     return src.selectExpr(f"* EXCEPT ({helpers})", *[
         f"exp(_blk * {b}D - _cum) * ({carried(x)}) AS {out}" for out, x in zip(values, xs)])
