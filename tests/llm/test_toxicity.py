@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -89,3 +90,53 @@ def test_odd_tables(odd, empty, spark):
     assert toxicity.score(empty, toxicity.train(empty, one)).count() == 0
     both = spark.createDataFrame([(4, 1), (6, 0), (9, 0), (5, 0)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.train(odd, both)).count() == odd.count()
+
+
+def summed_tail(t, r):
+    """P(T_r > t) by summing over T_r = -r ln Gamma(r) + Gamma(r - 1) on a fine grid."""
+    w = np.linspace(min(math.log(r) - 12 / math.sqrt(r), -t / r) - 20 / r, math.log(r) + 12 / math.sqrt(r), 40_001)
+    p = np.exp(r * w - np.exp(w) - math.lgamma(r)) * (w[1] - w[0])
+    z = np.maximum(t + r * w, 0.0)
+    log_z = np.log(np.maximum(z, 1e-300))
+    q = sum(np.exp(k * log_z - z - math.lgamma(k + 1)) for k in range(r - 1))
+    return float((p * np.where(z > 0, q, 1.0)).sum())
+
+
+def test_tail_of_the_sum_against_integration():
+    r = np.array([2, 3, 5, 12, 40, 150])
+    mean = np.array([-sum(1 / k for k in range(1, x)) * x + 0.5772156649 * x + x - 1 for x in r])
+    for above in (0.5, 2.0, 6.0, 15.0):
+        t = mean + above * np.sqrt(2 * r)
+        want = np.log([summed_tail(*x) for x in zip(t, r.tolist())])
+        assert np.allclose(toxicity.log_tail(t, r), want, atol=0.02), above
+    one = toxicity.log_tail(np.array([-3.0, 0.0, 40.0]), np.array([1, 1, 1]))
+    assert np.allclose(one, [0.0, math.log(1 - math.exp(-1)), -40.0], atol=1e-8)
+    # Far out the tail is that of the known formula.
+    t, r = np.full(3, 4e4), np.array([2, 4, 9])
+    known = [-x + (k - 1) * math.log(x) - math.lgamma(k + 1) - math.lgamma(k) for x, k in zip(t, r.tolist())]
+    assert np.allclose(toxicity.log_tail(t, r), known, atol=0.05)
+
+
+def test_clean_long_documents_have_no_evidence():
+    """Segments by the fitted law: expectations are arrivals of a unit Poisson process up to K n."""
+    rng = np.random.default_rng(5)
+    zero = np.zeros(1)
+    model = toxicity.Model(zero, zero, zero, zero, 0.1, lam=1.3, log_k=math.log(1e-3))
+    for tokens in (10_000, 16_000, 100_000, 1_000_000):
+        kn = 1e-3 * tokens
+        seen = []
+        for _ in range(300):
+            arrivals = rng.uniform(0, kn, rng.poisson(kn))
+            seen.append(toxicity.evidence(model, np.log(kn / arrivals) / model.lam, tokens))
+        seen = np.array(seen)
+        # Over all r the chance of an evidence above e is at most 2 exp(-e).
+        assert np.median(seen) < 1.5 and np.mean(seen > 3) <= 0.1 + 0.06, (tokens, np.median(seen))
+        planted = np.append(np.log(kn / arrivals), np.full(60, math.log(kn) + 1.5)) / model.lam
+        assert toxicity.evidence(model, planted, tokens) > 40
+
+
+def test_every_segment_enters_the_evidence():
+    zero = np.zeros(1)
+    model = toxicity.Model(zero, zero, zero, zero, 0.1)
+    some, more = (toxicity.evidence(model, np.full(k, 3.0), 1) for k in (32, 200))
+    assert more > 5 * some
