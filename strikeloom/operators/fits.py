@@ -447,23 +447,42 @@ def packed_columns(rows: DataFrame, names: Sequence[str], keys: Sequence[str], t
 
 
 def standardization(rows: DataFrame, names: Sequence[str], mask: str = "g") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of every feature; a constant one has its value and 1, so that it becomes 0."""
     used = rows.where(F.col(mask) != 0)
-    one = used.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(names)]).first()
-    k = len(names)
-    means = np.array([one[f"m{i}"] for i in range(k)], dtype=float)
-    return means, np.sqrt(np.maximum(np.array([one[f"v{i}"] for i in range(k)], dtype=float), 1e-30))
+    one = used.agg(*[fn(c).alias(f"{p}{i}") for i, c in enumerate(names) for p, fn in (("m", F.avg), ("v", F.var_pop), ("a", F.min), ("b", F.max))]).first()
+    means, var, low, high = (np.array([one[f"{p}{i}"] for i in range(len(names))], dtype=float) for p in "mvab")
+    return np.where(low == high, low, means), np.where(low == high, 1.0, np.sqrt(np.maximum(var, 1e-30)))
+
+
+def ridge_solution(gram: np.ndarray, rhs: np.ndarray, ridge: float) -> np.ndarray:
+    """(gram + ridge) theta = rhs for a right-hand side in the range of gram.
+
+    Directions of exactly dependent features hold only rounding, far above a small ridge; they are left out.
+    """
+    scale = np.sqrt(np.diag(gram) + ridge)
+    unit = gram / np.outer(scale, scale)
+    values, vectors = np.linalg.eigh((unit + unit.T) / 2)
+    null = vectors[:, values <= 1e-13 * len(rhs) * max(values[-1], 0.0)] / scale[:, None]
+    q = np.linalg.qr(null)[0] if null.shape[1] else np.zeros((len(rhs), 0))
+    # Within the orthogonal complement of the dependent directions the ridge system is regular.
+    keep = np.linalg.qr(np.hstack([q, np.eye(len(rhs))]))[0][:, q.shape[1]:]
+    return keep @ np.linalg.solve(keep.T @ gram @ keep + ridge * np.eye(keep.shape[1]), keep.T @ rhs)
 
 
 def alternating_fits(packed: DataFrame, means: np.ndarray, norms: np.ndarray, folds: Sequence[str], ridge: float = 1e-8,
-                     iters: int = 12, min_n: int = 5) -> dict[str | None, tuple[np.ndarray, list[float]]]:
+                     iters: int = 12, min_n: int = 5, groups: dict[str, Sequence[int]] | None = None) -> dict:
     """One theta over all columns (key None) and one without each fold; every column has its own scale.
 
-    Every iteration is one pass over the packed columns for all models at once.
+    With ``groups`` (feature places by name) there is one theta for each group, 0 outside it, and the keys
+    are (group, fold). Every iteration is one pass over the packed columns for all models at once.
     It returns weighted Grams, right-hand sides, objectives and column counts.
     """
-    p, models = len(means), [None, *folds]
+    p = len(means)
+    keys = [(g, f) for g in (groups or {None: None}) for f in (None, *folds)]
+    models = [f for _, f in keys]
+    chosen = [np.arange(p) if g is None else np.asarray(groups[g]) for g, _ in keys]
     k = len(models)
-    thetas = np.tile(np.eye(p)[0], (k, 1))
+    thetas = np.stack([np.eye(p)[c[0]] for c in chosen])
     history: list[list[float]] = [[] for _ in models]
     live = np.ones(k, dtype=bool)
     width = p * p + p + 2
@@ -493,7 +512,9 @@ def alternating_fits(packed: DataFrame, means: np.ndarray, norms: np.ndarray, fo
             if s[m, -1] == 0:
                 live[m] = False
                 continue
-            theta = np.linalg.solve(s[m, :p * p].reshape(p, p) + ridge * np.eye(p), s[m, p * p:p * p + p])
+            c = chosen[m]
+            theta = np.zeros(p)
+            theta[c] = ridge_solution(s[m, :p * p].reshape(p, p)[np.ix_(c, c)], s[m, p * p:p * p + p][c], ridge)
             size = np.linalg.norm(theta)
             nxt[m] = theta / size if size > 0 else theta
             history[m].append(round(s[m, -2] / s[m, -1], 5))
@@ -502,7 +523,24 @@ def alternating_fits(packed: DataFrame, means: np.ndarray, norms: np.ndarray, fo
         thetas = nxt
         if not live.any():
             break
-    return {name: (thetas[i], history[i]) for i, name in enumerate(models)}
+    return {key if groups else key[1]: (thetas[i], history[i]) for i, key in enumerate(keys)}
+
+
+def fitted_cos2(packed: DataFrame, means: np.ndarray, norms: np.ndarray, models: dict, min_n: int = 5) -> DataFrame:
+    """cos2 of target and fit within each column: for (group, None) over all columns, for (group, fold) over the held-out ones."""
+    keys, thetas = list(models), np.stack([theta for theta, _ in models.values()])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for fold, x, t in zip(pdf["fold"], pdf["x"], pdf["t"]):
+                h, t = ((np.stack(x) - means) / norms) @ thetas.T, np.asarray(t)
+                tt, hh, th = t @ t, (h * h).sum(axis=0), t @ h
+                if len(t) >= min_n and tt > 0:
+                    out += [(g, f or "in_sample", float(th[i] ** 2 / (tt * hh[i]))) for i, (g, f) in enumerate(keys) if f in (None, fold) and hh[i] > 0]
+            yield pd.DataFrame(out, columns=["group", "scope", "cos2"])
+
+    return packed.select("fold", "x", "t").mapInPandas(run, "group string, scope string, cos2 double")
 
 
 def standardized_value(names: Sequence[str], theta: np.ndarray, means: np.ndarray, norms: np.ndarray) -> Column:

@@ -163,7 +163,8 @@ def accumulators(cells: DataFrame) -> DataFrame:
 
 def column_stats(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*COLUMN).agg(
-        F.sum(F.abs("g")).alias("g_abs_sum"), F.avg("g").alias("g_mean"), F.stddev_pop("g").alias("g_std")
+        F.sum(F.abs("g")).alias("g_abs_sum"), F.avg("g").alias("g_mean"), F.stddev_pop("g").alias("g_std"),
+        (F.min("g") == F.max("g")).alias("g_constant"),
     )
 
 
@@ -209,7 +210,8 @@ def cell_features(cells: DataFrame) -> DataFrame:
         "g_x": g * F.col("x"), "g_sgx": g * F.col("sgx"), "abs_g_expd": F.col("abs_rows") * F.col("expd"),
         "g_expd": g * F.col("expd"), "net_oi_expd": net_oi * F.col("expd"), "net_oi_x": net_oi * F.col("x"),
         "g_colnorm": g / (F.col("g_abs_sum") + 1e-30),
-        "g_z": (g - F.col("g_mean")) / (F.col("g_std") + 1e-30),
+        # A constant column has no deviation; what rounding leaves of it must not be divided by.
+        "g_z": F.when(F.col("g_constant"), 0.0).otherwise((g - F.col("g_mean")) / (F.col("g_std") + 1e-30)),
     }
     rows = rows.withColumns(made)
     return rows.select("ticker", "ts", "strike", "expiry", "spot", *CELL_FEATURES)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strikeloom.constants import FEATURES, LAMBDA_GRID
 from strikeloom.functions.quantiles import exact_quantiles
 from strikeloom.operators import fits, grid, rows, scoring, state
+from strikeloom.operators.state import CELL_FEATURES
 from strikeloom.plans.common import MONTH_GAP_S, d, m_cells, n, r
 from strikeloom.plans.registry import query, view
 from strikeloom.plans.scoring import kings_sql, nerr_sql, target, tolerance
@@ -266,6 +267,12 @@ def _target_features(spark, sf):
     return materialize(feats.join(y, [*_REC, "strike", "expiry"]), "features")
 
 
+def _feature_quartiles(spark, sf, names):
+    long = fits.feature_cos2(_target_features(spark, sf), names, [*_REC, "expiry"])
+    q = fits.quartiles(materialize(long, "cos2"), ["feature"], "cos2")
+    return q.select("feature", "n", r("median", 5).alias("median"), r("p25", 5).alias("p25"), r("p75", 5).alias("p75"))
+
+
 view("featy", "SELECT f.*, t.y FROM feat41 f JOIN tc t ON f.ticker = t.ticker AND f.ts = t.ts AND f.strike = t.strike AND f.expiry = t.expiry WHERE f.g <> 0")
 _LIST = "[" + ", ".join(f"{{'f': '{c}', 'v': {c}::DOUBLE}}" for c in _STABLE) + "]"
 
@@ -275,9 +282,21 @@ SELECT feature, count(*) AS n, round(quantile_cont(cos2, 0.5), 5) AS median, rou
   SELECT ticker, ts, expiry, u.f AS feature, sum(y * u.v) * sum(y * u.v) / (sum(y * y) * sum(u.v * u.v)) AS cos2 FROM (
     SELECT ticker, ts, expiry, y, unnest({_LIST}) AS u FROM featy) GROUP BY ALL HAVING count(*) >= 5 AND sum(y * y) > 0 AND sum(u.v * u.v) > 0) GROUP BY feature""")
 def feature_cos2(spark, sf):
-    long = fits.feature_cos2(_target_features(spark, sf), _STABLE, [*_REC, "expiry"])
-    q = fits.quartiles(materialize(long, "cos2"), ["feature"], "cos2")
-    return q.select("feature", "n", r("median", 5).alias("median"), r("p25", 5).alias("p25"), r("p75", 5).alias("p75"))
+    return _feature_quartiles(spark, sf, _STABLE)
+
+
+view("featz", """
+SELECT f.* REPLACE (CASE WHEN s.lo = s.hi THEN 0 ELSE f.g_z END AS g_z) FROM featy f
+JOIN (SELECT ticker, ts, expiry, min(g) AS lo, max(g) AS hi FROM cells_m GROUP BY ALL) s ON f.ticker = s.ticker AND f.ts = s.ts AND f.expiry = s.expiry""")
+_ALL = "[" + ", ".join(f"{{'f': '{c}', 'v': {c}::DOUBLE}}" for c in CELL_FEATURES) + "]"
+
+
+@query("fit_10_all_feature_cos2", f"""
+SELECT feature, count(*) AS n, round(quantile_cont(cos2, 0.5), 5) AS median, round(quantile_cont(cos2, 0.25), 5) AS p25, round(quantile_cont(cos2, 0.75), 5) AS p75 FROM (
+  SELECT ticker, ts, expiry, u.f AS feature, sum(y * u.v) * sum(y * u.v) / (sum(y * y) * sum(u.v * u.v)) AS cos2 FROM (
+    SELECT ticker, ts, expiry, y, unnest({_ALL}) AS u FROM featz) GROUP BY ALL HAVING count(*) >= 5 AND sum(y * y) > 0 AND sum(u.v * u.v) > 0) GROUP BY feature""")
+def all_feature_cos2(spark, sf):
+    return _feature_quartiles(spark, sf, CELL_FEATURES)
 
 
 @query("fit_10_ordinal_correlation", """
@@ -289,28 +308,35 @@ def ordinal(spark, sf):
     return fits.quartiles(materialize(rho, "rho"), [], "rho").select("n", r("median", 5).alias("median"), r("p25", 5).alias("p25"), r("p75", 5).alias("p75"))
 
 
-_CHAIN_GROUP = ("g", "call_gex", "put_gex", "abs_gex", "dex_value", "net_dex")
+_CHAIN = ("g", "call_gex", "put_gex", "gex_value", "abs_gex", "dex_value", "net_dex")
+_OI_VOL = ("net_oi", "tot_oi", "abs_oi", "doi_net", "doi_gross", "net_volume", "tot_volume", "cab", "pab", "imb", "iv")
+_SHAPE = ("x", "ax", "x2", "sgx", "expd", "g_x", "g_sgx", "abs_g_expd", "g_expd", "net_oi_expd", "net_oi_x", "g_colnorm", "g_z")
+_ACCUM = ("cum_net_volume", "cum_imb", "cum_doi_net", "ewma_g_slow", "g_dev_slow", "ewma_g_fast", "g_dev_fast", "n_batches")
+# call_dex and put_dex are in no group of their own: dex_value and net_dex are their sum and difference.
+FEATURE_GROUPS = {"chain": _CHAIN, "chain+oi_vol": _CHAIN + _OI_VOL, "chain+shape": _CHAIN + _SHAPE, "chain+accum": _CHAIN + _ACCUM,
+                  "all": _CHAIN + _OI_VOL + _SHAPE + _ACCUM}
+_FITTED = FEATURE_GROUPS["all"]
 
 
-def theta_fit(spark, sf):
-    feats = _target_features(spark, sf)
-    means, norms = fits.standardization(feats, _CHAIN_GROUP)
-    packed = materialize(fits.packed_columns(feats, _CHAIN_GROUP, [*_REC, "expiry"], "y", F.year("ts")), "packed")
-    folds = [row["fold"] for row in packed.select("fold").distinct().orderBy("fold").collect()]
-    return feats, means, norms, fits.alternating_fits(packed, means, norms, folds)
+def theta_fit(spark, sf, groups, held_out=True):
+    """Fits over the cell features by group; a missing value counts as 0."""
+    feats = _target_features(spark, sf).fillna(0.0, list(_FITTED))
+    means, norms = fits.standardization(feats, _FITTED)
+    packed = materialize(fits.packed_columns(feats, _FITTED, [*_REC, "expiry"], "y", F.year("ts")), "packed")
+    folds = [row["fold"] for row in packed.select("fold").distinct().orderBy("fold").collect()] if held_out else []
+    places = {g: [_FITTED.index(c) for c in FEATURE_GROUPS[g]] for g in groups}
+    return feats, packed, means, norms, fits.alternating_fits(packed, means, norms, folds, groups=places)
 
 
 @query("fit_11_alternating_fit")
 def alternating(spark, sf):
-    feats, means, norms, models = theta_fit(spark, sf)
-    names = {("in_sample" if fold is None else fold): theta for fold, (theta, _) in models.items()}
-    preds = feats.select(*_REC, "expiry", "y", "g", *[fits.standardized_value(_CHAIN_GROUP, t, means, norms).alias(f"p_{k}") for k, t in names.items()])
-    long = fits.feature_cos2(preds, [f"p_{k}" for k in names], [*_REC, "expiry"]).withColumn("scope", F.substring("feature", 3, 20))
-    long = long.where((F.col("scope") == "in_sample") | (F.col("scope") == F.year("ts").cast("string")))
-    q = fits.quartiles(materialize(long, "cos2"), ["scope"], "cos2").select("scope", "n", F.col("median").alias("median_cos2"))
-    info = spark.createDataFrame([("in_sample" if f is None else f, len(h), [float(x) for x in t]) for f, (t, h) in models.items()],
-                                 "scope string, iterations int, theta array<double>")
-    return q.join(F.broadcast(info), "scope")
+    _, packed, means, norms, models = theta_fit(spark, sf, FEATURE_GROUPS)
+    long = fits.fitted_cos2(packed, means, norms, models)
+    q = fits.quartiles(materialize(long, "cos2"), ["group", "scope"], "cos2").select("group", "scope", "n", F.col("median").alias("median_cos2"))
+    info = spark.createDataFrame(
+        [(g, f or "in_sample", len(h), list(FEATURE_GROUPS[g]), [float(t[_FITTED.index(c)]) for c in FEATURE_GROUPS[g]]) for (g, f), (t, h) in models.items()],
+        "group string, scope string, iterations int, features array<string>, theta array<double>")
+    return q.join(F.broadcast(info), ["group", "scope"])
 
 
 _VARIANTS = [
@@ -382,8 +408,8 @@ def upper_bounds(spark, sf):
 
 @query("fit_23_model_evaluation")
 def model_evaluation(spark, sf):
-    feats, means, norms, models = theta_fit(spark, sf)
-    fitted = fits.standardized_value(_CHAIN_GROUP, models[None][0], means, norms)
+    feats, _, means, norms, models = theta_fit(spark, sf, ["all"], held_out=False)
+    fitted = fits.standardized_value(_FITTED, models["all", None][0], means, norms)
     cells = feats.select(*_REC, "strike", "expiry", "spot", "y", F.col("g"), fitted.alias("fit"))
     shaped = materialize(grid.shaped(cells).select(*_REC, "strike", "expiry", "y", "g", "h", "fit"), "shaped")
     w = grid.smoothed_weights(grid.psi(grid.features(grid.columns(m_cells(spark, sf)))), MONTH_GAP_S)

@@ -210,6 +210,5 @@ SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, count(*) AS n, {', '.join(f'round
 FROM feat41 GROUP BY ticker, ts""")
 def cell_features(spark, sf):
     f = m_features(spark, sf)
-    z = F.when(F.abs("g_z") < 1e6, F.col("g_z")).otherwise(0.0)
     return f.groupBy("ticker", d("ts").alias("ts")).agg(
-        F.count(F.lit(1)).alias("n"), *[r(F.avg(c), 4).alias(c) for c in _STABLE], r(F.avg(F.abs(z)), 4).alias("g_z"))
+        F.count(F.lit(1)).alias("n"), *[r(F.avg(c), 4).alias(c) for c in _STABLE], r(F.avg(F.abs("g_z")), 4).alias("g_z"))

@@ -105,3 +105,46 @@ def test_near_tie_and_exact_classes(spark):
     assert scoring.classify_misses(df, kings).first()["label"] == "near_tie_intrinsic"
     same = df.withColumn("c", df["y"])
     assert scoring.classify_misses(same, scoring.king_scores(scoring.node_pairs(same))).first()["label"] == "exact"
+
+
+def test_alternating_fit_by_group_with_dependent_and_constant_features(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(40):
+        x = rng.normal(size=(12, 3)) * np.array([1e6, 1.0, 1.0])
+        t = (x / np.array([1e6, 1.0, 1.0]) @ np.array([0.6, -0.5, 0.3])) * rng.uniform(-4, 4)
+        rows += [(c, str(c % 2), *map(float, r), float(r[0]), 0.1, 1.0, float(v)) for r, v in zip(x, t)]
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(rows, "c bigint, d string, a double, b double, e double, a2 double, k double, g double, t double")
+    names = ["a", "b", "e", "a2", "k"]
+    means, norms = fits.standardization(df, names)
+    assert means[4] == 0.1 and norms[4] == 1.0
+    packed = fits.packed_columns(df, names, ["c"], "t", F.col("d"))
+    models = fits.alternating_fits(packed, means, norms, ["0", "1"], groups={"few": [0, 3], "all": [0, 1, 2, 3, 4]})
+    assert set(models) == {(g, f) for g in ("few", "all") for f in (None, "0", "1")}
+    theta = models["all", None][0]
+    assert np.isclose(theta[0], theta[3]) and theta[4] == 0 and not models["few", None][0][[1, 2, 4]].any()
+    cos2 = fits.fitted_cos2(packed, means, norms, models).groupBy("group", "scope").agg(F.count("*").alias("n"), F.avg("cos2").alias("m")).collect()
+    got = {(r["group"], r["scope"]): r for r in cos2}
+    assert got["all", "in_sample"]["n"] == 40 and got["all", "0"]["n"] == 20
+    assert min(got["all", s]["m"] for s in ("in_sample", "0", "1")) > 0.99 > got["few", "in_sample"]["m"]
+
+
+def test_every_feature_group_is_registered():
+    from strikeloom.operators.state import CELL_FEATURES
+    from strikeloom.plans.fits import FEATURE_GROUPS
+    assert {k: len(v) for k, v in FEATURE_GROUPS.items()} == {"chain": 7, "chain+oi_vol": 18, "chain+shape": 20, "chain+accum": 15, "all": 39}
+    assert set(CELL_FEATURES) - set(FEATURE_GROUPS["all"]) == {"call_dex", "put_dex"}
+
+
+def test_g_z_of_constant_and_nearly_constant_columns(spark):
+    from chains import SCHEMA, row
+    from pyspark.sql import functions as F
+    from strikeloom.operators import grid, state
+    other = dt.date(2026, 3, 8)
+    # The mean of three times 0.1 differs from 0.1 by rounding; the second column deviates in one strike of four.
+    rows = [row(T, s, EXPS[0], call_gex=0.1) for s in range(100, 103)] + [row(T, s, other, call_gex=0.1 + (s == 103) * 1e-9) for s in range(100, 104)]
+    cells = grid.cells(spark.createDataFrame(rows, SCHEMA)).withColumns({"iv": F.lit(0.2), "abs_rows": F.col("call_gex")})
+    got = {(r["expiry"], r["strike"]): r["g_z"] for r in state.cell_features(cells).collect()}
+    assert all(got[EXPS[0], s] == 0 for s in range(100, 103))
+    assert abs(got[other, 103] - 3 ** 0.5) < 1e-4 and abs(got[other, 100] + 3 ** -0.5) < 1e-4
