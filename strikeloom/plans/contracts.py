@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strikeloom import adapters
-from strikeloom.operators import contracts, ranking
+from strikeloom.operators import asof, contracts, ranking
 from strikeloom.plans.common import d, n, r
 from strikeloom.plans.registry import query, view
 from strikeloom.session import table
@@ -207,6 +207,26 @@ def enrichment(spark, sf):
                     r("sweep_share").alias("sweep_share"))
 
 
+@query("jn_6_asof_enrichment", """
+SELECT underlying, strftime(day, '%Y-%m-%d') AS day, round(iv_atm, 6) AS iv_atm, sector, date_diff('day', day, report_date) AS days_to_earnings,
+  round(score_mean, 6) AS score_mean, round(sweep_share, 6) AS sweep_share
+FROM tfeat LEFT JOIN (SELECT t.underlying, t.day, arg_max(p.strike / 100.0, row(p.ts, p.seq)) AS iv_atm FROM tfeat t
+  JOIN prints p ON p.underlying = t.underlying AND p.ts < t.day + INTERVAL 1 DAY GROUP BY ALL) USING (underlying, day)
+LEFT JOIN sectors USING (underlying) LEFT JOIN flow_day USING (underlying, day)""")
+def asof_enrichment(spark, sf):
+    """The latest volatility up to the end of each row's own day."""
+    p = adapters.prints(spark, sf)
+    last = p.groupBy("underlying", "ts").agg(F.max_by(F.col("strike") / 100.0, "seq").alias("iv_atm"))
+    f = features(spark, sf)
+    ends = f.select("underlying", "day", (F.date_add("day", 1).cast("timestamp") - F.expr("interval 1 microsecond")).alias("end"))
+    iv = asof.last_before(ends, last, ["underlying"], "end", "ts", ["iv_atm"], "v", 86400).select("underlying", "day", "v.iv_atm")
+    flow = flow_day(spark, sf).select("underlying", "day", "score_mean", "sweep_share")
+    e = f.join(iv, ["underlying", "day"], "left").join(adapters.sectors(spark, sf), "underlying", "left").join(flow, ["underlying", "day"], "left")
+    return e.select("underlying", d("day").alias("day"), r("iv_atm").alias("iv_atm"), "sector",
+                    n(F.datediff("report_date", "day")).alias("days_to_earnings"), r("score_mean").alias("score_mean"),
+                    r("sweep_share").alias("sweep_share"))
+
+
 @query("win_12_dedup_max_volume", """
 SELECT occ, strftime(day, '%Y-%m-%d') AS day, size AS volume, seq FROM (
   SELECT *, row_number() OVER (PARTITION BY occ, day ORDER BY size DESC, seq) AS rn FROM prints) WHERE rn = 1""")

@@ -345,6 +345,10 @@ _VARIANTS = [
     {"name": "sign_flip", "sign": "flip"}, {"name": "sign_flow", "sign": "flow"}, {"name": "positive", "sign": "positive"},
     {"name": "basis_flip", "basis": "flip"}, {"name": "basis_oi_size", "basis": "oi_size"}, {"name": "pow_0.7_clip_623", "power": 0.7, "clip": 623.0},
 ]
+_MORE_VARIANTS = [
+    {"name": "pow_0.7", "power": 0.7}, {"name": "clip_3740", "clip": 3740.0},
+    {"name": "basis_flip_pow_0.5", "basis": "flip", "power": 0.5}, {"name": "basis_oi_size_pow_0.5", "basis": "oi_size", "power": 0.5},
+]
 view("variants", "SELECT * FROM (VALUES " + ", ".join(
     f"('{v['name']}', {v.get('power', 1.0)}::DOUBLE, {'NULL' if v.get('clip') is None else v['clip']}::DOUBLE, '{v.get('sign', 'net')}', '{v.get('basis', 'net')}')" for v in _VARIANTS)
     + ") v(variant, power, clip, sign_rule, basis)")
@@ -367,11 +371,20 @@ view("vkings", kings_sql("vpairs", "variant, ticker, ts"))
 @query("fit_12_variant_sweep", """
 SELECT variant, ticker, count(*) AS n, count(*) FILTER (king_exact) AS n_exact, count(*) FILTER (king_in_tol) AS n_tol FROM vkings GROUP BY ALL""")
 def variant_sweep(spark, sf):
+    return _sweep(spark, sf, _VARIANTS)
+
+
+@query("fit_12_all_variants")
+def all_variants(spark, sf):
+    return _sweep(spark, sf, _VARIANTS + _MORE_VARIANTS)
+
+
+def _sweep(spark, sf, variants):
     cells = target_cells(spark, sf).withColumns({"b_flip": rows.basis("flip"), "b_oi": rows.basis("oi_size")})
     flow = (F.col("call_ask_vol") - F.col("call_bid_vol")) - (F.col("put_ask_vol") - F.col("put_bid_vol"))
     sums = cells.groupBy(*_REC, "expiry").agg(F.sum("b_flip").alias("flip"), F.sum(flow).alias("flow"))
     w = grid.smoothed_weights(grid.psi(grid.features(grid.columns(cells))), MONTH_GAP_S).select(*_REC, "expiry", "a").join(sums, [*_REC, "expiry"])
-    vw = fits.variant_weights(w, _VARIANTS)
+    vw = fits.variant_weights(w, variants)
     value = F.when(F.col("basis") == "flip", F.col("b_flip")).when(F.col("basis") == "oi_size", F.col("b_oi")).otherwise(F.col("g"))
     both = cells.select(*_REC, "strike", "expiry", "g", "b_flip", "b_oi", "y").join(vw, [*_REC, "expiry"]).withColumn("c", F.col("av") * value)
     keys = ["variant", *_REC]
@@ -398,7 +411,16 @@ def bound_weights(cells, x="g"):
 @query("fit_13_upper_bounds", """
 SELECT bound, ticker, count(*) AS n, count(*) FILTER (king_exact) AS n_exact, count(*) FILTER (king_in_tol) AS n_tol FROM bkings GROUP BY ALL""")
 def upper_bounds(spark, sf):
-    cells = target_cells(spark, sf).select(*_REC, "strike", "expiry", "g", "y")
+    return _bounds(target_cells(spark, sf))
+
+
+@query("fit_13_flip_bounds")
+def flip_bounds(spark, sf):
+    return _bounds(target_cells(spark, sf).withColumn("g", rows.basis("flip")))
+
+
+def _bounds(cells):
+    cells = cells.select(*_REC, "strike", "expiry", "g", "y")
     both = fits.param_rows(cells, "_i", [0, 1]).withColumn("bound", F.when(F.col("_i") == 0, "free").otherwise("joint"))
     both = both.join(bound_weights(cells), ["bound", *_REC, "expiry"], "left").withColumn("c", F.coalesce("a", F.lit(0.0)) * F.col("g"))
     keys = ["bound", *_REC]

@@ -245,6 +245,37 @@ def rank_validation(spark, sf):
     return out.select(d("day").alias("day"), "hits_prem", "hits_unusual", "hits_attention")
 
 
+_KS = (10, 25, 50, 100, 150)
+
+
+@query("fit_21_rank_measures")
+def rank_measures(spark, sf):
+    """Hits, precision and recall of the ranks by score and by premium at several k, and both rank correlations with the day's total.
+
+    ``truth`` is null and ``k`` 0 in the rows of the correlations.
+    """
+    flags = materialize(contracts.activity(adapters.contract_day(spark, sf)), "flags")
+    vol, oi, prem = truths(spark, sf, flags)
+    f = materialize(features(spark, sf), "features")
+    scores = ranking.composite(f).select("day", "underlying", F.round("score", 9).alias("score"))
+    scored = materialize(f.select("day", "underlying", F.col("premium").cast("double").alias("premium")).join(scores, ["day", "underlying"], "left"), "scored")
+    totals = adapters.prints(spark, sf).groupBy("day", "underlying").agg(F.sum(F.col("premium") + F.col("size")).cast("double").alias("total"))
+    unusual = vol.unionByName(oi).distinct()
+    sets_of = {"prem": prem.select("day", "underlying"), "unusual": unusual, "attention": prem.select("day", "underlying").unionByName(unusual).distinct()}
+    out = None
+    for by in ("score", "premium"):
+        ranks = materialize(ranking.ranked(scored.where(F.col(by).isNotNull()), ["day"], by, ["underlying"], descending=True), "ranks")
+        for name, truth in sets_of.items():
+            at = [F.struct(F.lit(k).alias("k"), *[F.col(f"{c}_{k}").cast(t).alias(c) for c, t in (("n", "long"), ("hits", "long"), ("precision", "double"), ("recall", "double"))]) for k in _KS]
+            one = ranking.precision_at(ranks, truth, _KS).select("day", F.explode(F.array(*at)).alias("m"))
+            one = one.select("day", F.lit(by).alias("ranking"), F.lit(name).alias("truth"), "m.*", F.lit(None).cast("double").alias("spearman"))
+            out = one if out is None else out.unionByName(one)
+        both = materialize(scored.join(totals, ["day", "underlying"]).where(F.col(by).isNotNull()).select("day", by, "total"), "both")
+        rho = ranking.spearman(both, ["day"], by, "total").select("day", F.lit(by).alias("ranking"), F.lit(0).alias("k"), "n", "spearman")
+        out = out.unionByName(rho, allowMissingColumns=True)
+    return out.select(d("day").alias("day"), "ranking", "truth", "k", "n", "hits", r("precision").alias("precision"), r("recall").alias("recall"), r("spearman").alias("spearman"))
+
+
 @query("fit_22_censoring", """
 SELECT strftime(day, '%Y-%m-%d') AS day, occ, CASE WHEN isinf(rvol) THEN rvol ELSE round(rvol, 6) END AS our_rvol, flag_rvol AS our_flag_rvol, base_obs AS our_base_obs,
   round(volume / 50.0::DOUBLE, 6) AS published_rvol, oi_change AS our_oi_change, flag_oi AS our_flag_oi
