@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from strikeloom.llm.common import MIX_A, blobs, mix, passes, shared, summed
 from strikeloom.llm.letters import Letters
 
-#: Labelled documents and languages of the text model at most.
+#: Labelled documents of the text model as expected without rare languages, and languages at most.
 TRAIN_DOCS, LANGUAGES = 4_000, 64
+#: Documents of a language that are expected in the sample at least, as far as there are so many.
+RARE_DOCS = 64
 BITS = 15
 EFFECTIVE = 40.0
 ADD = 0.5
@@ -66,11 +68,14 @@ class Model:
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model | None:
     labelled = docs.where("doc_id is not null and lang is not null")
-    sample = labelled.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows).select("doc_id").distinct()
-    few = F.broadcast(sample)
-    names = sorted(r["lang"] for r in labelled.join(few, "doc_id", "left_semi").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    if not names:
+    # The list of languages is counted over all labels; a rare one is read whole, or by RARE_DOCS of its documents.
+    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not found:
         return None
+    names, total_rows = sorted(r["lang"] for r in found), sum(r["count"] for r in found)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max(rows / total_rows, RARE_DOCS / r["count"]))) for r in found], "lang string, _share double")
+    uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(2**53)
+    sampled = labelled.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(uniform < F.col("_share"))
     place = {x: i for i, x in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +87,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model | None:
             np.add.at(total, (lang[good], bucket[good]), 1)
         yield from blobs(total)
 
-    counts = summed(labelled.join(few, "doc_id", "left_semi").select("text", "lang").mapInArrow(run, "chunk int, counts binary"), (len(names), 1 << BITS))
+    counts = summed(sampled.select("text", "lang").mapInArrow(run, "chunk int, counts binary"), (len(names), 1 << BITS))
     smooth = counts + ADD
     return Model(names, np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True)))
 

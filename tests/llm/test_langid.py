@@ -64,3 +64,11 @@ def test_no_model_and_no_pages(spark, empty):
 
 def test_empty_pages(spark, documents):
     assert langid.identify(spark.createDataFrame([], PAGES), langid.train(documents, 50)).count() == 0
+
+
+def test_rare_language_is_in_the_model(frame):
+    from pyspark.sql import functions as F
+    rows = [(i, "the quick brown fox " * 3, "s") for i in range(3000)] + [(5000, "hyvää päivää kaikille", "s")]
+    docs = frame(rows).withColumn("lang", F.when(F.col("doc_id") == 5000, "fi").otherwise("en"))
+    model = langid.train(docs, 20)
+    assert model.languages == ["en", "fi"] and len(set(model.logs[1])) > 1
