@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from strikeloom import adapters
-from strikeloom.operators import flow, grid, state
-from strikeloom.plans.common import DAY_S, MONTH_GAP_S, d, m_cells, m_psi, n, r, t
+from strikeloom.operators import flow
+from strikeloom.plans.common import DAY_S, MONTH_GAP_S, d, n, r, t
 from strikeloom.plans.registry import query, view
 from strikeloom.plans.rows import alert_rules
-from strikeloom.plans.tiers import T1_SQL, t1_out
-from strikeloom.session import materialize, scratch_dir, table
-from strikeloom.streaming import jobs
+from strikeloom.plans.tiers import HOUR_SQL, T1_SQL, hour_out, t1_out
+from strikeloom.session import scratch_dir, table
+from strikeloom.streaming import chains, freshness, jobs
+from strikeloom.streaming.rollup import HourlyRollup
 
 
 def events_stream(spark, sf):
@@ -17,25 +18,105 @@ def events_stream(spark, sf):
     return jobs.file_stream(spark, sf, schema, "events.parquet")
 
 
-# A window is final once the watermark (newest time less the delay) has passed its end.
-@query("str_1_bucket_stream", T1_SQL + " WHERE bucket + INTERVAL 5 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM prints)")
+def events_to_end(spark, sf):
+    """The events stream with a folder for its end mark, and that folder."""
+    schema = table(spark, sf, "events").schema
+    ends = jobs.new_folder(spark, "end")
+    return events_stream(spark, sf).union(jobs.file_stream(spark, ends, schema)), ends, schema
+
+
+@query("str_1_bucket_stream", T1_SQL)
 def bucket_stream(spark, sf):
-    twice = events_stream(spark, sf).union(events_stream(spark, sf))
-    return t1_out(jobs.collected(jobs.bucket_stream(adapters.snapshots(spark, sf, twice)), "buckets"))
+    """Every row comes twice; the windows open when the source ends are emitted too."""
+    rows, ends, schema = events_to_end(spark, sf)
+    twice = rows.union(events_stream(spark, sf))
+    out, _ = jobs.run_to_end(jobs.bucket_stream(adapters.snapshots(spark, sf, twice)), "buckets", ends, schema)
+    return t1_out(out)
+
+
+@query("str_2_stream_rollup", HOUR_SQL.format(version="CASE WHEN hour >= TIMESTAMP '2024-01-20' THEN 2 ELSE 1 END::BIGINT"))
+def rollup_stream(spark, sf):
+    """Version 1 of all hours in several micro-batches, then version 2 of the later ones from a stream of its own."""
+    rows = adapters.snapshots(spark, sf)
+    kept, hours = scratch_dir(spark, "kept"), scratch_dir(spark, "hours")
+    for version, part in ((1, rows), (2, rows.where("ts >= '2024-01-20'"))):
+        source = scratch_dir(spark, "snapshots")
+        jobs.land(part, source, "ts", 2, FILES)
+        stream = jobs.file_stream(spark, source, rows.schema, files_per_trigger=FILES)
+        q = (stream.writeStream.foreachBatch(HourlyRollup(kept, hours, version)).option("checkpointLocation", scratch_dir(spark, "hours-checkpoint"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    return hour_out(spark.read.parquet(hours))
+
+
+#: Files that a landing writes at once and a trigger takes at once.
+FILES = 4
+#: How long rows of a batch may come after rows of a later one.
+DELAY = "1 day"
+
+
+def raw_chain(spark, sf, pieces: int = 3):
+    """Monthly chain rows landed in time order, batches cut across landings: the stream, its folder and schema."""
+    rows = adapters.chain(spark, sf, "month")
+    path = scratch_dir(spark, "chain")
+    jobs.land(rows, path, "ts", pieces, FILES)
+    return jobs.file_stream(spark, path, rows.schema, files_per_trigger=FILES), path, rows.schema
 
 
 @query("str_3_weight_stream", """
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS expiry, CAST(sign(a) AS BIGINT) AS a_sign, round(ln(1 + abs(a)), 6) AS log_a FROM weights_m""")
 def weight_stream(spark, sf):
-    psi = materialize(m_psi(spark, sf), "psi")
-    rows = materialize(psi.join(grid.batches(psi).select("ticker", "ts", "prev_ts"), ["ticker", "ts"]).select("ticker", "expiry", "ts", "prev_ts", "gmag", "psi"), "weight-rows")
-    path = scratch_dir(spark, "weight-input")
-    jobs.write_in_order(rows, path, "ts", 4)
-    stream = jobs.file_stream(spark, path, rows.schema)
-    out = jobs.collected(jobs.stateful(stream, ["ticker", "expiry"], jobs.WeightProcessor(MONTH_GAP_S), jobs.WEIGHT_OUTPUT), "weights")
+    """From raw rows: batches close by the watermark, a clock per ticker follows, then the weight of each expiry."""
+    stream, path, schema = raw_chain(spark, sf)
+    out, _ = jobs.run_to_end(chains.weights(stream, DELAY, MONTH_GAP_S), "weights", path, schema)
     return out.select("ticker", d("ts").alias("ts"), d("expiry").alias("expiry"), n(F.signum("a")).alias("a_sign"), r(F.log1p(F.abs("a"))).alias("log_a"))
 
 
+@query("str_5_late_rows", """
+SELECT count(*) AS rows_in, count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS kept FROM (
+  SELECT row_a % 7 = 0 AND ts <= (SELECT max(ts) FROM chain_m WHERE row_a % 7 > 1) - INTERVAL 400 DAY AS late FROM chain_m)""")
+def late_rows(spark, sf):
+    """Every seventh order lands after all others: its rows for batches that are closed by then are late, and counted.
+
+    A trigger closes batches by what earlier triggers have seen, and what comes after that trigger is late: hence three landings.
+    """
+    rows = adapters.chain(spark, sf, "month")
+    path = scratch_dir(spark, "chain")
+    for part in ("row_a % 7 > 1", "row_a % 7 = 1", "row_a % 7 = 0"):
+        rows.where(part).repartition(FILES).write.mode("append").parquet(path)
+    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=FILES)
+    out, progress = jobs.run_to_end(chains.closed_counts(stream, "400 days"), "closed", path, rows.schema)
+    total = jobs.rows_in(progress)
+    return out.agg(F.lit(total).cast("bigint").alias("rows_in"), (F.lit(total) - F.sum("n_rows")).alias("late"), F.sum("n_rows").alias("kept"))
+
+
+view("beat", """
+SELECT ticker, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 0 ELSE 1 END AS part, max(ts) AS ts FROM prints
+WHERE ts < TIMESTAMP '2024-01-15' OR ticker <> (SELECT min(ticker) FROM prints) GROUP BY ALL""")
+
+
+@query("str_6_silence_stream", """
+SELECT ticker AS source, 'silent' AS event, strftime(ts, '%Y-%m-%d %H:%M:%S') AS payload_ts FROM beat
+UNION ALL SELECT ticker, 'recovered', strftime(ts, '%Y-%m-%d %H:%M:%S') FROM beat WHERE part = 1""")
+def silence_stream(spark, sf):
+    """Sources fall silent, some recover and fall silent again; timers say so without any input. The limit is 3 s here."""
+    p = adapters.prints(spark, sf)
+    first = p.agg(F.min("ticker")).first()[0]
+    beats = [x.groupBy(F.col("ticker").alias("source"), F.lit("t0").alias("tier")).agg(F.max("ts").alias("payload_ts"))
+             for x in (p.where("ts < '2024-01-15'"), p.where((F.col("ts") >= "2024-01-15") & (F.col("ticker") != first)))]
+    wanted = [x.count() for x in beats]
+    path, sink = jobs.new_folder(spark, "beats"), scratch_dir(spark, "alarms")
+    q = jobs.start(freshness.alarms(jobs.file_stream(spark, path, freshness.HEARTBEAT), 3.0), sink, scratch_dir(spark, "alarms-checkpoint"), processingTime="500 milliseconds")
+    out = spark.read.schema(freshness.ALARM)
+    try:
+        for k, beat in enumerate(beats):
+            beat.coalesce(1).write.mode("append").parquet(path)  # a row per source
+            jobs.wait_for(q, lambda: out.parquet(sink).where("event = 'silent'").count() >= sum(wanted[:k + 1]))
+    finally:
+        q.stop()
+    return out.parquet(sink).select("source", "event", t("payload_ts").alias("payload_ts"))
+
+
 view("qstep_m", """
 SELECT c.*, call_oi - call_prev_oi + put_oi - put_prev_oi AS f, row_number() OVER (PARTITION BY c.ticker, c.strike, c.expiry ORDER BY c.ts) - 1 AS k,
   coalesce(greatest(date_diff('second', b.prev_ts, c.ts), 1), 2592000) / 2592000.0::DOUBLE * ln(0.99::DOUBLE) AS lnl FROM cells_m c JOIN batches_m b USING (ticker, ts)""")
@@ -54,22 +135,9 @@ SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strike, strftime(expiry, '%Y-%m-%
     sum(q.f * CASE WHEN q.k = 0 THEN 1 ELSE 1 - exp(q.lnl) END * exp(s.cum - q.cum)) AS q_f
   FROM qcum_m s JOIN qcum_m q ON s.ticker = q.ticker AND s.strike = q.strike AND s.expiry = q.expiry AND q.k <= s.k GROUP BY s.ticker, s.ts, s.strike, s.expiry) JOIN touch_m USING (ticker, ts, strike)""")
 def node_stream(spark, sf):
-    import math
-    from pyspark.sql import Window
-    cells = materialize(m_cells(spark, sf), "cells")
-    b = grid.batches(grid.columns(cells))
-    seen = Window.partitionBy("ticker").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    dt = F.greatest(F.unix_timestamp("ts") - F.unix_timestamp("prev_ts"), F.lit(1))
-    info = b.select("ticker", "ts", "spot", F.last("spot", ignorenulls=True).over(seen).alias("prev_spot"),
-                    (F.coalesce(dt, F.lit(30 * DAY_S)) / (30 * DAY_S) * -math.log(0.99)).alias("step"))
-    bands = state.strike_bands(cells.select("ticker", "ts", "strike").distinct())
-    rows = cells.withColumn("f", grid.cell_flow()).drop("spot").join(info, ["ticker", "ts"]).join(bands, ["ticker", "ts", "strike"]).select(
-        "ticker", "strike", "expiry", "ts", "step", "g", "f", "spot", "prev_spot", "band")
-    path = scratch_dir(spark, "node-input")
-    rows = materialize(rows, "node-rows")
-    jobs.write_in_order(rows, path, "ts", 2, split=True)
-    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=1)
-    out = jobs.collected(jobs.stateful(stream, ["ticker", "strike"], jobs.NodeProcessor(), jobs.NODE_OUTPUT), "nodes")
+    """From raw rows: cells of closed batches, bands and spots from the ticker's clock, state of each strike."""
+    stream, path, schema = raw_chain(spark, sf)
+    out, _ = jobs.run_to_end(chains.node_state(stream, DELAY, 0.99, 30 * DAY_S), "nodes", path, schema)
     return out.select("ticker", d("ts").alias("ts"), "strike", d("expiry").alias("expiry"), r("q_g", 3).alias("q_g"), r("q_f", 3).alias("q_f"), "n_tch", "n_del", "n_rej")
 
 
@@ -77,11 +145,8 @@ def node_stream(spark, sf):
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strftime(expiry, '%Y-%m-%d') AS expiry, round(max(gmag) OVER w, 4) AS ceil, round(min(gmag) OVER w, 4) AS floor FROM cols_m
 WINDOW w AS (PARTITION BY ticker, expiry, date_trunc('year', ts) ORDER BY ts)""")
 def range_stream(spark, sf):
-    rows = materialize(grid.columns(m_cells(spark, sf)).select("ticker", "expiry", "ts", F.date_trunc("year", "ts").alias("session"), "gmag"), "ranges")
-    path = scratch_dir(spark, "range-input")
-    jobs.write_in_order(rows, path, "ts", 3)
-    stream = jobs.file_stream(spark, path, rows.schema)
-    out = jobs.collected(jobs.stateful(stream, ["ticker", "expiry"], jobs.RangeProcessor(), jobs.RANGE_OUTPUT), "ranges")
+    stream, path, schema = raw_chain(spark, sf)
+    out, _ = jobs.run_to_end(chains.ranges(stream, DELAY, F.date_trunc("year", "ts")), "ranges", path, schema)
     return out.select("ticker", d("ts").alias("ts"), d("expiry").alias("expiry"), r("ceil", 4).alias("ceil"), r("floor", 4).alias("floor"))
 
 
@@ -120,10 +185,11 @@ def sweeps(spark, sf):
     return _sweep_out(flow.sweeps(adapters.prints(spark, sf), 600.0))
 
 
-@query("str_8_sweep_stream", _SWEEP + " WHERE last_ts + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 MINUTE FROM prints)")
+@query("str_8_sweep_stream", _SWEEP)
 def sweep_stream(spark, sf):
-    p = adapters.prints_of(events_stream(spark, sf))
-    return _sweep_out(jobs.collected(jobs.sweep_stream(p, "10 minutes"), "sweeps"))
+    rows, ends, schema = events_to_end(spark, sf)
+    out, _ = jobs.run_to_end(jobs.sweep_stream(adapters.prints_of(rows), "10 minutes"), "sweeps", ends, schema)
+    return _sweep_out(out)
 
 
 @query("src_10_incremental_stream", "SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM prints GROUP BY day")

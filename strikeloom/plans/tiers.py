@@ -36,22 +36,22 @@ def five_minutes(spark, sf):
 view("t2h", """
 SELECT ticker, expiry, date_trunc('hour', ts) AS hour, sum(call_gex) AS call_gex, sum(put_gex) AS put_gex, sum(call_vex) AS call_vex, sum(put_vex) AS put_vex,
   arg_min(spot, row(ts, seq)) AS spot_open, arg_max(spot, row(ts, seq)) AS spot_close FROM snapshots GROUP BY ALL""")
-_HOUR = """
+HOUR_SQL = """
 SELECT ticker, strftime(expiry, '%Y-%m-%d') AS expiry, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, round(call_gex, 4) AS call_gex, round(put_gex, 4) AS put_gex,
   round(call_gex - put_gex, 4) + 0.0 AS net_gex, round(call_vex - put_vex, 4) + 0.0 AS net_vex, spot_open, spot_close, {version} AS schema_version FROM t2h"""
 
 
-def _hour_out(df):
+def hour_out(df):
     return df.select("ticker", d("expiry").alias("expiry"), t("hour").alias("hour"), r("call_gex", 4).alias("call_gex"), r("put_gex", 4).alias("put_gex"),
                      r("net_gex", 4).alias("net_gex"), r("net_vex", 4).alias("net_vex"), "spot_open", "spot_close", "schema_version")
 
 
-@query("agg_25_hourly_expiry", _HOUR.format(version="1::BIGINT"))
+@query("agg_25_hourly_expiry", HOUR_SQL.format(version="1::BIGINT"))
 def hourly(spark, sf):
-    return _hour_out(tiers.hourly(adapters.snapshots(spark, sf)))
+    return hour_out(tiers.hourly(adapters.snapshots(spark, sf)))
 
 
-@query("str_2_recomputed_rollup", _HOUR.format(version="CASE WHEN hour >= TIMESTAMP '2024-01-20' THEN 2 ELSE 1 END::BIGINT"))
+@query("str_2_recomputed_rollup", HOUR_SQL.format(version="CASE WHEN hour >= TIMESTAMP '2024-01-20' THEN 2 ELSE 1 END::BIGINT"))
 def recomputed(spark, sf):
     """Version 1 everywhere, then the later days replaced by version 2 through partition overwrite."""
     path = scratch_dir(spark, "hourly")
@@ -59,7 +59,7 @@ def recomputed(spark, sf):
     for version, part in ((1, rows), (2, rows.where("ts >= '2024-01-20'"))):
         out = tiers.hourly(part, version).withColumn("day", F.to_date("hour"))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-    return _hour_out(spark.read.parquet(path))
+    return hour_out(spark.read.parquet(path))
 
 
 @query("agg_26_strike_eod", """

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strikeloom.constants import LAMBDA_BATCH
@@ -31,11 +35,32 @@ def run_available(df: DataFrame, label: str, mode: str = "append"):
     """
     spark = df.sparkSession
     sink, check = scratch_dir(spark, label), scratch_dir(spark, f"{label}-checkpoint")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    q = (df.writeStream.outputMode(mode).format("parquet").option("path", sink).option("checkpointLocation", check)
-         .trigger(availableNow=True).start())
+    return sink, _run(df, sink, check, mode)
+
+
+def start(df: DataFrame, sink: str, check: str, mode: str = "append", **trigger):
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    return df.writeStream.outputMode(mode).format("parquet").option("path", sink).option("checkpointLocation", check).trigger(**trigger).start()
+
+
+def _run(df: DataFrame, sink: str, check: str, mode: str = "append") -> list:
+    q = start(df, sink, check, mode, availableNow=True)
     q.awaitTermination()
-    return sink, list(q.recentProgress)
+    return list(q.recentProgress)
+
+
+def wait_for(q, ready, limit_s: float = 180.0, pause_s: float = 0.5) -> None:
+    """Wait for a running query until ``ready()`` holds; its sink may not exist yet."""
+    until = time.monotonic() + limit_s
+    while True:
+        try:
+            if ready():
+                return
+        except AnalysisException:  # the first micro-batch has not written its folder
+            pass
+        if not q.isActive or time.monotonic() > until:
+            raise RuntimeError(f"{q.name or q.id}: {q.exception() or 'not ready in time'}")
+        time.sleep(pause_s)
 
 
 def collected(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -43,16 +68,76 @@ def collected(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(sink)
 
 
+#: No row of a source has this time; a row that has it marks the end of the source.
+END = "9999-12-31 00:00:00"
+
+
+def open_rows(rows: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
+    """Rows under a watermark, without the end mark.
+
+    The condition is on the event time, so it is applied after the watermark has seen the mark.
+    """
+    return rows.withWatermark(ts, delay).where(F.col(ts) < F.lit(END).cast("timestamp"))
+
+
+def land(df: DataFrame, path: str, ts: str, pieces: int, files: int, split: bool = True) -> None:
+    """Land a table in time order as ``pieces`` writes of ``files`` files each, as ingest jobs would.
+
+    With ``split``, the batch time at each cut is dealt over the writes on both sides of it.
+    """
+    bounds = df.select(F.unix_timestamp(F.min(ts)).alias("lo"), F.unix_timestamp(F.max(ts)).alias("hi")).first()
+    width = (bounds["hi"] - bounds["lo"]) // pieces + 1
+    at = F.floor((F.unix_timestamp(ts) - bounds["lo"]) / width).cast("int")
+    if split:
+        firsts = df.groupBy(at.alias("piece")).agg(F.min(ts).alias("first")).where("piece > 0").collect()
+        half = F.pmod(F.xxhash64(*df.columns), F.lit(2)) == 0
+        for row in firsts:
+            at = F.when((F.col(ts) == row["first"]) & half, row["piece"] - 1).otherwise(at)
+    placed = df.withColumn("_piece", at)
+    for i in range(pieces):
+        placed.where(F.col("_piece") == i).drop("_piece").repartition(files).write.mode("append").parquet(path)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """An empty folder that a stream can watch before anything lands in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, label))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    return path.toString()
+
+
+def mark_end(spark: SparkSession, path: str, schema, ts: str = "ts") -> None:
+    """Add the end mark to a source folder: the watermark passes every open window and batch."""
+    row = tuple(datetime.datetime.fromisoformat(END) if f.name == ts else None for f in schema)
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+    spark.createDataFrame([row], nullable).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_to_end(df: DataFrame, label: str, ends: str, schema, ts: str = "ts") -> tuple[DataFrame, list]:
+    """Run a stream over all its source holds, then mark the end in folder ``ends`` and run on, so that what
+    was open is emitted, once. Returns what was written and the progress of both runs."""
+    spark = df.sparkSession
+    sink, check = scratch_dir(spark, label), scratch_dir(spark, f"{label}-checkpoint")
+    progress = _run(df, sink, check)
+    mark_end(spark, ends, schema, ts)
+    progress += _run(df, sink, check)
+    return spark.read.schema(df.schema).parquet(sink), progress
+
+
+def rows_in(progress: list) -> int:
+    """Rows a run has read, without the end mark."""
+    return sum(p["numInputRows"] for p in progress) - 1
+
+
 def bucket_stream(rows: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Raw snapshots to buckets; repeated rows (same seq) are dropped within the watermark."""
-    unique = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["seq"])
+    unique = open_rows(rows, delay).dropDuplicatesWithinWatermark(["seq"])
     return tiers.buckets(unique, width)
 
 
 def sweep_stream(prints: DataFrame, gap: str = "1 second", delay: str = "1 minute") -> DataFrame:
     """Prints of one contract no further than ``gap`` from the next form one sweep (gaps chain)."""
     w = F.session_window("ts", gap)
-    return prints.withWatermark("ts", delay).groupBy("occ", w.alias("w")).agg(
+    return open_rows(prints, delay).groupBy("occ", w.alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("premium").alias("premium"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("w")
 
@@ -78,7 +163,6 @@ def _micros(ts) -> int:
     return int(pd.Timestamp(ts).value // 1000)
 
 
-WEIGHT_INPUT = "ticker string, expiry date, ts timestamp, prev_ts timestamp, gmag double, psi double"
 WEIGHT_OUTPUT = "ticker string, expiry date, ts timestamp, a double"
 
 
@@ -122,62 +206,6 @@ class WeightProcessor(StatefulProcessor):
         pass
 
 
-NODE_INPUT = ("ticker string, strike double, expiry date, ts timestamp, step double, g double, f double, "
-              "spot double, prev_spot double, band double")
-NODE_OUTPUT = ("ticker string, strike double, expiry date, ts timestamp, q_g double, q_f double, "
-               "n_tch bigint, n_del bigint, n_rej bigint")
-
-
-class NodeProcessor(StatefulProcessor):
-    """Cell averages (a map by expiry) and interaction counts of one (ticker, strike).
-
-    A batch time may arrive in several micro-batches: its interaction is counted once,
-    and each cell takes each batch time once. Rows older than the state are late.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getMapState("cells", "expiry string", "q_g double, q_f double, ts_us bigint")
-        self.counts = handle.getValueState("counts", "ts_us bigint, tch bigint, del bigint, rej bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import math
-
-        new = pd.concat(list(rows)).sort_values(["ts", "expiry"])
-        held = self.counts.get() if self.counts.exists() else (-1, 0, 0, 0)
-        last, tch, dlv, rej = held[0], held[1], held[2], held[3]
-        out = []
-        strike = float(key[1])
-        for ts, batch in new.groupby("ts", sort=True):
-            at = _micros(ts)
-            if at < last:
-                continue
-            first = batch.iloc[0]
-            if at > last and not (pd.isna(first.spot) or pd.isna(first.prev_spot)):
-                now = abs(first.spot - strike) <= first.band
-                before = abs(first.prev_spot - strike) <= first.band
-                crossed = (first.prev_spot - strike) * (first.spot - strike) < 0
-                tch, dlv, rej = tch + int(now), dlv + int(crossed), rej + int(before and not now and not crossed)
-            last = at
-            for row in batch.itertuples():
-                cell = (str(row.expiry),)
-                keep = math.exp(-row.step)
-                if self.cells.containsKey(cell):
-                    q = self.cells.getValue(cell)
-                    if q[2] >= at:
-                        continue
-                    q_g, q_f = keep * q[0] + (1 - keep) * row.g, keep * q[1] + (1 - keep) * row.f
-                else:
-                    q_g, q_f = row.g, row.f
-                self.cells.updateValue(cell, (float(q_g), float(q_f), int(at)))
-                out.append((row.ticker, row.strike, row.expiry, row.ts, q_g, q_f, tch, dlv, rej))
-        self.counts.update((int(last), int(tch), int(dlv), int(rej)))
-        yield pd.DataFrame(out, columns=["ticker", "strike", "expiry", "ts", "q_g", "q_f", "n_tch", "n_del", "n_rej"])
-
-    def close(self) -> None:
-        pass
-
-
-RANGE_INPUT = "ticker string, expiry date, ts timestamp, session timestamp, gmag double"
 RANGE_OUTPUT = "ticker string, expiry date, ts timestamp, ceil double, floor double"
 
 
@@ -208,21 +236,3 @@ class RangeProcessor(StatefulProcessor):
 
 def stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, output: str) -> DataFrame:
     return stream.groupBy(*keys).transformWithStateInPandas(processor, output, "append", "none")
-
-
-def write_in_order(df: DataFrame, path: str, ts: str, pieces: int, split: bool = False) -> None:
-    """Land a table as a sequence of files in time order, as an ingest job would.
-
-    With ``split``, the batch time at each cut is dealt over the files on both sides of it.
-    """
-    bounds = df.select(F.unix_timestamp(F.min(ts)).alias("lo"), F.unix_timestamp(F.max(ts)).alias("hi")).first()
-    width = (bounds["hi"] - bounds["lo"]) // pieces + 1
-    at = F.floor((F.unix_timestamp(ts) - bounds["lo"]) / width).cast("int")
-    if split:
-        firsts = df.groupBy(at.alias("piece")).agg(F.min(ts).alias("first")).where("piece > 0").collect()
-        half = F.pmod(F.xxhash64(*df.columns), F.lit(2)) == 0
-        for row in firsts:
-            at = F.when((F.col(ts) == row["first"]) & half, row["piece"] - 1).otherwise(at)
-    placed = df.withColumn("_piece", at)
-    for i in range(pieces):
-        placed.where(F.col("_piece") == i).drop("_piece").coalesce(1).write.mode("append").parquet(path)
