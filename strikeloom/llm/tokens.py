@@ -4,7 +4,8 @@ The text is split into pieces with array operations by the vocabulary's public s
 pattern, each distinct piece is encoded once per task, and ids are gathered back. Texts
 with characters outside the tabulated ranges, or with a special token's string, go
 through ``tokenizers`` whole, so the ids are always those of the tokenizer file.
-Pieces are told apart by a 64-bit fingerprint.
+Pieces are looked up by a 64-bit name and compared letter by letter with the piece that
+the name stands for; a text with a piece that differs goes through ``tokenizers`` too.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ class Tokens:
         self.letter = mix(np.arange(_LIMIT + 1, dtype=np.uint64) * np.uint64(MIX_A) + np.uint64(7))
         self.names, self.sizes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
+        self.letters, self.spans = np.zeros(0, np.uint32), np.zeros((0, 2), np.int64)  # the known pieces themselves
 
     def sentence_ends(self) -> np.ndarray:
         """For every id, whether its bytes end a sentence or a line."""
@@ -99,9 +101,14 @@ class Tokens:
         at = np.minimum(np.searchsorted(self.names, names), self.names.size - 1)
         return np.where(self.names[at] == names, at, -1)
 
-    def learn(self, names: np.ndarray, pieces: list[bytes]) -> None:
+    def learn(self, names: np.ndarray, pieces: list[bytes], letters: np.ndarray, lengths: np.ndarray) -> None:
+        """``letters``: the code points of the pieces end to end."""
         if self.names.size > _KEEP:
             self.names, self.sizes, self.places, self.ids = self.names[:0], self.sizes[:0], self.places[:0], self.ids[:0]
+            self.letters, self.spans = self.letters[:0], self.spans[:0]
+        ends = self.letters.size + np.cumsum(lengths)
+        self.letters = np.concatenate([self.letters, letters])
+        spans = np.concatenate([self.spans, np.column_stack([ends - lengths, lengths])])
         found = [self.piece(x) for x in pieces]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         places = self.ids.size + np.cumsum(sizes) - sizes
@@ -109,50 +116,72 @@ class Tokens:
         joined = np.concatenate([self.names, names])
         order = np.argsort(joined, kind="stable")
         self.names, self.sizes, self.places = joined[order], np.concatenate([self.sizes, sizes])[order], np.concatenate([self.places, places])[order]
+        self.spans = spans[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of the texts; null counts as empty."""
         texts = [t or "" for t in column.to_pylist()]
-        odd = {i: None for i, t in enumerate(texts) if self.special and self.special.search(t)}
-        joined = "".join(texts)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kinds = self.classes[np.minimum(points, _LIMIT)]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        unknown = np.flatnonzero(kinds == _UNKNOWN)
-        if unknown.size:
-            odd |= dict.fromkeys((np.searchsorted(offsets, unknown, "right") - 1).tolist())
-        if odd:
-            for i in odd:
+        odd: dict[int, np.ndarray] = {}
+
+        def whole(rows) -> None:
+            for i in rows:
                 odd[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, np.uint16)
                 texts[i] = ""
+
+        whole([i for i, t in enumerate(texts) if self.special and self.special.search(t)])
+        while True:
             joined = "".join(texts)
             points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-            kinds = self.classes[points]
+            kinds = self.classes[np.minimum(points, _LIMIT)]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        if points.size:
-            starts = self.starts(points, kinds, offsets)
-            lengths = np.diff(np.append(starts, points.size))
-            powers = np.cumprod(np.full(int(lengths.max()) + 1, MIX_A | 1, np.uint64))
-            inside = np.arange(points.size) - np.repeat(starts, lengths)
-            names = mix(np.add.reduceat(self.letter[points] * powers[inside], starts) ^ lengths.astype(np.uint64))
-            distinct, where, back = np.unique(names, return_index=True, return_inverse=True)
-            at = self.lookup(distinct)
-            new = np.flatnonzero(at < 0)
-            if new.size:
-                pieces = [joined[a:b].encode() for a, b in zip(starts[where[new]].tolist(), (starts + lengths)[where[new]].tolist())]
-                before = self.names.size
-                if before > _KEEP:  # the table starts anew: encode all pieces of this pass
-                    new = np.arange(distinct.size)
-                    pieces = [joined[a:b].encode() for a, b in zip(starts[where].tolist(), (starts + lengths)[where].tolist())]
-                self.learn(distinct[new], pieces)
-                at = self.lookup(distinct)
-            sizes = self.sizes[at][back]
-            total = np.cumsum(sizes)
-            ids = self.ids[np.repeat(self.places[at][back] - (total - sizes), sizes) + np.arange(int(total[-1]))]
-            bounds = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
-        else:
-            ids, bounds = np.zeros(0, np.uint16), np.zeros(offsets.size, np.int64)
+            unknown = np.flatnonzero(kinds == _UNKNOWN)
+            if not unknown.size:
+                ids, bounds, differ = self.by_pieces(joined, points, kinds, offsets)
+                if not differ.size:
+                    break
+                unknown = differ
+            whole(np.unique(np.searchsorted(offsets, unknown, "right") - 1).tolist())
         if not odd:
             return ids, bounds
         parts = [odd.get(i, ids[bounds[i]:bounds[i + 1]]) for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+    def by_pieces(self, joined: str, points: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and offsets, and the first letters of pieces whose name stands for another piece."""
+        if not points.size:
+            return np.zeros(0, np.uint16), np.zeros(offsets.size, np.int64), np.zeros(0, np.int64)
+        starts = self.starts(points, kinds, offsets)
+        lengths = np.diff(np.append(starts, points.size))
+        names = self.piece_names(points, starts, lengths)
+        distinct, where, back = np.unique(names, return_index=True, return_inverse=True)
+        at = self.lookup(distinct)
+        new = np.flatnonzero(at < 0)
+        if new.size:
+            if self.names.size > _KEEP:  # the table starts anew: learn all pieces of this pass
+                new = np.arange(distinct.size)
+            rows = where[new]
+            pieces = [joined[a:b].encode() for a, b in zip(starts[rows].tolist(), (starts + lengths)[rows].tolist())]
+            self.learn(distinct[new], pieces, points[_places(starts[rows], lengths[rows])], lengths[rows])
+            at = self.lookup(distinct)
+        known = at[back]
+        same = self.spans[known, 1] == lengths
+        if same.all():
+            differs = points != self.letters[_places(self.spans[known, 0], lengths)]
+            same = ~np.logical_or.reduceat(differs, starts) if differs.any() else same
+        if not same.all():
+            return np.zeros(0, np.uint16), np.zeros(offsets.size, np.int64), starts[~same]
+        sizes = self.sizes[known]
+        total = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.places[known] - (total - sizes), sizes) + np.arange(int(total[-1]))]
+        return ids, np.concatenate([[0], total])[np.searchsorted(starts, offsets)], np.zeros(0, np.int64)
+
+    def piece_names(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        powers = np.cumprod(np.full(int(lengths.max()) + 1, MIX_A | 1, np.uint64))
+        inside = np.arange(points.size) - np.repeat(starts, lengths)
+        return mix(np.add.reduceat(self.letter[points] * powers[inside], starts) ^ lengths.astype(np.uint64))
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of stretches, end to end."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if ends.size else 0)

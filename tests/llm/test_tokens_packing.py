@@ -108,3 +108,19 @@ def test_blocks_and_order(frame, monkeypatch):
     order = [(r["sequence_id"], r["offset"]) for r in rows]
     assert order == sorted(order)
     assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+
+
+def test_pieces_of_one_name_are_told_apart(monkeypatch):
+    one, two = "ab" * 8, "ba" * 8
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), one, two, f"{one} {two}", "plain words here"]
+    fast = Tokens()
+    for again in range(2):  # as new pieces, then as known ones
+        flat, offsets = fast.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [ids(t) for t in texts]
+    worst = Tokens()
+    monkeypatch.setattr(worst, "piece_names", lambda points, starts, lengths: np.zeros(starts.size, np.uint64))
+    flat, offsets = worst.encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [ids(t) for t in texts]
