@@ -122,20 +122,28 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     begin = positive[first]
     end = positive[np.append(first[1:], positive.size) - 1] + 1
     sums = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[list] = []  # start, end, sum before, sum after
+    # Candidates (start, end, sum before, sum after), and for each the last one before it with a smaller sum before.
+    starts, ends, lows, highs, back = [], [], [], [], []
+    done: list[tuple[int, int, float]] = []
     for a, b, low, high in zip(begin.tolist(), end.tolist(), sums[begin].tolist(), sums[end].tolist()):
-        part = [a, b, low, high]
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= part[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= part[3]:
-                stack.append(part)
+            j = len(starts) - 1
+            while j >= 0 and lows[j] >= low:
+                j = back[j]
+            if j < 0:  # nothing before can join what follows: all candidates are maximal
+                done += [(x, y, h - l) for x, y, l, h in zip(starts, ends, lows, highs)]
+                starts, ends, lows, highs, back = [], [], [], [], []
+            if j < 0 or highs[j] >= high:
+                starts.append(a)
+                ends.append(b)
+                lows.append(low)
+                highs.append(high)
+                back.append(j)
                 break
             # Everything from j on joins the new part, which is then compared again.
-            part = [stack[j][0], part[1], stack[j][2], part[3]]
-            del stack[j:]
-    return [(a, b, high - low) for a, b, low, high in stack]
+            a, low = starts[j], lows[j]
+            del starts[j:], ends[j:], lows[j:], highs[j:], back[j:]
+    return done + [(x, y, h - l) for x, y, l, h in zip(starts, ends, lows, highs)]
 
 
 def estimate(corpus: np.ndarray, parts: np.ndarray) -> Model | None:
@@ -161,19 +169,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     if model is None or None in crossed:
         return model
     held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    # At most ``rows`` rows of four numbers each reach the driver.
-    found = score(held, crossed, keep=("toxic", "half"), choose="half").select("toxic", "segments", "tokens").toPandas()
-    calibrate(model, found["toxic"].to_numpy(), [np.array(x) for x in found["segments"]], found["tokens"].to_numpy())
+    # Twice at most ``rows`` rows of three numbers reach the driver: for the law, then for the map of the evidence under that law.
+    found = score(held, crossed, keep=("toxic", "half"), choose="half").select("toxic", "tokens", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("best")).toPandas()
+    fit_law(model, *(found[c].to_numpy() for c in ("toxic", "best", "tokens")))
+    for m in crossed:
+        m.lam, m.log_k = model.lam, model.log_k
+    seen = score(held, crossed, keep=("toxic", "half"), choose="half").select("toxic", "tokens", "evidence").toPandas()
+    fit_map(model, seen["toxic"].to_numpy(), seen["evidence"].to_numpy())
     return model
 
 
-def calibrate(model: Model, toxic: np.ndarray, found: list[np.ndarray], tokens: np.ndarray) -> None:
-    """Extreme-value parameters from the clean documents, then the logistic map of the evidence."""
-    best = np.array([x.max(initial=0.0) for x in found])
+def fit_law(model: Model, toxic: np.ndarray, best: np.ndarray, tokens: np.ndarray) -> None:
+    """Extreme-value parameters from the best segments of the clean documents."""
     clean = (toxic == 0) & (tokens > 0)
     if clean.any():
         model.lam, model.log_k = gumbel(best[clean], np.log(tokens[clean]))
-    x = evidences(np.full(len(found), model.lam), model.log_k + np.log(np.maximum(tokens, 1)), found)
+
+
+def fit_map(model: Model, toxic: np.ndarray, x: np.ndarray) -> None:
+    """The logistic map of the evidence."""
     y = toxic.astype(float)
     centre, spread = x.mean(), x.std() or 1.0
     z, (a, b) = (x - centre) / spread, (0.0, 0.0)
@@ -312,7 +326,7 @@ def evidence(model: Model, scores: np.ndarray, tokens: int) -> float:
 
 
 def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: str | None = None) -> DataFrame:
-    """doc_id, tokens, segments (scores of all maximal segments), score and passages
+    """doc_id, tokens, segments (scores of all maximal segments), evidence, score and passages
     (start:end in code points, of all significant ones), with the ``keep`` columns that have other names.
 
     With several models the integer column ``choose``, one of ``keep``, names each row's.
@@ -320,10 +334,10 @@ def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: s
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model if isinstance(model, list) else [model])
     first = 1 if "text" in keep else 2
-    others = [c for c in keep if c not in ("doc_id", "text", "tokens", "segments", "score", "passages")]
+    others = [c for c in keep if c not in ("doc_id", "text", "tokens", "segments", "evidence", "score", "passages")]
     kept = [(c, docs.schema[c].dataType.simpleString()) for c in (["text"] if first == 1 else []) + others]
-    own = "doc_id long, tokens long, segments array<double>, score double, passages string"
-    kinds = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("segments", pa.list_(pa.float64())), ("score", pa.float64()), ("passages", pa.string())])
+    own = "doc_id long, tokens long, segments array<double>, evidence double, score double, passages string"
+    kinds = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), ("segments", pa.list_(pa.float64())), ("evidence", pa.float64()), ("score", pa.float64()), ("passages", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, models = Letters(), shipped.value
@@ -344,7 +358,7 @@ def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: s
             for i, x in enumerate(seen.tolist()):
                 m = models[which[i]]
                 points.append(1 / (1 + math.exp(-max(-60.0, min(60.0, m.slope * x + m.offset)))) if m else 0.0)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, kinds.field(2).type), pa.array(points), pa.array(spans, pa.string()), *batch.columns[first:]]
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, kinds.field(2).type), pa.array(seen, pa.float64()), pa.array(points), pa.array(spans, pa.string()), *batch.columns[first:]]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*kinds, *(batch.schema.field(first + i) for i in range(len(kept)))]))
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)

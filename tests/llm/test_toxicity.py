@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 
 import numpy as np
@@ -140,3 +141,15 @@ def test_every_segment_enters_the_evidence():
     model = toxicity.Model(zero, zero, zero, zero, 0.1)
     some, more = (toxicity.evidence(model, np.full(k, 3.0), 1) for k in (32, 200))
     assert more > 5 * some
+
+
+def test_a_million_segments_take_linear_time():
+    falling = np.tile([1.0, -2.0], 1_000_000)
+    start = time.perf_counter()
+    assert len(toxicity.segments(falling)) == 1_000_000
+    rising = np.tile([2.0, -1.0], 200_000)
+    assert toxicity.segments(rising) == [(0, 399_999, 200_001.0)]
+    # Rising and falling sums in turn: candidates pile up, join and are given out.
+    wave = np.concatenate([np.tile([1.0, -1.5], 50_000), np.tile([2.0, -1.0], 50_000)] * 3)
+    assert toxicity.segments(wave)
+    assert time.perf_counter() - start < 30
