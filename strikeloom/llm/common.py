@@ -115,7 +115,7 @@ def word_names(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         return np.zeros(0, np.uint64)
     letter = mix(np.arange(256, dtype=np.uint64) + np.uint64((seed * MIX_A) % 2**64))
     lengths = ends - starts
-    powers = np.cumprod(np.full(int(lengths.max()) + 1, (MIX_A + 2 * seed) | 1, np.uint64))
+    places = mix(np.arange(int(lengths.max()) + 1, dtype=np.uint64) * np.uint64(MIX_A) + np.uint64(seed))
     out = np.empty(starts.size, np.uint64)
     # In slices of about PASS_BYTES letters: the arrays below hold eight bytes for each.
     total = np.cumsum(lengths)
@@ -125,7 +125,12 @@ def word_names(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         size, first = lengths[at:end], total[at:end] - lengths[at:end]
         first -= first[0]
         flat = np.arange(int(size.sum())) - np.repeat(first, size)
-        inked = letter[values[flat + np.repeat(starts[at:end], size)]] * powers[flat]
+        # Letter and place are mixed before they are added: products with powers would collide for known pairs of words.
+        inked = letter[values[flat + np.repeat(starts[at:end], size)]] ^ places[flat]
+        inked *= np.uint64(MIX_B)
+        inked ^= inked >> np.uint64(29)
+        inked *= np.uint64(MIX_C)
+        inked ^= inked >> np.uint64(32)
         out[at:end] = np.add.reduceat(inked, first)
         at = end
     return mix(out ^ lengths.astype(np.uint64))

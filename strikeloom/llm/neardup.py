@@ -24,11 +24,14 @@ threshold share none with a probability of 3e-6. Equal bags are one node from th
    compared by these descriptions, whose overlap is never below the true one. Large sets of
    members are cut into blocks, and pairs of blocks are the tasks; of the pairs that reach the
    threshold, a task sends those that join classes it has not joined yet.
+3. Should such a pair fail its verification (names of 32 bits can agree by chance), the sets it
+   comes from are compared once more, and every pair of different classes is sent.
 
 Every link is verified on the bags themselves. Classes are connected components.
 
 Defined cases: null and empty texts are classes of their own; null ids get a null class and
-never join one; rows that share an id are one document, and the greatest of its texts is compared; repeated
+never join one; rows that share an id are one document with several texts, each of which is
+compared, and join all their classes; repeated
 rows each get a row; ties have no meaning here, the least id names a class; no rows give
 no rows. Extra columns are ignored.
 """
@@ -53,6 +56,8 @@ ROWS, BANDS = 5, 32
 M = ROWS * BANDS
 #: Members in a block of the second comparison.
 BLOCK = 128
+#: Bits of the names in descriptions; fewer only send more pairs to verification.
+NAME_BITS = 32
 
 
 def bags(values: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,10 +139,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(print_b, owner, mix(mix(names ^ np.uint64(MIX_A)) + weighed))
         total = np.bincount(owner, counts, n).astype(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)), pa.array(total), lists], ["doc_id", "pa", "pb", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)), pa.array(total), lists], ["doc_id", "hash", "pa", "pb", "n", "keys"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlaps(batches: Iterator[pa.RecordBatch], name_bits: int = NAME_BITS) -> Iterator[pa.RecordBatch]:
     """Shared and joint bag size of every pair (a, b, text_a, text_b), the bag size of b, which units of a's
     bag b has, and names of b's units outside. A unit is a shingle and the number of its copy."""
     for batch in passes(passes(batches, "text_a"), "text_b"):
@@ -159,25 +164,30 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held[ib] = np.minimum(ca[ia], cb[ib])
         outside = cb - held
         number = np.arange(int(outside.sum())) - np.repeat(np.cumsum(outside) - outside, outside) + np.repeat(held, outside)
-        extra = (mix(np.repeat(nb, outside) + number.astype(np.uint64) * np.uint64(MIX_A)) >> np.uint64(32)).astype(np.uint32)
+        extra = (mix(np.repeat(nb, outside) + number.astype(np.uint64) * np.uint64(MIX_A)) >> np.uint64(64 - name_bits)).astype(np.uint32)
         stops = np.cumsum(size - both)
         named = [extra[e - u:e].tobytes() for u, e in zip((size - both).tolist(), stops.tolist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(units + size - both), pa.array(size), pa.array(packed, pa.binary()), pa.array(named, pa.binary())], ["a", "b", "both", "every", "n", "bits", "extra"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, name_bits: int = NAME_BITS) -> DataFrame:
     """``pairs`` (a, b) with the shared and the joint size of their bags; ``texts`` (id, text) holds all their texts."""
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps, "a long, b long, both long, every long, n long, bits binary, extra binary")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _overlaps(batches, name_bits), "a long, b long, both long, every long, n long, bits binary, extra binary")
 
 
 def _is_link():
     return F.col("both") * DENOMINATOR >= F.col("every") * NUMERATOR
 
 
-def _cross(table: pa.Table) -> pa.Table:
-    """Links between different classes among the members of a block, or of two, by their descriptions; as few as join the same classes."""
+def _cross(every: bool):
+    """Links between different classes among the members of a block, or of two, by their descriptions: all of them
+    (``every``), or as few as join the same classes."""
+    return lambda table: _links(table, every)
+
+
+def _links(table: pa.Table, every: bool) -> pa.Table:
     side, ids, label, n, both = (table.column(c).to_numpy() for c in ("side", "id", "label", "n", "both"))
     rows = table.column("bits").to_pylist()
     width = -(-len(rows[0]) // 8) * 8
@@ -206,15 +216,18 @@ def _cross(table: pa.Table) -> pa.Table:
         common = np.bincount(owner[np.isin(flat, names[i])], minlength=len(names))[rest] + inside
         for j in rest[common * DENOMINATOR >= (n[rest] + n[i] - common) * NUMERATOR].tolist():
             x, y = root(int(label[i])), root(int(label[j]))
-            if x != y:
-                joined[max(x, y)] = min(x, y)
+            if every or x != y:
+                if x != y and not every:
+                    joined[max(x, y)] = min(x, y)
                 out_a.append(min(int(ids[i]), int(ids[j])))
                 out_b.append(max(int(ids[i]), int(ids[j])))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    star = table.column("a")[0].as_py()
+    return pa.table({"star": pa.array([star] * len(out_a), pa.int64()), "a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that the first comparison left open, from its result (a: least member, b: member) and the classes by then."""
+def rest_pairs(stars: DataFrame, labels: DataFrame, every: bool = False) -> DataFrame:
+    """Pairs (a, b) that the first comparison left open, and the set (star) they come from, from its result (a: least
+    member, b: member) and the classes by then."""
     placed = stars.select("a", F.col("b").alias("id"), "n", "both", "bits", "extra").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
     placed = placed.withColumn("label", F.coalesce("label", "id"))
     mixed = placed.groupBy("a").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
@@ -224,30 +237,50 @@ def rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     spread = open_.select("*", F.explode(meets).alias("meet"))
     spread = spread.select("a", "meet.x", "meet.y", (F.col("block") != F.col("meet.x")).cast("int").alias("side"), "id", "label", "n", "both", "bits", "extra")
-    return spread.groupBy("a", "x", "y").applyInArrow(_cross, "a long, b long").distinct()
+    # Dealt by block pairs: after the join above Spark would leave all pairs of a set in its task.
+    return spread.repartition("a", "x", "y").groupBy("a", "x", "y").applyInArrow(_cross(every), "star long, a long, b long").distinct()
+
+
+def _same_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the bags of one id."""
+    held = rows.join(nodes.select("pa", "pb", "id"), ["pa", "pb"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("doc_id", "a")
+    return held.join(rows, "doc_id").join(nodes.select("pa", "pb", F.col("id").alias("b")), ["pa", "pb"]).where("a <> b").select("a", "b").distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, name_bits: int = NAME_BITS) -> DataFrame:
     """doc_id, class_id (least id of the class) and the size of its bag ``n_shingles``, one row per row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = shared(docs.mapInArrow(_sketch, "doc_id long, pa long, pb long, n long, keys array<long>"), "sketch")
-    nodes = sketch.where("n > 0 and doc_id is not null").groupBy("pa", "pb").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    nodes = shared(nodes, "nodes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    sketch = shared(docs.mapInArrow(_sketch, "doc_id long, hash long, pa long, pb long, n long, keys array<long>"), "sketch")
+    full = sketch.where("n > 0 and doc_id is not null")
+    # A node is a bag; the row of its least id, told by id and text, lends it its text.
+    nodes = full.groupBy("pa", "pb").agg(F.min(F.struct("doc_id", "hash")).alias("row"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    nodes = shared(nodes.select("pa", "pb", "row.doc_id", "row.hash", "n", "keys", F.monotonically_increasing_id().alias("id")), "nodes")
     placed = nodes.select(F.explode("keys").alias("key"), "id")
     pivots = placed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other")
     pairs = placed.join(pivots.select("key", "pivot"), "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = shared(pairs, "pairs")
-    # One copy of the texts that any comparison needs, one row an id.
-    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # The id set grows with the documents, so both sides are always shuffled, also where it is small.
-    texts = shared(docs.join(used.hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max("text").alias("text")), "texts")
-    stars = shared(verified(pairs, texts), "stars")
-    links = stars.where(_is_link()).select("a", "b")
-    rest = rest_pairs(stars, connected(links)).join(pairs, ["a", "b"], "left_anti")
-    more = shared(verified(shared(rest, "rest"), texts).where(_is_link()).select("a", "b"), "more")
-    labels = connected(links.unionByName(more))
-    named = nodes.select("pa", "pb", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left")
-    named = named.select("pa", "pb", F.coalesce("label", "id").alias("class_id"))
+    # One copy of the texts that any comparison needs, one row a node.
+    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    used = nodes.select("id", "doc_id", "hash").join(used, "id")
+    # The set of nodes grows with the documents, so both sides are always shuffled, also where it is small.
+    texts = shared(docs.join(used.hint("merge"), ["doc_id", "hash"]).groupBy("id").agg(F.max("text").alias("text")), "texts")
+    stars = shared(verified(pairs, texts, name_bits), "stars")
+    links = stars.where(_is_link()).select("a", "b").unionByName(_same_ids(full.select("doc_id", "pa", "pb").distinct(), nodes))
+    links = shared(links, "links")
+    rest = shared(rest_pairs(stars, connected(links)), "rest")
+    checked = shared(verified(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), texts), "checked")
+    links = links.unionByName(checked.where(_is_link()).select("a", "b"))
+    failed = checked.where(~_is_link()).select("a", "b")
+    if failed.limit(1).count():
+        links = shared(links, "links")
+        doubtful = rest.join(failed, ["a", "b"], "left_semi").select(F.col("star").alias("a")).distinct()
+        again = rest_pairs(stars.join(doubtful, "a", "left_semi"), connected(links), every=True).select("a", "b").distinct()
+        again = again.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(pairs, ["a", "b"], "left_anti")
+        links = links.unionByName(verified(shared(again, "again"), texts).where(_is_link()).select("a", "b"))
+    labels = connected(links)
+    named = nodes.select("pa", "pb", "id", "doc_id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = shared(named.join(least, "label").select("pa", "pb", "class_id"), "named")
     out = sketch.select("doc_id", "pa", "pb", "n").join(named, ["pa", "pb"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", own.alias("class_id"), F.col("n").alias("n_shingles"))
