@@ -7,7 +7,7 @@ from strikeloom.operators import ranking
 from strikeloom.plans.common import d, m_cells, n, r, t
 from strikeloom.plans.registry import query, view
 from strikeloom.session import materialize, scratch_dir, table
-from strikeloom.sources import archive, captures, sinks
+from strikeloom.sources import archive, captures, commits, sinks
 
 
 def _matrix(spark, sf):
@@ -133,9 +133,9 @@ FROM cday GROUP BY day""")
 def insert_only(spark, sf):
     days = materialize(adapters.contract_day(spark, sf).select("day", "occ", "volume"), "contract-days")
     path = scratch_dir(spark, "keyed")
-    days.where("day < '2024-01-20'").write.parquet(path)
-    sinks.append_only(days.withColumn("volume", F.col("volume") + 1), path, ["day", "occ"])
-    return spark.read.parquet(path).groupBy(d("day").alias("day")).agg(F.count(F.lit(1)).alias("n"), n(F.sum("volume")).alias("volume"))
+    commits.append(days.where("day < '2024-01-20'"), path, ["day", "occ"])
+    commits.append(days.withColumn("volume", F.col("volume") + 1), path, ["day", "occ"])
+    return commits.read(spark, path, days.schema).groupBy(d("day").alias("day")).agg(F.count(F.lit(1)).alias("n"), n(F.sum("volume")).alias("volume"))
 
 
 @query("src_10_pending_work", """
@@ -161,19 +161,18 @@ def _exported(spark, sf):
     p = adapters.prints(spark, sf)
     path = scratch_dir(spark, "export")
     p.withColumn("dt", d("day")).drop("day").write.option("maxRecordsPerFile", 5_000_000).partitionBy("dt").parquet(path)
-    m = sinks.export_manifest(spark, path, "T0")
-    return p, path, m.withColumn("day", F.regexp_extract("file_path", r"dt=(\d{4}-\d\d-\d\d)", 1).cast("date"))
+    written = spark.read.parquet(path).withColumn("day", F.col("dt").cast("date"))
+    check = materialize(sinks.verify_export(p, written, "day", "ts"), "export-check")
+    return p, check, sinks.export_manifest(spark, path, "T0", check, "day", r"dt=(\d{4}-\d\d-\d\d)")
 
 
 @query("src_13_export_manifest", """
 SELECT strftime(day, '%Y-%m-%d') AS day, 'T0' AS tier, count(*) AS row_count, true AS verified, 64 AS digest_length, count(*) AS source_rows,
   strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, true AS agrees FROM prints GROUP BY day""")
 def export_manifest(spark, sf):
-    p, path, m = _exported(spark, sf)
+    _, check, m = _exported(spark, sf)
     files = m.groupBy(d("day").alias("day"), "tier").agg(
         n(F.sum("row_count")).alias("row_count"), F.min("verified").alias("verified"), F.min(F.length("sha256")).cast("int").alias("digest_length"))
-    written = spark.read.parquet(path).withColumn("day", F.col("dt").cast("date"))
-    check = sinks.verify_export(p, written, "day", "ts")
     return files.join(check.select(d("day").alias("day"), "source_rows", t("exported_min").alias("first_ts"), t("exported_max").alias("last_ts"), "agrees"), "day")
 
 

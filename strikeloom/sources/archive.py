@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -14,24 +15,40 @@ from strikeloom.constants import TIME_COLUMNS
 _JUNK = r"(^|/)\._|\.lock$"
 
 
+def _any_case(name: str) -> str:
+    return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else re.sub(r"([*?\[\]{}\\])", r"\\\1", c) for c in name)
+
+
+def folders(root: str, tickers: Iterable[str] | None = None, years: Iterable[str] | None = None) -> list[str]:
+    """Globs that lead to the wanted part of the tree only: other folders are not listed."""
+    years = [str(y) for y in years] if years else None
+    return [f"{root.rstrip('/')}/ticker={_any_case(x) if x else '*'}/year={y or '*'}*"
+            for x in (list(tickers) if tickers else [None]) for y in (years or [None])]
+
+
 def list_files(spark: SparkSession, root: str, tickers: Iterable[str] | None = None,
                years: Iterable[str] | None = None) -> DataFrame:
     """Parquet files below ``root`` with ticker and year taken from the path.
 
-    File contents are not read: only the path column of the listing is used.
+    Filters become part of the listed paths. File contents are not read: only the path
+    column of the listing is used.
     """
+    there = [g for g in folders(root, tickers, years) if _exists(spark, g)]
+    if not there:
+        return spark.createDataFrame([], "path string, ticker string, year string")
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "[!.]*.parquet").load(root).select("path")
+        .option("pathGlobFilter", "[!.]*.parquet").load(there).select("path")
     )
-    out = files.where(~F.col("path").rlike(_JUNK)).select(
+    return files.where(~F.col("path").rlike(_JUNK)).select(
         "path", F.regexp_extract("path", r"ticker=([^/]+)", 1).alias("ticker"),
         F.regexp_extract("path", r"year=(\d{4})", 1).alias("year"))
-    if tickers:
-        out = out.where(F.upper("ticker").isin([x.upper() for x in tickers]))
-    if years:
-        out = out.where(F.col("year").isin([str(y) for y in years]))
-    return out
+
+
+def _exists(spark: SparkSession, glob: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
 
 
 def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,15 +74,14 @@ def scan(spark: SparkSession, root: str, schema: dict[str, str], tickers: Iterab
     The driver holds the list of paths, as it does for any file scan.
     """
     found = list_files(spark, root, tickers, years)
-    groups = (
-        found.select("path").mapInPandas(_footers, "path string, footer string")
-        .groupBy("footer").agg(F.collect_list("path").alias("paths")).collect()
-    )
+    groups: dict[str, list[str]] = {}
+    for row in found.select("path").mapInPandas(_footers, "path string, footer string").toLocalIterator():
+        groups.setdefault(row["footer"], []).append(row["path"])
     if not groups:
         raise ValueError(f"no archive files below {root}")
     out = None
-    for group in groups:
-        one = spark.read.parquet(*group["paths"])
+    for _, paths in sorted(groups.items()):
+        one = spark.read.parquet(*paths)
         path = F.col("_metadata.file_path")
         have = [F.col(c).cast(t).alias(c) for c, t in schema.items() if c in one.columns]
         one = one.select(*have, F.regexp_extract(path, r"ticker=([^/]+)", 1).alias("_ticker"),

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a file in memory at once.
+STRETCH = 8 << 20
+
+
 def write_sessions(df: DataFrame, path: str, session: str = "dt", sort: Sequence[str] = ("ticker",)) -> None:
     """Partition by session and replace only the sessions present in ``df``.
 
-    Rows are spread over the sessions plus a salt of the whole row, so a large session,
-    and a hot ticker in it, is written by several tasks; within a file rows are sorted
+    Rows are brought together by session; at run time a large session is split over as many
+    writers as its size asks for and small ones share one. Within a file rows are sorted
     for min/max skipping.
     """
-    salt = F.xxhash64(*[F.col(c) for c in df.columns]) % 8
     keep = [c for c in sort if c in df.columns]
     (
-        df.withColumn("_salt", salt).repartition(session, "_salt").drop("_salt").sortWithinPartitions(session, *keep)
+        df.hint("rebalance", session).sortWithinPartitions(session, *keep)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(session).parquet(path)
     )
 
@@ -28,19 +35,6 @@ def insert_only(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFram
     return new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")
 
 
-def append_only(new: DataFrame, path: str, keys: Sequence[str]) -> tuple[int, int]:
-    """Append unseen keys to a table and read it back; returns (inserted, rows held)."""
-    spark = new.sparkSession
-    old = spark.read.parquet(path)
-    before = old.count()
-    insert_only(new, old, keys).write.mode("append").parquet(path)
-    held = spark.read.schema(old.schema).parquet(path)
-    after = held.count()
-    if held.select(*keys).distinct().count() != after:
-        raise ValueError("a key was written twice")
-    return after - before, after
-
-
 def pending(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Work items an earlier run has not finished."""
     return work.join(done.select(*keys), list(keys), "left_anti")
@@ -54,21 +48,43 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def export_manifest(spark: SparkSession, path: str, tier: str) -> DataFrame:
-    """Per file: SHA-256, size and row count read back from the written files.
-
-    ``verified`` needs a readable file of non-zero size with a row count. Keep
-    files below 2 GB (``maxRecordsPerFile``), the limit of one binary value.
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256, size and parquet row count of each file, read in stretches; an unreadable footer has no row count."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    for pdf in batches:
+        out = []
+        for path in pdf["path"]:
+            fs, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            digest, size = hashlib.sha256(), 0
+            with fs.open_input_stream(inner) as stream:
+                while piece := stream.read(STRETCH):
+                    digest.update(piece)
+                    size += len(piece)
+            try:
+                rows = pq.read_metadata(inner, filesystem=fs).num_rows
+            except (pa.ArrowInvalid, OSError):
+                rows = None
+            out.append((re.sub(r"^file:/+", "/", path), digest.hexdigest(), size, rows))
+        yield pd.DataFrame(out, columns=["file_path", "sha256", "byte_size", "row_count"]).astype({"row_count": "Int64"})
+
+
+def export_manifest(spark: SparkSession, path: str, tier: str, checks: DataFrame | None = None, key: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Per file: SHA-256, size and row count read back from the written files by the executors.
+
+    ``verified`` needs a readable file and, in ``checks`` (of ``verify_export``), that the source agrees with what was
+    read back for the file's partition; ``pattern`` takes the ``key`` out of the path. Without checks nothing is verified.
     """
-    blobs = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-        .select(F.regexp_replace("path", r"^file:/+", "/").alias("file_path"), F.sha2("content", 256).alias("sha256"),
-                F.length("content").cast("bigint").alias("byte_size"))
-    )
-    counts = spark.read.parquet(path).groupBy(
-        F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/").alias("file_path")).agg(F.count(F.lit(1)).alias("row_count"))
-    out = blobs.join(counts, "file_path", "left").withColumn("tier", F.lit(tier))
-    return out.withColumn("verified", (F.col("byte_size") > 0) & F.col("row_count").isNotNull())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    # One file a task at most: files are read whole.
+    out = files.repartition("path").mapInPandas(_digests, "file_path string, sha256 string, byte_size bigint, row_count bigint").withColumn("tier", F.lit(tier))
+    if checks is None:
+        return out.withColumn("verified", F.lit(False))
+    kind = checks.schema[key].dataType
+    keyed = out.withColumn(key, F.regexp_extract("file_path", pattern, 1).cast(kind))
+    agreed = checks.select(key, "agrees")
+    return keyed.join(agreed, key, "left").withColumn("verified", F.col("row_count").isNotNull() & F.coalesce("agrees", F.lit(False))).drop("agrees")
 
 
 def retention_candidates(rows: DataFrame, manifest: DataFrame, key: str, age_days: int, today) -> DataFrame:

@@ -3,7 +3,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from strikeloom.operators import contracts, flow, ranking
-from strikeloom.sources import sinks
 
 RAW = ("option_symbol string, underlying_symbol string, option_type string, strike string, expires string, avg_price string, last_price string, volume string, "
        "open_interest string, prev_oi string, bid_volume string, ask_volume string, mid_volume string, iv double, last_tape_time timestamp")
@@ -60,12 +59,3 @@ def test_max_pain_matches_pairs(spark):
     pain = {k: sum(c * max(k - s, 0) + p * max(s - k, 0) for _, s, c, p in rows) for _, k, _, _ in rows}
     best = min(pain, key=lambda k: (pain[k], k))
     assert got["max_pain"] == best and abs(got["payout"] - pain[best]) < 1e-9
-
-
-def test_insert_only_never_overwrites(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.createDataFrame([(1, "old"), (2, "old")], "k int, v string").write.parquet(path)
-    new = spark.createDataFrame([(2, "new"), (3, "new"), (3, "again")], "k int, v string")
-    assert sinks.append_only(new, path, ["k"]) == (1, 3)
-    held = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
-    assert held[1] == held[2] == "old" and held[3] in ("new", "again")
