@@ -131,17 +131,62 @@ def ticker_rank(summary: DataFrame, which: str) -> DataFrame:
     ``union`` adds relative volume and absolute OI change although their units
     differ; that is its definition.
     """
-    rows = summary.withColumns({
-        "n_flags": F.col("n_flag_rvol") + F.col("n_flag_oi"),
-        "rvol_plus_oi": F.col("rvol_max") + F.col("oi_max"),
-        "pctile_or_none": F.coalesce("pctile_max", F.lit(-1.0)),
-    })
+    rows = _with_orders(summary)
     first, *rest = RANKINGS[which]
     ties = [F.col(c).desc() for c in rest] + [F.col("underlying").asc()]
     return ranked(rows, ["day"], first, ties, descending=True, out="rank",
                   tie_chunk=-_prefix(rest[0]) if rest else None)
 
 
+def ticker_ranks(summary: DataFrame, which: Sequence[str] = tuple(RANKINGS)) -> DataFrame:
+    """(ranking, day, underlying, rank) of all named orders by one window over a long form.
+
+    A section is the tickers of one day, so its size does not grow with the trades.
+    """
+    rows = _with_orders(summary)
+
+    def order(name: str) -> Column:
+        keys = [F.col(c).cast("double") for c in RANKINGS[name]] + [F.lit(0.0)] * 3
+        return F.struct(F.lit(name).alias("ranking"), *[k.alias(f"_k{i}") for i, k in enumerate(keys[:3])])
+
+    long = rows.select("day", "underlying", F.explode(F.array(*[order(x) for x in which])).alias("o")).select("day", "underlying", "o.*")
+    section = Window.partitionBy("ranking", "day").orderBy(*[F.col(f"_k{i}").desc() for i in range(3)], "underlying")
+    return long.select("ranking", "day", "underlying", F.row_number().over(section).alias("rank"))
+
+
+def _with_orders(summary: DataFrame) -> DataFrame:
+    return summary.withColumns({
+        "n_flags": F.col("n_flag_rvol") + F.col("n_flag_oi"),
+        "rvol_plus_oi": F.col("rvol_max") + F.col("oi_max"),
+        "pctile_or_none": F.coalesce("pctile_max", F.lit(-1.0)),
+    })
+
+
+def captured(days: DataFrame, per_ticker: int = 15) -> DataFrame:
+    """What a feed of the largest contracts sees: of every ticker and day the first by volume, then premium, then contract.
+
+    A contract outside the list is absent on that day, not zero, so its history has gaps.
+    """
+    w = Window.partitionBy("underlying", "day").orderBy(F.col("volume").desc(), F.col("premium").desc(), "occ")
+    return days.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_ticker).drop("_n")
+
+
+def evaluate(ranks: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """Hits, precision and recall of the first k tickers of every ranking, per day.
+
+    ``ranks``: track, ranking, day, underlying, rank. ``truth``: track, ranking, truth, day, underlying, the sets that
+    each ranking is held against. Days without a truth set have no row; ``n`` is below k where fewer are ranked.
+    """
+    keys = ["track", "ranking", "truth", "day"]
+    want = truth.select(*keys, "underlying").distinct()
+    sizes = want.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_truth"))
+    top = ranks.where(F.col("rank") <= max(ks)).join(sizes, ["track", "ranking", "day"])
+    seen = top.join(want.withColumn("_hit", F.lit(1)), [*keys, "underlying"], "left")
+    cut = seen.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
+    out = cut.groupBy(*keys, "k", "n_truth").agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"))
+    return out.withColumns({"precision": ratio("hits", "n"), "recall": ratio("hits", "n_truth")})
+
+
 def _prefix(name: str) -> Column:
     from strikeloom.functions.ordered import order_prefix
 

@@ -36,6 +36,27 @@ def iv_rank(bars: DataFrame, days: int = 252) -> DataFrame:
     return rows.withColumn("iv_pctile", percentile_of_history("iv", "_h")).drop("_h")
 
 
+def constant_tenors(rows: DataFrame, keys: list[str], tenors: dict[str, int]) -> DataFrame:
+    """Volatility at fixed days to expiry, per key, from one row per expiry (``dte`` days, ``iv``).
+
+    The expiries that bracket a tenor give total variances, which are interpolated in time; beyond the nearest or the
+    farthest expiry its own volatility holds. Expiries that are over, or have no volatility, take no part.
+    """
+    live = rows.where((F.col("dte") > 0) & F.col("iv").isNotNull())
+    point = F.struct("dte", "iv")
+    sides = {}
+    for name, t in tenors.items():
+        sides[f"_lo_{name}"] = F.max(F.when(F.col("dte") <= t, point))
+        sides[f"_hi_{name}"] = F.min(F.when(F.col("dte") >= t, point))
+    out = live.groupBy(*keys).agg(*[c.alias(n) for n, c in sides.items()])
+    for name, t in tenors.items():
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        w_lo, w_hi = lo["iv"] ** 2 * lo["dte"], hi["iv"] ** 2 * hi["dte"]
+        between = w_lo + (w_hi - w_lo) * (t - lo["dte"]) / (hi["dte"] - lo["dte"])
+        out = out.withColumn(name, F.when(lo.isNull(), hi["iv"]).when(hi.isNull() | (lo["dte"] == hi["dte"]), lo["iv"]).otherwise(F.sqrt(between / t)))
+    return out.drop(*sides)
+
+
 def term_slope(near: Column, far: Column, flat: float = 0.0) -> tuple[Column, Column]:
     slope = near - far
     state = F.when(slope > flat, "backwardation").when(slope < -flat, "contango").otherwise("flat")

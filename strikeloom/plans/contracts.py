@@ -61,20 +61,27 @@ def unified(spark, sf):
         F.count("bid").alias("n_bid"), F.count("oi").alias("n_oi"))
 
 
-view("flags", """
-SELECT *, base_obs >= 5 AND base_avg >= 100 AND rvol >= 2 AS flag_rvol, coalesce(hist_obs >= 5 AND pctile >= 0.9, false) AS flag_surprise,
+_FLAGS = """
+SELECT *, base_obs >= {obs} AND base_avg >= 100 AND rvol >= 2 AS flag_rvol, coalesce(hist_obs >= {obs} AND pctile >= 0.9, false) AS flag_surprise,
   abs(oi_change) >= 500 OR oi_change_pct >= 25 AS flag_oi FROM (
   SELECT c.*, h.base_obs, h.base_avg, h.hist_obs, h.pctile,
     CASE WHEN base_avg > 0 THEN volume / base_avg WHEN volume > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0.0::DOUBLE END AS rvol,
     (c.oi - c.prev_oi)::DOUBLE AS oi_change, CASE WHEN c.prev_oi <> 0 THEN abs(c.oi - c.prev_oi) / c.prev_oi::DOUBLE * 100
       WHEN c.oi <> c.prev_oi THEN CAST('Infinity' AS DOUBLE) ELSE 0.0::DOUBLE END AS oi_change_pct
-  FROM cday_n c JOIN (
+  FROM {days} c JOIN (
     SELECT a.occ, a.day, count(b.occ) FILTER (a.rn - b.rn <= 10) AS base_obs,
       coalesce(avg(b.volume) FILTER (a.rn - b.rn <= 10), 0) AS base_avg, count(b.occ) AS hist_obs,
       (count(*) FILTER (b.premium < a.premium) + 0.5::DOUBLE * count(*) FILTER (b.premium = a.premium)) / nullif(count(b.occ), 0) AS pctile
-    FROM cday_n a LEFT JOIN cday_n b ON a.occ = b.occ AND b.rn < a.rn AND a.rn - b.rn <= 20 GROUP BY a.occ, a.day, a.rn) h
-  ON c.occ = h.occ AND c.day = h.day)""")
+    FROM {days} a LEFT JOIN {days} b ON a.occ = b.occ AND b.rn < a.rn AND a.rn - b.rn <= 20 GROUP BY a.occ, a.day, a.rn) h
+  ON c.occ = h.occ AND c.day = h.day)"""
+view("flags", _FLAGS.format(obs=5, days="cday_n"))
 view("cday_n", "SELECT *, row_number() OVER (PARTITION BY occ ORDER BY day) AS rn FROM cday")
+# Loose baselines over all contracts, and over those that a feed of the largest contracts sees.
+view("flags_loose", _FLAGS.format(obs=3, days="cday_n"))
+view("cday_c", """
+SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY underlying, day ORDER BY volume DESC, premium DESC, occ) AS pick FROM cday) WHERE pick <= 15""")
+view("cday_cn", "SELECT *, row_number() OVER (PARTITION BY occ ORDER BY day) AS rn FROM cday_c")
+view("flags_c", _FLAGS.format(obs=3, days="cday_cn"))
 
 
 @query("win_7_contract_rvol", """

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from strikeloom import adapters
 from strikeloom.constants import SCORE_FEATURES, UNUSUAL_FEATURES
+from strikeloom.functions.scalar import ratio
 from strikeloom.operators import contracts, ranking
 from strikeloom.plans.common import d, n, r
 from strikeloom.plans.contracts import features
 from strikeloom.plans.registry import query, view
-from strikeloom.session import materialize
+from strikeloom.session import materialize, table
 
 view("ranks_long", " UNION ALL ".join(
     f"SELECT day, underlying, '{c}' AS feature, CASE WHEN count(*) OVER (PARTITION BY day) > 1 THEN (row_number() OVER (PARTITION BY day ORDER BY {c}, underlying) - 1) "
@@ -56,31 +57,7 @@ def summary(spark, sf):
 @query("top_3_ticker_ranks", """
 SELECT ranking, strftime(day, '%Y-%m-%d') AS day, underlying, rank FROM tranks""")
 def ticker_ranks(spark, sf):
-    s = materialize(summary(spark, sf), "summary")
-    out = None
-    for name in ranking.RANKINGS:
-        one = ranking.ticker_rank(s, name).select(F.lit(name).alias("ranking"), d("day").alias("day"), "underlying", n("rank").alias("rank"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-_RICH = ("premium", "volume", "n_contracts", "ask_share_all", "rvol_max", "n_flag_rvol", "n_flag_oi", "oi_abs_sum", "prem_pctile")
-view("rich_base", """
-SELECT f.*, ask / nullif(ask + bid + mid, 0)::DOUBLE AS ask_share_all, t.prem_pctile FROM fsum f JOIN (
-  SELECT a.underlying, a.day, (count(*) FILTER (b.premium < a.premium) + 0.5::DOUBLE * count(*) FILTER (b.premium = a.premium)) / nullif(count(b.underlying), 0) AS prem_pctile
-  FROM tday_n a LEFT JOIN tday_n b ON a.underlying = b.underlying AND b.rn < a.rn AND a.rn - b.rn <= 20 GROUP BY a.underlying, a.day) t USING (underlying, day)""")
-view("rich_long", " UNION ALL ".join(
-    f"SELECT day, underlying, '{c}' AS feature, CASE WHEN count(*) OVER (PARTITION BY day) > 1 THEN (row_number() OVER (PARTITION BY day ORDER BY {c}, underlying) - 1) "
-    f"/ (count(*) OVER (PARTITION BY day) - 1)::DOUBLE ELSE 0.5::DOUBLE END AS pct FROM rich_base WHERE {c} IS NOT NULL"
-    for c in _RICH))
-
-
-def rich(spark, sf):
-    days = materialize(adapters.contract_day(spark, sf), "contract-days")
-    surprise = ranking.ticker_surprise(ranking.ticker_day(days)).select("underlying", "day", "prem_pctile")
-    total = F.col("ask") + F.col("bid") + F.col("mid")
-    s = ranking.flag_summary(contracts.activity(days))
-    return s.join(surprise, ["underlying", "day"]).withColumn("ask_share_all", F.try_divide(F.col("ask"), total))
+    return ranking.ticker_ranks(summary(spark, sf)).select("ranking", d("day").alias("day"), "underlying", n("rank").alias("rank"))
 
 
 @query("top_5_rich_scores", """
@@ -190,7 +167,6 @@ SELECT underlying, min(provenance) AS provenance FROM (
 GROUP BY underlying""")
 def universe(spark, sf):
     from strikeloom.operators import sets
-    from strikeloom.session import table
     cu = table(spark, sf, "customer")
     tiers = cu.where("c_nationkey < 10").select(
         F.concat(F.lit("T"), (F.col("c_custkey") % 40).cast("string")).alias("underlying"),
@@ -306,3 +282,83 @@ def backtest(spark, sf):
     return rep.join(q, "day", "left").select(
         d("day").alias("day"), "n_scored", "n_strict", "n_flag_rvol", "n_flag_surprise", "n_flag_oi", r("pctile_mean").alias("pctile_mean"),
         (F.col("p90") > 1).alias("p90_over_1"))
+
+
+# Tracks of the backtest: all contracts of a covered universe, and what a feed of the largest contracts sees.
+_FSUM = """
+SELECT underlying, day, sum(premium) AS premium, coalesce(max(CASE WHEN NOT isinf(rvol) THEN rvol END), 0) AS rvol_max, count(*) FILTER (flag_rvol) AS n_flag_rvol,
+  count(*) FILTER (flag_oi) AS n_flag_oi, coalesce(max(CASE WHEN flag_oi THEN abs(oi_change) END), 0) AS oi_max, max(pctile) AS pctile_max
+FROM {flags} GROUP BY underlying, day"""
+view("universe_a", "SELECT DISTINCT 'T' || (c_custkey % 40)::VARCHAR AS underlying FROM customer WHERE c_nationkey = 0")
+view("fsum_u", _FSUM.format(flags="flags_loose") + " HAVING underlying IN (SELECT underlying FROM universe_a)")
+view("fsum_c", _FSUM.format(flags="flags_c"))
+view("track_ranks", " UNION ALL ".join(
+    f"SELECT '{track}' AS track, '{k}' AS ranking, day, underlying, row_number() OVER (PARTITION BY day ORDER BY {_ORDERS[k]}) AS rank FROM {table_}"
+    for track, table_, kinds in (("covered", "fsum_u", ("rvol", "surprise", "premium")), ("captured", "fsum_c", tuple(_ORDERS))) for k in kinds))
+view("truth_both", "SELECT day, underlying FROM truth_vol UNION SELECT day, underlying FROM truth_oi")
+view("track_truth", """
+SELECT 'covered' AS track, k.ranking, 'all' AS truth, day, underlying FROM truth_both, (SELECT unnest(['rvol', 'surprise', 'premium']) AS ranking) k
+UNION ALL SELECT 'covered', k.ranking, 'in_universe', day, underlying FROM truth_both, (SELECT unnest(['rvol', 'surprise', 'premium']) AS ranking) k
+  WHERE underlying IN (SELECT underlying FROM universe_a)
+UNION ALL SELECT 'captured', k.ranking, 'all', day, underlying FROM truth_both, (SELECT unnest(['union', 'surprise', 'premium']) AS ranking) k
+UNION ALL SELECT 'captured', 'rvol', 'volume', day, underlying FROM truth_vol UNION ALL SELECT 'captured', 'oi', 'oi', day, underlying FROM truth_oi""")
+_TRACK_KS = (10, 25, 50)
+
+
+def _covered(spark, sf):
+    cu = table(spark, sf, "customer").where("c_nationkey = 0")
+    return cu.select(F.concat(F.lit("T"), (F.col("c_custkey") % 40).cast("string")).alias("underlying")).distinct()
+
+
+@query("fit_20_ranking_tracks", """
+SELECT t.track, t.ranking, t.truth, strftime(t.day, '%Y-%m-%d') AS day, k, any_value(t.n) AS n_truth, count(*) AS n, count(w.underlying) AS hits,
+  round(count(w.underlying) / count(*)::DOUBLE, 6) AS precision, round(count(w.underlying) / any_value(t.n)::DOUBLE, 6) AS recall
+FROM (SELECT track, ranking, truth, day, count(*) AS n FROM track_truth GROUP BY ALL) t JOIN track_ranks r ON t.track = r.track AND t.ranking = r.ranking AND t.day = r.day
+JOIN (SELECT unnest([10, 25, 50]) AS k) ON r.rank <= k
+LEFT JOIN track_truth w ON w.track = t.track AND w.ranking = t.ranking AND w.truth = t.truth AND w.day = t.day AND w.underlying = r.underlying
+GROUP BY t.track, t.ranking, t.truth, t.day, k""")
+def ranking_tracks(spark, sf):
+    """Five rankings by (day, track, k) against the unusual lists: whole, those of the universe, or of one kind."""
+    days = materialize(adapters.contract_day(spark, sf), "contract-days")
+    flags = materialize(contracts.activity(days), "flags")
+    vol, oi, _ = truths(spark, sf, flags)
+    both, universe = materialize(vol.unionByName(oi).distinct(), "both"), materialize(_covered(spark, sf), "universe")
+    loose = ranking.flag_summary(contracts.activity(days, 3)).join(universe, "underlying")
+    seen = ranking.flag_summary(contracts.activity(ranking.captured(days), 3))
+    covered = ("rvol", "surprise", "premium")
+    ranks = ranking.ticker_ranks(loose, covered).withColumn("track", F.lit("covered")).unionByName(ranking.ticker_ranks(seen).withColumn("track", F.lit("captured")))
+
+    def against(truth, track, name, kinds):
+        return truth.select("day", "underlying", F.lit(track).alias("track"), F.lit(name).alias("truth"), F.explode(F.array(*[F.lit(k) for k in kinds])).alias("ranking"))
+
+    truth = against(both, "covered", "all", covered)
+    for more in (against(both.join(universe, "underlying"), "covered", "in_universe", covered), against(both, "captured", "all", ("union", "surprise", "premium")),
+                 against(vol, "captured", "volume", ("rvol",)), against(oi, "captured", "oi", ("oi",))):
+        truth = truth.unionByName(more)
+    out = ranking.evaluate(ranks, truth, _TRACK_KS)
+    return out.select("track", "ranking", "truth", d("day").alias("day"), "k", "n_truth", "n", "hits", r("precision").alias("precision"), r("recall").alias("recall"))
+
+
+_LINES = (("union", "flag_rvol OR flag_oi", "is_vol OR is_oi"), ("rvol", "flag_rvol", "is_vol"), ("oi", "flag_oi", "is_oi"))
+view("contract_truth", """
+SELECT day, occ, base_obs >= 3 AND rvol >= 1.5 AND NOT isinf(rvol) AS is_vol, abs(oi_change) >= 200 AS is_oi FROM flags
+WHERE (base_obs >= 3 AND rvol >= 1.5 AND NOT isinf(rvol)) OR abs(oi_change) >= 200""")
+
+
+@query("fit_20_contract_lines", " UNION ALL ".join(f"""
+SELECT '{line}' AS line, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (p) AS n_pred, count(*) FILTER (q) AS n_truth, count(*) FILTER (p AND q) AS hits, count(*) FILTER (q AND seen) AS captured,
+  round(count(*) FILTER (p AND q) / nullif(count(*) FILTER (p), 0)::DOUBLE, 6) AS precision, round(count(*) FILTER (p AND q) / nullif(count(*) FILTER (q), 0)::DOUBLE, 6) AS recall
+FROM (SELECT coalesce(f.day, t.day) AS day, coalesce({flag}, false) AS p, coalesce({truth}, false) AS q, f.occ IS NOT NULL AS seen FROM flags_c f FULL JOIN contract_truth t ON f.day = t.day AND f.occ = t.occ)
+WHERE p OR q GROUP BY day""" for line, flag, truth in _LINES))
+def contract_lines(spark, sf):
+    """Flags of the captured contracts against the unusual contracts, with how many of these were captured at all."""
+    days = materialize(adapters.contract_day(spark, sf), "contract-days")
+    is_vol = (F.col("base_obs") >= 3) & (F.col("rvol") >= 1.5) & (F.col("rvol") != float("inf"))
+    truth = contracts.activity(days).select("day", "occ", is_vol.alias("is_vol"), (F.abs("oi_change") >= 200).alias("is_oi")).where("is_vol or is_oi")
+    seen = contracts.activity(ranking.captured(days), 3).select("day", "occ", "flag_rvol", "flag_oi", F.lit(True).alias("seen"))
+    both = seen.join(truth, ["day", "occ"], "full")
+    line = F.array(*[F.struct(F.lit(name).alias("line"), F.coalesce(F.expr(flag), F.lit(False)).alias("p"), F.coalesce(F.expr(want), F.lit(False)).alias("q")) for name, flag, want in _LINES])
+    rows = both.select("day", "seen", F.explode(line).alias("x")).select("day", "seen", "x.*").where("p or q")
+    out = rows.groupBy("line", "day").agg(
+        F.count_if("p").alias("n_pred"), F.count_if("q").alias("n_truth"), F.count_if(F.col("p") & F.col("q")).alias("hits"), F.count_if(F.col("q") & F.col("seen")).alias("captured"))
+    return out.select("line", d("day").alias("day"), "n_pred", "n_truth", "hits", "captured", r(ratio("hits", "n_pred")).alias("precision"), r(ratio("hits", "n_truth")).alias("recall"))

@@ -27,14 +27,29 @@ def iv_rank(spark, sf):
 view("bars_n", "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS rn FROM bars")
 
 
-@query("vol_3_term_slope", """
-SELECT ticker, strftime(day, '%Y-%m-%d') AS day, round(near - far, 6) + 0.0 AS slope, CASE WHEN near - far > 0.005 THEN 'backwardation' WHEN near - far < -0.005 THEN 'contango' ELSE 'flat' END AS state FROM (
-  SELECT ticker, day, avg(call_iv) FILTER (expiry <= DATE '2024-02-09') AS near, avg(call_iv) FILTER (expiry > DATE '2024-02-09') AS far FROM (SELECT *, CAST(ts AS DATE) AS day FROM snapshots) GROUP BY ALL)""")
+def _tenor(name, t):
+    """SQL of the volatility at ``t`` days from the bracketing expiries."""
+    return f"""CASE WHEN lo_{name} IS NULL THEN hi_{name}.iv WHEN hi_{name} IS NULL OR lo_{name}.dte = hi_{name}.dte THEN lo_{name}.iv
+      ELSE sqrt((pow(lo_{name}.iv, 2) * lo_{name}.dte + (pow(hi_{name}.iv, 2) * hi_{name}.dte - pow(lo_{name}.iv, 2) * lo_{name}.dte) * ({t} - lo_{name}.dte) / (hi_{name}.dte - lo_{name}.dte)::DOUBLE) / {t}) END AS {name}"""
+
+
+TENORS = {"near": 9, "far": 30}
+view("expiry_iv", """
+SELECT ticker, CAST(ts AS DATE) AS day, date_diff('day', CAST(ts AS DATE), expiry) AS dte, avg(call_iv) AS iv FROM snapshots GROUP BY ALL""")
+
+
+@query("vol_3_term_slope", f"""
+SELECT ticker, strftime(day, '%Y-%m-%d') AS day, round(near, 6) AS near, round(far, 6) AS far, round(near - far, 6) + 0.0 AS slope,
+  CASE WHEN near - far > 0.005 THEN 'backwardation' WHEN near - far < -0.005 THEN 'contango' ELSE 'flat' END AS state FROM (
+  SELECT ticker, day, {", ".join(_tenor(*x) for x in TENORS.items())} FROM (
+    SELECT ticker, day, {", ".join(f"max(CASE WHEN dte <= {t} THEN {{'dte': dte, 'iv': iv}} END) AS lo_{x}, min(CASE WHEN dte >= {t} THEN {{'dte': dte, 'iv': iv}} END) AS hi_{x}" for x, t in TENORS.items())}
+    FROM expiry_iv WHERE dte > 0 AND iv IS NOT NULL GROUP BY ticker, day))""")
 def term_slope(spark, sf):
-    s = adapters.snapshots(spark, sf).groupBy("ticker", F.to_date("ts").alias("day")).agg(
-        F.avg(F.when(F.col("expiry") <= "2024-02-09", F.col("call_iv"))).alias("near"), F.avg(F.when(F.col("expiry") > "2024-02-09", F.col("call_iv"))).alias("far"))
+    rows = adapters.snapshots(spark, sf).groupBy("ticker", F.to_date("ts").alias("day"), "expiry").agg(F.avg("call_iv").alias("iv"))
+    rows = rows.withColumn("dte", F.datediff("expiry", "day"))
+    s = vol.constant_tenors(rows, ["ticker", "day"], TENORS)
     slope, state = vol.term_slope(F.col("near"), F.col("far"), 0.005)
-    return s.select("ticker", d("day").alias("day"), r(slope).alias("slope"), state.alias("state"))
+    return s.select("ticker", d("day").alias("day"), r("near").alias("near"), r("far").alias("far"), r(slope).alias("slope"), state.alias("state"))
 
 
 @query("vol_4_sigma_move", """
