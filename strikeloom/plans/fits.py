@@ -350,7 +350,7 @@ _MORE_VARIANTS = [
     {"name": "basis_flip_pow_0.5", "basis": "flip", "power": 0.5}, {"name": "basis_oi_size_pow_0.5", "basis": "oi_size", "power": 0.5},
 ]
 view("variants", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{v['name']}', {v.get('power', 1.0)}::DOUBLE, {'NULL' if v.get('clip') is None else v['clip']}::DOUBLE, '{v.get('sign', 'net')}', '{v.get('basis', 'net')}')" for v in _VARIANTS)
+    f"('{v['name']}', {v.get('power', 1.0)}::DOUBLE, {'NULL' if v.get('clip') is None else v['clip']}::DOUBLE, '{v.get('sign', 'net')}', '{v.get('basis', 'net')}')" for v in _VARIANTS + _MORE_VARIANTS)
     + ") v(variant, power, clip, sign_rule, basis)")
 view("vcells", """
 SELECT *, fc * abs(call_gex) - fp * abs(put_gex) AS b_flip, fc * (call_volume + 0.5 * call_oi) - fp * (put_volume + 0.5 * put_oi) AS b_oi FROM (
@@ -368,15 +368,35 @@ SELECT variant, c.ticker, c.ts, c.strike, sum(c.y) AS y, sum(av * CASE basis WHE
 view("vkings", kings_sql("vpairs", "variant, ticker, ts"))
 
 
-@query("fit_12_variant_sweep", """
-SELECT variant, ticker, count(*) AS n, count(*) FILTER (king_exact) AS n_exact, count(*) FILTER (king_in_tol) AS n_tol FROM vkings GROUP BY ALL""")
+_SWEEP = "SELECT variant, ticker, count(*) AS n, count(*) FILTER (king_exact) AS n_exact, count(*) FILTER (king_in_tol) AS n_tol FROM vkings"
+
+
+@query("fit_12_variant_sweep", f"{_SWEEP} WHERE variant IN ({', '.join(repr(v['name']) for v in _VARIANTS)}) GROUP BY ALL")
 def variant_sweep(spark, sf):
-    return _sweep(spark, sf, _VARIANTS)
+    return _rates(_sweep(spark, sf, _VARIANTS), "variant", "ticker")
 
 
-@query("fit_12_all_variants")
+@query("fit_12_all_variants", f"{_SWEEP} GROUP BY ALL")
 def all_variants(spark, sf):
-    return _sweep(spark, sf, _VARIANTS + _MORE_VARIANTS)
+    return _rates(_sweep(spark, sf, _VARIANTS + _MORE_VARIANTS), "variant", "ticker")
+
+
+@query("fit_12_variants_by_day", """
+SELECT variant, coalesce(ticker, 'all') AS ticker, coalesce(strftime(ts, '%Y-%m-%d'), 'all') AS day, count(*) AS n,
+  round(count(*) FILTER (king_exact) / count(*)::DOUBLE, 6) AS exact_rate, round(count(*) FILTER (king_in_tol) / count(*)::DOUBLE, 6) AS tol_rate
+FROM vkings GROUP BY GROUPING SETS ((variant), (variant, ticker), (variant, ts), (variant, ticker, ts))""")
+def variants_by_day(spark, sf):
+    """Rates of every variant over all, by symbol, by day and by both."""
+    k = _sweep(spark, sf, _VARIANTS + _MORE_VARIANTS).withColumn("day", d("ts"))
+    sets = k.groupingSets([["variant"], ["variant", "ticker"], ["variant", "day"], ["variant", "ticker", "day"]], "variant", "ticker", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("king_exact").alias("n_exact"), F.count_if("king_in_tol").alias("n_tol"))
+    return sets.select(
+        "variant", F.coalesce("ticker", F.lit("all")).alias("ticker"), F.coalesce("day", F.lit("all")).alias("day"), "n",
+        r(F.col("n_exact") / F.col("n")).alias("exact_rate"), r(F.col("n_tol") / F.col("n")).alias("tol_rate"))
+
+
+def _rates(kings, *by):
+    return kings.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("king_exact").alias("n_exact"), F.count_if("king_in_tol").alias("n_tol"))
 
 
 def _sweep(spark, sf, variants):
@@ -388,18 +408,21 @@ def _sweep(spark, sf, variants):
     value = F.when(F.col("basis") == "flip", F.col("b_flip")).when(F.col("basis") == "oi_size", F.col("b_oi")).otherwise(F.col("g"))
     both = cells.select(*_REC, "strike", "expiry", "g", "b_flip", "b_oi", "y").join(vw, [*_REC, "expiry"]).withColumn("c", F.col("av") * value)
     keys = ["variant", *_REC]
-    k = scoring.king_scores(scoring.node_pairs(both, keys), keys, tolerance())
-    return k.groupBy("variant", "ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if("king_exact").alias("n_exact"), F.count_if("king_in_tol").alias("n_tol"))
+    return scoring.king_scores(scoring.node_pairs(both, keys), keys, tolerance())
 
 
-view("jaug0", _augmented("tc", "tn", "ticker, ts", "SELECT * FROM jcells", "1e-9::DOUBLE"))
-view("jgj0", _solve("jaug0", "jgj0", "ticker, ts"))
-view("jsol0", "SELECT ticker, ts, unnest(es) AS expiry, unnest(list_transform(m, lambda row: row[len(row)])) AS a FROM jgj0 WHERE k = len(m) + 1")
-view("freeall", "SELECT ticker, ts, expiry, s_yx / s_xx AS a FROM csums")
-view("bpairs", """
-SELECT bound, c.ticker, c.ts, c.strike, sum(c.y) AS y, sum(coalesce(w.a, 0) * c.g) AS v FROM tc c CROSS JOIN (VALUES ('free'), ('joint')) b(bound)
-LEFT JOIN (SELECT 'free' AS bound, * FROM freeall UNION ALL SELECT 'joint', * FROM jsol0) w USING (bound, ticker, ts, expiry) GROUP BY ALL""")
-view("bkings", kings_sql("bpairs", "bound, ticker, ts"))
+def _bound_views(x, cells):
+    """Views of the two bounds on the within-column value ``g`` of ``cells``; ``x`` ends their names."""
+    view(f"jcells{x}", f"SELECT c.ticker, c.ts, c.strike, c.expiry, c.g, t.y FROM {cells} c JOIN tn t USING (ticker, ts, strike) WHERE c.g <> 0")
+    view(f"jaug0{x}", _augmented(cells, "tn", "ticker, ts", f"SELECT * FROM jcells{x}", "1e-9::DOUBLE"))
+    view(f"jgj0{x}", _solve(f"jaug0{x}", f"jgj0{x}", "ticker, ts"))
+    view(f"jsol0{x}", f"SELECT ticker, ts, unnest(es) AS expiry, unnest(list_transform(m, lambda row: row[len(row)])) AS a FROM jgj0{x} WHERE k = len(m) + 1")
+    view(f"freeall{x}", f"SELECT ticker, ts, expiry, sum(y * g) / sum(g * g) AS a FROM {cells} WHERE g <> 0 GROUP BY ALL")
+    view(f"bpairs{x}", f"""
+SELECT bound, c.ticker, c.ts, c.strike, sum(c.y) AS y, sum(coalesce(w.a, 0) * c.g) AS v FROM {cells} c CROSS JOIN (VALUES ('free'), ('joint')) b(bound)
+LEFT JOIN (SELECT 'free' AS bound, * FROM freeall{x} UNION ALL SELECT 'joint', * FROM jsol0{x}) w USING (bound, ticker, ts, expiry) GROUP BY ALL""")
+    view(f"bkings{x}", kings_sql(f"bpairs{x}", "bound, ticker, ts"))
+    return f"SELECT bound, ticker, count(*) AS n, count(*) FILTER (king_exact) AS n_exact, count(*) FILTER (king_in_tol) AS n_tol FROM bkings{x} GROUP BY ALL"
 
 
 def bound_weights(cells, x="g"):
@@ -408,13 +431,15 @@ def bound_weights(cells, x="g"):
     return free.unionByName(fits.weights_long(solved, _REC).withColumn("bound", F.lit("joint")))
 
 
-@query("fit_13_upper_bounds", """
-SELECT bound, ticker, count(*) AS n, count(*) FILTER (king_exact) AS n_exact, count(*) FILTER (king_in_tol) AS n_tol FROM bkings GROUP BY ALL""")
+@query("fit_13_upper_bounds", _bound_views("", "tc"))
 def upper_bounds(spark, sf):
     return _bounds(target_cells(spark, sf))
 
 
-@query("fit_13_flip_bounds")
+view("tc_flip", "SELECT * REPLACE (b_flip AS g) FROM vcells")
+
+
+@query("fit_13_flip_bounds", _bound_views("_flip", "tc_flip"))
 def flip_bounds(spark, sf):
     return _bounds(target_cells(spark, sf).withColumn("g", rows.basis("flip")))
 
@@ -424,8 +449,7 @@ def _bounds(cells):
     both = fits.param_rows(cells, "_i", [0, 1]).withColumn("bound", F.when(F.col("_i") == 0, "free").otherwise("joint"))
     both = both.join(bound_weights(cells), ["bound", *_REC, "expiry"], "left").withColumn("c", F.coalesce("a", F.lit(0.0)) * F.col("g"))
     keys = ["bound", *_REC]
-    k = scoring.king_scores(scoring.node_pairs(both, keys), keys, tolerance())
-    return k.groupBy("bound", "ticker").agg(F.count(F.lit(1)).alias("n"), F.count_if("king_exact").alias("n_exact"), F.count_if("king_in_tol").alias("n_tol"))
+    return _rates(scoring.king_scores(scoring.node_pairs(both, keys), keys, tolerance()), "bound", "ticker")
 
 
 @query("fit_23_model_evaluation")

@@ -224,7 +224,26 @@ def rank_validation(spark, sf):
 _KS = (10, 25, 50, 100, 150)
 
 
-@query("fit_21_rank_measures")
+view("scored", """
+SELECT t.day, t.underlying, t.premium, s.score, p.total FROM tfeat t LEFT JOIN (SELECT day, underlying, round_even(score, 9) AS score FROM scores) s USING (day, underlying)
+LEFT JOIN (SELECT day, underlying, sum(premium + size) AS total FROM prints GROUP BY ALL) p USING (day, underlying)""")
+view("measured", """
+SELECT 'score' AS ranking, day, underlying, score AS x, total, row_number() OVER (PARTITION BY day ORDER BY score DESC, underlying) AS rank FROM scored WHERE score IS NOT NULL
+UNION ALL SELECT 'premium', day, underlying, premium, total, row_number() OVER (PARTITION BY day ORDER BY premium DESC, underlying) FROM scored WHERE premium IS NOT NULL""")
+view("truth_sets", """
+SELECT 'prem' AS truth, day, underlying FROM truth_prem UNION ALL SELECT 'unusual', day, underlying FROM (SELECT * FROM truth_vol UNION SELECT * FROM truth_oi)
+UNION ALL SELECT 'attention', day, underlying FROM attention""")
+
+
+@query("fit_21_rank_measures", f"""
+SELECT strftime(m.day, '%Y-%m-%d') AS day, m.ranking, t.truth, k, count(*) AS n, count(w.underlying) AS hits, round(count(w.underlying) / count(*)::DOUBLE, 6) AS precision,
+  round(count(w.underlying) / any_value(z.n)::DOUBLE, 6) AS recall, NULL::DOUBLE AS spearman
+FROM measured m CROSS JOIN (VALUES ('prem'), ('unusual'), ('attention')) t(truth) JOIN (SELECT unnest({list(_KS)}) AS k) ON m.rank <= k
+LEFT JOIN truth_sets w ON w.truth = t.truth AND w.day = m.day AND w.underlying = m.underlying
+LEFT JOIN (SELECT truth, day, count(*) AS n FROM truth_sets GROUP BY ALL) z ON z.truth = t.truth AND z.day = m.day GROUP BY m.day, m.ranking, t.truth, k
+UNION ALL SELECT strftime(day, '%Y-%m-%d'), ranking, NULL, 0, count(*), NULL, NULL, NULL, round(CASE WHEN count(*) >= 3 THEN coalesce(corr(ra, rb), 0) ELSE 0 END, 6) + 0.0 FROM (
+  SELECT *, rank() OVER (PARTITION BY ranking, day ORDER BY x) + (count(*) OVER (PARTITION BY ranking, day, x) - 1) / 2.0::DOUBLE AS ra,
+    rank() OVER (PARTITION BY ranking, day ORDER BY total) + (count(*) OVER (PARTITION BY ranking, day, total) - 1) / 2.0::DOUBLE AS rb FROM measured WHERE total IS NOT NULL) GROUP BY ranking, day""")
 def rank_measures(spark, sf):
     """Hits, precision and recall of the ranks by score and by premium at several k, and both rank correlations with the day's total.
 
