@@ -107,8 +107,8 @@ _RUN = re.compile(r"d+|x+|X+")
 
 
 def shape(word: str) -> tuple[str, str]:
-    """Shape with lengths of digit runs (to 5), and the collapsed shape."""
-    flat = "".join("d" if "0" <= c <= "9" else "x" if c.islower() else "X" if c.isalpha() else c for c in word.strip(".,;:!?\"'#"))[:256]
+    """Shape of the whole word with lengths of digit runs (to 5), and the collapsed shape."""
+    flat = "".join("d" if "0" <= c <= "9" else "x" if c.islower() else "X" if c.isalpha() else c for c in word.strip(".,;:!?\"'#"))
     return _RUN.sub(lambda m: m[0][0] + (str(min(len(m[0]), 5)) if m[0][0] == "d" else ""), flat), _RUN.sub(lambda m: m[0][0], flat)
 
 

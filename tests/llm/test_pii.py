@@ -106,3 +106,8 @@ def test_masking(frame):
     assert out[1]["text"] == "mail [EMAIL] and [PHONE] ok" and out[1]["n_chars"] == len(out[1]["text"])
     assert out[2]["text"] is None and out[3]["text"] == "plain" and out[3]["size"] == "x"
     assert pii.mask("abcdef", [(0, 3, 2), (2, 5, 3)]) == "[CARD]f"
+
+
+def test_shapes_cover_whole_words():
+    long = "x" * 400 + "@" + "y" * 300 + "12345678"
+    assert pii.shape(long) == ("x@xd5", "x@xd") and pii.shape("a-" * 200 + "7")[0].endswith("x-d1")
