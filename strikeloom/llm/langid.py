@@ -34,12 +34,11 @@ from pyspark.sql import functions as F
 from strikeloom.llm.common import MIX_A, blobs, mix, passes, shared, summed
 from strikeloom.llm.letters import Letters
 
-#: Labelled documents of the text model as expected without rare languages, and languages at most.
-TRAIN_DOCS, LANGUAGES = 4_000, 64
+#: Labelled documents of the text model as expected without rare languages.
+TRAIN_DOCS = 4_000
 #: Documents of a language that are expected in the sample at least, as far as there are so many.
 RARE_DOCS = 64
 BITS = 15
-EFFECTIVE = 40.0
 ADD = 0.5
 #: Pages that a suffix's, and a host's, own share must outweigh; declarations believed right before any page is seen.
 SUFFIX_MASS, HOST_MASS, DECLARED_MASS = 20.0, 5.0, 10.0
@@ -68,8 +67,8 @@ class Model:
 
 def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model | None:
     labelled = docs.where("doc_id is not null and lang is not null")
-    # The list of languages is counted over all labels; a rare one is read whole, or by RARE_DOCS of its documents.
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    # The list of languages is that of all labels, a row of the model (256 KB) each; a rare one is read whole, or by RARE_DOCS of its documents.
+    found = labelled.groupBy("lang").count().collect()
     if not found:
         return None
     names, total_rows = sorted(r["lang"] for r in found), sum(r["count"] for r in found)
@@ -92,23 +91,59 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Model | None:
     return Model(names, np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True)))
 
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
+_OPEN = re.compile(r"<!--|<(script|style)\b", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), None: re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
-_LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
-_META = re.compile(r"""<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?([A-Za-z]+)""", re.I)
+_HTML, _META = re.compile(r"<html\b", re.I), re.compile(r"<meta\b", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
+_CONTENT = re.compile(r"""content\s*=\s*["']?([A-Za-z]+)""", re.I)
 
 
 def visible(page: str) -> str:
-    return markup.unescape(_TAG.sub(" ", _DROP.sub(" ", page)))
+    """The page's text. One forward scan: what has no end is looked for once, however often it begins."""
+    parts, at, endless = [], 0, set()
+    for m in _OPEN.finditer(page):
+        kind = m[1] and m[1].lower()
+        if m.start() < at or kind in endless:
+            continue
+        end = _CLOSE[kind].search(page, m.end())
+        if end is None:
+            endless.add(kind)
+            continue
+        parts.append(page[at:m.start()])
+        at = end.end()
+    text = " ".join([*parts, page[at:]])
+    last = text.rfind(">") + 1  # no tag ends behind it
+    return markup.unescape(_TAG.sub(" ", text[:last]) + text[last:])
+
+
+def _tags(page: str, name: re.Pattern) -> Iterator[str]:
+    """The insides of all tags of a name."""
+    at = 0
+    while m := name.search(page, at):
+        end = page.find(">", m.end())
+        yield page[m.end():end if end >= 0 else len(page)]
+        if end < 0:
+            return
+        at = end
 
 
 def declared(page: str) -> str | None:
-    m = _LANG.search(page) or _META.search(page)
-    return m[1].lower() if m else None
+    for inside in _tags(page, _HTML):
+        if m := _LANG.search(inside):
+            return m[1].lower()
+    for inside in _tags(page, _META):
+        at = inside.lower().find("content-language")
+        if at >= 0 and (m := _CONTENT.search(inside, at + len("content-language"))):
+            return m[1].lower()
+    return None
 
 
-def evidence(pages: DataFrame, model: Model) -> DataFrame:
-    """page_id, host, suffix, declared (in the model, ``other`` or null), text posterior by language and tempered log-likelihood."""
+def evidence(pages: DataFrame, model: Model, effective: float | None = None) -> DataFrame:
+    """page_id, host, suffix, declared (in the model, ``other`` or null), text posterior by language and log-likelihood.
+
+    With ``effective`` set, the log-likelihood of a longer text is scaled down to so many trigrams.
+    """
     shipped = pages.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.float64())
 
@@ -120,7 +155,9 @@ def evidence(pages: DataFrame, model: Model) -> DataFrame:
             bucket, owner = trigrams(letters, pa.array([visible(x) for x in raw], pa.string()))
             n = np.bincount(owner, minlength=len(raw))
             logs = np.stack([np.bincount(owner, row[bucket], len(raw)) for row in m.logs], axis=1)
-            logs *= np.minimum(1.0, EFFECTIVE / np.maximum(n, 1))[:, None]
+            if effective is not None:
+                logs = logs * np.minimum(1.0, effective / np.maximum(n, 1))[:, None]
+            logs = logs.astype(float)
             logs -= logs.max(axis=1, keepdims=True)
             post = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
             said = [declared(x) for x in raw]
@@ -132,12 +169,12 @@ def evidence(pages: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, host string, suffix string, declared string, post array<double>, logs array<double>")
 
 
-def identify(pages: DataFrame, model: Model | None) -> DataFrame:
+def identify(pages: DataFrame, model: Model | None, effective: float | None = None) -> DataFrame:
     """page_id, lang, confidence, text_lang, declared, host."""
     if model is None:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("declared"), F.lit("").alias("host"))
     k = len(model.languages)
-    seen = shared(evidence(pages, model), "pages")
+    seen = shared(evidence(pages, model, effective), "pages")
 
     def sums(df: DataFrame, *keys: str, of: str = "post") -> DataFrame:
         return df.groupBy(*keys).agg(F.array(*[F.sum(F.col(of)[i]) for i in range(k)]).alias("total"))

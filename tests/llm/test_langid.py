@@ -72,3 +72,30 @@ def test_rare_language_is_in_the_model(frame):
     docs = frame(rows).withColumn("lang", F.when(F.col("doc_id") == 5000, "fi").otherwise("en"))
     model = langid.train(docs, 20)
     assert model.languages == ["en", "fi"] and len(set(model.logs[1])) > 1
+
+
+def test_more_languages_than_a_fixed_number(frame):
+    from pyspark.sql import functions as F
+    rows = [(i, f"{chr(0x3041 + i % 80) * 3} {chr(0x3041 + i % 80) * 4}", "s") for i in range(400)]
+    docs = frame(rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 80).cast("string")))
+    model = langid.train(docs, 400)
+    assert len(model.languages) == 80
+    pages = docs.selectExpr("doc_id as page_id", "'' as url", "text as html", "lang as want")
+    got = {r["page_id"]: r["text_lang"] for r in langid.identify(pages, model).collect()}
+    assert all(got[i] == f"l{i % 80}" for i in range(400))
+
+
+def test_markup_is_read_in_one_scan():
+    import time
+
+    assert langid.visible("a<!-- <p>x --> b <SCRIPT>y</p></script > c <style>z</style>d<br>e &amp; f < g") == "a  b   c  d e & f < g"
+    assert langid.visible("1<!-- open <b>2</b> <script>3") == "1 2   3"
+    assert langid.visible("<script>a<style>b</script>c</style>d") == " c d"
+    assert langid.declared('<html><html x lang = "De"><meta content-language content=fr>') == "de"
+    assert langid.declared("<meta http-equiv=Content-Language content='fr-CA'>") == "fr" and langid.declared("<html lang <meta>") is None
+    start = time.perf_counter()
+    for begin in ("<", "<!--", "<script", "<style ", "<html ", "<meta ", "</script ", "<!-- <script> "):
+        page = begin * 200_000
+        langid.visible(page)
+        langid.declared(page)
+    assert time.perf_counter() - start < 20
