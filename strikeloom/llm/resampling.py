@@ -2,8 +2,10 @@
 
 Two generative models over hashed words and word pairs are counted: the target's on
 labelled good documents (a bounded sample), the raw one's on all documents. A document's
-log weight is the mean log ratio of its n-grams times the number of n-grams, of which at
-most ``EFFECTIVE`` count, so that long texts don't decide by length alone. Adding
+log weight is the mean log ratio of its n-grams times their number, of which at most ``effective``
+count; with None it is the plain ratio, the sum of all. The plain ratio multiplies the small
+error that the target's small sample leaves in every n-gram by the length of the text, which
+drops long good texts for short bad ones (figures in the README). Adding
 Gumbel noise seeded by the document's id and taking the k greatest keys draws k documents
 without replacement with probabilities proportional to the weights.
 
@@ -31,8 +33,9 @@ from strikeloom.llm.common import blobs, combine, passes, shared, summed, utf8,
 TRAIN_ROWS = 20_000
 BITS = 16
 ADD = 1.0
-EFFECTIVE = 100
 EMPTY = -50.0
+#: N-grams that count in a text at most.
+EFFECTIVE = 100
 STEPS, FEW = 4096, 4096
 SEED = 11
 
@@ -75,7 +78,7 @@ def log_ratios(docs: DataFrame, good: DataFrame, rows: int = TRAIN_ROWS) -> np.n
     return logs(target) - logs(raw)
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
+def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED, effective: int | None = EFFECTIVE) -> DataFrame:
     """doc_id, log_weight, key (log weight plus Gumbel noise)."""
     shipped = docs.sparkSession.sparkContext.broadcast(ratios)
 
@@ -84,8 +87,10 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
         for batch in passes(batches):
             bucket, owner = ngrams(batch.column(1))
             n = np.bincount(owner, minlength=batch.num_rows)
-            mean = np.bincount(owner, table[bucket], batch.num_rows) / np.maximum(n, 1)
-            weight = np.where(n > 0, mean * np.minimum(n, EFFECTIVE), EMPTY)
+            weight = np.bincount(owner, table[bucket], batch.num_rows)
+            if effective is not None:
+                weight = weight * (np.minimum(n, effective) / np.maximum(n, 1))
+            weight = np.where(n > 0, weight, EMPTY).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight)], ["doc_id", "log_weight"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_weight double")
@@ -123,9 +128,9 @@ def kth(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
     return low, rank[0]
 
 
-def resample(docs: DataFrame, good: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, good: DataFrame, k: int, seed: int = SEED, effective: int | None = EFFECTIVE) -> DataFrame:
     """The k sampled documents: doc_id, log_weight, key."""
-    keys = shared(weigh(docs, log_ratios(docs, good), seed), "keys")
+    keys = shared(weigh(docs, log_ratios(docs, good), seed, effective), "keys")
     edge = kth(keys, k)
     if edge is None:
         return keys if k > 0 else keys.limit(0)

@@ -31,9 +31,10 @@ def test_weights_against_loops(documents):
     prior = (raw + 1) / (raw.sum() + raw.size)
     want = np.log(target + raw.size * prior) - np.log(target.sum() + raw.size) - np.log(raw + raw.size * prior) + np.log(raw.sum() + raw.size)
     assert np.allclose(ratios, want)
-    for r in resampling.weigh(documents, ratios).collect():
-        b = grams[r["doc_id"]]
-        assert math.isclose(r["log_weight"], want[b].mean() * min(len(b), resampling.EFFECTIVE), abs_tol=1e-9)
+    for effective in (None, 100):
+        for r in resampling.weigh(documents, ratios, effective=effective).collect():
+            b = grams[r["doc_id"]]
+            assert math.isclose(r["log_weight"], want[b].mean() * min(len(b), effective or len(b)), abs_tol=1e-9)
 
 
 def test_kth_key(spark, monkeypatch):
