@@ -2,23 +2,24 @@
 
 Vectors are dealt into blocks and queries into blocks; each pair of blocks is one
 group. Inside a group every dimension is a list sorted by component. For a query the
-lists are read in parallel from their favourable end. What has been read gives each
-vector a lower and an upper bound:
+lists are read in parallel from their favourable end, some places of all lists at a time;
+each entry is touched once, when it is read. What has been read gives each vector a lower
+and an upper bound:
 
 * known part: the sum over the lists in which it has been seen;
 * upper bound: for every other list, the last contribution read from it;
 * lower bound: for every other list, that list's smallest contribution.
 
-Reading stops when only a few vectors have an upper bound that reaches the k-th best
-lower bound; their final scores are then resolved. Group results hold k rows a query
-and are merged by one window.
+A vector whose upper bound is below the k-th best lower bound is out. Reading stops when
+only a few vectors are left; their final scores are then resolved. Lists of a zero component are
+not read. Group results hold k rows a query and are merged by one window.
 
 Defined cases: null vectors, vectors with a null or non-finite component and null ids
 take no part; missing trailing components count as 0; rows that share an id are
 separate candidates, but never for a query of that id; of queries that share an id the
 greatest vector is asked; ties go to the smaller id. Extra columns are ignored.
-Components are integers; products are summed in 64-bit floats while all sums stay
-exact (below 2^53), else in Python integers; a score outside 64 bits is the nearest long.
+Components are integers; bounds and products are 64-bit floats while all sums stay
+exact (below 2^52), else Python integers; a score outside 64 bits is the nearest long.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 #: Vectors and queries of a group, on average.
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
-#: Shares of the lists read before bounds are compared.
-DEPTHS = (0.5, 0.875)
+#: The lists are read in so many steps.
+READS = 8
 #: Reading stops early when so many vectors per wanted result are left.
 LEFT_PER_K = 16
 
@@ -44,28 +45,50 @@ def integer_vectors(df: DataFrame, scale: float = 1024.0) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
-def nra(x: np.ndarray, place: np.ndarray, floor: np.ndarray, ceil: np.ndarray, tops: tuple, q: np.ndarray, k: int, left_out: np.ndarray) -> np.ndarray:
-    """Rows of ``x`` that can be among the k best for ``q``.
-
-    ``place``: each row's place in each ascending list; ``floor``/``ceil``: the lists'
-    ends; ``tops``: the sorted lists. ``left_out`` masks rows that are no candidates.
-    """
-    n = len(x)
-    falling = q > 0
-    lowest = np.where(falling, q * floor, q * ceil)
-    allowed = np.flatnonzero(~left_out)
-    for share in DEPTHS:
-        depth = int(n * share)
-        if not 0 < depth < n or len(allowed) <= LEFT_PER_K * k:
-            break
-        seen = np.where(falling, place >= n - depth, place < depth)
-        last = np.where(falling, q * tops[:, n - depth], q * tops[:, depth - 1])
-        known = np.where(seen, x, 0.0) @ q
-        upper = known + last.sum() - seen @ last
-        lower = known + lowest.sum() - seen @ lowest
-        bound = np.partition(lower[allowed], len(allowed) - k)[len(allowed) - k]
-        allowed = allowed[upper[allowed] >= bound]
-    return allowed
+class Lists:
+    """Vectors of a group and, for every component, their rows and values from either end."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.read, self.unseen = x, 0, np.empty_like(x)  # entries read so far, and those of one query that are not
+        rising = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+        values = np.take_along_axis(x, rising, axis=0)
+        self.rows, self.values = (np.ascontiguousarray(rising[::-1]), rising), (np.ascontiguousarray(values[::-1]), values)
+
+    def nra(self, q: np.ndarray, k: int, left_out: np.ndarray) -> np.ndarray:
+        """Rows that can be among the k best for ``q``; ``left_out`` masks rows that are no candidates."""
+        n = len(self.x)
+        allowed = np.flatnonzero(~left_out)
+        dims = np.flatnonzero(q)
+        if len(allowed) <= LEFT_PER_K * k or not dims.size:
+            return allowed
+        # Every list from its favourable end: falling where the query's component is positive.
+        falling, width = q > 0, q.size
+        known, unseen = np.zeros(n, self.x.dtype), self.unseen
+        unseen[:] = (q != 0).astype(self.x.dtype)
+        flat, lane = unseen.reshape(-1), np.arange(width)
+        smallest = np.where(falling, self.values[0][-1], self.values[1][-1]) * q
+        for step in range(1, READS):
+            begin, end = n * (step - 1) // READS, n * step // READS
+            if begin == end:
+                continue
+            rows = np.where(falling, self.rows[0][begin:end], self.rows[1][begin:end])
+            worth = np.where(falling, self.values[0][begin:end], self.values[1][begin:end]) * q
+            if dims.size < width:
+                rows, worth, lane = rows[:, dims], worth[:, dims], dims
+            flat[(rows * np.int64(width) + lane).reshape(-1)] = 0
+            if worth.dtype == object:
+                np.add.at(known, rows.reshape(-1), worth.reshape(-1))
+            else:
+                known += np.bincount(rows.reshape(-1), worth.reshape(-1), n)
+            self.read += rows.size
+            last = np.where(falling, self.values[0][end - 1], self.values[1][end - 1]) * q
+            # Of each list: the last contribution read, and the smallest of all.
+            upper, lower = known + unseen @ last, known + unseen @ smallest
+            lowest = np.sort(lower[allowed])[-k] if known.dtype == object else np.partition(lower[allowed], len(allowed) - k)[len(allowed) - k]
+            allowed = allowed[(upper[allowed] >= lowest).astype(bool)]
+            if len(allowed) <= LEFT_PER_K * k:
+                break
+        return allowed
 
 
 def _search(k: int):
@@ -82,27 +105,19 @@ def _search(k: int):
         order = np.argsort(xid, kind="stable")
         x, xid = x[order], xid[order]
         most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1)
-        exact = np.float64 if most < 2.0**52 else object
-        xf, qf = x.astype(np.float64), q.astype(np.float64)
+        kind = np.float64 if most < 2.0**52 else object
+        xs, qs = x.astype(kind), q.astype(kind)
         out_q, out_v, out_s = [], [], []
-        if len(x):
-            by = np.argsort(x, axis=0, kind="stable")
-            place = np.empty_like(by)
-            np.put_along_axis(place, by, np.arange(len(x))[:, None], axis=0)
-            tops = np.take_along_axis(xf, by, axis=0).T.copy()
-            floor, ceil = (tops[:, 0], tops[:, -1]) if width else (np.zeros(0), np.zeros(0))
-            place = place.astype(np.int32)
-            for i in range(len(q)):
-                own = xid == qid[i]
-                if exact is object:  # bounds are not exact there: every candidate is resolved
-                    rows = np.flatnonzero(~own)
-                else:
-                    rows = nra(xf, place, floor, ceil, tops, qf[i], min(k, len(x) - int(own.sum())), own) if own.sum() < len(x) else np.zeros(0, np.int64)
-                score = (x[rows].astype(object) @ q[i].astype(object)) if exact is object else (xf[rows] @ qf[i])
-                best = sorted(range(len(rows)), key=lambda r: (-score[r], xid[rows[r]]))[:k] if len(rows) <= 4 * k else np.lexsort((xid[rows], -score))[:k]
-                out_q += [qid[i]] * len(best)
-                out_v += [xid[rows[r]] for r in best]
-                out_s += [max(-(2**63), min(2**63 - 1, int(score[r]))) for r in best]
+        lists_of = Lists(xs) if len(x) else None
+        for i in range(len(q) if len(x) else 0):
+            own = xid == qid[i]
+            some = len(x) - int(own.sum())
+            rows = lists_of.nra(qs[i], min(k, some), own) if some else np.zeros(0, np.int64)
+            score = xs[rows] @ qs[i]
+            best = sorted(range(len(rows)), key=lambda r: (-score[r], xid[rows[r]]))[:k] if len(rows) <= 4 * k or kind is object else np.lexsort((xid[rows], -score))[:k]
+            out_q += [qid[i]] * len(best)
+            out_v += [xid[rows[r]] for r in best]
+            out_s += [max(-(2**63), min(2**63 - 1, int(score[r]))) for r in best]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
 
     return run

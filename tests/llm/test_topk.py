@@ -42,13 +42,21 @@ def test_bounds_leave_every_winner():
     rng = np.random.default_rng(2)
     for spread in (1.0, 0.05):
         x = np.floor(1024 * (np.outer(rng.normal(size=400), [3, -2, 1, 0]) + spread * rng.normal(size=(400, 4))))
-        by = np.argsort(x, axis=0, kind="stable")
-        place = np.empty_like(by)
-        np.put_along_axis(place, by, np.arange(400)[:, None], axis=0)
-        tops = np.take_along_axis(x, by, axis=0).T
         for q in np.floor(1024 * rng.normal(size=(20, 4))):
-            left = topk.nra(x, place, tops[:, 0], tops[:, -1], tops, q, 5, np.zeros(400, bool))
-            assert set(np.argsort(-(x @ q), kind="stable")[:5]) <= set(left)
+            for kind in (float, object):
+                left = topk.Lists(x.astype(kind)).nra(q.astype(kind), 5, np.zeros(400, bool))
+                assert set(np.argsort(-(x @ q), kind="stable")[:5]) <= set(left)
+
+
+def test_lists_are_read_as_far_as_needed():
+    rng = np.random.default_rng(4)
+    x = np.floor(1024 * rng.normal(size=(4000, 2)))
+    lists = topk.Lists(x)
+    left = lists.nra(np.array([900.0, 0.0]), 3, np.zeros(4000, bool))
+    assert lists.read == 500 and set(np.argsort(-x[:, 0])[:3]) <= set(left)  # one list of two, one step of eight
+    lists.read = 0
+    left = lists.nra(np.array([900.0, -300.0]), 3, np.zeros(4000, bool))
+    assert lists.read < 8000 / 2 and len(left) <= 48
 
 
 def test_few_large_and_no_vectors(spark):
