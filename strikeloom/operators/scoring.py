@@ -82,6 +82,17 @@ def star_scores(cells: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
         (F.count_if((F.col("_gy") == 1) & (F.col("_gc") == 1)) > 0).alias("global_star_exact"))
 
 
+def star_rows(cells: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
+    """Per column: the strikes of the target's and the model's star, and the model's rank of the target's."""
+    col = Window.partitionBy(*keys, "expiry")
+    rows = cells.withColumns({
+        "_ry": F.row_number().over(col.orderBy(F.abs("y").desc(), "strike")), "_rc": F.row_number().over(col.orderBy(F.abs("c").desc(), "strike"))})
+    first = F.col("_ry") == 1
+    return rows.groupBy(*keys, "expiry").agg(
+        F.max(F.when(first, F.col("strike"))).alias("star_true"), F.max(F.when(F.col("_rc") == 1, F.col("strike"))).alias("star_pred"),
+        F.max(F.when(first, F.col("y"))).alias("star_y"), F.max(F.when(first, F.col("_rc"))).alias("rank_of_true"))
+
+
 def record_scores(cells: DataFrame, keys: Sequence[str] = RECORD, tolerance: Column | None = None) -> DataFrame:
     pairs = node_pairs(cells, keys)
     return node_error(pairs, keys).join(king_scores(pairs, keys, tolerance), list(keys)).join(star_scores(cells, keys), list(keys))

@@ -6,7 +6,8 @@ from strikeloom.functions.quantiles import exact_quantiles
 from strikeloom.operators import grid, scoring
 from strikeloom.plans.common import MONTH_GAP_S, d, m_cells, n, r
 from strikeloom.plans.registry import query, view
-from strikeloom.session import materialize
+from strikeloom.session import materialize, scratch_dir
+from strikeloom.sources import sinks
 
 # The target grid: another weighting of the same chain plus an open-interest term.
 view("tcells", """
@@ -192,3 +193,37 @@ def probe(spark, sf):
     vector = nodes.withColumn("is_king", F.row_number().over(order) == 1)
     p = scoring.semantics_probe(cells, vector)
     return p.select("ticker", d("ts").alias("ts"), "n", "exact_sum", "exact_abs", "exact_peak", r("corr_abs").alias("corr_abs"), r("corr_peak").alias("corr_peak"), "flag_is_argmax")
+
+
+view("star_rows", """
+SELECT ticker, ts, expiry, max(CASE WHEN ry = 1 THEN strike END) AS star_true, max(CASE WHEN rc = 1 THEN strike END) AS star_pred, max(CASE WHEN ry = 1 THEN rc END) AS rank_of_true FROM (
+  SELECT *, row_number() OVER (PARTITION BY ticker, ts, expiry ORDER BY abs(y) DESC, strike) AS ry, row_number() OVER (PARTITION BY ticker, ts, expiry ORDER BY abs(c) DESC, strike) AS rc FROM tcells)
+GROUP BY ticker, ts, expiry""")
+
+
+@query("src_11_comparison_files", """
+SELECT 'node_comparison' AS file, ticker, count(*) AS n, round(sum(strike), 2) AS total, count(*) FILTER (abs(y) > 1000) AS hits FROM npairs GROUP BY ticker
+UNION ALL SELECT 'star_comparison', ticker, count(*), CAST(sum(rank_of_true) AS DOUBLE), count(*) FILTER (star_true = star_pred) FROM star_rows GROUP BY ticker
+UNION ALL SELECT 'per_record', ticker, count(*), CAST(sum(top6_overlap) AS DOUBLE), count(*) FILTER (king_exact) FROM rscore GROUP BY ticker
+UNION ALL SELECT 'summary', 'all', count(*), round(avg(top6_overlap), 6), count(*) FILTER (king_exact) FROM rscore""")
+def comparison_files(spark, sf):
+    """Nodes, stars, records and the summary of a run, written and read back."""
+    cells = pair_cells(spark, sf)
+    nodes = scoring.node_pairs(cells).select("ticker", "ts", "strike", "y", "v")
+    records = materialize(scoring.record_scores(cells, tolerance=tolerance()), "records")
+    total = records.agg(F.count(F.lit(1)).alias("n"), F.avg("top6_overlap").alias("overlap"), F.count_if("king_exact").alias("exact"))
+    path = scratch_dir(spark, "results")
+    tables = {"node_comparison": nodes, "star_comparison": scoring.star_rows(cells), "per_record": records, "summary": total}
+    sinks.write_results(path, **tables)
+    back = {name: sinks.read_results(spark, path, name, df.schema) for name, df in tables.items()}
+
+    def part(name, value, hit):
+        rows = back[name]
+        by = F.lit("all") if name == "summary" else F.col("ticker")
+        return rows.groupBy(by.alias("ticker")).agg(F.count(F.lit(1)).alias("n"), value.cast("double").alias("total"), hit.alias("hits")).select(F.lit(name).alias("file"), "ticker", "n", "total", "hits")
+
+    out = part("node_comparison", F.round(F.sum("strike"), 2), F.count_if(F.abs("y") > 1000))
+    out = out.unionByName(part("star_comparison", F.sum("rank_of_true"), F.count_if(F.col("star_true") == F.col("star_pred"))))
+    out = out.unionByName(part("per_record", F.sum("top6_overlap"), F.count_if("king_exact")))
+    one = back["summary"].select(F.lit("summary").alias("file"), F.lit("all").alias("ticker"), "n", r("overlap").alias("total"), F.col("exact").alias("hits"))
+    return out.unionByName(one)

@@ -48,6 +48,26 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+#: Result files of a comparison run and their formats.
+RESULT_FILES = {"node_comparison": "csv.gz", "star_comparison": "csv", "per_record": "csv", "summary": "json"}
+
+
+def write_results(path: str, **tables: DataFrame) -> None:
+    """Result files of a run, each a folder of parts written by all tasks that hold rows of it."""
+    for name, df in tables.items():
+        kind = RESULT_FILES[name]
+        if kind == "json":
+            write_summary(df, f"{path}/{name}")
+        else:
+            df.write.mode("overwrite").option("header", "true").option("compression", "gzip" if kind.endswith("gz") else "none").csv(f"{path}/{name}")
+
+
+def read_results(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
+    if RESULT_FILES[name] == "json":
+        return spark.read.schema(schema).json(f"{path}/{name}")
+    return spark.read.schema(schema).option("header", "true").csv(f"{path}/{name}")
+
+
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """SHA-256, size and parquet row count of each file, read in stretches; an unreadable footer has no row count."""
     import pyarrow.fs as pafs
