@@ -14,18 +14,23 @@ Spark rounds:
 1. Each window of ``window`` words chooses one symbol that it determines, the one with the
    most letters. The chosen symbols are gathered by name; those of at least two
    documents are shared. A window whose symbol is not shared occurs in one document only.
-2. Windows with a shared symbol are verified: their 96-bit names are gathered and the
-   least document of each is found.
+2. Windows with a shared symbol are verified by their words: the 128-bit digests of the very
+   words (joined by one space) are gathered and the least document of each is found.
+   Symbols only select windows, so two symbols of one name cost a verification and
+   change no result.
 3. Words covered by a window that also starts in a smaller document are removed.
 
-Documents travel once, in batches of about ``BATCH_DOCS``; all three rounds read that
-exchange. Rounds 1 and 2 send one packed row per (batch, name range) instead of a row per
-symbol: a name once per batch, with the least and greatest document there, so a name that
-occurs everywhere costs one entry per batch. Answers are one bit per entry.
+Documents travel once, in batches of about ``BATCH_BYTES`` or ``BATCH_DOCS`` rows; all three
+rounds read that exchange. Rounds 1 and 2 send one packed row per (batch, name range)
+instead of a row per symbol: a name once per batch, with the least and greatest document there, so a name
+that occurs everywhere costs one entry per batch. Answers are one bit per entry. What a
+batch has found out is handed to its next round: which window chose which entry, then
+which windows were verified, so the symbols are made once.
 
 Defined cases: null and empty texts have no words; a document of fewer words than a window
 has none; a window that repeats inside one document, or in rows of the same id, is no
-repeat; a null id is larger than any other; repeated rows each get a result; no rows give
+repeat; a null id is larger than any other; repeated rows each get a result, and are dealt
+over the batches like other rows; a very long text is one batch; no rows give
 no rows. Extra columns are ignored.
 """
 
@@ -36,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +49,8 @@ from strikeloom.llm.common import combine, mix, utf8, word_names, words
 
 WINDOW = 13
 ROUNDS = 2
-BATCH_DOCS = 1000
+#: Rows and bytes of text in a batch, on average, whichever is reached first.
+BATCH_DOCS, BATCH_BYTES = 1000, 4 << 20
 #: Name ranges per batch, as a share of the number of batches.
 RANGE_SHARE = 4
 NO_ID = np.iinfo(np.int64).max
@@ -118,12 +125,12 @@ def choose(stack: list[Symbols], sizes: np.ndarray, windows: np.ndarray, window:
     """For every window start, the name of the chosen symbol.
 
     Of all symbols that the window determines, on any level, the one with the most letters
-    (``sizes``: bytes of every word) is the rarest as a rule; ties go to the least mixed name, so that
-    neighbouring windows agree. Both depend on the window's words alone.
+    (``sizes``: bytes of every word) is the rarest as a rule; ties go to the greatest mixed name, so that
+    neighbouring windows agree. Both depend on the window's words alone, and make the name: letters and 56 bits, mixed.
     """
     total = sizes.size
     before = np.concatenate([[0], np.cumsum(sizes)])
-    names, best = np.zeros(windows.size, np.uint64), np.zeros(windows.size, np.uint64)
+    best = np.zeros(windows.size, np.uint64)
     for level in range(len(stack) - 1, -1, -1):
         s = stack[level]
         if not s.names.size:
@@ -132,14 +139,17 @@ def choose(stack: list[Symbols], sizes: np.ndarray, windows: np.ndarray, window:
         a = np.cumsum(np.bincount(np.maximum(s.low + 1, 0), minlength=total + 2))[windows]
         b = np.cumsum(np.bincount(np.minimum(s.high, total + 1), minlength=total + 2))[windows + window]
         letters = np.minimum(before[s.end] - before[s.start], 255).astype(np.uint64)
-        worth = (letters << np.uint64(56)) | (mix(s.names + np.uint64(97)) >> np.uint64(8))
         # The level is part of the name: a word alone differs from itself kept by a round.
-        named = mix(s.names + np.uint64(level + 1))
-        for step in range(int((b - a).max(initial=0))):
-            at = np.minimum(a + step, s.names.size - 1)
-            better = (a + step < b) & (worth[at] > best)
-            best[better], names[better] = worth[at[better]], named[at[better]]
-    return names
+        most = (letters << np.uint64(56)) | (mix(s.names + np.uint64(97 + level)) >> np.uint64(8))
+        # The greatest of each range by two stretches of a power of two.
+        width = b - a
+        for power in range(int(width.max(initial=0)).bit_length()):
+            mine = np.flatnonzero((width >> power) == 1)
+            if mine.size:
+                found = np.maximum(most[a[mine]], most[b[mine] - (1 << power)])
+                best[mine] = np.maximum(best[mine], found)
+            most = np.maximum(most, np.append(most[1 << power:], most[-1:].repeat(min(1 << power, most.size))))
+    return mix(best)
 
 
 @dataclass
@@ -152,7 +162,6 @@ class Batch:
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
-    names: np.ndarray
     windows: np.ndarray
     owner: np.ndarray  # document (row) of every window
 
@@ -167,35 +176,71 @@ def unpack(table: pa.Table, window: int) -> Batch:
     count = np.maximum(sizes - window + 1, 0)
     owner = np.repeat(np.arange(sizes.size), count)
     windows = np.repeat(bounds[:-1], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return Batch(ids, values, offsets, starts, ends, bounds, word_names(values, starts, ends), windows, owner)
+    return Batch(ids, values, offsets, starts, ends, bounds, windows, owner)
+
 
+def entries(names: np.ndarray, second: np.ndarray | None, docs: np.ndarray):
+    """Distinct names by first appearance: name, its second part, least and greatest document, and the place of every input name.
 
-def entries(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names, least and greatest document of each, and the place of every input name."""
-    distinct, back = np.unique(names, return_inverse=True)
-    low, high = np.full(distinct.size, NO_ID), np.full(distinct.size, np.iinfo(np.int64).min)
-    np.minimum.at(low, back, docs)
-    np.maximum.at(high, back, docs)
-    return distinct, low, high, back
+    ``docs`` rises, so the first appearance is in the least document and the last one in the greatest.
+    """
+    rank = np.argsort(names, kind="stable") if second is None else np.lexsort((second, names))
+    new = np.ones(rank.size, bool)
+    new[1:] = names[rank][1:] != names[rank][:-1]
+    if second is not None:
+        new[1:] |= second[rank][1:] != second[rank][:-1]
+    first = rank[new]
+    order = np.argsort(first)
+    number = np.empty(first.size, np.int64)
+    number[order] = np.arange(first.size)
+    back = np.empty(rank.size, np.int64)
+    back[rank] = number[np.cumsum(new) - 1]
+    first = first[order]
+    last = np.zeros(first.size, np.int64)
+    last[back] = np.arange(back.size)
+    return names[first], None if second is None else second[first], docs[first], docs[last], back
 
 
 PACKED = "range int, batch long, names binary, low binary, more binary"
 ANSWER = "batch long, round int, range int, bits binary"
 
 
-def pack(batch: int, ranges: int, names: np.ndarray, low: np.ndarray, high: np.ndarray, second: np.ndarray | None = None) -> pa.Table:
-    """Entries cut into name ranges; ``names`` ascends. ``second`` adds 32 bits to each name."""
-    rows = _ranges(names, low, ranges)
+def _range_of(names: np.ndarray, ranges: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in two, four or eight bytes each."""
+    if x.size and x.min() < 0:
+        return x.astype(np.int64).tobytes()
+    return x.astype(next(t for t in (np.uint16, np.uint32, np.int64) if x.max(initial=0) <= np.iinfo(t).max)).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n]).astype(np.int64)
+
+
+def pack(batch: int, ranges: int, names: np.ndarray, second: np.ndarray | None, low: np.ndarray, high: np.ndarray, note: bytes) -> pa.Table:
+    """Entries dealt over name ranges, in order of appearance; ``second`` adds 64 bits to each name. ``note`` comes back to the batch as it is."""
+    where = _range_of(names, ranges)
+    order, counts = np.argsort(where, kind="stable"), np.bincount(where, minlength=ranges)
+    ends = np.cumsum(counts)
+    rows = [(r, order[ends[r] - counts[r]:ends[r]]) for r in np.flatnonzero(counts).tolist()]
     named = [names[x].tobytes() + (second[x].tobytes() if second is not None else b"") for _, x in rows]
+    # Negative ranges hold notes.
     return pa.table({
-        "range": pa.array([r for r, _ in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "names": pa.array(named, pa.binary()),
-        "low": pa.array([np.diff(low[x], prepend=0).tobytes() for _, x in rows], pa.binary()), "more": pa.array([(high[x] - low[x]).tobytes() for _, x in rows], pa.binary())})
+        "range": pa.array([*(r for r, _ in rows), -1 - batch % ranges], pa.int32()), "batch": pa.array([batch] * (len(rows) + 1), pa.int64()),
+        "names": pa.array([*named, pa.compress(note, codec="zstd", asbytes=True)], pa.binary()),
+        "low": pa.array([*(_narrow(np.diff(low[x], prepend=0)) for _, x in rows), len(note).to_bytes(8, "little")], pa.binary()),
+        "more": pa.array([*(_narrow(high[x] - low[x]) for _, x in rows), b""], pa.binary())})
 
 
-def _ranges(names: np.ndarray, low: np.ndarray, ranges: int) -> list[tuple[int, np.ndarray]]:
-    """Name ranges that hold entries, and the entries of each by rising document, whose differences take little room."""
-    cut = np.append(np.searchsorted(names, [np.uint64((r * 2**64) // ranges) for r in range(ranges)]), names.size).tolist()
-    return [(r, a + np.lexsort((names[a:b], low[a:b]))) for r, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+def _note(answers: pa.Table, round_no: int) -> bytes:
+    """The note of the batch from a round."""
+    for key, number, bits in zip(answers.column("range").to_pylist(), answers.column("round").to_pylist(), answers.column("bits").to_pylist()):
+        if number == round_no and key < 0:
+            return pa.decompress(bits[8:], int.from_bytes(bits[:8], "little"), codec="zstd", asbytes=True)
+    raise ValueError(f"no note of round {round_no}")
 
 
 def _gather(round_no: int):
@@ -203,17 +248,21 @@ def _gather(round_no: int):
 
     def run(table: pa.Table) -> pa.Table:
         batches = table.column("batch").to_numpy()
+        key = int(table.column("range")[0].as_py())
+        if key < 0:
+            notes = [a + b for a, b in zip(table.column("low").to_pylist(), table.column("names").to_pylist())]
+            return pa.table({"batch": table.column("batch"), "round": pa.array([round_no] * len(notes), pa.int32()), "range": table.column("range"), "bits": pa.array(notes, pa.binary())})
         order = np.argsort(batches, kind="stable")
-        low = [np.cumsum(np.frombuffer(table.column("low")[int(i)].as_py(), np.int64)) for i in order]
-        more = [np.frombuffer(table.column("more")[int(i)].as_py(), np.int64) for i in order]
         raw = [table.column("names")[int(i)].as_py() for i in order]
-        sizes = np.array([x.size for x in low])
+        sizes = np.array([len(x) // (8 * round_no) for x in raw])
+        low = [np.cumsum(_wide(table.column("low")[int(i)].as_py(), n)) for i, n in zip(order, sizes.tolist())]
+        more = [_wide(table.column("more")[int(i)].as_py(), n) for i, n in zip(order, sizes.tolist())]
         lows, highs = np.concatenate(low), np.concatenate(low) + np.concatenate(more)
         if round_no == 1:
             _, back = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in raw]), return_inverse=True)
         else:
             one = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(raw, sizes)])
-            two = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(raw, sizes)])
+            two = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(raw, sizes)])
             rank = np.lexsort((two, one))
             new = np.append(True, (one[rank][1:] != one[rank][:-1]) | (two[rank][1:] != two[rank][:-1]))
             back = np.empty(rank.size, np.int64)
@@ -228,61 +277,74 @@ def _gather(round_no: int):
             flag = least[back] < lows
         ends = np.cumsum(sizes)
         bits = [np.packbits(flag[e - n:e]).tobytes() for n, e in zip(sizes.tolist(), ends.tolist())]
-        key = int(table.column("range")[0].as_py())
         return pa.table({"batch": pa.array(batches[order], pa.int64()), "round": pa.array([round_no] * len(bits), pa.int32()), "range": pa.array([key] * len(bits), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     return run
 
 
-def _flags(answers: pa.Table, round_no: int, names: np.ndarray, low: np.ndarray, ranges: int) -> np.ndarray:
-    """The answers to what ``pack`` sent for ``names`` and ``low``, one boolean each."""
-    out = np.zeros(names.size, bool)
-    sent = dict(_ranges(names, low, ranges))
+def _flags(answers: pa.Table, round_no: int, where: np.ndarray, ranges: int) -> np.ndarray:
+    """The answers to what ``pack`` sent, one boolean per entry; ``where`` has the entries' ranges."""
+    out = np.zeros(where.size, bool)
+    order, counts = np.argsort(where, kind="stable"), np.bincount(where, minlength=ranges)
+    ends = np.cumsum(counts)
     for key, number, bits in zip(answers.column("range").to_pylist(), answers.column("round").to_pylist(), answers.column("bits").to_pylist()):
-        if number == round_no:
-            out[sent[key]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=sent[key].size).astype(bool)
+        if number == round_no and key >= 0:
+            out[order[ends[key] - counts[key]:ends[key]]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(counts[key])).astype(bool)
     return out
 
 
-def _chosen(b: Batch, window: int, rounds: int):
-    names = choose(levels(b.names, b.bounds, rounds), b.ends - b.starts, b.windows, window)
-    return entries(names, b.ids[b.owner])
+def _chosen_note(where: np.ndarray, back: np.ndarray) -> bytes:
+    """The range of every entry, and the entry of every window: neighbours mostly share one, or go on to the next new one."""
+    first = np.flatnonzero(np.diff(back, prepend=-1))
+    runs = [np.diff(back[first], prepend=-1).astype(np.int32), np.diff(np.append(first, back.size)).astype(np.int32)]
+    return where.size.to_bytes(8, "little") + first.size.to_bytes(8, "little") + where.astype(np.uint32).tobytes() + runs[0].tobytes() + runs[1].tobytes()
 
 
-def _candidates(b: Batch, answers: pa.Table, window: int, rounds: int, ranges: int):
-    """Windows with a shared symbol, and the 96-bit names of their words."""
-    distinct, low, _, back = _chosen(b, window, rounds)
-    picked = np.flatnonzero(_flags(answers, 1, distinct, low, ranges)[back])
-    at = b.windows[picked]
-    other = word_names(b.values, b.starts, b.ends, seed=2)
-    one = combine(*[b.names[at + i] for i in range(window)])
-    two = (combine(*[other[at + i] for i in range(window)]) >> np.uint64(32)).astype(np.uint32)
-    rank = np.lexsort((two, one))
-    new = np.ones(rank.size, bool)
-    new[1:] = (one[rank][1:] != one[rank][:-1]) | (two[rank][1:] != two[rank][:-1])
-    back = np.empty(rank.size, np.int64)
-    back[rank] = np.cumsum(new) - 1
-    return picked, one[rank][new], two[rank][new], back
+def _from_chosen_note(note: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, runs = int.from_bytes(note[:8], "little"), int.from_bytes(note[8:16], "little")
+    where = np.frombuffer(note, np.uint32, n, 16).astype(np.int64)
+    step, size = np.frombuffer(note, np.int32, 2 * runs, 16 + 4 * n).reshape(2, -1)
+    return where, np.repeat(np.cumsum(step, dtype=np.int64) - 1, size)
+
+
+def digests(b: Batch, at: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of the words of the windows that start at words ``at``: n x 2 of 64."""
+    size = b.ends - b.starts
+    joined = np.full(int(size.sum()) + size.size, 32, np.uint8)
+    begin = np.cumsum(size + 1) - size - 1
+    # Each word goes to its place in the text of single spaces.
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    joined[np.repeat(begin, size) + inside] = b.values[np.repeat(b.starts, size) + inside]
+    text, name = memoryview(joined), xxhash.xxh3_128_digest
+    raw = b"".join([name(text[x:y]) for x, y in zip(begin[at].tolist(), (begin + size)[at + window - 1].tolist())])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+
+def _verified(b: Batch, picked: np.ndarray, window: int):
+    """``entries`` of the digests of the picked windows."""
+    two, one = digests(b, b.windows[picked], window).T if picked.size else np.zeros((2, 0), np.uint64)
+    return entries(one, two, b.ids[b.owner[picked]])
 
 
 def _symbols(window: int, rounds: int, ranges: int):
     def run(table: pa.Table) -> pa.Table:
         b = unpack(table, window)
-        names, low, high, _ = _chosen(b, window, rounds)
-        return pack(table.column("batch")[0].as_py(), ranges, names, low, high)
+        chosen = choose(levels(word_names(b.values, b.starts, b.ends), b.bounds, rounds), b.ends - b.starts, b.windows, window)
+        names, _, low, high, back = entries(chosen, None, b.ids[b.owner])
+        return pack(table.column("batch")[0].as_py(), ranges, names, None, low, high, _chosen_note(_range_of(names, ranges), back))
 
     return run
 
 
 def _windows(window: int, rounds: int, ranges: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        b = unpack(table, window)
         if not table.num_rows:
-            return pack(0, ranges, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        picked, one, two, back = _candidates(b, answers, window, rounds, ranges)
-        low = np.full(one.size, NO_ID)
-        np.minimum.at(low, back, b.ids[b.owner[picked]])
-        return pack(table.column("batch")[0].as_py(), ranges, one, low, low, two)
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=["range", "batch", "names", "low", "more"])
+        where, back = _from_chosen_note(_note(answers, 1))
+        shared = _flags(answers, 1, where, ranges)[back]
+        one, two, low, _, _ = _verified(unpack(table, window), np.flatnonzero(shared), window)
+        note = shared.size.to_bytes(8, "little") + np.packbits(shared).tobytes()
+        return pack(table.column("batch")[0].as_py(), ranges, one, two, low, low, note)
 
     return run
 
@@ -295,14 +357,13 @@ def _remove(window: int, rounds: int, ranges: int, texts: bool):
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = unpack(table, window)
-        gone = np.zeros(b.names.size + 1, np.int64)
+        gone = np.zeros(b.starts.size + 1, np.int64)
         if b.windows.size:
-            picked, one, two, back = _candidates(b, answers, window, rounds, ranges)
-            ids = b.ids[b.owner[picked]]
-            low = np.full(one.size, NO_ID)
-            np.minimum.at(low, back, ids)
-            before = _flags(answers, 2, one, low, ranges) if one.size else np.zeros(0, bool)
-            hit = b.windows[picked[before[back] | (low[back] < ids)]] if one.size else np.zeros(0, np.int64)
+            note = _note(answers, 2)
+            picked = np.flatnonzero(np.unpackbits(np.frombuffer(note, np.uint8, offset=8), count=int.from_bytes(note[:8], "little")))
+            one, _, low, _, back = _verified(b, picked, window)
+            before = _flags(answers, 2, _range_of(one, ranges), ranges)
+            hit = b.windows[picked[before[back] | (low[back] < b.ids[b.owner[picked]])]]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
@@ -327,10 +388,12 @@ def _remove(window: int, rounds: int, ranges: int, texts: bool):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the text that stays; null if ``texts`` is off) and removed word ranges."""
-    rows = docs.count()
-    batches = max(1, -(-rows // BATCH_DOCS))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    batches = max(1, -(-size["n"] // BATCH_DOCS), -(-size["b"] // BATCH_BYTES))
     ranges = max(1, -(-batches // RANGE_SHARE))
-    batched = docs.selectExpr("cast(doc_id as long) as doc_id", "text").withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+    # By place, not by content: copies of one row would meet in one batch.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches))
+    batched = docs.selectExpr("cast(doc_id as long) as doc_id", "text").withColumn("batch", place)
     batched = batched.repartition("batch")
     # Rows in a fixed order: every round and every retry sees the same batch.
     one = batched.groupBy("batch").applyInArrow(_ordered(_symbols(window, rounds, ranges)), PACKED).groupBy("range").applyInArrow(_gather(1), ANSWER)
