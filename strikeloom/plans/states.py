@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from strikeloom.constants import STATE_BETA
 from strikeloom.operators import grid, state
+from strikeloom.operators.state import CELL_FEATURES
 from strikeloom.plans.common import DAY_GAP_S, DAY_S, d, d_cells, m_cells, n, r
 from strikeloom.plans.registry import query, view
 from strikeloom.session import materialize
@@ -105,8 +107,17 @@ FROM qstate_d c JOIN (SELECT ticker, ts, expiry, a FROM weights_d) w USING (tick
 JOIN (SELECT ticker, ts, expiry, rho FROM range_d) r USING (ticker, ts, expiry)
 JOIN scores_d s USING (ticker, ts, strike) GROUP BY c.ticker, c.ts, c.strike""")
 
-_BETA_SQL = """0.791887839 * x1 - 0.258052945 * x2 - 0.000170497 * x3 - 0.000108827 * x4 - 0.553463898 * x5
-  - 3.517e-06 * x6 - 1.216e-06 * x7 - 1.7323e-05 * x8"""
+def _beta_sql(*terms):
+    return " + ".join(f"({beta!r}::DOUBLE) * {x}" for beta, x in zip(STATE_BETA, terms))
+
+
+_BETA_SQL = _beta_sql(*[f"x{i}" for i in range(1, 9)])
+_CELL_SQL = f"""
+  SELECT c.ticker, c.ts, c.strike, c.expiry, a * ({_beta_sql("g", "q_g", "f", "q_f", "g * rho")}) + ({" + ".join(f"({beta!r}::DOUBLE) * {x}" for beta, x in zip(STATE_BETA[5:], ("s_del", "s_rej", "s_tch")))}) / e.n AS c
+  FROM qstate_d c JOIN (SELECT ticker, ts, expiry, a FROM weights_d) w USING (ticker, ts, expiry)
+  JOIN (SELECT ticker, ts, expiry, rho FROM range_d) r USING (ticker, ts, expiry)
+  JOIN scores_d s USING (ticker, ts, strike)
+  JOIN (SELECT ticker, ts, count(DISTINCT expiry) AS n FROM qstate_d GROUP BY ticker, ts) e USING (ticker, ts)"""
 
 
 def _state_rows(spark, sf):
@@ -120,30 +131,32 @@ def _state_rows(spark, sf):
 @query("agg_8_state_design", f"""
 SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strike, round(sign(x1) * ln(1 + abs(x1)), 5) + 0.0 AS x1,
   round(sign(x2) * ln(1 + abs(x2)), 5) + 0.0 AS x2, round(sign(x3) * ln(1 + abs(x3)), 5) + 0.0 AS x3,
-  round(sign(x5) * ln(1 + abs(x5)), 5) + 0.0 AS x5, round(x6, 6) AS x6, round(x7, 6) AS x7, round(x8, 6) AS x8,
+  round(sign(x4) * ln(1 + abs(x4)), 5) + 0.0 AS x4, round(sign(x5) * ln(1 + abs(x5)), 5) + 0.0 AS x5, round(x6, 6) AS x6, round(x7, 6) AS x7, round(x8, 6) AS x8,
   round(sign({_BETA_SQL}) * ln(1 + abs({_BETA_SQL})), 4) + 0.0 AS value FROM sdesign_d""")
 def design(spark, sf):
     from strikeloom.functions.scalar import signed_log
     rows, scores = _state_rows(spark, sf)
     x = state.node_design(rows, scores)
-    return x.select("ticker", d("ts").alias("ts"), "strike", *[r(signed_log(c), 5).alias(c) for c in ("x1", "x2", "x3", "x5")],
+    return x.select("ticker", d("ts").alias("ts"), "strike", *[r(signed_log(c), 5).alias(c) for c in ("x1", "x2", "x3", "x4", "x5")],
                     *[r(c).alias(c) for c in ("x6", "x7", "x8")], r(signed_log(state.linear_value()), 4).alias("value"))
 
 
-@query("agg_8_state_cells", """
-SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, count(*) AS n, round(ln(1 + sum(abs(c))), 4) AS log_sum FROM (
-  SELECT c.ticker, c.ts, a * (0.791887839 * g - 0.258052945 * q_g - 0.000170497 * f - 0.000108827 * q_f - 0.553463898 * g * rho)
-    + (-3.517e-06 * s_del - 1.216e-06 * s_rej - 1.7323e-05 * s_tch) / e.n AS c
-  FROM qstate_d c JOIN (SELECT ticker, ts, expiry, a FROM weights_d) w USING (ticker, ts, expiry)
-  JOIN (SELECT ticker, ts, expiry, rho FROM range_d) r USING (ticker, ts, expiry)
-  JOIN scores_d s USING (ticker, ts, strike)
-  JOIN (SELECT ticker, ts, count(DISTINCT expiry) AS n FROM qstate_d GROUP BY ticker, ts) e USING (ticker, ts)) GROUP BY ticker, ts""")
+@query("agg_8_state_cells", f"""
+SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, count(*) AS n, round(ln(1 + sum(abs(c))), 4) AS log_sum FROM ({_CELL_SQL}) GROUP BY ticker, ts""")
 def state_cells(spark, sf):
     rows, scores = _state_rows(spark, sf)
     return state.state_cell_values(rows, scores).groupBy("ticker", d("ts").alias("ts")).agg(
         F.count(F.lit(1)).alias("n"), r(F.log1p(F.sum(F.abs("c"))), 4).alias("log_sum"))
 
 
+@query("agg_8_state_cell_values", f"""
+SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strike, strftime(expiry, '%Y-%m-%d') AS expiry, round(sign(c) * ln(1 + abs(c)), 4) + 0.0 AS log_c FROM ({_CELL_SQL})""")
+def state_cell_values(spark, sf):
+    """Every cell's share of the node value."""
+    from strikeloom.functions.scalar import signed_log
+    return state.state_cell_values(*_state_rows(spark, sf)).select("ticker", d("ts").alias("ts"), "strike", d("expiry").alias("expiry"), r(signed_log("c"), 4).alias("log_c"))
+
+
 view("acc_k", """
 SELECT *, (call_ask_vol - call_bid_vol) - (put_ask_vol - put_bid_vol) AS imb, call_volume - put_volume AS net_volume,
   (call_oi - call_prev_oi) - (put_oi - put_prev_oi) AS doi_net,
@@ -212,3 +225,17 @@ def cell_features(spark, sf):
     f = m_features(spark, sf)
     return f.groupBy("ticker", d("ts").alias("ts")).agg(
         F.count(F.lit(1)).alias("n"), *[r(F.avg(c), 4).alias(c) for c in _STABLE], r(F.avg(F.abs("g_z")), 4).alias("g_z"))
+
+
+def _signed(c):
+    return f"round(sign({c}) * ln(1 + abs({c})), 4) + 0.0 AS {c}"
+
+
+@query("prj_15_feature_cells", f"""
+SELECT ticker, strftime(ts, '%Y-%m-%d') AS ts, strike, strftime(expiry, '%Y-%m-%d') AS expiry, {", ".join(_signed(c) for c in CELL_FEATURES)} FROM (
+  SELECT f.* REPLACE (CASE WHEN s.lo = s.hi THEN 0 ELSE f.g_z END AS g_z) FROM feat41 f
+  JOIN (SELECT ticker, ts, expiry, min(g) AS lo, max(g) AS hi FROM cells_m GROUP BY ALL) s ON f.ticker = s.ticker AND f.ts = s.ts AND f.expiry = s.expiry)""")
+def feature_cells(spark, sf):
+    """All 41 inputs of every cell."""
+    from strikeloom.functions.scalar import signed_log
+    return m_features(spark, sf).select("ticker", d("ts").alias("ts"), "strike", d("expiry").alias("expiry"), *[r(signed_log(c), 4).alias(c) for c in CELL_FEATURES])
