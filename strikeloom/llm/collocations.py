@@ -47,7 +47,7 @@ UNKNOWN_LANGUAGE = "und"
 #: Candidates of one broadcast trie.
 TRIE_LIMIT = 1 << 20
 #: Bytes of text per numpy pass; entries a task gathers before it hands them on.
-TEXT_BYTES, HELD = 4 << 20, 1 << 22
+TEXT_BYTES, HELD = 4 << 20, 1 << 21
 
 _WORD, _BLANK, _BREAK = range(3)
 _CLASS = np.zeros(256, np.uint8)
