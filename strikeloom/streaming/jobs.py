@@ -38,9 +38,23 @@ def run_available(df: DataFrame, label: str, mode: str = "append"):
     return sink, _run(df, sink, check, mode)
 
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def start(df: DataFrame, sink: str, check: str, mode: str = "append", **trigger):
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    return df.writeStream.outputMode(mode).format("parquet").option("path", sink).option("checkpointLocation", check).trigger(**trigger).start()
+    """Start a query that writes to ``sink``.
+
+    Every stateful operator costs a task per state partition and trigger, so there are no more of them than
+    cores (nor than the session's shuffle partitions).
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    before = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
+    try:  # the query has a session of its own from here on
+        return df.writeStream.outputMode(mode).format("parquet").option("path", sink).option("checkpointLocation", check).trigger(**trigger).start()
+    finally:
+        spark.conf.set(_PARTITIONS, before)
 
 
 def _run(df: DataFrame, sink: str, check: str, mode: str = "append") -> list:
