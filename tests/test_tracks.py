@@ -42,3 +42,16 @@ def test_captured_contracts(spark):
     days = spark.createDataFrame([("A", 1, f"c{i}", v, p) for i, (v, p) in enumerate([(5, 1.0), (9, 1.0), (5, 2.0), (5, 1.0)])] + [("B", 1, "d", 0, 0.0)],
                                  "underlying string, day int, occ string, volume int, premium double")
     assert sorted(r["occ"] for r in ranking.captured(days, 3).collect()) == ["c0", "c1", "c2", "d"]
+
+
+def test_rich_scores_rank_surprise_and_flags(spark):
+    import os
+    import sys
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    os.environ.setdefault("SF_DIR", "/root/testdata/sf0.001")
+    import __spark_entry__ as entry_points
+    import compare
+
+    name = "top_5_rich_scores"
+    status, note, _, _ = compare.check(spark, compare.duck(), name, entry_points.queries()[name], entry_points.oracle_sql()[name])
+    assert status == "ok", note
