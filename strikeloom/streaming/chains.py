@@ -39,26 +39,31 @@ NODE_OUTPUT = "ticker string, strike double, expiry date, ts timestamp, q_g doub
 def closed_columns(rows: DataFrame, delay: str) -> DataFrame:
     """Column sums of every batch the watermark has passed."""
     g = F.col("call_gex") - F.col("put_gex")
-    return open_rows(rows, delay).groupBy("ticker", "ts", "expiry").agg(
+    cells = open_rows(rows, delay).groupBy("ticker", "ts", "strike", "expiry").agg(
         F.sum(F.abs(g)).alias("gmag"), F.sum(g).alias("net_col"), F.sum(F.abs(g) * F.col("strike")).alias("com_num"),
         F.sum(F.col("call_ask_vol") + F.col("put_ask_vol")).alias("ask"), F.sum(F.col("call_bid_vol") + F.col("put_bid_vol")).alias("bid"),
-        F.sum(grid.cell_flow()).alias("doi"), F.count(F.lit(1)).alias("n_rows"), F.min("row_key").alias("order_key"), F.min_by("strike", "row_key").alias("order_spot"))
+        F.sum(grid.cell_flow()).alias("doi"), F.count(F.lit(1)).alias("n_rows"), F.min("row_key").alias("order_key"))
+    # Of equal keys the least strike counts. Only cells meet this pair: no hash aggregate takes its minimum.
+    first = F.min(F.when(F.col("order_key").isNotNull(), F.struct("order_key", F.col("strike").isNull().alias("bare"), "strike")))
+    cols = cells.groupBy("ticker", "ts", "expiry").agg(*[F.sum(c).alias(c) for c in ("gmag", "net_col", "com_num", "ask", "bid", "doi", "n_rows")], first.alias("first"))
+    return cols.select("*", F.col("first.order_key").alias("order_key"), F.col("first.strike").alias("order_spot")).drop("first")
 
 
 def closed_nodes(rows: DataFrame, delay: str) -> DataFrame:
     """The cells of every strike of every batch the watermark has passed, as arrays by expiry (days since 1970)."""
     cells = open_rows(rows, delay).groupBy("ticker", "ts", "strike", F.unix_date("expiry").alias("expiry")).agg(
         F.sum(F.col("call_gex") - F.col("put_gex")).alias("g"), F.sum(grid.cell_flow()).alias("f"),
-        F.min("row_key").alias("order_key"), F.min_by("strike", "row_key").alias("order_spot"))
+        F.min("row_key").alias("order_key"))
     nodes = cells.groupBy("ticker", "ts", "strike").agg(
-        F.array_sort(F.collect_list(F.struct("expiry", "g", "f"))).alias("c"), F.min("order_key").alias("order_key"), F.min_by("order_spot", "order_key").alias("order_spot"))
-    return nodes.select("ticker", "ts", "strike", F.col("c.expiry").alias("expiries"), F.col("c.g").alias("g"), F.col("c.f").alias("f"), "order_key", "order_spot")
+        F.array_sort(F.collect_list(F.struct("expiry", "g", "f"))).alias("c"), F.min("order_key").alias("order_key"))
+    return nodes.select("ticker", "ts", "strike", F.col("c.expiry").alias("expiries"), F.col("c.g").alias("g"), F.col("c.f").alias("f"), "order_key",
+                        F.col("strike").alias("order_spot"))
 
 
 class BatchClock(StatefulProcessor):
     """Spot of each closed batch of one ticker, with the time and the spot of the batch before it.
 
-    The spot is that of the batch's first row; a batch without one leaves the last known
+    The spot is that of the batch's first row, of equal keys the least; a batch without one leaves the last known
     spot standing. With ``bands`` each strike gets half the gap to its nearest neighbour in the
     batch, 2.5 when alone.
     """
@@ -75,7 +80,7 @@ class BatchClock(StatefulProcessor):
         last, known = held
         done = []
         for ts, batch in new.groupby("ts", sort=True):
-            batch = batch.sort_values(["order_key"])
+            batch = batch.sort_values(["order_key", "order_spot"])
             spot = batch["order_spot"].dropna()
             out = batch.drop(columns=["order_key", "order_spot"])
             out["spot"] = float(spot.iloc[0]) if len(spot) else np.nan
