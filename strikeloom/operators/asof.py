@@ -36,15 +36,18 @@ def nearest_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts
         marks.select(*keys, "_c", "_r")
     ).groupBy(*keys, "_c").agg(F.max("_r").alias("_hi"), F.min("_r").alias("_lo"))
     by_chunk = Window.partitionBy(*keys).orderBy("_c")
+    # What follows is read in falling order: a frame that reaches to the end is walked anew for every row.
+    back = Window.partitionBy(*keys).orderBy(F.col("_c").desc())
     spans = spans.select(
         *keys, "_c",
         F.last("_hi", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_lo", ignorenulls=True).over(by_chunk.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_lo", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
     inside = Window.partitionBy(*keys, "_c").orderBy("_t")
+    falling = Window.partitionBy(*keys, "_c").orderBy(F.col("_t").desc())
     both = both.withColumns({
         "_p": F.last("_r", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0)),
-        "_n": F.first("_r", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing)),
+        "_n": F.last("_r", ignorenulls=True).over(falling.rangeBetween(Window.unboundedPreceding, 0)),
     }).where("_is_left").join(spans, [*keys, "_c"])
     prev, nxt = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
     dp = F.col("_t") - F.unix_micros(prev)
