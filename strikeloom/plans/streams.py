@@ -41,15 +41,15 @@ def rollup_stream(spark, sf):
     kept, hours = scratch_dir(spark, "kept"), scratch_dir(spark, "hours")
     for version, part in ((1, rows), (2, rows.where("ts >= '2024-01-20'"))):
         source = scratch_dir(spark, "snapshots")
-        jobs.land(part, source, "ts", 2, FILES)
-        stream = jobs.file_stream(spark, source, rows.schema, files_per_trigger=FILES)
+        files = jobs.land(part, source, "ts", 2, FILES)
+        stream = jobs.file_stream(spark, source, rows.schema, files_per_trigger=files)
         q = (stream.writeStream.foreachBatch(HourlyRollup(kept, hours, version)).option("checkpointLocation", scratch_dir(spark, "hours-checkpoint"))
              .trigger(availableNow=True).start())
         q.awaitTermination()
     return hour_out(spark.read.parquet(hours))
 
 
-#: Files that a landing writes at once and a trigger takes at once.
+#: Files that a landing writes at once and a trigger takes at once, at least.
 FILES = 4
 #: How long rows of a batch may come after rows of a later one.
 DELAY = "1 day"
@@ -59,8 +59,8 @@ def raw_chain(spark, sf, pieces: int = 3):
     """Monthly chain rows landed in time order, batches cut across landings: the stream, its folder and schema."""
     rows = adapters.chain(spark, sf, "month")
     path = scratch_dir(spark, "chain")
-    jobs.land(rows, path, "ts", pieces, FILES)
-    return jobs.file_stream(spark, path, rows.schema, files_per_trigger=FILES), path, rows.schema
+    files = jobs.land(rows, path, "ts", pieces, FILES)
+    return jobs.file_stream(spark, path, rows.schema, files_per_trigger=files), path, rows.schema
 
 
 @query("str_3_weight_stream", """
@@ -82,9 +82,10 @@ def late_rows(spark, sf):
     """
     rows = adapters.chain(spark, sf, "month")
     path = scratch_dir(spark, "chain")
+    files = jobs.files_of(rows.count(), FILES)
     for part in ("row_a % 7 > 1", "row_a % 7 = 1", "row_a % 7 = 0"):
-        rows.where(part).repartition(FILES).write.mode("append").parquet(path)
-    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=FILES)
+        rows.where(part).repartition(files).write.mode("append").parquet(path)
+    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=files)
     out, progress = jobs.run_to_end(chains.closed_counts(stream, "400 days"), "closed", path, rows.schema)
     total = jobs.rows_in(progress)
     return out.agg(F.lit(total).cast("bigint").alias("rows_in"), (F.lit(total) - F.sum("n_rows")).alias("late"), F.sum("n_rows").alias("kept"))

@@ -26,3 +26,16 @@ def test_nearest_times_of_a_busy_hour_without_frames_to_the_end(spark):
         match, dist = got[k, i]
         assert (match and match.replace(tzinfo=None)) == (want is not None and at(want).astimezone().replace(tzinfo=None) or None)
         assert dist == (abs(want - s) if want is not None else None)
+
+
+def test_files_of_a_landing_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "FILE_ROWS", 500)
+    rows = adapters.chain(spark, SF, "month")
+    path = scratch_dir(spark, "landed")
+    files = jobs.land(rows, path, "ts", 3, 2)
+    assert files > 2
+    landed = spark.read.schema(rows.schema).parquet(path)
+    assert len(landed.inputFiles()) == 3 * files and sorted(map(tuple, landed.select("row_a", "ts", "strike").collect())) == sorted(map(tuple, rows.select("row_a", "ts", "strike").collect()))
+    stream = jobs.file_stream(spark, path, rows.schema, files_per_trigger=files)
+    out, progress = jobs.run_to_end(chains.closed_counts(stream, "1 day"), "closed", path, rows.schema)
+    assert out.agg({"n_rows": "sum"}).first()[0] == rows.count() == jobs.rows_in(progress)
