@@ -247,6 +247,13 @@ def _same_ids(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.join(rows, "doc_id").join(nodes.select("pa", "pb", F.col("id").alias("b")), ["pa", "pb"]).where("a <> b").select("a", "b").distinct()
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a < b) that join the same nodes, about one a node: a node keeps its least neighbour, and its others are
+    linked to that one, where the links of all nodes of a star become the same few. For nodes of few neighbours below them."""
+    least = links.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("least"))
+    return least.select(F.col("least").alias("a"), F.when(F.col("a") > F.col("least"), F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
+
+
 def classes(docs: DataFrame, name_bits: int = NAME_BITS) -> DataFrame:
     """doc_id, class_id (least id of the class) and the size of its bag ``n_shingles``, one row per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
@@ -265,11 +272,13 @@ def classes(docs: DataFrame, name_bits: int = NAME_BITS) -> DataFrame:
     # The set of nodes grows with the documents, so both sides are always shuffled, also where it is small.
     texts = shared(docs.join(used.hint("merge"), ["doc_id", "hash"]).groupBy("id").agg(F.max("text").alias("text")), "texts")
     stars = shared(verified(pairs, texts, name_bits), "stars")
-    links = stars.where(_is_link()).select("a", "b").unionByName(_same_ids(full.select("doc_id", "pa", "pb").distinct(), nodes))
+    # A node is in BANDS stars at most.
+    links = thinned(stars.where(_is_link()).select("a", "b")).unionByName(_same_ids(full.select("doc_id", "pa", "pb").distinct(), nodes))
     links = shared(links, "links")
     rest = shared(rest_pairs(stars, connected(links)), "rest")
     checked = shared(verified(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), texts), "checked")
-    links = links.unionByName(checked.where(_is_link()).select("a", "b"))
+    # The tasks of a set join the same classes again and again.
+    links = thinned(links.unionByName(checked.where(_is_link()).select("a", "b")))
     failed = checked.where(~_is_link()).select("a", "b")
     if failed.limit(1).count():
         links = shared(links, "links")

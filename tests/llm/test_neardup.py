@@ -138,3 +138,17 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 1), (20, 21), *((100 + i, 101 + i) for i in range(40))]
     got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys([1, 2, 3, 8, 9, 10], 1), 20: 20, 21: 20, **dict.fromkeys(range(100, 141), 100)}
+
+
+def test_links_of_many_stars_are_thinned_to_about_one_a_node(spark):
+    from strikeloom.llm import neardup
+
+    links = [(a, b) for b in range(100, 400) for a in range(10) if (a + b) % 3] + [(a, b) for a in (50, 51) for b in (60, 61, 62)] + [(70, 71)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    thin = neardup.thinned(frame)
+    assert thin.count() < 400 < len(links)
+
+    def parts(df):
+        return {(r["node"], r["label"]) for r in connected(df).collect()}
+
+    assert parts(thin) == parts(frame)
