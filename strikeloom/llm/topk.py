@@ -2,15 +2,16 @@
 
 Vectors are dealt into blocks and queries into blocks; each pair of blocks is one
 group. Inside a group every dimension is a list sorted by component. For a query the
-lists are read in parallel from their favourable end, some places of all lists at a time;
-each entry is touched once, when it is read. What has been read gives each vector a lower
-and an upper bound:
+lists are read in parallel from their favourable end, some places of all lists at a time.
+Queries read together: an entry is touched once for a few hundred of them, and their bounds
+are two matrix products over what has been read. That gives each vector a lower and an
+upper bound:
 
 * known part: the sum over the lists in which it has been seen;
 * upper bound: for every other list, the last contribution read from it;
 * lower bound: for every other list, that list's smallest contribution.
 
-A vector whose upper bound is below the k-th best lower bound is out. Reading stops when
+A vector whose upper bound is below the k-th best lower bound is out. A query stops reading when
 only a few vectors are left; their final scores are then resolved. Lists of a zero component are
 not read. Group results hold k rows a query and are merged by one window.
 
@@ -35,6 +36,8 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 READS = 8
 #: Reading stops early when so many vectors per wanted result are left.
 LEFT_PER_K = 16
+#: Bounds that a task holds at once: so many queries share a reading.
+BOUNDS = 1 << 20
 
 
 def integer_vectors(df: DataFrame, scale: float = 1024.0) -> DataFrame:
@@ -49,44 +52,48 @@ class Lists:
     """Vectors of a group and, for every component, their rows and values from either end."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.read, self.unseen = x, 0, np.empty_like(x)  # entries read so far, and those of one query that are not
+        self.x, self.read = x, 0  # entries read so far
         rising = np.argsort(x, axis=0, kind="stable").astype(np.int32)
         values = np.take_along_axis(x, rising, axis=0)
-        self.rows, self.values = (np.ascontiguousarray(rising[::-1]), rising), (np.ascontiguousarray(values[::-1]), values)
+        # The falling lists stand before the rising ones.
+        self.rows, self.values = np.hstack([rising[::-1], rising]), np.hstack([values[::-1], values])
 
     def nra(self, q: np.ndarray, k: int, left_out: np.ndarray) -> np.ndarray:
         """Rows that can be among the k best for ``q``; ``left_out`` masks rows that are no candidates."""
+        return self.nra_of_all(q[None, :], [k], [np.flatnonzero(~left_out)])[0]
+
+    def nra_of_all(self, qs: np.ndarray, ks: list[int], allowed: list[np.ndarray]) -> list[np.ndarray]:
+        """The same for several queries, which share what is read: of their candidates ``allowed``, those left.
+
+        A list is read from an end for as long as a query that is not done needs it from there.
+        """
         n = len(self.x)
-        allowed = np.flatnonzero(~left_out)
-        dims = np.flatnonzero(q)
-        if len(allowed) <= LEFT_PER_K * k or not dims.size:
+        allowed, zero = list(allowed), self.x.dtype.type(0) if self.x.dtype != object else 0
+        # A query takes part with its positive components in the falling lists, with its negative ones in the rising lists.
+        weights = np.hstack([np.where(qs > 0, qs, zero), np.where(qs < 0, qs, zero)])
+        live = np.array([i for i, q in enumerate(qs) if len(allowed[i]) > LEFT_PER_K * ks[i] and q.any()], np.int64)
+        if not live.size:
             return allowed
-        # Every list from its favourable end: falling where the query's component is positive.
-        falling, width = q > 0, q.size
-        known, unseen = np.zeros(n, self.x.dtype), self.unseen
-        unseen[:] = (q != 0).astype(self.x.dtype)
-        flat, lane = unseen.reshape(-1), np.arange(width)
-        smallest = np.where(falling, self.values[0][-1], self.values[1][-1]) * q
+        least = np.repeat(self.values[-1:], n, axis=0)  # what has been read; for the rest, the list's end
+        unread = np.ones(least.shape, bool)
         for step in range(1, READS):
             begin, end = n * (step - 1) // READS, n * step // READS
             if begin == end:
                 continue
-            rows = np.where(falling, self.rows[0][begin:end], self.rows[1][begin:end])
-            worth = np.where(falling, self.values[0][begin:end], self.values[1][begin:end]) * q
-            if dims.size < width:
-                rows, worth, lane = rows[:, dims], worth[:, dims], dims
-            flat[(rows * np.int64(width) + lane).reshape(-1)] = 0
-            if worth.dtype == object:
-                np.add.at(known, rows.reshape(-1), worth.reshape(-1))
-            else:
-                known += np.bincount(rows.reshape(-1), worth.reshape(-1), n)
+            lists = np.flatnonzero((weights[live] != 0).any(axis=0))
+            rows = self.rows[begin:end, lists]
+            least[rows, lists], unread[rows, lists] = self.values[begin:end, lists], False
             self.read += rows.size
-            last = np.where(falling, self.values[0][end - 1], self.values[1][end - 1]) * q
-            # Of each list: the last contribution read, and the smallest of all.
-            upper, lower = known + unseen @ last, known + unseen @ smallest
-            lowest = np.sort(lower[allowed])[-k] if known.dtype == object else np.partition(lower[allowed], len(allowed) - k)[len(allowed) - k]
-            allowed = allowed[(upper[allowed] >= lowest).astype(bool)]
-            if len(allowed) <= LEFT_PER_K * k:
+            # Of each list: the last entry read bounds the others from above, the last of all from below.
+            asked = weights[live][:, lists]
+            lower = asked @ least[:, lists].T
+            upper = asked @ np.where(unread[:, lists], self.values[end - 1, lists], least[:, lists]).T
+            for at, i in enumerate(live):
+                low, k = lower[at, allowed[i]], ks[i]
+                lowest = np.sort(low)[-k] if low.dtype == object else np.partition(low, len(low) - k)[len(low) - k]
+                allowed[i] = allowed[i][(upper[at, allowed[i]] >= lowest).astype(bool)]
+            live = live[[len(allowed[i]) > LEFT_PER_K * ks[i] for i in live]]
+            if not live.size:
                 break
         return allowed
 
@@ -109,15 +116,16 @@ def _search(k: int):
         xs, qs = x.astype(kind), q.astype(kind)
         out_q, out_v, out_s = [], [], []
         lists_of = Lists(xs) if len(x) else None
-        for i in range(len(q) if len(x) else 0):
-            own = xid == qid[i]
-            some = len(x) - int(own.sum())
-            rows = lists_of.nra(qs[i], min(k, some), own) if some else np.zeros(0, np.int64)
-            score = xs[rows] @ qs[i]
-            best = sorted(range(len(rows)), key=lambda r: (-score[r], xid[rows[r]]))[:k] if len(rows) <= 4 * k or kind is object else np.lexsort((xid[rows], -score))[:k]
-            out_q += [qid[i]] * len(best)
-            out_v += [xid[rows[r]] for r in best]
-            out_s += [max(-(2**63), min(2**63 - 1, int(score[r]))) for r in best]
+        together = max(1, BOUNDS // max(len(x), 1))
+        for first in range(0, len(q) if len(x) else 0, together):
+            some = [np.flatnonzero(xid != i) for i in qid[first:first + together]]
+            left = lists_of.nra_of_all(qs[first:first + together], [min(k, len(s)) for s in some], some)
+            for i, rows in enumerate(left, first):
+                score = xs[rows] @ qs[i]
+                best = sorted(range(len(rows)), key=lambda r: (-score[r], xid[rows[r]]))[:k] if len(rows) <= 4 * k or kind is object else np.lexsort((xid[rows], -score))[:k]
+                out_q += [qid[i]] * len(best)
+                out_v += [xid[rows[r]] for r in best]
+                out_s += [max(-(2**63), min(2**63 - 1, int(score[r]))) for r in best]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
 
     return run

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from strikeloom.llm import topk
 
@@ -67,3 +68,24 @@ def test_few_large_and_no_vectors(spark):
     assert found(huge) == {(0, 1, 1, 2**63 - 1)}
     assert found(spark.createDataFrame([(0, [1.0], "", "")], SCHEMA)) == set()
     assert found(spark.createDataFrame([], SCHEMA)) == set()
+
+
+def test_queries_read_together(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, q = np.floor(256 * rng.normal(size=(800, 16))).astype(np.int64), np.floor(256 * rng.normal(size=(60, 16))).astype(np.int64)
+    made = []
+
+    class Kept(topk.Lists):
+        def __init__(self, x):
+            super().__init__(x)
+            made.append(self)
+
+    monkeypatch.setattr(topk, "Lists", Kept)
+    table = pa.table({"asked": [False] * 800 + [True] * 60, "vec_id": list(range(1, 801)) + list(range(1000, 1060)), "v": pa.array([*x, *q], pa.list_(pa.int64()))})
+    found = topk._search(3)(table).to_pydict()
+    want = []
+    for i, one in enumerate(q):
+        scores = x @ one
+        want += [(1000 + i, int(r) + 1, int(scores[r])) for r in sorted(range(800), key=lambda r: (-scores[r], r))[:3]]
+    assert list(zip(found["query_id"], found["vec_id"], found["score"])) == want
+    assert made[0].read <= 2 * x.size  # either end of a list once at most, not once a query
