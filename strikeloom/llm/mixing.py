@@ -13,8 +13,9 @@ read as a number in [0, 1), lies below the fraction of the rate.
 * Null ids count as the text ``null``; repeated rows are documents of their own that
   share one decision, because it depends on the id and the seed alone.
 
-The source table has one row per source and is not marked for broadcast; the join
-with it is left to adaptive execution, which splits a hot source.
+The source table has one row per source and is written before the join: the planner
+then knows its size and brings a small one to the documents, whose texts stay where they
+are. A table too large for that is left to adaptive execution, which splits a hot source.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeloom.llm.common import shared
+
 #: Weights by position of the source in code-point order, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -75,7 +78,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT,
     own = ("size", "source_size", "target", "rate", "copies")
     sized = docs.drop(*own).withColumn("size", token_count(F.col("text")))
     table = rates(sized.select("source", "size"), weights, max_repeat)
-    table = table.withColumnRenamed("source", "rate_source")
+    table = shared(table.withColumnRenamed("source", "rate_source"), "rates")
     joined = sized.join(table, sized["source"].eqNullSafe(table["rate_source"]), "left").drop("rate_source")
     whole = F.floor("rate")
     extra = (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeloom.llm.common import MIX_A, combine, mix, passes, shared, utf8, word_names, words
+from strikeloom.llm.common import MIX_A, combine, mix, passes, shared, tidy, utf8, word_names, words
 from strikeloom.llm.components import connected
 
 SHINGLE = 5
@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, name_bits: int = NAME_BITS) ->
     """``pairs`` (a, b) with the shared and the joint size of their bags; ``texts`` (id, text) holds all their texts."""
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: _overlaps(batches, name_bits), "a long, b long, both long, every long, n long, bits binary, extra binary")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(tidy(lambda batches: _overlaps(batches, name_bits)), "a long, b long, both long, every long, n long, bits binary, extra binary")
 
 
 def _is_link():
@@ -257,7 +257,7 @@ def thinned(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, name_bits: int = NAME_BITS) -> DataFrame:
     """doc_id, class_id (least id of the class) and the size of its bag ``n_shingles``, one row per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    sketch = shared(docs.mapInArrow(_sketch, "doc_id long, hash long, pa long, pb long, n long, keys array<long>"), "sketch")
+    sketch = shared(docs.mapInArrow(tidy(_sketch), "doc_id long, hash long, pa long, pb long, n long, keys array<long>"), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
     # A node is a bag; the row of its least id, told by id and text, lends it its text.
     nodes = full.groupBy("pa", "pb").agg(F.min(F.struct("doc_id", "hash")).alias("row"), F.min("n").alias("n"), F.min("keys").alias("keys"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from strikeloom.llm.common import passes
+from strikeloom.llm.common import passes, tidy
 from strikeloom.llm.tokens import Tokens
 
 LENGTH = 2048
@@ -161,4 +161,4 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, ra
                     yield from rows(stream.flush(False))
         yield from rows(stream.flush(True))
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(tidy(run), SCHEMA)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeloom.llm.common import passes
+from strikeloom.llm.common import passes, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose windows are labelled by the patterns, and windows kept, at most.
@@ -317,7 +317,7 @@ def weak_labels(docs: DataFrame, sample: int = SAMPLE_DOCS, limit: int = LABELLE
                 labels.append([next((k + 1 for x, y, k in spans if x < e - start and y > s - start), 0) for s, e in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist())])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(labels, pa.list_(pa.int32()))], ["words", "labels"])
 
-    found = chosen.select("text").mapInArrow(run, "words array<string>, labels array<int>")
+    found = chosen.select("text").mapInArrow(tidy(run), "words array<string>, labels array<int>")
     # Windows with personal data first, the rest by hash, so that the bound keeps both.
     return found.orderBy(F.when(F.exists("labels", lambda x: x > 0), F.pmod(F.xxhash64("words"), F.lit(3))).otherwise(F.pmod(F.xxhash64("words"), F.lit(6))), F.xxhash64("words"), "words").limit(limit)
 
@@ -396,14 +396,17 @@ def _field_spans(w: Words, model: Field) -> dict[int, list[tuple[int, int, int]]
     return out
 
 
-def find(docs: DataFrame, model: Field | None, keep=()) -> DataFrame:
-    """``doc_id`` and ``found``: array of (start, end, kind index, base) by start and kind, with the ``keep`` columns.
-
-    ``text`` can be one of the kept columns.
-    """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def _columns(docs: DataFrame, keep) -> tuple[DataFrame, int]:
+    """What ``_find`` reads, and the place of the first column it hands on."""
     kept = [c for c in keep if c not in ("doc_id", "text", "found")]
-    first = 1 if "text" in keep else 2
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept), 1 if "text" in keep else 2
+
+
+def _types(fields) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+
+def _find(shipped, first: int):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("base", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,9 +430,18 @@ def find(docs: DataFrame, model: Field | None, keep=()) -> DataFrame:
                 spans[i] = [{"start": a, "end": b, "kind": k, "base": own} for a, b, k, own in every]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span)), *batch.columns[first:]], ["doc_id", "found", *batch.schema.names[first:]])
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *kept)
-    more_types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[first:])
-    return columns.mapInArrow(run, "doc_id long, found array<struct<start: bigint, end: bigint, kind: int, base: boolean>>" + more_types)
+    return run
+
+
+def find(docs: DataFrame, model: Field | None, keep=()) -> DataFrame:
+    """``doc_id`` and ``found``: array of (start, end, kind index, base) by start and kind, with the ``keep`` columns.
+
+    ``text`` can be one of the kept columns.
+    """
+    columns, first = _columns(docs, keep)
+    more = _types(columns.schema.fields[first:])
+    run = _find(docs.sparkSession.sparkContext.broadcast(model), first)
+    return columns.mapInArrow(tidy(run), "doc_id long, found array<struct<start: bigint, end: bigint, kind: int, base: boolean>>" + (", " + more if more else ""))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -462,10 +474,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def masked(found: DataFrame) -> DataFrame:
-    """The rows of ``find`` (with ``text`` and ``n_chars`` kept) with personal data masked."""
-    others = [c for c in found.columns if c != "found"]
-
+def _mask(others: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -483,5 +492,18 @@ def masked(found: DataFrame) -> DataFrame:
                 columns.append(column)
             yield pa.RecordBatch.from_arrays(columns, others)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "found")
-    return found.mapInArrow(run, kinds)
+    return run
+
+
+def masked(found: DataFrame) -> DataFrame:
+    """The rows of ``find`` (with ``text`` and ``n_chars`` kept) with personal data masked."""
+    fields = [f for f in found.schema.fields if f.name != "found"]
+    return found.mapInArrow(tidy(_mask([f.name for f in fields])), _types(fields))
+
+
+def find_and_mask(docs: DataFrame, model: Field | None, keep) -> DataFrame:
+    """``masked`` over ``find`` in one step: a task has one Python process, not two."""
+    columns, first = _columns(docs, ["text", *keep])
+    fields = [columns.schema["doc_id"], *columns.schema.fields[first:]]
+    search, hide = _find(docs.sparkSession.sparkContext.broadcast(model), first), _mask([f.name for f in fields])
+    return columns.mapInArrow(tidy(lambda batches: hide(search(batches))), _types(fields))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeloom.llm.common import blobs, passes, summed
+from strikeloom.llm.common import blobs, passes, summed, tidy
 from strikeloom.llm.letters import Letters
 
 #: Labelled rows used for training at most.
@@ -107,7 +107,7 @@ def count(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         yield from blobs(total)
 
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", "toxic", "half")
-    return summed(labelled.mapInArrow(run, "chunk int, counts binary"), (9, size))
+    return summed(labelled.mapInArrow(tidy(run), "chunk int, counts binary"), (9, size))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -362,4 +362,4 @@ def score(docs: DataFrame, model: Model | list[Model] | None, keep=(), choose: s
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*kinds, *(batch.schema.field(first + i) for i in range(len(kept)))]))
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
-    return columns.mapInArrow(run, ", ".join([own, *(f"`{c}` {t}" for c, t in kept)]))
+    return columns.mapInArrow(tidy(run), ", ".join([own, *(f"`{c}` {t}" for c, t in kept)]))

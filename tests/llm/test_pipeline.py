@@ -34,3 +34,21 @@ def test_stages_on_odd_and_empty_tables(spark, sf, odd, empty):
             assert out.columns == corpus_pipeline.COLUMNS
             assert out.count() <= 3 * df.count()
         assert corpus_pipeline.pack(spark, df, sf).count() >= df.count()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_personal_data_takes_one_python_process_a_task(spark, frame, monkeypatch):
+    monkeypatch.setattr(pii, "train", lambda labelled: None)
+    docs = frame([(1, "write to a.b@example.org now", "a"), (2, None, "a"), (3, "nothing here", None), (None, "call +49 30 1234567", "b")])
+    out = corpus_pipeline.mask_personal_data(spark, docs, "")
+    assert sum(line.count("MapInArrow ") for line in _plan(out).splitlines()) == 1
+    assert sorted(map(str, out.collect())) == sorted(map(str, pii.masked(pii.find(docs.select(corpus_pipeline.COLUMNS), None, keep=corpus_pipeline.COLUMNS)).select(corpus_pipeline.COLUMNS).collect()))
+
+
+def test_mixing_moves_no_texts(spark, documents):
+    plan = _plan(corpus_pipeline.mix_sources(spark, documents, ""))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning" not in plan
