@@ -34,7 +34,7 @@ def cut(spark, tmp_path_factory):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["fit_20_backtest_report"])
+@pytest.mark.parametrize("name", ["win_8_own_history_percentile", "fit_20_backtest_report"])
 def test_ties_of_sums(spark, cut, monkeypatch, name):
     monkeypatch.setattr(compare, "SF", cut)
     con = compare.duck()
