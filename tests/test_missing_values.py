@@ -27,3 +27,9 @@ def same_as_sql(spark, path, monkeypatch, name, column, share):
 @pytest.mark.parametrize("name", ["win_8_own_history_percentile", "fit_20_backtest_report"])
 def test_no_premium(spark, tmp_path, monkeypatch, name):
     same_as_sql(spark, tmp_path, monkeypatch, name, "value", 3)
+
+
+@pytest.mark.parametrize("column", ["props", "user_id", "ts"])
+@pytest.mark.parametrize("name", ["win_7_contract_rvol", "fit_20_backtest_report"])
+def test_no_size_user_or_time(spark, tmp_path, monkeypatch, name, column):
+    same_as_sql(spark, tmp_path, monkeypatch, name, column, 3 if column == "props" else 30)
